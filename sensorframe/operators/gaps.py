@@ -36,7 +36,7 @@ def _neighbours(df: DataFrame, part: Sequence[str], columns: Sequence[str]) -> D
     df = df.withColumns({"_r": F.dense_rank().over(forward)} | {f"_m_{c}": F.avg(c).over(same) for c in columns})
 
     def known(c: str) -> Column:
-        return F.when(F.col(f"_m_{c}").isNotNull(), F.struct("_t", "_r", F.col(f"_m_{c}").alias("v")))
+        return F.expr(f"CASE WHEN `_m_{c}` IS NOT NULL THEN struct(_t, _r, `_m_{c}` AS v) END")
 
     to_here = (W.unboundedPreceding, W.currentRow)
     df = df.withColumns(
@@ -47,13 +47,13 @@ def _neighbours(df: DataFrame, part: Sequence[str], columns: Sequence[str]) -> D
     )
 
 
-def _filled(c: str, max_gap: int) -> Column:
-    before, after = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-    span = (after["_t"] - before["_t"]).cast("double")
-    share = (F.col("_t") - before["_t"]).cast("double") / F.when(span > 0, span)
-    line = before["v"] + (after["v"] - before["v"]) * F.coalesce(share, F.lit(0.0))
-    short = after["_r"] - before["_r"] - 1 <= max_gap
-    return F.when(F.col(c).isNotNull(), F.col(c)).when(short, line)
+def _filled(c: str, max_gap: int) -> str:
+    before, after = f"`_p_{c}`", f"`_n_{c}`"
+    share = f"coalesce((_t - {before}._t) / nullif(CAST({after}._t - {before}._t AS DOUBLE), 0), 0)"
+    return (
+        f"CASE WHEN `{c}` IS NOT NULL THEN `{c}` WHEN {after}._r - {before}._r - 1 <= {int(max_gap)} "
+        f"THEN {before}.v + ({after}.v - {before}.v) * {share} END"
+    )
 
 
 def interpolate_gaps(
@@ -68,9 +68,10 @@ def interpolate_gaps(
 
     Longer runs and the ends of a series stay missing; known values never change. ``chunk`` is the
     length of a time chunk in the unit of ``time`` (microseconds for timestamps; default 31 days).
-    The result does not depend on it. Every run that a cut can divide lies within ``max_gap`` points of
-    the cut, and the known points around it within one point more, so the second look, which sees
-    that many points on both sides of each cut, settles it exactly.
+    The result does not depend on it. A run that a cut divides and that is short enough to be filled lies,
+    with the known points around it, within ``2 * max_gap + 1`` points of the cut. So points up to
+    ``max_gap`` from a cut are settled by a second look at that many points on both sides of all cuts,
+    and points further inside by their own chunk.
     """
     keys, columns = list(keys), list(columns)
     if chunk is None:
@@ -78,31 +79,17 @@ def interpolate_gaps(
         chunk = 31 * DAY if kind.startswith("timestamp") else 366 if kind == "date" else 10_000
     part = [*keys, "_chunk"]
     base = df.withColumn("_t", _time_number(df, time)).withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk)))
-    near = _neighbours(base, part, columns)
-    near = near.withColumn("_points", F.max("_r").over(W.partitionBy(*part)))
-    near = near.withColumns({f"_f_{c}": _filled(c, max_gap) for c in columns})
-    at_cut = (F.col("_r") <= max_gap + 1) | (F.col("_points") - F.col("_r") <= max_gap)
-
-    settled = near.filter(~at_cut).select(*[F.col(f"_f_{c}").alias(c) if c in columns else c for c in df.columns])
+    ranked = base.withColumn("_r", F.dense_rank().over(W.partitionBy(*part).orderBy("_t")))
+    ranked = ranked.withColumn("_points", F.max("_r").over(W.partitionBy(*part)))
 
-    def settled_here(c: str) -> Column:
-        return F.col(c).isNotNull() | (F.col(f"_p_{c}").isNotNull() & F.col(f"_n_{c}").isNotNull())
+    def at_cut(width: int) -> str:
+        return f"(_r <= {width} OR _points - _r < {width})"
 
-    edges = near.filter(at_cut).select(
-        *df.columns,
-        "_t",
-        *[F.col(f"_f_{c}") for c in columns],
-        *[settled_here(c).alias(f"_s_{c}") for c in columns],
-    )
-    edges = _neighbours(edges, keys, columns).select(
-        *[
-            F.when(F.col(f"_s_{c}"), F.col(f"_f_{c}")).otherwise(_filled(c, max_gap)).alias(c)
-            if c in columns
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
-    return settled.unionByName(edges)
+    filled = [f"{_filled(c, max_gap)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns]
+    inside = _neighbours(ranked, part, columns).filter(f"NOT {at_cut(max_gap)}").selectExpr(*filled)
+    edges = ranked.filter(at_cut(2 * max_gap + 1)).withColumn("_out", F.expr(at_cut(max_gap)))
+    edges = _neighbours(edges, keys, columns).filter("_out").selectExpr(*filled)
+    return inside.unionByName(edges)
 
 
 def carry_forward(

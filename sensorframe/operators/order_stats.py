@@ -93,17 +93,17 @@ def select_ranks(df: DataFrame, group: str, value: str, ranks: Sequence[Column],
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str = "name"
 ) -> DataFrame:
     """Linear-interpolation quantiles of several columns per group.
 
-    Gives one row per group and column: ``keys``, ``name`` and ``q``, an array in the order of
+    Gives one row per group and column: ``keys``, the column's ``name`` and ``q``, an array in the order of
     ``probabilities`` (null where the group has no value).
     """
     keys, columns = list(keys), list(columns)
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*keys, F.explode(pairs).alias("_p")).select(
-        F.struct(*keys, F.col("_p.name").alias("name")).alias("_k"), F.col("_p.value").alias("value")
+        F.struct(*keys, F.col("_p.name").alias(name)).alias("_k"), F.col("_p.value").alias("value")
     )
     places = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
     ranks = [f(p) for p in places for f in (F.floor, F.ceil)]
@@ -123,10 +123,10 @@ def wide_quantiles(
     labels: Sequence[str],
 ) -> DataFrame:
     """The same, one row per group with columns ``{column}_{label}``."""
-    quantiles = exact_quantiles(df, keys, columns, probabilities)
+    quantiles = exact_quantiles(df, keys, columns, probabilities, "_name")
     return quantiles.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("name") == c, F.col("q")[i])).alias(f"{c}_{label}")
+            F.max(F.when(F.col("_name") == c, F.col("q")[i])).alias(f"{c}_{label}")
             for c in columns
             for i, label in enumerate(labels)
         ]

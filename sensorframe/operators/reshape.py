@@ -113,7 +113,7 @@ def grid(
             continue
         block = F.pmod(F.xxhash64(d), F.lit(blocks))
         packed = df.select(d).distinct().groupBy(block.alias("_block")).agg(F.collect_list(F.struct(d)).alias("_v"))
-        out = out.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         out = out.join(packed, "_block").withColumn("_v", F.explode("_v")).withColumn(d, F.col(f"_v.{d}"))
         out = out.drop("_block", "_v")
     return out

@@ -148,7 +148,7 @@ def monthly_stats(daily: DataFrame, sensors: Sequence[str] = tuple(K.TEMPERATURE
     days = days.filter(used)
     length = month_length("year", "month")
     aggs = [
-        finite_or_zero(F.count_if(is_finite(f"{s}_mean")) / F.first(length)).alias(f"day_frac_{s}") for s in names
+        finite_or_zero(F.count_if(is_finite(f"{s}_mean")) / F.max(length)).alias(f"day_frac_{s}") for s in names
     ]
     for s in sensors:
         aggs += temperature_months(s)

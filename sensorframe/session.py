@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "sensorframe") -> SparkSession:
@@ -20,7 +22,27 @@ def local_session(cores: int | None = None, app: str = "sensorframe") -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can reach: the cluster's checkpoint folder, or a new local one where unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table used more than once to the shared folder and go on from there.
+
+    Later stages start from stored data: nothing is computed twice and a lost executor takes nothing along.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
