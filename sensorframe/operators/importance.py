@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.ols import INTERCEPT, _schema, _square
+from sensorframe.operators.reshape import salted_join
 
 BUCKET_BITS = 8
 
@@ -33,11 +34,11 @@ def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _shuffled_rank(rows: DataFrame, group: list[str], columns: Sequence[str], seed) -> DataFrame:
     """Add ``_rank``, the 0-based place of a row in a random order of its group.
 
-    The order is that of a seeded hash of the row, so it depends on the data only. The top bits of the
-    hash split a group into equal buckets that are numbered apart; bucket sizes give the offsets. Rows
-    that tie in the hash and in all columns are equal, so their order is of no consequence.
+    The order is that of a seeded hash of ``_id``, a hash of the row, so it depends on the data only. The
+    top bits split a group into equal buckets that are numbered apart; bucket sizes give the offsets.
+    Rows that tie in the hash and in all columns are equal, so their order is of no consequence.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *group, *columns))
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *group, "_id"))
     hashed = hashed.withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
     inside = W.partitionBy(*group, "_b").orderBy("_h", *columns)
     earlier = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -64,12 +65,19 @@ def permuted_moments(
     """
     keys, predictors = list(keys), list(predictors)
     names = [*predictors, response]
-    rows = complete_cases(df, [*keys, *names]).select(F.struct(*keys).alias("_k"), *names)
-    actual = _shuffled_rank(rows, ["_k"], names, seed)
+    rows = complete_cases(df, [*keys, *names]).select(
+        F.struct(*keys).alias("_k"), *names, F.xxhash64(*names).alias("_id")
+    )
+    # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
+    means = rows.groupBy("_k").agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
+    rows = salted_join(rows, means, ["_k"]).select(
+        "_k", "_id", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
+    )
+    actual = _shuffled_rank(rows, ["_k"], names, seed).drop("_id")
     sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
     permuted = _shuffled_rank(sims, ["_k", "sim"], names, seed + 1)
     permuted = permuted.select("_k", "sim", "_rank", *[F.col(p).alias(f"_x_{p}") for p in predictors])
-    pairs = [F.covar_pop(a, f"_x_{p}") for a in names for p in predictors]
+    pairs = [F.avg(F.col(a) * F.col(f"_x_{p}")) for a in names for p in predictors]
     met = actual.join(permuted, ["_k", "_rank"])
     return met.groupBy("_k", "sim").agg(F.array(*pairs).alias("cross")).select("_k.*", "sim", "cross")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.functions.nulls import is_finite
 from sensorframe.operators.order_stats import select_ranks
-from sensorframe.operators.rank_corr import salted_join
+from sensorframe.operators.reshape import salted_join
 
 
 def _solve(s: list[Column]) -> list[Column]:

@@ -150,7 +150,7 @@ def gaussian_fit(df: DataFrame, group: str, unit: str, y: str, factors: Factors)
     )
     kind = dict(df.dtypes)[group]
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         beta, lam, sigma2 = reml(frame)
         return pd.DataFrame({group: [key[0]], "beta": [beta], "ratio": [lam], "sigma2": [sigma2]})
 
@@ -254,7 +254,7 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
     )
     kind = dict(df.dtypes)[group]
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         theta = laplace_fit(
             np.stack(frame["n"].map(np.asarray)).astype(float),
             frame["total"].to_numpy(float),

@@ -9,20 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.order_stats import running_counts
-
-SALTS = 16
-
-
-def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join in which the rows of a hot key are spread over several tasks.
-
-    Each row of the compact side is repeated once per salt; the rows of the other side draw their salt
-    from a hash of all their columns.
-    """
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
-
+from sensorframe.operators.reshape import salted_join
 
 def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the complete rows of each group, in long form.

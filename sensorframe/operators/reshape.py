@@ -14,6 +14,9 @@ from sensorframe.functions.nulls import clamp_negative, round_to
 # A dimension of a grid is inlined as a literal only up to this many values.
 INLINE_VALUES = 4096
 
+# Tasks over which the rows of a hot join key are spread.
+SALTS = 16
+
 
 def select_cols(
     df: DataFrame,
@@ -70,6 +73,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.select("_k.*", *[c for c in joined.columns if c != "_k"])
 
 
+def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Inner join in which the rows of a hot key are spread over several tasks.
+
+    Each row of the compact side is repeated once per salt; the rows of the other side draw their salt
+    from a hash of all their columns.
+    """
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def stack_rows(*frames: DataFrame) -> DataFrame:
     """Rows of all tables; a column that one of them lacks is null there."""
     out = frames[0]
