@@ -63,7 +63,7 @@ def day_sql(c: str, name: str = "date") -> str:
 def area_of(c: Column | str) -> Column:
     """One of the seven area names for any whole number."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.element_at(F.array(*[F.lit(a) for a in K.AREAS]), (c % 7 + 1).cast("int"))
+    return F.try_element_at(F.array(*[F.lit(a) for a in K.AREAS]), (c % 7 + 1).cast("int"))
 
 
 def area_sql(c: str) -> str:

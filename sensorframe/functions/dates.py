@@ -38,7 +38,7 @@ def month_start(year: Column | str, month: Column | str) -> Column:
 
 def month_label(month: Column | str) -> Column:
     """Three-letter English month name for a month number."""
-    return F.element_at(F.array(*[F.lit(m) for m in K.MONTH_LABELS]), col(month).cast("int"))
+    return F.try_element_at(F.array(*[F.lit(m) for m in K.MONTH_LABELS]), col(month).cast("int"))
 
 
 def month_year_label(date: Column | str) -> Column:
