@@ -3,7 +3,8 @@
 Per unit (site) Spark aggregates counts and sums. The likelihood of the Gaussian model depends on a unit
 only through its size and those sums, so units of equal size are added up first: a group shrinks to one
 row per distinct size (fewer than the square root of twice its rows). The Poisson model shrinks to one
-row per distinct pattern of counts and total. Only those rows reach the small optimiser.
+row per distinct pattern of counts and total. Only those rows reach the small optimiser. The fits, one
+row per group, are stored, since unit effects and predictions both build on them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.functions.nulls import round_to
+from sensorframe.operators.reshape import spread
+from sensorframe.session import stored
 
 Factors = Mapping[str, Sequence[int]]
 
@@ -155,10 +158,11 @@ def gaussian_fit(df: DataFrame, group: str, unit: str, y: str, factors: Factors)
         return pd.DataFrame({group: [key[0]], "beta": [beta], "ratio": [lam], "sigma2": [sigma2]})
 
     fit = (
-        sizes.join(totals, group)
+        spread(sizes.join(totals, group), [group])
         .groupBy(group)
         .applyInPandas(solve, f"`{group}` {kind}, beta array<double>, ratio double, sigma2 double")
     )
+    fit = stored(fit)
     expected = sum((s[i] * F.col("beta")[i] for i in range(1, size)), s[0] * F.col("beta")[0])
     weight = F.col("ratio") / (1 + F.col("size") * F.col("ratio"))
     effects = units.join(fit, group).select(group, unit, (weight * (v - expected)).alias("effect"))
@@ -181,9 +185,9 @@ def impute_gaussian(
 # --- Poisson ----------------------------------------------------------------------------------------
 
 
-def unit_modes(total: np.ndarray, rate: np.ndarray, sigma2: float) -> np.ndarray:
+def unit_modes(total: np.ndarray, rate: np.ndarray, sigma2, start: np.ndarray | None = None) -> np.ndarray:
     """Most likely unit effects: roots of ``total - rate * exp(u) - u / sigma2``."""
-    u = np.where(total > 0, np.log((total + 0.5) / (rate + 1e-12)), 0.0) * (sigma2 / (sigma2 + 1.0))
+    u = start if start is not None else np.where(total > 0, np.log((total + 0.5) / (rate + 1e-12)), 0.0) * (sigma2 / (sigma2 + 1.0))
     for _ in range(100):
         e = rate * np.exp(u)
         step = np.clip((total - e - u / sigma2) / (e + 1.0 / sigma2), -2.0, 2.0)
@@ -193,10 +197,12 @@ def unit_modes(total: np.ndarray, rate: np.ndarray, sigma2: float) -> np.ndarray
     return u
 
 
-def laplace_loglik(theta: np.ndarray, n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray) -> float:
+def laplace_loglik(
+    theta: np.ndarray, n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray, start: np.ndarray | None = None
+) -> float:
     beta, sigma2 = theta[:-1], math.exp(2 * theta[-1])
     rate = n @ np.exp(beta)
-    u = unit_modes(total, rate, sigma2)
+    u = unit_modes(total, rate, sigma2, start)
     e = rate * np.exp(u)
     per_unit = total * u - e - u * u / (2 * sigma2) - 0.5 * np.log1p(sigma2 * e)
     return float(units @ per_unit + beta @ sums)
@@ -211,14 +217,16 @@ def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.nd
     for _ in range(100):
         h = 1e-4
         eye = np.eye(size) * h
-        up = np.array([laplace_loglik(theta + e, n, total, units, sums) for e in eye])
-        down = np.array([laplace_loglik(theta - e, n, total, units, sums) for e in eye])
+        modes = unit_modes(total, n @ np.exp(theta[:-1]), math.exp(2 * theta[-1]))
+        data = (n, total, units, sums, modes)
+        up = np.array([laplace_loglik(theta + e, *data) for e in eye])
+        down = np.array([laplace_loglik(theta - e, *data) for e in eye])
         gradient = (up - down) / (2 * h)
         hessian = np.zeros((size, size))
         for i in range(size):
             hessian[i, i] = (up[i] - 2 * value + down[i]) / h**2
             for j in range(i):
-                both = laplace_loglik(theta + eye[i] + eye[j], n, total, units, sums)
+                both = laplace_loglik(theta + eye[i] + eye[j], *data)
                 hessian[i, j] = hessian[j, i] = (both - up[i] - up[j] + value) / h**2
         roots, vectors = np.linalg.eigh(hessian)
         downhill = -np.maximum(np.abs(roots), 1e-6 * max(1.0, np.abs(roots).max()))
@@ -235,7 +243,7 @@ def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.nd
             break
         moved = np.max(np.abs(trial - theta))
         theta, value = trial, value + gained
-        if moved < 1e-7:
+        if moved < 1e-7 or gained < 1e-10 * (1 + abs(value)):
             break
     return theta
 
@@ -263,7 +271,10 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
         )
         return pd.DataFrame({group: [key[0]], "beta": [theta[:-1].tolist()], "log_sd": [theta[-1]]})
 
-    fit = patterns.groupBy(group).applyInPandas(solve, f"`{group}` {kind}, beta array<double>, log_sd double")
+    fit = spread(patterns, [group]).groupBy(group).applyInPandas(
+        solve, f"`{group}` {kind}, beta array<double>, log_sd double"
+    )
+    fit = stored(fit)
     joined = units.select(group, unit, "n", "total").join(fit, group)
     types = dict(joined.dtypes)
 

@@ -2,7 +2,7 @@
 
 Spark aggregates counts, means and covariances per model cell (one pass, combined before the shuffle, so
 a cell may hold any share of the rows). What is left per cell is one row of at most a few dozen numbers;
-the small linear algebra on that row runs in ``mapInPandas`` without another shuffle.
+the small linear algebra on that row runs in ``mapInPandas``, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.operators.clean import complete_cases
+from sensorframe.operators.reshape import spread
 from sensorframe.operators.tails import f_upper, t_two_sided
 
 INTERCEPT = "(Intercept)"
@@ -175,7 +176,7 @@ def _per_cell(cells: DataFrame, keys: Sequence[str], predictors: Sequence[str],
                 out += [key + tuple(r) for r in rows_of(row, cell_fit(row, step), predictors)]
             yield pd.DataFrame(out, columns=names)
 
-    return cells.mapInPandas(run, schema)
+    return spread(cells, keys).mapInPandas(run, schema)
 
 
 def coefficients(cells: DataFrame, keys: Sequence[str], predictors: Sequence[str], step: bool = False) -> DataFrame:

@@ -84,6 +84,15 @@ def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lay compact rows out over all shuffle partitions by key.
+
+    For rows that are small but costly to work on: adaptive execution would pack them into a few tasks by
+    their size alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stack_rows(*frames: DataFrame) -> DataFrame:
     """Rows of all tables; a column that one of them lacks is null there."""
     out = frames[0]
