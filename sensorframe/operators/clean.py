@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.functions.dates import local_time, utc_bound
 from sensorframe.functions.nulls import if_else, in_set, is_finite
+from sensorframe.operators.reshape import compact_join
 
 
 def exclude_sites(
@@ -111,11 +112,10 @@ def apply_overrides(
 ) -> DataFrame:
     """Replace values by hand-checked ones for the listed keys.
 
-    ``overrides`` has one row per key. Its size is left to the optimiser, which broadcasts it when it
-    is known to be small.
+    ``overrides`` has one row per key.
     """
     renamed = overrides.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = df.join(renamed, key, "left")
+    joined = compact_join(df, renamed, [key], "left")
     when = F.lit(True) if when is None else when
     return joined.withColumns(
         {c: F.when(when, F.coalesce(F.col(f"_new_{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}

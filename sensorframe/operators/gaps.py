@@ -110,7 +110,7 @@ def carry_forward(
     part = [*keys, "_chunk"]
     here = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    position = F.struct(*order)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     tails = base.groupBy(*part).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in columns])
     tails = tails.select(*part, *[F.last(c, True).over(earlier).alias(f"_c_{c}") for c in columns])
     local = base.withColumns({c: F.last(c, True).over(here) for c in columns})

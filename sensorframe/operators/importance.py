@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.ols import INTERCEPT, _schema, _square
-from sensorframe.operators.reshape import salted_join
+from sensorframe.operators.reshape import compact_join, spread
 
 BUCKET_BITS = 8
 
@@ -70,7 +70,7 @@ def permuted_moments(
     )
     # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
     means = rows.groupBy("_k").agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
-    rows = salted_join(rows, means, ["_k"]).select(
+    rows = compact_join(rows, means, ["_k"]).select(
         "_k", "_id", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
     )
     actual = _shuffled_rank(rows, ["_k"], names, seed).drop("_id")
@@ -119,7 +119,7 @@ def permutation_importance(
     through covariances only, so no row is scored again. ``perm_r2`` uses the squared correlation.
     """
     keys, names = list(keys), list(predictors)
-    joined = fitted.join(permuted, keys)
+    joined = spread(fitted.join(permuted, keys), keys)
     schema = _schema(joined, keys, "Variable string, value double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

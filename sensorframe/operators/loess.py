@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.functions.nulls import is_finite
 from sensorframe.operators.order_stats import select_ranks
-from sensorframe.operators.reshape import salted_join
+from sensorframe.operators.reshape import compact_join
+from sensorframe.session import stored
 
 
 def _solve(s: list[Column]) -> list[Column]:
@@ -34,7 +35,7 @@ def loess(
 ) -> DataFrame:
     """Smooth ``y`` over a numeric ``x`` per group at ``points`` even places: ``keys, x, fit[, se]``.
 
-    Rows with equal ``x`` are summed up first. Around each place the nearest ``span`` share of the rows is
+    Rows with equal ``x`` are summed up first and stored. Around each place the nearest ``span`` share of the rows is
     weighted by the tricube of its distance. The width is an order statistic found without sorting a
     group in one task; the local fit needs only weighted power sums. ``se`` uses the residual variance
     and leverages interpolated between places.
@@ -45,11 +46,12 @@ def loess(
     at_x = rows.groupBy("_k", "x").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")
     )
+    at_x = stored(at_x)
     extent = at_x.groupBy("_k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     places = extent.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     places = places.select("_k", "j", (F.col("lo") + step * F.col("j")).alias("g"))
-    pairs = salted_join(at_x, places, ["_k"]).select(
+    pairs = compact_join(at_x, places, ["_k"]).select(
         F.struct("_k", "j", "g").alias("_kj"), "n", "sy", (F.col("x") - F.col("g")).alias("d")
     )
     distances = pairs.select("_kj", "n", F.abs("d").alias("size"))
@@ -85,7 +87,7 @@ def loess(
         return out.select("_k.*", "x", "fit")
     place = (F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / (points - 1))
     located = (
-        salted_join(at_x, extent, ["_k"])
+        compact_join(at_x, extent, ["_k"])
         .withColumn("j", F.least(F.floor(place), F.lit(points - 2)).cast("int"))
         .withColumn("share", place - F.col("j"))
         .select("_k", "j", "share", "n", "sy", "syy")
@@ -99,7 +101,7 @@ def loess(
 
     f = between("fit")
     variance = (
-        salted_join(located, segments, ["_k", "j"])
+        compact_join(located, segments, ["_k", "j"])
         .groupBy("_k")
         .agg(
             F.sum(F.col("syy") - 2 * f * F.col("sy") + f * f * F.col("n")).alias("rss"),

@@ -10,10 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe.functions.nulls import clamp_negative, round_to
+from sensorframe.session import stored
 
 # A dimension of a grid is inlined as a literal only up to this many values.
 INLINE_VALUES = 4096
 
+# A compact table is broadcast only up to this many rows.
+BROADCAST_ROWS = 200_000
+
 # Tasks over which the rows of a hot join key are spread.
 SALTS = 16
 
@@ -73,15 +77,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.select("_k.*", *[c for c in joined.columns if c != "_k"])
 
 
-def salted_join(df: DataFrame, small: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Inner join in which the rows of a hot key are spread over several tasks.
+def salted_join(
+    df: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Inner or left join in which the rows of a hot key are spread over several tasks.
 
     Each row of the compact side is repeated once per salt; the rows of the other side draw their salt
     from a hash of all their columns.
     """
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    right = compact.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def compact_join(
+    df: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "inner", at_most: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner or left join with a table that is expected to be small.
+
+    The table is stored and its rows are counted. Up to ``at_most`` it is broadcast, so the large side is not
+    moved; beyond that the join is salted.
+    """
+    compact = stored(compact)
+    if compact.limit(at_most + 1).count() <= at_most:
+        return df.join(F.broadcast(compact), list(keys), how)
+    return salted_join(df, compact, keys, how)
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.functions.labels import rank_of
 from sensorframe.functions.nulls import is_finite, strict_mean
+from sensorframe.operators.reshape import compact_join
 
 
 def nearest_stations(
@@ -42,7 +43,7 @@ def nearest_stations(
 
 def mapped_only(weather: DataFrame, station_areas: DataFrame) -> DataFrame:
     """Weather rows of chosen stations, with their area."""
-    return weather.drop("area").join(station_areas, "FMISID")
+    return compact_join(weather.drop("area"), station_areas, ["FMISID"])
 
 
 def day_normals(
@@ -78,4 +79,4 @@ def merge_areas(
 def against_normals(weather: DataFrame, normals: DataFrame) -> DataFrame:
     """Daily weather with the normal of its station, area and day of year."""
     keys = ["FMISID", "area", "yday"]
-    return weather.withColumn("yday", F.dayofyear("time")).join(normals.select(*keys, "Tavg30"), keys, "left")
+    return compact_join(weather.withColumn("yday", F.dayofyear("time")), normals.select(*keys, "Tavg30"), keys, "left")

@@ -69,3 +69,20 @@ def test_shares_and_stacks(spark):
     assert [(x.bottom, x.top) for x in s] == [(0, 4), (4, 4), (4, 5)]
     p = reshape.share_of_group_max(df.filter("v > 0"), "v", ["k"]).orderBy("r").collect()
     assert [x.prop for x in p] == [100, 25]
+
+
+@pytest.mark.parametrize("how, rows", [("inner", 1), ("left", 2)])
+def test_compact_join_broadcasts_only_when_small(spark, how, rows):
+    df = spark.createDataFrame([("a", 1), ("z", 2)], "k string, x int")
+    compact = spark.createDataFrame([("a", 7), ("b", 8)], "k string, v int")
+    for at_most, broadcast in ((10, True), (1, False)):
+        out = reshape.compact_join(df, compact, ["k"], how, at_most)
+        assert out.count() == rows and out.columns == ["k", "x", "v"]
+        assert out.filter("k = 'a'").first().v == 7
+        hint = "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+        assert hint == broadcast
+
+
+def test_grids_never_hold_all_ids_in_one_array(spark):
+    df = spark.range(300).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
+    assert reshape.grid(df, ["a", "b"], inline=10, blocks=16).count() == 90_000
