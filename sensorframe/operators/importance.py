@@ -15,6 +15,7 @@ from sensorframe import constants as K
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.ols import INTERCEPT, _schema, _square
 from sensorframe.operators.reshape import compact_join, spread
+from sensorframe.session import stored
 
 BUCKET_BITS = 8
 
@@ -61,7 +62,8 @@ def permuted_moments(
     One row per cell and simulation. ``cross`` holds, row by row, the population covariance of the
     actual (predictors, then response) with the permuted predictors. A permutation is drawn per
     simulation and shared by the predictors; each predictor on its own is shuffled uniformly. Rows meet
-    on their rank within the cell, which is unique, so no join key is hot.
+    on their rank within the cell, which is unique, so no join key is hot. The rows are stored first:
+    both orders are then drawn from the same data, also when a lost task is run again.
     """
     keys, predictors = list(keys), list(predictors)
     names = [*predictors, response]
@@ -73,6 +75,7 @@ def permuted_moments(
     rows = compact_join(rows, means, ["_k"]).select(
         "_k", "_id", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
     )
+    rows = stored(rows)
     actual = _shuffled_rank(rows, ["_k"], names, seed).drop("_id")
     sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
     permuted = _shuffled_rank(sims, ["_k", "sim"], names, seed + 1)

@@ -85,6 +85,7 @@ def loess(
     )
     if not se:
         return out.select("_k.*", "x", "fit")
+    out = stored(out)  # groups times places; used three times below
     place = (F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / (points - 1))
     located = (
         compact_join(at_x, extent, ["_k"])

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sensorframe import constants as K
 from sensorframe.functions.labels import collapse_label
 from sensorframe.functions.nulls import (
+    finite_or_null,
     finite_or_zero,
-    finite_share,
     if_else,
     in_set,
     is_finite,
@@ -23,22 +23,13 @@ from sensorframe.operators.order_stats import exact_medians, exact_quantiles, wi
 SERIES = ["id_code", "area", "site"]
 
 
-def daily_stats(df: DataFrame, sensors: Sequence[str], codes: Sequence[str] = (), keys=(*SERIES, "date")) -> DataFrame:
-    """Finite share (percent), mean, min and max per sensor, and the worst error code."""
-    clean = df.withColumns({s: nan_to_null(F.col(s)) for s in sensors})
-    aggs = [finite_share(s).alias(f"{s}_prop") for s in sensors]
-    for s in sensors:
-        aggs += [F.avg(s).alias(f"{s}_mean"), F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max")]
-    aggs += [F.max(c).alias(c) for c in codes]
-    return clean.groupBy(*keys).agg(*aggs)
-
-
 def daily_rollup(soil: DataFrame, air: DataFrame) -> DataFrame:
     """Days of the soil sensors and days of T4, side by side.
 
     ``soil`` holds gap-filled T1, T2, T3 and moist, ``air`` gap-filled T4 on the thinned grid. A day
-    found in only one of them is kept. Stacking both before one grouped pass gives what a null-safe
-    full join of two rollups would, with a single shuffle.
+    found in only one of them is kept. Stacking both before the grouped pass gives what a null-safe full
+    join of two rollups would. Readings are first added up per day and label, where all running values
+    are numbers and stay in a hash aggregate; the label itself is settled over the few rows left per day.
     """
     base = [*SERIES, "date"]
     shared = [*base, *K.SOIL_SENSORS, "error_tomst"]
@@ -46,22 +37,32 @@ def daily_rollup(soil: DataFrame, air: DataFrame) -> DataFrame:
         air.select(*base, "T4", "error_T4", "logger_T4", F.lit(False).alias("_soil")), allowMissingColumns=True
     )
     sensors = [*K.SOIL_SENSORS, "T4"]
+    parts = [F.count_if("_soil").alias("_rows_soil"), F.count_if(~F.col("_soil")).alias("_rows_air")]
+    for s in sensors:
+        # Rows of the other kind have no value of this sensor, so only the share needs to know the kind.
+        x = F.expr(f"CASE WHEN NOT isnan({s}) THEN {s} END")
+        parts += [
+            F.count_if(is_finite(s)).alias(f"_finite_{s}"),
+            F.count(x).alias(f"_count_{s}"),
+            F.sum(x).alias(f"_sum_{s}"),
+            F.min(x).alias(f"_min_{s}"),
+            F.max(x).alias(f"_max_{s}"),
+        ]
+    codes = ["error_tomst", "error_T4"]
+    parts += [F.max(c).alias(c) for c in codes]
+    by_label = stacked.groupBy(*base, "logger_T4").agg(*parts)
+
     aggs: list[Column] = []
     for s in sensors:
-        mine = F.col("_soil") if s != "T4" else ~F.col("_soil")
-        x = nan_to_null(F.col(s))
+        rows = "_rows_air" if s == "T4" else "_rows_soil"
         aggs += [
-            round_to(F.avg(F.when(mine, is_finite(s).cast("int"))) * 100, 1).alias(f"{s}_prop"),
-            F.avg(x).alias(f"{s}_mean"),
-            F.min(x).alias(f"{s}_min"),
-            F.max(x).alias(f"{s}_max"),
+            round_to(F.expr(f"try_divide(100 * sum(_finite_{s}), sum({rows}))"), 1).alias(f"{s}_prop"),
+            finite_or_null(F.expr(f"try_divide(sum(_sum_{s}), sum(_count_{s}))")).alias(f"{s}_mean"),
+            finite_or_null(F.min(f"_min_{s}")).alias(f"{s}_min"),
+            finite_or_null(F.max(f"_max_{s}")).alias(f"{s}_max"),
         ]
-    aggs += [
-        F.max("error_tomst").alias("error_tomst"),
-        F.max("error_T4").alias("error_T4"),
-        collapse_label("logger_T4").alias("logger_T4"),
-    ]
-    return stacked.groupBy(*base).agg(*aggs)
+    aggs += [*[F.max(c).alias(c) for c in codes], collapse_label("logger_T4").alias("logger_T4")]
+    return by_label.groupBy(*base).agg(*aggs)
 
 
 def mask_days(daily: DataFrame, limit: float = K.DAILY_COVERAGE_PERCENT) -> DataFrame:
