@@ -29,13 +29,18 @@ def local_session(cores: int | None = None, app: str = "sensorframe") -> SparkSe
     )
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's checkpoint folder, or a new local one where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _own_folders[app]
 
 
 def stored(df: DataFrame) -> DataFrame:
