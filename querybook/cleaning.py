@@ -27,7 +27,7 @@ from querybook.base import (
 )
 from sensorframe import constants as K
 from sensorframe.functions.labels import collapse_label
-from sensorframe.functions.nulls import if_else, is_finite, round_to
+from sensorframe.functions.nulls import if_else, round_to
 from sensorframe.operators import clean as C
 from sensorframe.operators import gaps, reshape, rollup
 from sensorframe.plans import preprocess, reports

@@ -22,7 +22,6 @@ from querybook.base import (
 )
 from sensorframe import constants as K
 from sensorframe.functions import dates, labels
-from sensorframe.functions.nulls import round_to
 from sensorframe.operators import clean as C
 from sensorframe.operators import features, order_stats, reshape, rollup, stations
 from sensorframe.plans import reports
