@@ -33,21 +33,31 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's checkpoint folder, or a new local one where unset."""
+    """Folder all executors can reach: the one in ``spark.checkpoint.dir``.
+
+    Only a local session, whose driver is the sole executor, may go without the setting; it gets a new folder
+    of its own. A cluster without the setting is an error, as its executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _own_folders[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _own_folders[context.applicationId]
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write a table used more than once to the shared folder and go on from there.
 
     Later stages start from stored data: nothing is computed twice and a lost executor takes nothing along.
+    The table goes when the driver's JVM ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
