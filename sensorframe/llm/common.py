@@ -25,13 +25,34 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offset of each text in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slot_of(bits: int, *columns: str) -> Column:
+    """Place of a key in a bitmap of ``1 << bits`` bits."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+
+
+def bitmap(slots: DataFrame) -> DataFrame:
+    """(bucket, bitmap) with the bits of all slots set; 4 KB for each 32,768 bits, whatever the number of rows."""
+    return slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap")
+    )
+
+
+def marked(rows: DataFrame, slot: Column, bits: DataFrame, out: str) -> DataFrame:
+    """The rows with a boolean column: whether the bit of their slot is set. The bitmap is broadcast."""
+    rows = rows.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)"))
+    rows = rows.join(F.broadcast(bits), "bucket", "left").withColumn("bit", F.expr("bitmap_bit_position(slot)"))
+    byte = "cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"coalesce(shiftright({byte}, cast(bit % 8 as int)) & 1, 0) = 1")
+    return rows.withColumn(out, hit).drop("slot", "bucket", "bitmap", "bit")
+
+
 class Lookup:
     """Whole-number keys to their index, for many queries at once; -1 where a key is missing.
 

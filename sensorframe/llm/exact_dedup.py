@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.common import bitmap, marked, slot_of
 from sensorframe.session import stored
 
 WHITE_SPACE = r"[ \t-\r]+"
@@ -16,16 +17,6 @@ def normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE_SPACE, "")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of groups with more than one row."""
-    groups = rows.groupBy(*keys).count().where("count > 1").select(*keys)
-    return rows.join(groups, keys, "left_semi")
-
-
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64("size", "head"), F.lit(1 << bits))
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -52,22 +43,17 @@ def exact_dedup(
     texts = texts.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), normalised("text").alias("norm"))
     keyed = texts.withColumns({"size": F.octet_length("norm"), "head": F.xxhash64(F.substring("norm", 1, prefix))})
 
-    heads = stored(keyed.select("size", "head"))
-    alive = _repeated(_repeated(heads, ["size"]), ["size", "head"]).select(_slot(bits).alias("slot"))
-    bitmap = alive.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap")
-    )
-
-    # 4 KB for each 32,768 bits: bounded by ``bits`` alone.
-    found = keyed.withColumn("slot", _slot(bits)).withColumn("bucket", F.expr("bitmap_bucket_number(slot)"))
-    found = found.join(F.broadcast(bitmap), "bucket", "left").withColumn("bit", F.expr("bitmap_bit_position(slot)"))
-    byte = "cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    alive = F.expr(f"coalesce(shiftright({byte}, cast(bit % 8 as int)) & 1, 0) = 1")
+    # Counts by both keys first: a group of copies is one row from then on.
+    keys = stored(keyed.groupBy("size", "head").count())
+    sizes = keys.groupBy("size").agg(F.sum("count").alias("n")).where("n > 1").select("size")
+    alive = keys.join(sizes, "size", "left_semi").where("count > 1")
+    found = marked(keyed, slot_of(bits, "size", "head"), bitmap(alive.select(slot_of(bits, "size", "head").alias("slot"))), "alive")
+    alive = F.col("alive")
     rows = stored(
         found.select(
             "id",
             "chars",
-            alive.alias("alive"),
+            "alive",
             F.when(F.lit(True) if all_digests else alive, F.sha2("norm", 256)).alias("digest"),
             F.monotonically_increasing_id().alias("row"),
         )

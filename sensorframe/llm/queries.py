@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sensorframe.llm import language_id, packing, quality
 from sensorframe.llm.common import remainder, table
+from sensorframe.llm.decontaminate import contaminated
 from sensorframe.llm.exact_dedup import exact_dedup
+from sensorframe.llm.minhash import near_dedup
 from sensorframe.llm.pii import PATTERNS, find_personal_data
 from sensorframe.llm.url_filter import url_filter
 
@@ -103,3 +105,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=2).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
