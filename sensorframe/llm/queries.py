@@ -11,8 +11,10 @@ from sensorframe.llm import language_id, packing, quality
 from sensorframe.llm.common import remainder, table
 from sensorframe.llm.decontaminate import contaminated
 from sensorframe.llm.exact_dedup import exact_dedup
+from sensorframe.llm.line_dedup import line_dedup
 from sensorframe.llm.minhash import near_dedup
 from sensorframe.llm.pii import PATTERNS, find_personal_data
+from sensorframe.llm.substrings import repeated_substrings
 from sensorframe.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +118,36 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op2_line_dedup",
+    """WITH u AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+n AS (
+  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal FROM u),
+r AS (
+  SELECT *, normal <> '' AND length(normal) - length(replace(normal, ' ', '')) + 1 >= 5
+    AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, i) > 1 AS gone FROM n)
+SELECT doc_id, count(*) AS n_units, count_if(gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id""",
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_units").cast("long").alias("n_units"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
+@query("op9_repeated_substrings")
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_substrings(spark, table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
