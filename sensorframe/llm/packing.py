@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from sensorframe.session import stored
 
 CAPACITY = 2048
-# Words remembered by a task; the table starts anew when it is full, which costs time only.
-MEMO = 400_000
+# Words remembered by a worker, some 200 MB; the table starts anew when it is full, which costs time only.
+MEMO = 1_000_000
+# Below U+0180 no letter combines with its neighbour, and but for two letters lower case is character by character.
+UNUSUAL = re.compile("[^\x00-\u012f\u0132-\u017f]")
+LAST_MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|$)")
 # Parts into which the pieces of one length are split to be numbered.
 PARTS = 64
 
@@ -24,71 +29,87 @@ PARTS = 64
 class WordTokenizer:
     """Token ids of whole texts for a tokenizer that drops white space and never joins across it.
 
-    Each blank-separated chunk is tokenised once and remembered. A word followed by one full stop or comma
-    is the word's ids and the mark's, as the tokenizer splits letters from marks itself.
+    Each blank-separated chunk is tokenised once and remembered. In texts of usual letters, capitals are lowered
+    first and a full stop or comma behind a word is cut off it, as the tokenizer does both itself. New words
+    are tokenised many at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Kept with the library's module, as that outlives a task while Spark reuses the worker.
+        self.chunks: dict[str, bytes] = tokenizers.__dict__.setdefault("_known_chunks", {}).setdefault(path, {"": b""})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encode`` for words of letters only, or one mark."""
+        raw = b"".join(self._encode([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]))
+        stops = 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)
+        if len(stops) != len(words):
+            return self._encode(words)
+        stops = stops.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
     def _learn(self, chunks: set[str]) -> None:
-        if not chunks:
-            return
+        words = [c for c in chunks if c.isalpha()]
+        others = [c for c in chunks if not c.isalpha()]
+        self.chunks.update(zip(words, self._encode_words(words), strict=True))
+        self.chunks.update(zip(others, self._encode(others), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.chunks) > MEMO:
-            self.chunks, self.words = {"": b""}, {}
-        plain, ends = [], []
-        for c in chunks:
-            end = c[-1] if c[-1] in ".," else ""
-            word = c[: len(c) - len(end)]
-            # Below U+0180 no letter combines with its neighbour and lower case is character by character.
-            if word.isalpha() and max(word) < "ƀ":
-                word = word.lower()
-                if word.isalpha():
-                    plain.append((c, word, end))
-                    continue
-            ends.append(c)
-        new = [w for w in {".", ",", *(w for _, w, _ in plain)} if w not in self.words]
-        self.words.update(zip(new, self._encode(new), strict=True))
-        for c, word, end in plain:
-            self.chunks[c] = self.words[word] + (self.words[end] if end else b"")
-        self.chunks.update(zip(ends, self._encode(ends), strict=True))
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            if len(chunks) > MEMO:  # a very long text, in stretches
-                return b"".join(self._some(chunks[i : i + MEMO]) for i in range(0, len(chunks), MEMO))
-            return self._some(chunks)
-
-    def _some(self, chunks: list[str]) -> bytes:
-        for _ in range(2):  # again if the table started anew
-            self._learn({c for c in chunks if c not in self.chunks})
-        return b"".join(map(self.chunks.__getitem__, chunks))
+            self.chunks.clear()
+            self.chunks[""] = b""
+        known, cut = self.chunks, []
+        for text in texts:
+            if not UNUSUAL.search(text):
+                text = LAST_MARK.sub(r" \1", text.lower())
+            cut.append(text.replace("\n", " ").split(" "))
+        missing = {c for chunks in cut for c in chunks if c not in known}
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+
+def _some(texts: list[str], most: int = 300_000) -> Iterator[list[str]]:
+    """Texts in groups of about so many characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _cutter(path: str, capacity: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, size = WordTokenizer(path), 4 * capacity
+        names = ["row", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch["row"], batch["text"], strict=True):
-                ids = (tokenizer.ids(text) if text else b"") + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["row", "piece", "start", "length", "ids_crc32"])
+            texts = (t or "" for t in batch.column("text").to_pylist())
+            every = (ids for group in _some(texts) for ids in tokenizer.ids(group))
+            for row, ids in enumerate(every):
+                ids += b"\0\0\0\0"
+                for at in range(0, len(ids), size):
+                    part = ids[at : at + size]
+                    rows.append((row, at // size, at // 4, len(part) // 4, zlib.crc32(part)))
+            if rows:
+                row, *columns = zip(*rows, strict=True)
+                columns = [pa.array(c, k) for c, k in zip(columns, [pa.int32()] + [pa.int64()] * 3, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), *columns], names)
 
     return cut
 
@@ -97,7 +118,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, piece, start, length, ids_crc32): whole texts as ids with a closing 0, cut at ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(
+    return rows.mapInArrow(
         _cutter(path, capacity), f"row {kind}, piece int, start long, length long, ids_crc32 long"
     ).withColumnRenamed("row", "doc_id")
 
