@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r(x: str, digits: int) -> str:
     """SQL text that rounds as ``round_to`` does."""
-    return f"(floor(({x}) * 1e{digits} + CAST({0.5 + 1e-7!r} AS DOUBLE)) / 1e{digits})"
+    return f"(floor(({x}) * 1e{digits} + 0.5 + abs(({x}) * 1e{digits}) * 1e-11) / 1e{digits})"
 
 
 def rounded(columns, digits: int = 6) -> list[Column]:

@@ -209,17 +209,17 @@ def monthly_table(spark, sf_dir):
 @query(
     "daily_full_join",
     f"""WITH {readings_sql(True)},
-a AS (SELECT nullif(logger_T4, 'view') AS label, CAST(datetime AS DATE) AS date, avg(T1) AS T1_mean FROM readings WHERE T1 > 40 GROUP BY ALL),
-b AS (SELECT nullif(logger_T4, 'view') AS label, CAST(datetime AS DATE) AS date, max(T4) AS T4_max FROM readings WHERE T1 <= 60 AND T3 > 60 GROUP BY ALL)
+a AS (SELECT nullif(logger_T4, 'view') AS label, CAST(datetime AS DATE) AS date, avg(CASE WHEN T1 > 40 THEN T1 END) AS T1_mean FROM readings GROUP BY ALL),
+b AS (SELECT nullif(logger_T4, 'click') AS label, CAST(datetime AS DATE) AS date, max(CASE WHEN T3 > 60 THEN T4 END) AS T4_max FROM readings GROUP BY ALL)
 SELECT coalesce(a.label, b.label) AS label, {day_sql('coalesce(a.date, b.date)')}, {r_list(['T1_mean', 'T4_max'])}
 FROM a FULL JOIN b ON a.label IS NOT DISTINCT FROM b.label AND a.date IS NOT DISTINCT FROM b.date""",
 )
 def daily_full_join(spark, sf_dir):
-    rows = readings(spark, sf_dir, True).select(
-        F.nullif(F.col("logger_T4"), F.lit("view")).alias("label"), F.to_date("datetime").alias("date"), "T1", "T3", "T4"
-    )
-    a = rows.filter("T1 > 40").groupBy("label", "date").agg(F.avg("T1").alias("T1_mean"))
-    b = rows.filter("T1 <= 60 and T3 > 60").groupBy("label", "date").agg(F.max("T4").alias("T4_max"))
+    # Soil rows without the label view, air rows without click: each side has keys the other lacks.
+    rows = readings(spark, sf_dir, True).withColumn("date", F.to_date("datetime"))
+    soil, air = (F.nullif(F.col("logger_T4"), F.lit(x)).alias("label") for x in ("view", "click"))
+    a = rows.groupBy(soil, "date").agg(F.avg(F.when(F.col("T1") > 40, F.col("T1"))).alias("T1_mean"))
+    b = rows.groupBy(air, "date").agg(F.max(F.when(F.col("T3") > 60, F.col("T4"))).alias("T4_max"))
     out = reshape.null_safe_join(a, b, ["label", "date"], "full")
     return out.select("label", day("date"), *rounded(["T1_mean", "T4_max"]))
 

@@ -158,17 +158,54 @@ def vi_firm(spark, sf_dir):
 def _permutation(spark, sf_dir, metric):
     fitted = ols.models(_cells(spark, sf_dir), CELL, TWO)
     permuted = importance.permuted_moments(_lines(spark, sf_dir), CELL, "y", TWO)
-    return importance.permutation_importance(fitted, permuted, CELL, TWO, metric).select(
-        *CELL, "Variable", "Importance", "StDev", "method"
-    )
-
-
-@query("vi_permute_r2")
+    v = importance.permutation_importance(fitted, permuted, CELL, TWO, metric)
+    return v.select(*CELL, "Variable", *rounded(["Importance", "StDev"], 5), "method")
+
+
+def _partners_sql(seed: int = 1) -> str:
+    """CTEs ``w0`` .. ``w8``: the same bijection, walked up to eight times, on rows ``num`` (cell, i, n, values)."""
+    keep = "l_returnflag, month, sim, n, a, own"
+    out = """num AS (SELECT l_returnflag, month, l_quantity AS x1, l_discount AS x2, y,
+    row_number() OVER (PARTITION BY l_returnflag, month ORDER BY l_quantity, l_discount, y) - 1 AS own,
+    count(*) OVER (PARTITION BY l_returnflag, month) AS n FROM l),
+w0 AS (SELECT l_returnflag, month, sim, n, CAST(ceil(sqrt(CAST(n AS DOUBLE))) AS BIGINT) AS a, own, own AS i
+  FROM num, (SELECT unnest(range(1, 11)) AS sim))"""
+    for walk in range(8):
+        inner = f"SELECT {keep}, i AS before, i // a AS l, i % a AS r FROM w{walk}"
+        for turn in range(importance.ROUNDS):
+            y = f"((r * {importance.FACTOR} + sim * {importance.STEP} + {turn * importance.LEAP + seed}) % {importance.PRIME})"
+            mixed = f"(({y} * {y} + {y} * {turn + 1}) % {importance.PRIME})"
+            inner = f"SELECT {keep}, before, r AS l, (l + {mixed}) % a AS r FROM ({inner})"
+        moved = "l * a + r" if walk == 0 else "CASE WHEN before < n THEN before ELSE l * a + r END"
+        out += f",\nw{walk + 1} AS (SELECT {keep}, {moved} AS i FROM ({inner}))"
+    return out
+
+
+def _permutation_sql(metric: str) -> str:
+    full = "power(corr(y, b0 + b1 * x1 + b2 * x2), 2)" if metric == "perm_r2" else "sqrt(avg(power(y - b0 - b1 * x1 - b2 * x2, 2)))"
+
+    def moved(x1: str, x2: str) -> str:
+        fit = f"b0 + b1 * {x1} + b2 * {x2}"
+        return f"power(corr(y, {fit}), 2)" if metric == "perm_r2" else f"sqrt(avg(power(y - ({fit}), 2)))"
+
+    drop = "f - s" if metric == "perm_r2" else "s - f"
+    return f"""{_FIT2}, {_partners_sql()},
+met AS (SELECT w.l_returnflag, w.month, w.sim, o.x1, o.x2, o.y, p.x1 AS p1, p.x2 AS p2 FROM w8 w
+  JOIN num o ON o.l_returnflag = w.l_returnflag AND o.month = w.month AND o.own = w.own
+  JOIN num p ON p.l_returnflag = w.l_returnflag AND p.month = w.month AND p.own = w.i),
+pv AS (SELECT l_returnflag, month, sim, {full} AS f, {moved('p1', 'x2')} AS s1, {moved('x1', 'p2')} AS s2
+  FROM met JOIN (SELECT l_returnflag, month, b0, b1, b2 FROM e) USING (l_returnflag, month) GROUP BY 1, 2, 3),
+u AS (SELECT l_returnflag, month, 'l_quantity' AS var, f, s1 AS s FROM pv UNION ALL SELECT l_returnflag, month, 'l_discount', f, s2 FROM pv)
+SELECT l_returnflag, month, var AS "Variable", {r(f'avg({drop})', 5)} AS "Importance", {r(f'stddev_samp({drop})', 5)} AS "StDev", '{metric}' AS method
+FROM u GROUP BY 1, 2, 3"""
+
+
+@query("vi_permute_r2", _permutation_sql("perm_r2"))
 def vi_permute_r2(spark, sf_dir):
     return _permutation(spark, sf_dir, "perm_r2")
 
 
-@query("vi_permute_rmse")
+@query("vi_permute_rmse", _permutation_sql("perm_rmse"))
 def vi_permute_rmse(spark, sf_dir):
     return _permutation(spark, sf_dir, "perm_rmse")
 
@@ -282,8 +319,7 @@ def mixed_impute(spark, sf_dir):
     every = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("area"), F.col("c_custkey").alias("id_code"))
     months = F.explode(F.sequence(F.lit(1), F.lit(12)))
     targets = every.withColumn("year", F.lit(1998)).withColumn("month", months)
-    factors = {"year": list(range(1995, 2002)), "month": list(range(1, 13))}
-    return mixed.impute_gaussian(rows, targets, "area", "id_code", "moist_med", factors, 2)
+    return mixed.impute_gaussian(rows, targets, "area", "id_code", "moist_med", ["year", "month"], 2)
 
 
 @query("poisson_mixed_impute")
@@ -291,7 +327,7 @@ def poisson_mixed_impute(spark, sf_dir):
     counts = _months_of(spark, sf_dir).groupBy("area", "id_code", "year").agg(F.count(F.lit(1)).alias("n_orders"))
     every = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("area"), F.col("c_custkey").alias("id_code"))
     targets = every.withColumn("year", F.lit(1998))
-    return mixed.impute_poisson(counts, targets, "area", "id_code", "n_orders", "year", list(range(1995, 2002)))
+    return mixed.impute_poisson(counts, targets, "area", "id_code", "n_orders", "year")
 
 
 def _daily_prices(spark, sf_dir):
@@ -344,7 +380,8 @@ def _study(spark, sf_dir):
         price.alias("noise"),
     )
     signal = 5 - F.col("altitude") - F.col("canopy_cover2m_10m") / 30 + F.col("moist_med") / 20 + F.col("noise") / 10
-    return base.withColumns({"T1_mean": signal, "T3_absmin": signal - F.col("snow_days") / 50}).drop("noise")
+    responses = {c: signal - F.col("snow_days") / (50 + 5 * i) for i, c in enumerate(modelling.RESPONSES)}
+    return base.withColumns(responses).drop("noise")
 
 
 def _windows(spark, sf_dir):
@@ -355,7 +392,7 @@ def _windows(spark, sf_dir):
 
 
 def _fits(spark, sf_dir):
-    return modelling.fit_models(_study(spark, sf_dir), _windows(spark, sf_dir), ["T1_mean", "T3_absmin"], nsim=3)
+    return modelling.fit_models(_study(spark, sf_dir), _windows(spark, sf_dir))
 
 
 @query("study_coefficients")

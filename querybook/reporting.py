@@ -151,16 +151,17 @@ def r2_by_dimension(spark, sf_dir):
 
 
 def _importances(spark, sf_dir):
-    """Line items as importances of predictors, by method; some negative, many cells empty."""
-    l = table(spark, sf_dir, "lineitem").filter(F.col("l_partkey") % 7 != F.month("l_shipdate") % 7)
+    """Line items as importances of predictors, by method; some negative, some missing."""
+    l = table(spark, sf_dir, "lineitem")
+    known = F.col("l_partkey") % 7 != F.month("l_shipdate") % 7
     resp = F.concat_ws("_", _label(SENSOR_OF, F.col("l_suppkey")), _label(STATISTIC_OF, F.col("l_partkey")))
     variable = _label([*K.PREDICTORS, "extra"], F.col("l_orderkey") + F.col("l_linenumber"))
     rows = l.groupBy(
         area_of("l_partkey").alias("area"), F.month("l_shipdate").alias("month"), resp.alias("resp"), variable.alias("Variable")
-    ).agg((F.avg("l_discount") - 0.04).alias("a"), F.avg("l_quantity").alias("b"))
+    ).agg((F.avg(F.when(known, F.col("l_discount"))) - 0.04).alias("a"), F.avg(F.when(known, F.col("l_quantity"))).alias("b"))
     methods = F.explode(F.array(
         F.struct(F.lit("perm_r2").alias("method"), F.col("a").alias("Importance"), F.lit(None).cast("string").alias("Sign")),
-        F.struct(F.lit("tstat").alias("method"), F.col("b").alias("Importance"), F.when(F.col("b") > 25.5, "POS").otherwise("NEG").alias("Sign")),
+        F.struct(F.lit("tstat").alias("method"), F.col("b").alias("Importance"), F.when(F.col("b") > 25.5, "POS").when(F.col("b") <= 25.5, "NEG").alias("Sign")),
         F.struct(F.lit("pdp").alias("method"), F.col("b").alias("Importance"), F.lit(None).cast("string").alias("Sign")),
     ))
     return rows.select("area", "month", "resp", "Variable", methods.alias("m")).select("area", "month", "resp", "Variable", "m.*")
@@ -169,7 +170,7 @@ def _importances(spark, sf_dir):
 _IMPORTANCES = f"""imp AS (SELECT {area_sql('l_partkey')} AS area, CAST(month(l_shipdate) AS INTEGER) AS month, {_label_sql(SENSOR_OF, 'l_suppkey')} AS tsen, {_NAMED} AS tvar,
   {_label_sql([*K.PREDICTOR_LABELS.values(), 'extra'], 'pos')} AS Variable, a, b FROM
   (SELECT *, {_label_sql(STATISTIC_OF, 'l_partkey')} AS tvar, list_position(['{"','".join(K.PREDICTOR_LABELS)}', 'extra'], {_label_sql([*K.PREDICTORS, 'extra'], 'l_orderkey + l_linenumber')}) - 1 AS pos,
-    l_discount AS a, l_quantity AS b FROM lineitem WHERE l_partkey % 7 <> month(l_shipdate) % 7)),
+    CASE WHEN l_partkey % 7 <> month(l_shipdate) % 7 THEN l_discount END AS a, CASE WHEN l_partkey % 7 <> month(l_shipdate) % 7 THEN l_quantity END AS b FROM lineitem)),
 cells AS (SELECT area, month, tsen, tvar, Variable, avg(a) - 0.04 AS a, avg(b) AS b FROM imp WHERE tvar IS NOT NULL AND Variable <> 'extra' GROUP BY 1, 2, 3, 4, 5)"""
 
 
@@ -181,7 +182,7 @@ def _grid_sql(where: str) -> str:
 @query(
     "signed_importance",
     f"""WITH {_IMPORTANCES}, {_grid_sql("tsen = 'T1'")},
-m AS (SELECT Variable, tvar, month, avg(coalesce(CASE WHEN a < 0 THEN 0 ELSE a END * CASE WHEN b > 25.5 THEN 1 ELSE -1 END, 0)) AS v FROM f GROUP BY 1, 2, 3)
+m AS (SELECT Variable, tvar, month, avg(coalesce(CASE WHEN a < 0 THEN 0 ELSE a END * CASE WHEN b > 25.5 THEN 1 WHEN b <= 25.5 THEN -1 END, 0)) AS v FROM f GROUP BY 1, 2, 3)
 SELECT Variable AS "Predictor", tvar AS "T_var", {', '.join(f'{r(f"max(CASE WHEN month = {m} THEN v END)", 2)} AS "{K.MONTH_LABELS[m - 1]}"' for m in K.HYDRO_MONTHS)} FROM m GROUP BY 1, 2""",
 )
 def signed_importance(spark, sf_dir):
@@ -190,7 +191,7 @@ def signed_importance(spark, sf_dir):
 
 @query(
     "weighted_signs",
-    f"""WITH {_IMPORTANCES}, {_grid_sql("tsen = 'T3'")}, s AS (SELECT Variable, tvar, month, coalesce(CASE WHEN b > 25.5 THEN 1 ELSE -1 END, 0) * CASE WHEN b IS NULL THEN 0 ELSE 1 END AS sg,
+    f"""WITH {_IMPORTANCES}, {_grid_sql("tsen = 'T3'")}, s AS (SELECT Variable, tvar, month, coalesce(CASE WHEN b > 25.5 THEN 1 WHEN b <= 25.5 THEN -1 END, 0) * CASE WHEN b IS NULL THEN 0 ELSE 1 END AS sg,
   coalesce(CASE WHEN a < 0 THEN 0 ELSE a END, 0) AS w FROM f)
 SELECT Variable AS "Variable", tvar, month, {r('CASE WHEN sum(w) <> 0 THEN sum(sg * w) / sum(w) END', 5)} AS sign FROM s GROUP BY 1, 2, 3""",
 )

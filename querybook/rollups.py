@@ -84,17 +84,23 @@ _UPPER_SQL = ", ".join(
 )
 
 
+_WARM_SQL = ", ".join(
+    f"quantile_cont(CASE WHEN T1_mean > 150 THEN {s}_mean END, {p}) AS {s}_{q}"
+    for s in K.TEMPERATURES for p, q in zip(K.UPPER_PROBABILITIES, K.UPPER_LABELS)
+)
+
+
 @query(
     "monthly_wide",
-    f"""{MONTHS}, q AS (SELECT id_code, CAST(month(date) AS INTEGER) AS month, {_UPPER_SQL} FROM days WHERE T1_mean > 150 GROUP BY ALL)
+    f"""{MONTHS}, q AS (SELECT id_code, CAST(month(date) AS INTEGER) AS month, {_WARM_SQL} FROM days GROUP BY ALL)
 SELECT coalesce(m.id_code, q.id_code) AS id_code, coalesce(m.month, q.month) AS month, m.area, CAST(m.year AS DOUBLE) AS year,
   {', '.join(f"{r(f'coalesce({c}, 0)', 6)} AS {c}" for c in FRACTIONS)}, {r_list(['T1_mean', 'T2_absmax', 'T4_meanmin', 'moist_med'])}, {r_list(UPPER, 4)}
-FROM (SELECT * FROM months WHERE T1_mean < 250) m FULL JOIN q ON m.id_code = q.id_code AND m.month = q.month""",
+FROM months m FULL JOIN q ON m.id_code = q.id_code AND m.month = q.month""",
 )
 def monthly_wide(spark, sf_dir):
-    m = _months(spark, sf_dir).filter(F.col("T1_mean") < 250)
-    q = rollup.upper_quantiles(_with_prices(spark, sf_dir).filter(F.col("T1") > 150))
-    out = rollup.months_with_quantiles(m, q)
+    prices = _with_prices(spark, sf_dir)
+    warm = prices.select("id_code", "date", *[F.when(F.col("T1") > 150, F.col(s)).alias(s) for s in K.TEMPERATURES])
+    out = rollup.months_with_quantiles(_months(spark, sf_dir), rollup.upper_quantiles(warm))
     return out.select(
         "id_code", "month", "area", F.col("year").cast("double").alias("year"),
         *rounded([*FRACTIONS, "T1_mean", "T2_absmax", "T4_meanmin", "moist_med"]),
@@ -153,7 +159,7 @@ def quartiles(spark, sf_dir):
     """WITH span AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
 d AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS date FROM span)
 SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, count(*) AS ndaysmax,
-  CAST(max(n) AS BIGINT) AS busiest FROM d JOIN (SELECT CAST(o_orderdate AS DATE) AS od, count(*) AS n FROM orders GROUP BY 1) ON od = date GROUP BY 1, 2""",
+  CAST(max(n) AS BIGINT) AS busiest FROM d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS od, count(*) AS n FROM orders GROUP BY 1) ON od = date GROUP BY 1, 2""",
 )
 def calendar_days(spark, sf_dir):
     # Calendar over the span of the orders, with the busiest day of each month.
@@ -161,7 +167,7 @@ def calendar_days(spark, sf_dir):
     span = orders.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL '1' DAY"))).alias("date"))
     counts = orders.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    joined = days.join(counts, "date")
+    joined = days.join(counts, "date", "left")
     busiest = joined.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(F.max("n").alias("busiest"))
     return rollup.days_in_month(joined).join(busiest, ["year", "month"])
 

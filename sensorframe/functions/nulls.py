@@ -7,8 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Nudge applied before flooring, so that decimal ties go up whatever the last bits of a sum are.
-_TIE_NUDGE = 1e-7
+# Relative error that a sum may carry: a decimal tie goes up whatever the last bits of the sum are.
+_SUM_ERROR = 1e-11
+# From here on a double has no fraction.
+_WHOLE = float(2**52)
 
 
 def col(c: Column | str) -> Column:
@@ -63,9 +65,14 @@ def finite_share(c: Column | str, digits: int = 1) -> Column:
 
 
 def round_to(c: Column | str, digits: int = 0) -> Column:
-    """Round half up as a double. Ties are decided the same way for sums taken in any order."""
-    scale = float(10**digits)
-    return F.floor(col(c) * scale + (0.5 + _TIE_NUDGE)).cast("double") / scale
+    """Round half up as a double. Ties are decided the same way for sums taken in any order.
+
+    NaN, infinities and numbers too large to have a digit to round come back as they are.
+    """
+    x = col(c).cast("double")
+    scaled = x * float(10**digits)
+    rounded = F.floor(scaled + 0.5 + F.abs(scaled) * _SUM_ERROR).cast("double") / float(10**digits)
+    return F.when(F.abs(scaled) < _WHOLE, rounded).otherwise(x)
 
 
 def clamp_negative(c: Column | str) -> Column:

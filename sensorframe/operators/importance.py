@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,9 +17,6 @@ from sensorframe.operators.ols import INTERCEPT, _schema, _square
 from sensorframe.operators.reshape import compact_join, spread
 from sensorframe.session import stored
 
-BUCKET_BITS = 8
-
-
 def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Absolute t value and sign of each slope."""
     return coefs.filter((F.col("term") != INTERCEPT) & F.col("statistic").isNotNull()).select(
@@ -32,21 +29,57 @@ def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _shuffled_rank(rows: DataFrame, group: list[str], columns: Sequence[str], seed) -> DataFrame:
-    """Add ``_rank``, the 0-based place of a row in a random order of its group.
+def numbered(rows: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
+    """Add ``_i``, the 0-based place of a row in its group by the columns' order, and ``_n``, the group's size.
+
+    Rows are dealt into ranges, equal ones too (they are interchangeable), and numbered range by range; range
+    sizes give the offsets. So no group has to fit one task. ``rows`` must be stored.
+    """
+    ranged = rows.withColumn("_t", F.monotonically_increasing_id()).repartitionByRange(group, *columns, "_t")
+    ranged = stored(ranged.withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        group,
+        "_p",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"),
+        F.sum("_size").over(W.partitionBy(group)).alias("_n"),
+    )
+    inside = W.partitionBy(group, "_p").orderBy(*columns, "_t")
+    placed = ranged.withColumn("_j", F.row_number().over(inside)).join(offsets, [group, "_p"])
+    return placed.withColumn("_i", F.col("_off") + F.col("_j") - 1).drop("_t", "_p", "_j", "_off")
+
+
+# Constants of the mixing function: a prime below 2^31, and a multiplier and increments below it.
+PRIME, FACTOR, STEP, LEAP = 2_147_483_647, 48_271, 1_000_003, 7_919
+ROUNDS = 4
+
+
+def _partners(i: np.ndarray, n: np.ndarray, sim: np.ndarray, seed: int) -> np.ndarray:
+    side = np.ceil(np.sqrt(n)).astype(np.int64)
+    out, open_ = i.copy(), np.arange(len(i))
+    while len(open_):
+        a, s = side[open_], sim[open_]
+        left, right = np.divmod(out[open_], a)
+        for turn in range(ROUNDS):
+            y = (right * FACTOR + s * STEP + (turn * LEAP + seed)) % PRIME
+            left, right = right, (left + (y * y + y * (turn + 1)) % PRIME) % a
+        out[open_] = left * a + right
+        open_ = open_[out[open_] >= n[open_]]
+    return out
+
+
+def partner(i: Column, n: Column, sim: Column, seed: int = 1) -> Column:
+    """A seeded bijection of 0 .. ``n`` - 1 for each ``sim``, as a vectorised function of three whole numbers.
 
-    The order is that of a seeded hash of ``_id``, a hash of the row, so it depends on the data only. The
-    top bits split a group into equal buckets that are numbered apart; bucket sizes give the offsets.
-    Rows that tie in the hash and in all columns are equal, so their order is of no consequence.
+    A Feistel network on pairs below the root of ``n``, rounded up; numbers that land beyond ``n`` walk on until
+    they are inside, which ends as the network is a bijection itself. Written as nested expressions it would be
+    multiplied by the optimiser's substitutions, so it works on Arrow batches.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *group, "_id"))
-    hashed = hashed.withColumn("_b", F.shiftright("_h", 64 - BUCKET_BITS))
-    inside = W.partitionBy(*group, "_b").orderBy("_h", *columns)
-    earlier = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"))
-    placed = hashed.withColumn("_i", F.row_number().over(inside)).join(offsets, [*group, "_b"])
-    return placed.withColumn("_rank", F.col("_off") + F.col("_i") - 1).drop("_h", "_b", "_i", "_off")
+    walk = F.pandas_udf(
+        lambda i, n, sim: pd.Series(_partners(i.to_numpy(), n.to_numpy(), sim.to_numpy(), seed)), "long"
+    )
+    return walk(i, n, sim)
 
 
 def permuted_moments(
@@ -61,28 +94,26 @@ def permuted_moments(
 
     One row per cell and simulation. ``cross`` holds, row by row, the population covariance of the
     actual (predictors, then response) with the permuted predictors. A permutation is drawn per
-    simulation and shared by the predictors; each predictor on its own is shuffled uniformly. Rows meet
-    on their rank within the cell, which is unique, so no join key is hot. The rows are stored first:
-    both orders are then drawn from the same data, also when a lost task is run again.
+    simulation and shared by the predictors; each predictor on its own is shuffled uniformly. Rows of a cell
+    are numbered once; the partner of a row in a simulation comes from its number by a seeded bijection, so
+    nothing is sorted per simulation. Rows meet on the number, which is unique in the cell, so no join key
+    is hot. The permutations depend on the data and the seed only.
     """
     keys, predictors = list(keys), list(predictors)
     names = [*predictors, response]
-    rows = complete_cases(df, [*keys, *names]).select(
-        F.struct(*keys).alias("_k"), *names, F.xxhash64(*names).alias("_id")
-    )
+    rows = complete_cases(df, [*keys, *names]).select(F.struct(*keys).alias("_k"), *names)
     # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
     means = rows.groupBy("_k").agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
+    rows = stored(numbered(stored(rows), "_k", names))
     rows = compact_join(rows, means, ["_k"]).select(
-        "_k", "_id", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
+        "_k", "_i", "_n", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
     )
-    rows = stored(rows)
-    actual = _shuffled_rank(rows, ["_k"], names, seed).drop("_id")
-    sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
-    permuted = _shuffled_rank(sims, ["_k", "sim"], names, seed + 1)
-    permuted = permuted.select("_k", "sim", "_rank", *[F.col(p).alias(f"_x_{p}") for p in predictors])
+    given = rows.select("_k", "_i", *[F.col(p).alias(f"_x_{p}") for p in predictors])
+    sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nsim).cast("long"))))
+    sims = sims.withColumn("_i", partner(F.col("_i"), F.col("_n"), F.col("sim"), seed))
     pairs = [F.avg(F.col(a) * F.col(f"_x_{p}")) for a in names for p in predictors]
-    met = actual.join(permuted, ["_k", "_rank"])
-    return met.groupBy("_k", "sim").agg(F.array(*pairs).alias("cross")).select("_k.*", "sim", "cross")
+    met = sims.join(given, ["_k", "_i"])
+    return met.groupBy("_k", "sim").agg(F.array(*pairs).alias("cross")).select("_k.*", F.col("sim").cast("int").alias("sim"), "cross")
 
 
 def _drops(row, names: list[str], how: str) -> list[tuple]:
@@ -128,8 +159,9 @@ def permutation_importance(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
+            places = [batch.columns.get_loc(k) for k in keys]
             for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+                key = tuple(row[i] for i in places)
                 out += [key + r for r in _drops(row, names, metric)]
             yield pd.DataFrame(out, columns=[*keys, "Variable", "value"])
 

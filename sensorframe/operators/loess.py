@@ -38,7 +38,8 @@ def loess(
     Rows with equal ``x`` are summed up first and stored. Around each place the nearest ``span`` share of the rows is
     weighted by the tricube of its distance. The width is an order statistic found without sorting a
     group in one task; the local fit needs only weighted power sums. ``se`` uses the residual variance
-    and leverages interpolated between places.
+    and leverages interpolated between places. A ``span`` above 1 takes all rows and widens the largest distance by
+    it. Every place comes back; ``fit`` is null where too few different ``x`` lie within the width.
     """
     rows = df.filter(is_finite(x) & is_finite(y)).select(
         F.struct(*keys).alias("_k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
@@ -55,9 +56,10 @@ def loess(
         F.struct("_k", "j", "g").alias("_kj"), "n", "sy", (F.col("x") - F.col("g")).alias("d")
     )
     distances = pairs.select("_kj", "n", F.abs("d").alias("size"))
-    nearest = F.greatest(F.floor(F.col("total") * span + 1e-5), F.lit(1)) - 1
+    nearest = F.least(F.greatest(F.floor(F.col("total") * span + 1e-5), F.lit(1)), F.col("total")) - 1
     widths = select_ranks(distances, "_kj", "size", [nearest], weight="n")
-    near = pairs.join(widths.select("_kj", F.col("r0").alias("h")), "_kj").filter(F.abs("d") < F.col("h"))
+    width = (F.col("r0") * max(span, 1.0)).alias("h")
+    near = pairs.join(widths.select("_kj", width), "_kj").filter(F.abs("d") < F.col("h"))
     u = F.col("d") / F.col("h")
     edge = 1 - F.pow(F.abs(u), 3)
     w = edge * edge * edge
@@ -67,6 +69,7 @@ def loess(
         *[F.sum(w * p * F.col("sy")).alias(f"t{i}") for i, p in enumerate(powers[:3])],
         *[F.sum(w * w * p * F.col("n")).alias(f"v{i}") for i, p in enumerate(powers)],
     )
+    sums = places.select(F.struct("_k", "j", "g").alias("_kj")).join(sums, "_kj", "left")
     a, b, c = _solve([F.col(f"s{i}") for i in range(5)])
     v = [F.col(f"v{i}") for i in range(5)]
     out = sums.select(

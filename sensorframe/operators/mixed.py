@@ -21,7 +21,21 @@ from sensorframe.functions.nulls import round_to
 from sensorframe.operators.reshape import spread
 from sensorframe.session import stored
 
-Factors = Mapping[str, Sequence[int]]
+Factors = Mapping[str, Sequence]
+
+# Levels of one factor; each is a coefficient, so more are not a factor but a mistake.
+MOST_LEVELS = 200
+
+
+def _levels(df: DataFrame, group: str, unit: str, y: str, names: Sequence[str]) -> Factors:
+    """The levels of each factor in the complete rows, sorted; one small aggregate."""
+    rows = _complete(df, group, unit, y, names)
+    found = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("level")) for n in names])).alias("f"))
+    found = found.select("f.name", "f.level").distinct().limit(len(names) * MOST_LEVELS + 1).collect()
+    out = {n: sorted(r["level"] for r in found if r["name"] == n) for n in names}
+    if any(len(levels) > MOST_LEVELS for levels in out.values()):
+        raise ValueError(f"a factor has more than {MOST_LEVELS} levels")
+    return out
 
 
 def _dummies(factors: Factors) -> list[Column]:
@@ -33,20 +47,19 @@ def _dummies(factors: Factors) -> list[Column]:
 
 
 def _linear(beta: Column, factors: Factors) -> Column:
-    """Fixed part of the prediction from the coefficient array."""
+    """Fixed part of the prediction from the coefficient array; null at a level that the fit has not seen."""
     total = beta[0]
     i = 1
     for name, levels in factors.items():
+        total = F.when(F.col(name).isin(*levels), total) if levels else F.lit(None).cast("double")
         for level in levels[1:]:
             total = total + F.when(F.col(name) == F.lit(level), beta[i]).otherwise(0.0)
             i += 1
     return total
 
 
-def _complete(df: DataFrame, group: str, unit: str, y: str, factors: Factors) -> DataFrame:
+def _complete(df: DataFrame, group: str, unit: str, y: str, factors) -> DataFrame:
     rows = df.select(group, unit, F.col(y).cast("double").alias("_y"), *factors).dropna()
-    for name, levels in factors.items():
-        rows = rows.filter(F.col(name).isin(*levels))
     return rows.filter(~F.isnan("_y"))
 
 
@@ -86,8 +99,11 @@ def _minimise(f, low: float, high: float, tolerance: float = 1e-10) -> float:
     return (a + b) / 2
 
 
-def reml(rows: pd.DataFrame) -> tuple[list[float], float, float]:
-    """Coefficients, variance ratio and residual variance from the summed sizes of one group."""
+def reml(rows: pd.DataFrame) -> tuple[list[float], float, float, bool]:
+    """Coefficients, variance ratio and residual variance from the summed sizes of one group.
+
+    The last value tells whether the variance ratio was found inside the range searched, or is zero.
+    """
     size = len(rows["xy"].iloc[0])
     upper = np.triu_indices(size)
 
@@ -119,18 +135,25 @@ def reml(rows: pd.DataFrame) -> tuple[list[float], float, float]:
     beta = np.zeros(size)
     if d["rows"] <= len(kept):
         beta[kept] = np.linalg.solve(d["xx"], d["xy"])
-        return beta.tolist(), 0.0, math.nan
+        return beta.tolist(), 0.0, math.nan, True
     log_ratio = _minimise(lambda v: _criterion(math.exp(v), d)[0], -18.0, 12.0)
     lam = math.exp(log_ratio)
     if _criterion(0.0, d)[0] <= _criterion(lam, d)[0]:
         lam = 0.0
     _, b, sigma2 = _criterion(lam, d)
     beta[kept] = b
-    return beta.tolist(), lam, sigma2
+    return beta.tolist(), lam, sigma2, lam == 0.0 or log_ratio < 12.0 - 1e-6
 
 
-def gaussian_fit(df: DataFrame, group: str, unit: str, y: str, factors: Factors) -> tuple[DataFrame, DataFrame]:
-    """Fit per group and unit effects: (``group, beta, ratio, sigma2``) and (``group, unit, effect``)."""
+def gaussian_fit(
+    df: DataFrame, group: str, unit: str, y: str, factors: Factors | Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Fit per group and unit effects: (``group, beta, ratio, sigma2, converged``) and (``group, unit, effect``).
+
+    ``factors`` are whole-number columns; their levels come from the data unless given.
+    """
+    if not isinstance(factors, Mapping):
+        factors = _levels(df, group, unit, y, factors)
     rows = _complete(df, group, unit, y, factors)
     x = _dummies(factors)
     size = len(x)
@@ -154,13 +177,13 @@ def gaussian_fit(df: DataFrame, group: str, unit: str, y: str, factors: Factors)
     kind = dict(df.dtypes)[group]
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        beta, lam, sigma2 = reml(frame)
-        return pd.DataFrame({group: [key[0]], "beta": [beta], "ratio": [lam], "sigma2": [sigma2]})
+        beta, lam, sigma2, good = reml(frame)
+        return pd.DataFrame({group: [key[0]], "beta": [beta], "ratio": [lam], "sigma2": [sigma2], "converged": [good]})
 
     fit = (
         spread(sizes.join(totals, group), [group])
         .groupBy(group)
-        .applyInPandas(solve, f"`{group}` {kind}, beta array<double>, ratio double, sigma2 double")
+        .applyInPandas(solve, f"`{group}` {kind}, beta array<double>, ratio double, sigma2 double, converged boolean")
     )
     fit = stored(fit)
     expected = sum((s[i] * F.col("beta")[i] for i in range(1, size)), s[0] * F.col("beta")[0])
@@ -170,12 +193,13 @@ def gaussian_fit(df: DataFrame, group: str, unit: str, y: str, factors: Factors)
 
 
 def impute_gaussian(
-    df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factors: Factors, digits: int = 2
+    df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factors: Sequence[str], digits: int = 2
 ) -> DataFrame:
     """Targets (``group, unit`` and the factors) with the rounded prediction as column ``y``.
 
-    Units without data get the group's fixed part alone.
+    Units without data get the group's fixed part alone; a target at a level that no row has gets null.
     """
+    factors = _levels(df, group, unit, y, list(factors))
     fit, effects = gaussian_fit(df, group, unit, y, factors)
     joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta"), group, "left")
     value = _linear(F.col("beta"), factors) + F.coalesce(F.col("effect"), F.lit(0.0))
@@ -208,8 +232,8 @@ def laplace_loglik(
     return float(units @ per_unit + beta @ sums)
 
 
-def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Level means (log scale) and log standard deviation that maximise the Laplace likelihood."""
+def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Level means (log scale) and log standard deviation that maximise the Laplace likelihood, and if that was reached."""
     rows = units @ n
     theta = np.append(np.log(np.maximum(sums, 0.5) / np.maximum(rows, 1e-12)), math.log(0.3))
     size = len(theta)
@@ -245,11 +269,15 @@ def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.nd
         theta, value = trial, value + gained
         if moved < 1e-7 or gained < 1e-10 * (1 + abs(value)):
             break
-    return theta
+    else:
+        return theta, False
+    return theta, True
 
 
-def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, levels: Sequence[int]):
-    """Fit per group (``group, beta`` per level, ``log_sd``) and unit effects (``group, unit, effect``)."""
+def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, levels: Sequence[int] | None = None):
+    """Fit per group (``group, beta`` per level, ``log_sd, converged``) and unit effects (``group, unit, effect``)."""
+    if levels is None:
+        levels = _levels(df, group, unit, y, [factor])[factor]
     rows = _complete(df, group, unit, y, {factor: levels})
     here = [F.col(factor) == F.lit(level) for level in levels]
     units = rows.groupBy(group, unit).agg(
@@ -263,16 +291,16 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
     kind = dict(df.dtypes)[group]
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        theta = laplace_fit(
+        theta, good = laplace_fit(
             np.stack(frame["n"].map(np.asarray)).astype(float),
             frame["total"].to_numpy(float),
             frame["units"].to_numpy(float),
             np.stack(frame["ys"].map(np.asarray)).astype(float).sum(axis=0),
         )
-        return pd.DataFrame({group: [key[0]], "beta": [theta[:-1].tolist()], "log_sd": [theta[-1]]})
+        return pd.DataFrame({group: [key[0]], "beta": [theta[:-1].tolist()], "log_sd": [theta[-1]], "converged": [good]})
 
     fit = spread(patterns, [group]).groupBy(group).applyInPandas(
-        solve, f"`{group}` {kind}, beta array<double>, log_sd double"
+        solve, f"`{group}` {kind}, beta array<double>, log_sd double, converged boolean"
     )
     fit = stored(fit)
     joined = units.select(group, unit, "n", "total").join(fit, group)
@@ -293,11 +321,12 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
 
 
 def impute_poisson(
-    df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factor: str, levels: Sequence[int]
+    df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factor: str
 ) -> DataFrame:
-    """Targets (``group, unit, factor``) with the rounded expected count as column ``y``."""
+    """Targets (``group, unit, factor``) with the rounded expected count as column ``y``; null at a level that no row has."""
+    levels = _levels(df, group, unit, y, [factor])[factor]
     fit, effects = poisson_fit(df, group, unit, y, factor, levels)
     joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta"), group, "left")
-    level = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(factor)).cast("int")
+    level = F.array_position(F.array(*[F.lit(v) for v in levels]).cast("array<long>"), F.col(factor).cast("long")).cast("int")
     value = F.exp(F.try_element_at("beta", F.nullif(level, F.lit(0))) + F.coalesce(F.col("effect"), F.lit(0.0)))
     return joined.select(*targets.columns, round_to(value).alias(y))

@@ -42,26 +42,26 @@ def corrected_snow(snow: DataFrame) -> DataFrame:
     )
 
 
-def impute_snow(snow: DataFrame, sites: DataFrame, years: Sequence[int]) -> DataFrame:
+def impute_snow(snow: DataFrame, sites: DataFrame) -> DataFrame:
     """Snow days of the study year for every site, hand-checked values last.
 
-    ``years`` are the hydrological years with data. Most areas get a Poisson model, the listed ones a
-    Gaussian one, because theirs cannot be fitted otherwise.
+    Most areas get a Poisson model, the listed ones a Gaussian one, because theirs cannot be fitted otherwise.
+    A site is null where the study year has no data in its area's group.
     """
     targets = sites.select("area", "id_code").distinct().withColumn("hydro_year", F.lit(K.SNOW_YEAR))
     gaussian = F.col("area").isin(*K.GAUSSIAN_SNOW_AREAS)
     counts = mixed.impute_poisson(
-        snow.filter(~gaussian), targets.filter(~gaussian), "area", "id_code", "snow_days", "hydro_year", years
+        snow.filter(~gaussian), targets.filter(~gaussian), "area", "id_code", "snow_days", "hydro_year"
     )
     normal = mixed.impute_gaussian(
-        snow.filter(gaussian), targets.filter(gaussian), "area", "id_code", "snow_days", {"hydro_year": years}, 0
+        snow.filter(gaussian), targets.filter(gaussian), "area", "id_code", "snow_days", ["hydro_year"], 0
     )
     table = stack_rows(counts, normal)
     fixed = snow_overrides(snow.sparkSession).withColumn("snow_days", F.col("snow_days").cast("double"))
     return apply_overrides(table, fixed, "id_code", ["snow_days"])
 
 
-def impute_moisture(moisture: DataFrame, sites: DataFrame, years: Sequence[int]) -> DataFrame:
+def impute_moisture(moisture: DataFrame, sites: DataFrame) -> DataFrame:
     """Monthly moisture for every site and study month."""
     carried = carry_forward(
         features.clean_moisture(moisture), ["id_code"], ["year", "month"], ["moist_med"], chunk="year"
@@ -69,8 +69,7 @@ def impute_moisture(moisture: DataFrame, sites: DataFrame, years: Sequence[int])
     months = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.lit(m).alias("month")) for y, m in STUDY_MONTHS]))
     targets = sites.select("area", "id_code").distinct().withColumn("_m", months)
     targets = targets.select("area", "id_code", "_m.year", "_m.month")
-    factors = {"year": list(years), "month": list(range(1, 13))}
-    return mixed.impute_gaussian(carried, targets, "area", "id_code", "moist_med", factors, 2)
+    return mixed.impute_gaussian(carried, targets, "area", "id_code", "moist_med", ["year", "month"], 2)
 
 
 def model_input(

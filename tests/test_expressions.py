@@ -83,3 +83,10 @@ def test_p_classes(spark):
 def test_collapse_label(spark, values, want):
     df = spark.createDataFrame([(v,) for v in values], "x string")
     assert df.agg(labels.collapse_label("x")).first()[0] == want
+
+
+def test_round_to_leaves_what_cannot_be_rounded(spark):
+    values = [float("nan"), float("inf"), float("-inf"), 1e15, 1.7e300, -1e17]
+    got = [g[0] for g in one(spark, "x double", [(v,) for v in values], nulls.round_to("x", 6))]
+    assert got[0] != got[0] and got[1:] == values[1:]
+    assert [g[0] for g in one(spark, "x double", [(0.49999995,), (0.5,)], nulls.round_to("x"))] == [0.0, 1.0]

@@ -159,7 +159,7 @@ def test_impute_gaussian_predicts_unseen_units(spark):
     rows = [("g", i, y, 10.0 + i + y + (i * y) % 3 * 0.1) for i in range(6) for y in (0, 1, 2)]
     df = spark.createDataFrame(rows, "g string, id int, year int, v double")
     targets = spark.createDataFrame([("g", 0, 1), ("g", 99, 1)], "g string, id int, year int")
-    out = {r.id: r.v for r in mixed.impute_gaussian(df, targets, "g", "id", "v", {"year": [0, 1, 2]}).collect()}
+    out = {r.id: r.v for r in mixed.impute_gaussian(df, targets, "g", "id", "v", ["year"]).collect()}
     assert out[0] < out[99] and out[99] == pytest.approx(13.5, abs=0.3)
 
 
@@ -227,3 +227,45 @@ def test_loess_standard_error_is_in_range(spark):
     se = [r.se for r in loess.loess(df, ["k"], "x", "y", 0.5, se=True).collect()]
     # Quadratic fit over 200 points with tricube weights: about 1.6 / sqrt(200) inside.
     assert 0.07 < np.median(se) < 0.16
+
+
+def test_loess_gives_every_place(spark):
+    # Ties narrow the width to nothing at most places; a span above 1 widens the largest distance.
+    rows = [("tie", float(i // 50), float(i)) for i in range(100)] + [("ok", float(i), 2.0 * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    for span in (0.3, 1.0, 1.5):
+        got = loess.loess(df, ["k"], "x", "y", span).collect()
+        assert [sum(r.k == k for r in got) for k in ("tie", "ok")] == [80, 80]
+        assert all(r.fit == pytest.approx(2 * r.x, abs=1e-6) for r in got if r.k == "ok")
+        assert all(r.fit is None for r in got if r.k == "tie")
+
+
+def test_unseen_level_gives_null(spark):
+    rows = [("a", i % 5, i % 2, float(i % 2 + i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, id int, year int, v double")
+    targets = spark.createDataFrame([("a", 1, 0), ("a", 1, 7), ("a", 99, 1)], "g string, id int, year int")
+    out = {(r.id, r.year): r.v for r in mixed.impute_gaussian(df, targets, "g", "id", "v", ["year"]).collect()}
+    assert out[1, 7] is None and out[1, 0] is not None and out[99, 1] is not None
+    out = {(r.id, r.year): r.v for r in mixed.impute_poisson(df, targets, "g", "id", "v", "year").collect()}
+    assert out[1, 7] is None and out[1, 0] is not None and out[99, 1] is not None
+
+
+def test_repeated_rows_are_shuffled_one_by_one(spark):
+    rows = [("a", float(i % 2), float(i % 2)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    cross = [r.cross[0] for r in importance.permuted_moments(df, ["k"], "y", ["x"]).collect()]
+    assert len(cross) == 10 and all(abs(c) < 0.02 for c in cross)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 101, 5000])
+def test_partners_are_a_bijection(n):
+    for sim in (1, 2, 10):
+        i = np.arange(n)
+        got = importance._partners(i, np.full(n, n), np.full(n, sim), 1)
+        assert sorted(got) == list(range(n))
+        assert n < 100 or (got == i).sum() < 10
+
+
+def test_tails_keep_their_digits_in_large_cells():
+    for df in (1e10, 1e12):
+        assert t_two_sided(2.0, df) == pytest.approx(math.erfc(math.sqrt(2)), rel=1e-8)

@@ -42,7 +42,7 @@ def test_study_sites(study):
 
 def test_snow_imputation(study):
     sites, snow, _ = study
-    rows = {r.id_code: r for r in modelling.impute_snow(modelling.corrected_snow(snow), sites, [2019, 2020]).collect()}
+    rows = {r.id_code: r for r in modelling.impute_snow(modelling.corrected_snow(snow), sites).collect()}
     assert len(rows) == 60
     assert rows["TII006"].snow_days == 177 and rows["TII020"].snow_days == 189
     assert all(140 < r.snow_days < 210 for r in rows.values())
@@ -55,7 +55,7 @@ def test_snow_dates_are_corrected(study):
 
 
 def test_moisture_imputation(study):
-    rows = modelling.impute_moisture(study[2], study[0], [2019, 2020]).collect()
+    rows = modelling.impute_moisture(study[2], study[0]).collect()
     assert len(rows) == 60 * 12
     by = {(r.id_code, r.month): r.moist_med for r in rows}
     assert by[("TII001", 7)] == pytest.approx(28, abs=1)
@@ -80,8 +80,8 @@ def table(spark, study):
         (15 - F.col("canopy_cover2m_10m") / 40 + wiggle).alias("T1_absmax"),
         (wiggle * 3).alias("T3_absmin"),
     )
-    moist = modelling.impute_moisture(moisture, sites, [2019, 2020])
-    snows = modelling.impute_snow(modelling.corrected_snow(snow), sites, [2019, 2020])
+    moist = modelling.impute_moisture(moisture, sites)
+    snows = modelling.impute_snow(modelling.corrected_snow(snow), sites)
     return modelling.model_input(monthly, sites, moist, snows, ["T1_mean", "T1_absmax", "T3_absmin"])
 
 
