@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 64
+PER_OCTAVE = 65_536
 _OCTAVES = 1075  # octaves below one that a double can reach
-_BEYOND = 10**7  # bucket of infinity
-_MISSING = -(10**9)
+_BEYOND = 10**9  # bucket of infinity
+_MISSING = -(10**10)
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """A whole number that never decreases with the value: 64 steps per power of two, sign included.
+    """A whole number that never decreases with the value: 65,536 steps per power of two, sign included.
 
-    At most about 270,000 buckets exist over all doubles. A power of two that the logarithm puts one
+    Readings with an offset, time stamps and the like fill a narrow range, so the steps are fine; only buckets
+    that hold a value exist, and a group's buckets are counts and not rows. A power of two that the logarithm puts one
     octave too high or too low still lands in the same bucket, so order is kept to the last bit.
     """
     size = F.abs(value)

@@ -18,7 +18,7 @@ from sensorframe.functions.nulls import (
     nan_to_null,
     round_to,
 )
-from sensorframe.operators.order_stats import exact_medians, exact_quantiles, wide_quantiles
+from sensorframe.operators.order_stats import exact_quantiles, wide_quantiles
 
 SERIES = ["id_code", "area", "site"]
 
@@ -119,13 +119,14 @@ def temperature_months(sensor: str) -> list[Column]:
 
 
 def moisture_months() -> list[Column]:
-    """Monthly moisture statistics except the median."""
+    """Monthly moisture statistics. The median is of the days of a month, at most 31 values."""
     here = is_finite("moist_mean")
     mean = F.when(here, F.col("moist_mean"))
     sd, avg = F.stddev_samp(mean), F.avg(mean)
     return [
         round_to(sd, 2).alias("moist_sd"),
         round_to(F.try_divide(sd, avg), 2).alias("moist_cv"),
+        round_to(F.median(mean), 1).alias("moist_med"),
         round_to(avg, 1).alias("moist_mean"),
         round_to(F.max(F.when(here, nan_to_null(F.col("moist_max")))), 1).alias("moist_absmax"),
         round_to(F.min(F.when(here, nan_to_null(F.col("moist_min")))), 1).alias("moist_absmin"),
@@ -157,14 +158,7 @@ def monthly_stats(daily: DataFrame, sensors: Sequence[str] = tuple(K.TEMPERATURE
         aggs += moisture_months()
     if "T4" in sensors and "logger_T4" in daily.columns:
         aggs.append(collapse_label(F.when(is_finite("T4_mean"), F.col("logger_T4"))).alias("logger_T4"))
-    out = days.groupBy(*MONTH_KEYS).agg(*aggs)
-    if moisture:
-        finite = days.select(*MONTH_KEYS, F.when(is_finite("moist_mean"), F.col("moist_mean")).alias("moist"))
-        median = exact_medians(finite, MONTH_KEYS, ["moist"])
-        packed = out.withColumn("_k", F.struct(*MONTH_KEYS))
-        median = median.select(F.struct(*MONTH_KEYS).alias("_k"), round_to("moist_median", 1).alias("moist_med"))
-        out = packed.join(median, "_k", "left").drop("_k")
-    return out
+    return days.groupBy(*MONTH_KEYS).agg(*aggs)
 
 
 def mask_months(monthly: DataFrame, limit: float = K.MONTHLY_COVERAGE, sensors=tuple(K.TEMPERATURES)) -> DataFrame:
@@ -202,10 +196,16 @@ def quartiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 
 def months_with_quantiles(monthly: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Full join on series and month. A month with readings but no valid day has quantiles only."""
-    left = monthly.withColumn("_k", F.struct("id_code", "month"))
-    right = quantiles.withColumn("_k", F.struct("id_code", "month")).drop("id_code", "month")
-    joined = left.drop("id_code", "month").join(right, "_k", "full")
+    """Full join on series and month, and on the year if the quantiles have it.
+
+    A month with readings but no valid day has quantiles only.
+    """
+    keys = ["id_code", *(["year"] if "year" in quantiles.columns else []), "month"]
+    key = F.struct("id_code", *[F.col(k).cast("int").alias(k) for k in keys[1:]])
+    left, right = monthly.withColumn("_k", key), quantiles.withColumn("_k", key)
+    joined = left.drop("id_code", "month", *(["year"] if "year" in keys else [])).join(right.drop(*keys), "_k", "full")
+    if "year" in keys:
+        joined = joined.withColumn("year", F.col("_k.year"))
     fractions = [c for c in monthly.columns if c.startswith("day_frac_")]
     numbers = [
         c for c, t in joined.dtypes if t == "double" and c not in fractions and c.split("_")[0] in K.TEMPERATURES + ["moist"]

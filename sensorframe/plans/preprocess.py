@@ -34,21 +34,25 @@ def fill_air(clean: DataFrame) -> DataFrame:
     return interpolate_gaps(dated, ["id_code"], "datetime", ["T4"], K.MAX_GAP_T4)
 
 
-def days(clean: DataFrame) -> DataFrame:
-    """Cleaned readings to masked daily statistics."""
-    return mask_days(daily_rollup(fill_readings(clean), fill_air(clean)))
+def days(clean: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+    """Cleaned readings to masked daily statistics. ``filled`` has them with the soil gaps filled, if that is at hand."""
+    return mask_days(daily_rollup(fill_readings(clean) if filled is None else filled, fill_air(clean)))
 
 
-def months(clean: DataFrame, daily: DataFrame, limit: float = K.MONTHLY_COVERAGE) -> DataFrame:
-    """Masked daily statistics, with upper quantiles of the readings, to the monthly table."""
-    joined = months_with_quantiles(monthly_stats(daily), upper_quantiles(fill_readings(clean)))
+def months(filled: DataFrame, daily: DataFrame, limit: float = K.MONTHLY_COVERAGE, by_year: bool = False) -> DataFrame:
+    """Masked daily statistics, with upper quantiles of the filled readings, to the monthly table."""
+    joined = months_with_quantiles(monthly_stats(daily), upper_quantiles(filled, by_year))
     return published_months(mask_months(joined, limit))
 
 
 def preprocess(
     readings: DataFrame, start: str = K.PERIOD_START, end: str = K.PERIOD_END, limit: float = K.MONTHLY_COVERAGE
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cleaned readings, days and months as three tables. Days are stored, as both tables build on them."""
+    """Cleaned readings, days and months as three tables.
+
+    The filled readings and the days are stored: gaps are filled once, and both tables build on them.
+    """
     clean = clean_readings(readings, start, end)
-    daily = stored(days(clean))
-    return clean.drop("error_tomst", "error_T4"), published_days(daily), months(clean, daily, limit)
+    filled = stored(fill_readings(clean))
+    daily = stored(days(clean, filled))
+    return clean.drop("error_tomst", "error_T4"), published_days(daily), months(filled, daily, limit)

@@ -47,3 +47,9 @@ def test_running_counts(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 5, 9)], "k string, v double")
     rows = {r.v: (r.n, r.before, r.total) for r in running_counts(df, "k", "v").collect()}
     assert rows == {1.0: (1, 0, 4), 5.0: (2, 1, 4), 9.0: (1, 3, 4)}
+
+
+def test_narrow_ranges_fill_many_buckets(spark):
+    df = spark.range(1_000_000).select((F.col("id") / 1e6 + 1000).alias("v"))
+    sizes = df.groupBy(magnitude_bucket(F.col("v")).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 10_000
