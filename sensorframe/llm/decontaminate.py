@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from sensorframe.llm.words import letters_and_digits, word_hashes
 from sensorframe.session import stored
 
 STRIDE = 16  # words; a passage is two strides
-RANK = 96
+RANK = 64
 # A term in a larger share of the passages has no weight in the retrieval; it still counts in the comparison.
 COMMON = 0.05
 COSINE = 0.45
@@ -23,8 +24,8 @@ SUBSEQUENCE = 0.7
 ANSWER = 0.5
 # The benchmark is the small side and is sent to every task; a larger one is an error, to be given in parts.
 MOST_TERMS = 2_000_000
-# Benchmark items met at once by the passages of a task.
-ITEMS = 1_024
+# Cells of the table of items and terms that a task holds at once; larger benchmarks are met in blocks of items.
+CELLS = 1 << 26
 
 
 @dataclass
@@ -79,7 +80,8 @@ def _frequencies(n_terms: int):
         for batch in batches:
             words, stride, strides = _passages(batch)
             known = words >= 0
-            pairs = np.unique(stride[known] * n_terms + words[known])
+            pairs = np.sort(stride[known] * n_terms + words[known])
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
             seen += np.bincount(pairs % n_terms, minlength=n_terms)
             total += int(strides[-1])
         at = np.flatnonzero(seen)
@@ -88,23 +90,30 @@ def _frequencies(n_terms: int):
     return count
 
 
+def _sums(place: np.ndarray, values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """For each place the sum of the columns of ``values`` at its indices; dimension by dimension, as these fit a cache."""
+    out = np.empty((len(values), n))
+    for k, value in enumerate(values):
+        out[k] = np.bincount(place, weights=value[index], minlength=n)
+    return out
+
+
 def _gram(weighted, n_terms: int):
     """Partial sums of AᵀAΩ, a row per term: A has the passages of this task as weighted term counts."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, omega = weighted.value
-        factors = (weight[:, None] * omega).astype(np.float32)
-        total = np.zeros((n_terms, omega.shape[1]))
+        factors = np.ascontiguousarray((weight[:, None] * omega).T)
+        total = np.zeros((omega.shape[1], n_terms))
         for batch in batches:
             words, stride, _ = _passages(batch)
             keep = np.flatnonzero((words >= 0) & (weight[words] > 0))
-            for i in range(0, len(keep), 200_000):
-                w, s = words[keep[i : i + 200_000]], stride[keep[i : i + 200_000]]
-                row = np.r_[0, np.cumsum(s[1:] != s[:-1])] if len(s) else s
-                sketch = np.add.reduceat(factors[w], np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), axis=0)
-                order = np.argsort(w, kind="stable")
-                head = np.flatnonzero(np.r_[True, w[order][1:] != w[order][:-1]])
-                total[w[order][head]] += np.add.reduceat(sketch[row[order]], head, axis=0)
+            held = stride[keep]
+            for i in range(0, int(held[-1]) + 1 if len(held) else 0, 20_000):
+                a, b = np.searchsorted(held, [i, i + 20_000])
+                w, s = words[keep[a:b]], held[a:b] - i
+                total += _sums(w, _sums(s, factors, w, 20_000), s, n_terms)
+        total = total.T
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         for i in range(0, len(at), 5_000):
             part = total[at[i : i + 5_000]] * weight[at[i : i + 5_000], None]
@@ -116,8 +125,8 @@ def _gram(weighted, n_terms: int):
 def latent_space(spark: SparkSession, numbered: DataFrame, benchmark: Benchmark, rank: int = RANK, seed: int = 5):
     """Weights (TF-IDF) and latent coordinates of all terms, from every passage of every document.
 
-    A randomised range finder with a power step on the Gram matrix of the passages: each step multiplies
-    AᵀA with a thin matrix, as sums over the passages of each task that are then added up per term.
+    A randomised range finder: the Gram matrix AᵀA of the passages times a thin random matrix, as sums over the
+    passages of each task that are then added up per term, made orthogonal.
     Columns are scaled to equal length first, so that rare terms, which tell passages apart, are not cut off.
     """
     n_terms = len(benchmark.terms)
@@ -130,14 +139,12 @@ def latent_space(spark: SparkSession, numbered: DataFrame, benchmark: Benchmark,
     scale = np.where(idf > 0, 1 / np.sqrt(seen + 1), 0.0)
     basis = np.random.default_rng(seed).standard_normal((n_terms, min(rank, n_terms)))
     sums = [F.sum(F.get("row", F.lit(k))).alias(f"c{k}") for k in range(basis.shape[1])]
-    for _ in range(2):
-        shared = spark.sparkContext.broadcast((scale, basis))
-        product = numbered.mapInArrow(_gram(shared, n_terms), "term long, row array<double>").groupBy("term").agg(*sums).toArrow()
-        image = basis * 1e-6
-        at = product.column("term").to_numpy()
-        image[at] += np.column_stack([product.column(f"c{k}").to_numpy() for k in range(basis.shape[1])]) if len(at) else 0
-        basis = np.linalg.qr(image)[0]
-    return idf, basis
+    shared = spark.sparkContext.broadcast((scale, basis))
+    product = numbered.mapInArrow(_gram(shared, n_terms), "term long, row array<double>").groupBy("term").agg(*sums).toArrow()
+    image = basis * 1e-6
+    at = product.column("term").to_numpy()
+    image[at] += np.column_stack([product.column(f"c{k}").to_numpy() for k in range(basis.shape[1])]) if len(at) else 0
+    return idf, np.linalg.qr(image)[0]
 
 
 def _common_length(item: list[int], passage: np.ndarray) -> tuple[int, int, int]:
@@ -161,48 +168,74 @@ def _common_length(item: list[int], passage: np.ndarray) -> tuple[int, int, int]
 def _searcher(shared, cosine: float, subsequence: float, answer: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark, idf, basis = shared.value
-        coordinates = (idf[:, None] * basis).astype(np.float32)
-        targets = np.array([coordinates[w].sum(axis=0) for w in benchmark.words], np.float32).reshape(-1, basis.shape[1])
+        coordinates = np.ascontiguousarray((idf[:, None] * basis).T)
+        targets = np.array([coordinates[:, w].sum(axis=1) for w in benchmark.words], np.float32).reshape(-1, basis.shape[1])
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
         items = [w.tolist() for w in benchmark.words]
+        n_terms = len(benchmark.terms)
+        step = max(1, CELLS // (n_terms + 1))
+        # If enough words of an item are in order, so many of its rare ones are near: all but those that may miss.
+        # Two neighbouring strides then hold their part of these. Fewer rule a candidate out before it is compared.
+        rare = np.array([(idf[w] > 0).sum() for w in benchmark.words])
+        size = np.array([len(w) for w in benchmark.words])
+        near = np.where(size <= STRIDE + 1, 1.0, 2.0 / (-(-size // STRIDE) + 2))
+        least = np.maximum(np.ceil((rare - (1 - subsequence) * size) * near - 1e-9), 1)
+        @lru_cache(1)
+        def members(k: int) -> np.ndarray:
+            """Which rare terms each item of a block has; the last column is for words of no item."""
+            block = benchmark.words[k : k + step]
+            out = np.zeros((len(block), n_terms + 1), bool)
+            for i, w in enumerate(block):
+                out[i, w[idf[w] > 0]] = True
+            return out
+
         # The answer of an item is the quarter of its terms that are rarest.
         answers = [set(sorted(set(w), key=lambda t: (-idf[t], t))[: -(-len(set(w)) // 4)]) for w in items]
         for batch in batches:
             words, stride, strides = _passages(batch)
             offsets = utf8(batch.column("words"))[1] // 4
             keep = np.flatnonzero((words >= 0) & (idf[words] > 0))
-            sums = np.zeros((strides[-1] + 1, basis.shape[1]), np.float32)
-            for i in range(0, len(keep), 200_000):
-                w, s = words[keep[i : i + 200_000]], stride[keep[i : i + 200_000]]
-                head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else s
-                sums[s[head]] += np.add.reduceat(coordinates[w], head, axis=0) if len(s) else 0
+            held = stride[keep]
+            begin = np.repeat(offsets[:-1], np.diff(strides)) + (np.arange(strides[-1]) - np.repeat(strides[:-1], np.diff(strides))) * STRIDE
+            until = np.minimum(begin + 2 * STRIDE, np.repeat(offsets[1:], np.diff(strides)))
             final = np.zeros(strides[-1] + 1, bool)
             final[strides[1:] - 1] = True  # the last stride of a document is a passage by itself
             owner = np.repeat(np.arange(batch.num_rows), np.diff(strides))
+
+            def compare(at: int, item: int, close: float) -> None:
+                doc = int(owner[at])
+                a, b = int(offsets[doc]), int(offsets[doc + 1])
+                size = len(items[item])
+                from_, to = max(a, int(begin[at]) - size), min(b, int(begin[at]) + 2 * STRIDE + size)
+                length, first, last = _common_length(items[item], words[from_:to].tolist())
+                if length < subsequence * size:
+                    return
+                share = len(answers[item] & set(words[from_ + first : from_ + last + 1].tolist())) / len(answers[item])
+                if share >= answer:
+                    row = (length / size, close, share, from_ + first - a, from_ + last + 1 - a)
+                    found[doc, item] = max(found.get((doc, item), row), row)
+
             found: dict[tuple[int, int], tuple] = {}
             for i in range(0, int(strides[-1]), 20_000):
                 j = min(i + 20_000, int(strides[-1]))
-                passage = sums[i:j] + np.where(final[i:j, None], np.float32(0), sums[i + 1 : j + 1])
+                a, b = np.searchsorted(held, [i, j + 1])
+                sums = _sums(held[a:b] - i, coordinates, words[keep[a:b]], j - i + 1).T.astype(np.float32)
+                passage = sums[:-1] + np.where(final[i:j, None], np.float32(0), sums[1:])
                 norm = np.linalg.norm(passage, axis=1)
                 some = np.flatnonzero(norm > 0)
                 passage = passage[some] / norm[some, None]
-                for k in range(0, len(items), ITEMS):
-                    close = passage @ targets[k : k + ITEMS].T
-                    for p, q in zip(*np.nonzero(close >= cosine), strict=True):
-                        at, item = int(some[p]) + i, int(q) + k
-                        doc = int(owner[at])
-                        a, b = int(offsets[doc]), int(offsets[doc + 1])
-                        size = len(items[item])
-                        from_ = max(a, a + (at - int(strides[doc])) * STRIDE - size)
-                        to = min(b, a + (at - int(strides[doc]) + 2) * STRIDE + size)
-                        length, first, last = _common_length(items[item], words[from_:to].tolist())
-                        if length < subsequence * size:
-                            continue
-                        part = set(words[from_ + first : from_ + last + 1].tolist())
-                        share = len(answers[item] & part) / len(answers[item])
-                        if share >= answer:
-                            row = (length / size, float(close[p, q]), share, from_ + first - a, from_ + last + 1 - a)
-                            found[doc, item] = max(found.get((doc, item), row), row)
+                for k in range(0, len(items), step):
+                    member = members(k)
+                    close = passage @ targets[k : k + step].T
+                    p, q = np.nonzero(close >= cosine)
+                    at = some[p] + i
+                    for part in range(0, len(at), 200_000):
+                        x, y = at[part : part + 200_000], q[part : part + 200_000]
+                        place = begin[x, None] + np.arange(2 * STRIDE)
+                        word = np.where(place < until[x, None], words[np.minimum(place, len(words) - 1)], -1)
+                        kept = np.flatnonzero(member[y[:, None], word].sum(axis=1) >= least[y + k])
+                        for z in kept:
+                            compare(int(x[z]), int(y[z]) + k, float(close[p[part + z], y[z]]))
             if found:
                 docs, which = (np.array(x) for x in zip(*found, strict=True))
                 common, close, share, first, end = zip(*found.values(), strict=True)
