@@ -90,15 +90,14 @@ def _signer(size: int):
     return sign
 
 
-def _forest(alike) -> list[tuple[int, int]]:
-    """Links that span each connected group; ``alike(i, others)`` says which of the others are next to i."""
+def _stars(alike) -> list[tuple[int, int]]:
+    """Each connected group as links from its first member; ``alike(i, others)`` says which of the others are next to i."""
     links, rest = [], alike.rest
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        first, queue, rest = rest[0], [rest[0]], rest[1:]
         while queue and len(rest):
-            i = queue.pop()
-            near = alike(i, rest)
-            links += [(i, j) for j in rest[near]]
+            near = alike(queue.pop(), rest)
+            links += [(first, j) for j in rest[near]]
             queue += list(rest[near])
             rest = rest[~near]
     return links
@@ -157,7 +156,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u += list(docs[two[like]])
         v += list(docs[two[like] + 1])
         for a, b in zip(edges[:-1][size > 2], edges[1:][size > 2], strict=True):
-            for i, j in _forest(_Sketches(s1[a:b], s2[a:b])):
+            for i, j in _stars(_Sketches(s1[a:b], s2[a:b])):
                 u.append(docs[a + i]), v.append(docs[a + j])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -197,7 +196,7 @@ def _confirmer(similarity: int):
             both += strip @ strip.T
         linked = 100 * both >= similarity * (size[:, None] + size[None, :] - both)
         np.fill_diagonal(linked, False)
-        return _forest(_Matrix(linked))
+        return _stars(_Matrix(linked))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links that span the groups of a task's documents with confirmed similarity."""
@@ -259,7 +258,7 @@ def near_dedup(
     regions had to go to eight values; large groups are chained through their other members too). Like pairs
     of a region, by 128-bit sketches, chain the classes to clusters. In a cluster the full sets are compared
     exactly, blocks of documents against blocks, and confirmed links give the components. Links leave a task
-    as a spanning forest: as many as documents, not as pairs.
+    as stars that join the same documents: as many as documents, not as pairs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = rows.mapInArrow(
@@ -270,7 +269,7 @@ def near_dedup(
     classes = stored(named.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("row")))
     one = stored(named.join(classes.select("rep", "row"), "row").select("rep", "keys", "s1", "s2"))
     n = partitions(docs.sparkSession)
-    regions = _regions(one).repartition(n, "region").sortWithinPartitions("region")
+    regions = _regions(one).repartition(n, "region").sortWithinPartitions("region", "rep")
     clusters = stored(connected_components(regions.mapInArrow(_neighbours, "u long, v long"))).withColumnRenamed("node", "rep")
 
     # Documents of a cluster are numbered to deal them into blocks; a large cluster is numbered part by part.
@@ -298,7 +297,7 @@ def near_dedup(
     dealt = sets.join(clusters, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "shingles")
     keys = ["cluster", "low", "high"]
-    dealt = dealt.repartition(n, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.repartition(n, *keys).sortWithinPartitions(*keys, "rep")
     links = dealt.mapInArrow(_confirmer(similarity), "u long, v long")
     joined = stored(connected_components(links))
 
