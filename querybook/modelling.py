@@ -113,6 +113,42 @@ def ols_glance(spark, sf_dir):
     )
 
 
+def _pair_sql(x1: str, x2: str, y: str) -> str:
+    """The two-predictor fit for other columns."""
+    body = _FIT2[len(_LINES):].replace("l_quantity", "{x1}").replace("l_discount", "{x2}")
+    for call in ("avg(y)", "var_pop(y)", "covar_pop(y,"):
+        body = body.replace(call, call.replace("(y", "({y}"))
+    return _LINES + body.format(x1=x1, x2=x2, y=y)
+
+
+_PAIR = ["l_discount", "l_tax"]
+
+# Two-sided tail of t for whole degrees of freedom nu, as a finite series in the angle th; odd and even apart.
+_T_TAIL = """CASE WHEN nu % 2 = 0
+  THEN 1 - sin(th) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(th), 2 * k) for k in range(nu // 2)])
+  ELSE 1 - 2 / pi() * (th + sin(th) * list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos(th), 2 * k + 1) for k in range((nu - 1) // 2)])) END"""
+
+
+@query(
+    "ols_p_values_pair",
+    f"""{_pair_sql(*_PAIR, 'l_extendedprice')}, t AS (SELECT l_returnflag, month, term, n - 3 AS nu, atan(abs(estimate / std_error) / sqrt(n - 3)) AS th
+  FROM c JOIN (SELECT l_returnflag, month, n FROM e) USING (l_returnflag, month))
+SELECT l_returnflag, month, term, {r(_T_TAIL, 6)} AS p_value FROM t""",
+)
+def ols_p_values_pair(spark, sf_dir):
+    c = ols.coefficients(_cells(spark, sf_dir, _PAIR, "l_extendedprice"), CELL, _PAIR)
+    return c.select(*CELL, "term", *rounded(["p_value"], 6))
+
+
+@query(
+    "ols_glance_p_value",
+    f"""{_pair_sql(*_PAIR, 'l_extendedprice')} SELECT l_returnflag, month, {r('pow(1 + 2 * ((syy - rss) / 2 / s2) / (n - 3), -(n - 3) / 2)', 6)} AS p_value FROM e""",
+)
+def ols_glance_p_value(spark, sf_dir):
+    g = ols.fit_summaries(_cells(spark, sf_dir, _PAIR, "l_extendedprice"), CELL, _PAIR)
+    return g.select(*CELL, *rounded(["p_value"], 6))
+
+
 _STEP = f"""{_LINES}, s AS (SELECT l_returnflag, month, count(*) AS n, var_pop(l_discount) AS s11, var_pop(l_tax) AS s22, covar_pop(l_discount, l_tax) AS s12,
   covar_pop(l_extendedprice, l_discount) AS s1y, covar_pop(l_extendedprice, l_tax) AS s2y, var_pop(l_extendedprice) AS syy FROM l GROUP BY 1, 2),
 a AS (SELECT *, n * ln(syy) + 2 AS a0, n * ln(syy - s1y * s1y / s11) + 4 AS a1, n * ln(syy - s2y * s2y / s22) + 4 AS a2,
@@ -391,18 +427,69 @@ def _windows(spark, sf_dir):
     )
 
 
-def _fits(spark, sf_dir):
-    return modelling.fit_models(_study(spark, sf_dir), _windows(spark, sf_dir))
+def _fits(spark, sf_dir, name):
+    results = modelling.fit_models(_study(spark, sf_dir), _windows(spark, sf_dir), wanted=[name.split("_")[0]])
+    return results[name]
 
 
 @query("study_coefficients")
 def study_coefficients(spark, sf_dir):
-    return _fits(spark, sf_dir)["coef_step"]
+    return _fits(spark, sf_dir, "coef_step")
+
+
+@query("study_coefficients_full")
+def study_coefficients_full(spark, sf_dir):
+    return _fits(spark, sf_dir, "coef")
+
+
+@query("study_summaries")
+def study_summaries(spark, sf_dir):
+    return _fits(spark, sf_dir, "summ_step")
+
+
+@query("study_summaries_full")
+def study_summaries_full(spark, sf_dir):
+    return _fits(spark, sf_dir, "summ")
 
 
 @query("study_importances")
 def study_importances(spark, sf_dir):
-    return _fits(spark, sf_dir)["vi_step"]
+    return _fits(spark, sf_dir, "vi_step")
+
+
+@query("study_importances_full")
+def study_importances_full(spark, sf_dir):
+    return _fits(spark, sf_dir, "vi")
+
+
+def _snow_seasons(spark, sf_dir):
+    """Late orders per customer and year as snow days of a season."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(
+        area_of("c_nationkey").alias("area"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("id_code"),
+        (F.year("o_orderdate") + (K.SNOW_YEAR - 1998)).alias("hydro_year"),
+    ).agg(F.count(F.lit(1)).cast("int").alias("snow_days"))
+
+
+def _study_sites(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("id_code"), area_of("c_nationkey").alias("area")
+    )
+
+
+@query("impute_snow")
+def impute_snow(spark, sf_dir):
+    return modelling.impute_snow(_snow_seasons(spark, sf_dir), _study_sites(spark, sf_dir))
+
+
+@query("impute_moisture")
+def impute_moisture(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    moisture = o.groupBy(
+        area_of("c_nationkey").alias("area"), F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("id_code"),
+        (F.year("o_orderdate") + (K.STUDY_YEAR - 1997)).alias("year"), F.month("o_orderdate").alias("month"),
+    ).agg(F.lit(1.0).alias("moist_prop"), (F.avg("o_totalprice") / 1000).alias("moist_med"))
+    return modelling.impute_moisture(moisture, _study_sites(spark, sf_dir))
 
 
 @query("study_correlations")

@@ -15,9 +15,6 @@ from sensorframe.session import stored
 # A dimension of a grid is inlined as a literal only up to this many values.
 INLINE_VALUES = 4096
 
-# A compact table is broadcast only up to this many rows.
-BROADCAST_ROWS = 200_000
-
 # Tasks over which the rows of a hot join key are spread.
 SALTS = 16
 
@@ -90,18 +87,14 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def compact_join(
-    df: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "inner", at_most: int = BROADCAST_ROWS
-) -> DataFrame:
+def compact_join(df: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Inner or left join with a table that is expected to be small.
 
-    The table is stored and its rows are counted. Up to ``at_most`` it is broadcast, so the large side is not
-    moved; beyond that the join is salted.
+    No hint: Spark measures the compact side in bytes and broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``, at run time too. Beyond that both sides are dealt out by key and
+    adaptive execution splits hot keys of the large side. Nothing runs while the plan is built.
     """
-    compact = stored(compact)
-    if compact.limit(at_most + 1).count() <= at_most:
-        return df.join(F.broadcast(compact), list(keys), how)
-    return salted_join(df, compact, keys, how)
+    return df.join(compact, list(keys), how)
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:

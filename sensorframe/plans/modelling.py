@@ -88,8 +88,9 @@ def fit_models(
     predictors: Sequence[str] = tuple(K.PREDICTORS),
     nsim: int = K.PERMUTATIONS,
     seed: int = 1,
+    wanted: Sequence[str] = ("coef", "summ", "vi"),
 ) -> dict[str, DataFrame]:
-    """All result tables: coefficients, summaries and importances of the full and stepwise models.
+    """Result tables: coefficients, summaries and importances (``wanted``) of the full and stepwise models.
 
     Every (area, month, response) is a cell of one grouped job. Rows must be complete in all predictors,
     also in those a cell may not use. The moments, which all results are worked out from, are small; they
@@ -104,14 +105,19 @@ def fit_models(
     cells = cells.join(features.snowy_months(windows), "area", "left")
     cells = cells.withColumn("eligible", features.eligible("area", "month", "snowy", predictors)).drop("snowy")
     cells = stored(cells)
-    permuted = stored(importance.permuted_moments(long, CELL, "y", predictors, nsim, seed))
-    ranges = stored(importance.predictor_ranges(long, CELL, "y", predictors))
+    if "vi" in wanted:
+        permuted = stored(importance.permuted_moments(long, CELL, "y", predictors, nsim, seed))
+        ranges = stored(importance.predictor_ranges(long, CELL, "y", predictors))
     out = {}
     for suffix, step in (("", False), ("_step", True)):
         coefs = ols.coefficients(cells, CELL, predictors, step)
         fitted = ols.models(cells, CELL, predictors, step)
-        out[f"coef{suffix}"] = coefs
-        out[f"summ{suffix}"] = ols.fit_summaries(cells, CELL, predictors, step)
+        if "coef" in wanted:
+            out[f"coef{suffix}"] = coefs
+        if "summ" in wanted:
+            out[f"summ{suffix}"] = ols.fit_summaries(cells, CELL, predictors, step)
+        if "vi" not in wanted:
+            continue
         out[f"vi{suffix}"] = stack_rows(
             importance.t_importance(coefs, CELL),
             importance.permutation_importance(fitted, permuted, CELL, predictors, "perm_r2"),
