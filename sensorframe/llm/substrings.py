@@ -29,15 +29,29 @@ HASH_BITS = 48
 # Windows under a hash of more documents are spread by their whole content.
 HOT = 4_096
 DOC_BITS = 25
+# Stretches whose windows are expanded at once, as far as these make whole buckets.
+TOGETHER = 20_000
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place on."""
-    up, down = _tables()
+def _running(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any part of the data is a difference."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    n = len(data) - GRAM + 1
-    return mix((total[GRAM:] - total[:-GRAM]) * down[:n]) >> np.uint64(64 - HASH_BITS)
+    part = data.astype(np.uint64)
+    part += np.uint64(1)
+    part *= _tables()[0][: len(data)]
+    np.cumsum(part, out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from each place on."""
+    out = total[GRAM:] - total[:-GRAM]
+    out *= _tables()[1][: len(out)]
+    # One multiplication spreads the low bits enough to compare by the high ones.
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out >>= np.uint64(64 - HASH_BITS)
+    return out
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,8 +63,11 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :][: len(values) - width + 1])
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, first window, number of windows, hash) of all stretches, slice by slice; texts of any length."""
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first window, number of windows, hash, key) of all stretches, slice by slice; texts of any length.
+
+    The key is a 64-bit hash of the bytes that the stretch covers.
+    """
     full = np.flatnonzero(np.diff(offsets) >= LENGTH)
     begin = 0
     while begin < len(full):
@@ -62,7 +79,8 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
             part = data[at : min(high, at + SLICE - 1)]
             if len(part) < LENGTH:
                 break
-            least = _window_minimum(_hashes(part), LENGTH - GRAM + 1)[: SLICE - LENGTH]
+            total = _running(part)
+            least = _window_minimum(_hashes(total), LENGTH - GRAM + 1)[: SLICE - LENGTH]
             place = np.arange(at, at + len(least))
             row = np.repeat(rows, np.diff(np.r_[np.searchsorted(place, offsets[rows]), len(place)])) if len(rows) > 1 else np.full(len(place), rows[0])
             inside = place + LENGTH <= offsets[row + 1]
@@ -75,10 +93,12 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
             long = n > STRETCH
             if long.any():
                 cuts = -(-n // STRETCH)
-                step = np.concatenate([np.arange(c) for c in cuts]) * STRETCH
+                step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
                 whole = np.repeat(n, cuts)
                 first, n = np.repeat(first, cuts) + step, np.minimum(STRETCH, whole - step)
-            yield row[first], place[first] - offsets[row[first]], n, least[first]
+            value, cover = least[first], (n + LENGTH - 1).astype(np.uint64)
+            key = (total[first + n + LENGTH - 1] - total[first]) * _tables()[1][first]
+            yield row[first], place[first] - offsets[row[first]], n, value, mix(mix(key + cover) ^ value)
         begin = end
 
 
@@ -99,7 +119,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        for row, _, _, value in _stretches(data, offsets):
+        for row, _, _, value, _ in _stretches(data, offsets):
             # Once per row: the 48 bits of the hash with 16 bits of the row in front.
             once = np.unique(value | ((row.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(HASH_BITS)))
             held.append(once & np.uint64((1 << HASH_BITS) - 1))
@@ -145,6 +165,12 @@ def _is_set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other in ``data``."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _emitter(maps, bits: int, buckets: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches under a hash of several rows, equal ones of a batch in one row with all their places."""
@@ -152,34 +178,46 @@ def _emitter(maps, bits: int, buckets: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            raw, found = data.tobytes(), {}
-            for row, first, n, value in _stretches(data, offsets):
+            held = []
+            for row, first, n, value, key in _stretches(data, offsets):
                 slot = (value >> np.uint64(HASH_BITS - bits)).astype(np.int64)
-                keep = _is_set(shared, slot)
-                row, first, n, value, slot = row[keep], first[keep], n[keep], value[keep], slot[keep]
-                spread = _is_set(hot, slot)
-                if spread.any():  # window by window
-                    one = np.repeat(np.arange(len(n)), np.where(spread, n, 1))
-                    step = np.arange(len(one)) - np.repeat(np.r_[0, np.cumsum(np.where(spread, n, 1))[:-1]], np.where(spread, n, 1))
-                    row, value, spread = row[one], value[one], spread[one]
+                keep = np.flatnonzero(_is_set(shared, slot))
+                row, first, n, value, key = row[keep], first[keep], n[keep], value[keep], key[keep]
+                spread = _is_set(hot, slot[keep])
+                if spread.any():  # window by window, filed under its content
+                    many = np.where(spread, n, 1)
+                    one = np.repeat(np.arange(len(n)), many)
+                    step = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+                    row, value, key, spread = row[one], value[one], key[one], spread[one]
                     first, n = first[one] + step, np.where(spread, 1, n[one])
-                begin = offsets[row] + first
-                for i, (r, f, b, k, v, s) in enumerate(zip(row.tolist(), first.tolist(), begin.tolist(), n.tolist(), value.tolist(), spread.tolist(), strict=True)):
-                    text = raw[b : b + k + LENGTH - 1]
-                    got = found.get(text)
-                    if got is None:
-                        found[text] = [-1 if s else v, [(ids[r], f)]]
-                    else:
-                        got[1].append((ids[r], f))
-            rows = []
-            for text, (v, places) in found.items():
-                key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                at = np.array(places, "<i8")
-                rows.append((key, (key if v < 0 else v * 0x9E3779B1) % buckets, text, int(at[:, 0].min()), at.tobytes()))
-            if rows:
-                key, bucket, text, doc, places = zip(*rows, strict=True)
+                    at = np.flatnonzero(spread)
+                    window = (offsets[row[at]] + first[at])[:, None] + np.arange(LENGTH)
+                    total = np.zeros(len(at), np.uint64)
+                    for column in data[window].T:
+                        total = total * np.uint64(0x100000001B3) + column + np.uint64(1)
+                    key[at] = value[at] = mix(total)
+                held.append((row, first, n, value, key))
+            if not held:
+                continue
+            row, first, n, value, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids[row], key))
+            row, first, n, value, key = row[order], first[order], n[order], value[order], key[order]
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            places = np.column_stack([ids[row], first]).astype("<i8")
+            for i in range(0, len(head), 20_000):
+                at = head[i : i + 20_000]
+                edges = np.r_[at, head[i + 20_000] if i + 20_000 < len(head) else len(key)]
+                size = n[at] + LENGTH - 1
+                begin = offsets[row[at]] + first[at]
+                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(bucket, pa.int64()), pa.array(text, pa.binary()), pa.array(doc, pa.int64()), pa.array(places, pa.binary())],
+                    [
+                        pa.array(key[at].astype(np.int64)),
+                        pa.array((mix(value[at]) % np.uint64(buckets)).astype(np.int64)),
+                        _binary(data[np.repeat(begin, size) + inside], size),
+                        pa.array(places[at, 0]),
+                        _binary(places[edges[0] : edges[-1]], np.diff(edges) * 16),
+                    ],
                     ["key", "bucket", "window_text", "doc", "places"],
                 )
 
@@ -212,7 +250,11 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs = table.column("key").to_numpy(), table.column("doc").to_numpy()
         data, offsets = utf8(table.column("window_text"))
         out_key, out_spans = [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        # Buckets are taken together up to a fair size; equal windows are never in different ones.
+        bounds, last = np.array(edges), 0
+        while last < bounds[-1]:
+            a, last = last, int(bounds[min(len(bounds) - 1, np.searchsorted(bounds, last + TOGETHER))])
+            b = last
             size = np.diff(offsets[a : b + 1])
             n = size - LENGTH + 1
             base = offsets[a]
