@@ -171,9 +171,13 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _emitter(maps, bits: int, buckets: int):
+def _emitter(maps, bits: int, buckets: int, only_hot: bool = False):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stretches under a hash of several rows, equal ones of a batch in one row with all their places."""
+        """Stretches under a hash of several rows, equal ones of a batch in one row.
+
+        The row holds all their places, but for stretches under a very frequent hash; ``only_hot`` gives the keys
+        and places of these.
+        """
         shared, hot = maps.value
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -196,12 +200,14 @@ def _emitter(maps, bits: int, buckets: int):
                     for column in data[window].T:
                         total = total * np.uint64(0x100000001B3) + column + np.uint64(1)
                     key[at] = value[at] = mix(total)
-                held.append((row, first, n, value, key))
+                if only_hot:
+                    row, first, n, value, key, spread = (x[spread] for x in (row, first, n, value, key, spread))
+                held.append((row, first, n, value, key, spread))
             if not held:
                 continue
-            row, first, n, value, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, first, n, value, key, spread = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((ids[row], key))
-            row, first, n, value, key = row[order], first[order], n[order], value[order], key[order]
+            row, first, n, value, key, spread = (x[order] for x in (row, first, n, value, key, spread))
             head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             places = np.column_stack([ids[row], first]).astype("<i8")
             for i in range(0, len(head), 20_000):
@@ -210,13 +216,20 @@ def _emitter(maps, bits: int, buckets: int):
                 size = n[at] + LENGTH - 1
                 begin = offsets[row[at]] + first[at]
                 inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                count = np.diff(edges)
+                if only_hot:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[at].astype(np.int64)), _binary(places[edges[0] : edges[-1]], count * 16)], ["key", "places"]
+                    )
+                    continue
+                own = places[edges[0] : edges[-1]][~np.repeat(spread[at], count)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key[at].astype(np.int64)),
                         pa.array((mix(value[at]) % np.uint64(buckets)).astype(np.int64)),
                         _binary(data[np.repeat(begin, size) + inside], size),
                         pa.array(places[at, 0]),
-                        _binary(places[edges[0] : edges[-1]], np.diff(edges) * 16),
+                        _binary(own, np.where(spread[at], 0, count) * 16),
                     ],
                     ["key", "bucket", "window_text", "doc", "places"],
                 )
@@ -244,60 +257,75 @@ def expand(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return order, interval
 
 
+def _ranges(places: np.ndarray, n_places: np.ndarray, spans: np.ndarray, n_spans: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Documents, and for each the ranges (first byte, end) that some stretch at some place marks as repeated."""
+    row = np.repeat(np.arange(len(n_places)), n_places)
+    first = np.cumsum(n_spans) - n_spans
+    many = n_spans[row]
+    place = np.repeat(np.arange(len(places)), many)
+    nth = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+    span = spans[first[row[place]] + nth]
+    doc, start = places[place, 0], places[place, 1] + span[:, 0]
+    hit = span[:, 2] < doc
+    doc, start, end = doc[hit], start[hit], (start + span[:, 1] + LENGTH - 1)[hit]
+    order = np.lexsort((start, doc))
+    doc, ranges = doc[order], np.column_stack([start, end])[order].astype("<i8")
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    edges = np.r_[head, len(doc)]
+    return doc[head], [ranges[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _whole(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = utf8(column)
+    return np.frombuffer(data.tobytes(), "<i8").reshape(-1, width), np.diff(offsets) // (8 * width)
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, spans): for the windows of a stretch the smallest document they start in, as runs (first, number, doc)."""
+    """For the windows of a stretch the smallest document they start in, as runs (first, number, doc).
+
+    Rows with places become (doc, ranges); the others, one for each key, (key, spans).
+    """
     for table, edges in _runs(batches, ["bucket"]):
         keys, docs = table.column("key").to_numpy(), table.column("doc").to_numpy()
         data, offsets = utf8(table.column("window_text"))
-        out_key, out_spans = [], []
+        places, n_places = _whole(table.column("places"), 2)
+        upto = np.r_[0, np.cumsum(n_places)]
         # Buckets are taken together up to a fair size; equal windows are never in different ones.
         bounds, last = np.array(edges), 0
         while last < bounds[-1]:
             a, last = last, int(bounds[min(len(bounds) - 1, np.searchsorted(bounds, last + TOGETHER))])
             b = last
-            size = np.diff(offsets[a : b + 1])
-            n = size - LENGTH + 1
+            n = np.diff(offsets[a : b + 1]) - LENGTH + 1
             base = offsets[a]
             owner = np.repeat(np.arange(b - a), n)
-            nth = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             order, interval = expand(data[base : offsets[b]], offsets[a:b][owner] - base + nth + LENGTH, LENGTH)
             head = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
             least = np.empty(len(owner), np.int64)
             least[order] = np.repeat(np.minimum.reduceat(docs[a:b][owner][order], head), np.diff(np.r_[head, len(owner)]))
-            begins = np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]
-            at = np.flatnonzero(begins)
+            at = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
             spans = np.column_stack([nth[at], np.diff(np.r_[at, len(owner)]), least[at]]).astype("<i8")
             rows = np.searchsorted(owner[at], np.arange(b - a + 1))
-            seen = set()
-            for i, key in enumerate(keys[a:b].tolist()):
-                if key not in seen:
-                    seen.add(key)
-                    out_key.append(key)
-                    out_spans.append(spans[rows[i] : rows[i + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_spans, pa.binary())], ["key", "spans"])
+            doc, ranges = _ranges(places[upto[a] : upto[b]], n_places[a:b], spans, np.diff(rows))
+            bare = np.flatnonzero(n_places[a:b] == 0)
+            key, one = np.unique(keys[a:b][bare], return_index=True)
+            verdicts = [spans[rows[i] : rows[i + 1]].tobytes() for i in bare[one]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*doc.tolist(), *[None] * len(key)], pa.int64()),
+                    pa.array([*ranges, *[None] * len(key)], pa.binary()),
+                    pa.array([*[None] * len(doc), *key.tolist()], pa.int64()),
+                    pa.array([*[None] * len(doc), *verdicts], pa.binary()),
+                ],
+                ["doc", "ranges", "key", "spans"],
+            )
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, ranges): first byte and end of what is repeated, for each document of a batch."""
+    """(doc, ranges) from keys with places and spans."""
     for batch in batches:
-        data, offsets = utf8(batch.column("places"))
-        places, np_ = np.frombuffer(data.tobytes(), "<i8").reshape(-1, 2), np.diff(offsets) // 16
-        data, offsets = utf8(batch.column("spans"))
-        spans, ns = np.frombuffer(data.tobytes(), "<i8").reshape(-1, 3), np.diff(offsets) // 24
-        row = np.repeat(np.arange(batch.num_rows), np_)
-        first = np.r_[0, np.cumsum(ns)[:-1]]
-        place = np.repeat(np.arange(len(places)), ns[row])
-        nth = np.arange(len(place)) - np.repeat(np.r_[0, np.cumsum(ns[row])[:-1]], ns[row])
-        span = spans[first[row[place]] + nth]
-        doc, start = places[place, 0], places[place, 1] + span[:, 0]
-        hit = span[:, 2] < doc
-        doc, start, end = doc[hit], start[hit], (start + span[:, 1] + LENGTH - 1)[hit]
-        order = np.lexsort((start, doc))
-        doc, ranges = doc[order], np.column_stack([start, end])[order].astype("<i8")
-        head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-        edges = np.r_[head, len(doc)]
-        blobs = [ranges[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(blobs, pa.binary())], ["doc", "ranges"])
+        doc, ranges = _ranges(*_whole(batch.column("places"), 2), *_whole(batch.column("spans"), 3))
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ranges, pa.binary())], ["doc", "ranges"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +371,8 @@ def repeated_substrings(
     A window is filed under the smallest 24-byte hash in it, so equal windows meet whatever surrounds them. A first
     scan finds the hashes of several documents; they set a bitmap of ``1 << bits`` bits. A second scan sends
     the windows under such hashes, in stretches, to a task per bucket, where intervals of equal windows are
-    expanded to 50 bytes; windows under a very frequent hash are spread by their content, and equal stretches
-    of a batch are sent once. Each stretch then finds its verdict by its key, and each document its ranges.
+    expanded to 50 bytes; equal stretches of a batch are sent once. Windows under a very frequent hash are
+    spread by their content and leave their places behind; these find the verdict by the window's key.
     """
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -357,14 +385,18 @@ def repeated_substrings(
     for p, *found in zip(*(parts.column(c).to_pylist() for c in ("part", "shared", "hot")), strict=True):
         for i in (0, 1):
             maps[i, p * width : (p + 1) * width] = np.frombuffer(found[i], np.uint8)
-    maps = spark.sparkContext.broadcast(tuple(maps))
+    shared = spark.sparkContext.broadcast(tuple(maps))
 
     schema = "key long, bucket long, window_text binary, doc long, places binary"
-    stretches = stored(texts.mapInArrow(_emitter(maps, bits, 64 * n), schema))
-    sorted_ = stretches.select("key", "bucket", "window_text", "doc").repartition(n, "bucket").sortWithinPartitions("bucket")
-    verdicts = sorted_.mapInArrow(_decide, "key long, spans binary")
-    # A stretch has at most one row per batch of texts.
-    marks = stretches.select("key", "places").join(verdicts, "key").mapInArrow(_mark, "doc long, ranges binary")
+    stretches = texts.mapInArrow(_emitter(shared, bits, 64 * n), schema)
+    sorted_ = stretches.repartition(n, "bucket").sortWithinPartitions("bucket")
+    decided = stored(sorted_.mapInArrow(_decide, "doc long, ranges binary, key long, spans binary"))
+    marks = decided.where("doc is not null").select("doc", "ranges")
+    if maps[1].any():
+        # Places of very frequent windows: a row per batch of texts and window, so a join can split them.
+        verdicts = decided.where("key is not null").select("key", "spans")
+        hot = texts.mapInArrow(_emitter(shared, bits, 64 * n, only_hot=True), "key long, places binary")
+        marks = marks.unionByName(hot.join(verdicts, "key").select("places", "spans").mapInArrow(_mark, "doc long, ranges binary"))
     marks = stored(marks.groupBy("doc").agg(F.collect_list("ranges").alias("blobs")))
 
     wanted = bitmap(marks.select(slot_of(DOC_BITS, "doc").alias("slot")))
@@ -378,7 +410,7 @@ def repeated_substrings(
         F.col("bytes").alias("kept"),
         F.sha2("bytes", 256).alias("kept_sha256"),
     )
-    cut = rows.where("hit and id is not null").join(marks, F.col("id") == F.col("doc"), "left").select("id", "text", "blobs")
+    cut = rows.where("hit and id is not null").join(marks.hint("merge"), F.col("id") == F.col("doc"), "left").select("id", "text", "blobs")
     cut = cut.mapInArrow(
         _cut, "id long, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string"
     )
