@@ -79,7 +79,8 @@ def line_dedup(
         "id", F.size(F.split("text", pattern, -1)).alias("n_units"), none.alias("removed"), F.col("text").alias("kept_text")
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    cut = rows.where("hit and id is not null").select("id", "text").join(gone, "id", "left")
+    # The same join at every size: these texts are dealt out by id.
+    cut = rows.where("hit and id is not null").select("id", "text").join(gone.hint("merge"), "id", "left")
     cut = cut.mapInArrow(
         _cutter(separator), f"id {kind}, n_units int, removed array<struct<unit:int,start:bigint,end:bigint>>, kept_text string"
     )
