@@ -262,6 +262,21 @@ def effect_table(spark, sf_dir):
     return e.select("area", "month", "resp", *rounded(["estimate"], 5), "p_class", *rounded(["lower", "upper"], 5))
 
 
+_EFFECT_CASE = "CASE tvar " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.EFFECT_LABELS.items()) + " ELSE tvar END"
+
+
+@query(
+    "effect_labels",
+    f"""WITH l AS (SELECT CAST(month(l_shipdate) AS INTEGER) AS month, {_label_sql(STATISTIC_OF, 'l_partkey')} AS tvar, l_quantity FROM lineitem)
+SELECT month, {_EFFECT_CASE} AS label, {r('avg(l_quantity)', 5)} AS estimate FROM l GROUP BY 1, 2""",
+)
+def effect_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(
+        F.month("l_shipdate").alias("month"), _label(STATISTIC_OF, F.col("l_partkey")).alias("tvar")
+    ).agg(F.avg("l_quantity").alias("estimate"))
+    return reports.effect_labels(rows).select("month", "label", *rounded(["estimate"], 5))
+
+
 _GRADIENT = ["altitude", "snow_days", "tpi100", "moist_med", "canopy_cover2m_10m", "wetland_prop_100m", "water_prop_500m"]
 
 _FIVE = {"mean": "avg({0})", "median": "median({0})", "min": "min({0})", "max": "max({0})", "range length": "max({0}) - min({0})"}

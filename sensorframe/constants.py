@@ -133,7 +133,6 @@ SMOOTH_POINTS = 80
 PDP_POINTS = 51
 NORMALS_START = "1991-01-01"
 NORMALS_END = "2020-12-31"
-NORMALS_YEARS = 30
 PERIOD_LAST_DAY = "2020-10-31"
 
 # Two areas that share a weather station are shown as one.

@@ -218,3 +218,9 @@ def effect_table(coefs: DataFrame, predictor: str = K.EFFECT_PREDICTOR, keys: Se
             "upper": F.col("estimate") + F.col("std_error"),
         }
     )
+
+
+def effect_labels(effects: DataFrame, column: str = "tvar", out: str = "label") -> DataFrame:
+    """Effects with the printed name of their statistic; one without such a name keeps its own."""
+    names = F.create_map(*[F.lit(x) for pair in K.EFFECT_LABELS.items() for x in pair])
+    return effects.withColumn(out, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorframe import constants as K
 from sensorframe.functions.nulls import nan_to_null
 from sensorframe.sources import schemas
 
@@ -72,8 +73,8 @@ def station_distances(stations: DataFrame, areas: list[str] | None = None) -> Da
     )
 
 
-def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """One row per day, both ends included."""
+def calendar(spark: SparkSession, start: str = K.CALENDAR_START, end: str = K.CALENDAR_END) -> DataFrame:
+    """One row per day, both ends included; the study's calendar by default."""
     days = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("INTERVAL '1' DAY"))
     return spark.range(1).select(F.explode(days).alias("date"))
 
