@@ -17,7 +17,7 @@ from sensorframe.session import stored
 
 LENGTH = 50
 # A window of LENGTH bytes is filed under the smallest hash of the strings of GRAM bytes in it.
-GRAM = 24
+GRAM = 32
 # Windows that follow one another under the same hash travel together, at most so many.
 STRETCH = 64
 # Bits of the map of hashes that occur in several documents. With more hashes than bits it lets more
@@ -225,10 +225,11 @@ def _emitter(maps, bits: int, buckets: int, only_hot: bool = False):
                 own = places[edges[0] : edges[-1]][~np.repeat(spread[at], count)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key[at].astype(np.int64)),
+                        # What the places tell already is left null, which costs next to nothing in a shuffle.
+                        pa.array(key[at].astype(np.int64), mask=~spread[at]),
                         pa.array((mix(value[at]) % np.uint64(buckets)).astype(np.int64)),
                         _binary(data[np.repeat(begin, size) + inside], size),
-                        pa.array(places[at, 0]),
+                        pa.array(places[at, 0], mask=~spread[at]),
                         _binary(own, np.where(spread[at], 0, count) * 16),
                     ],
                     ["key", "bucket", "window_text", "doc", "places"],
@@ -286,10 +287,13 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows with places become (doc, ranges); the others, one for each key, (key, spans).
     """
     for table, edges in _runs(batches, ["bucket"]):
-        keys, docs = table.column("key").to_numpy(), table.column("doc").to_numpy()
+        keys, docs = (table.column(c).combine_chunks().fill_null(0).to_numpy() for c in ("key", "doc"))
         data, offsets = utf8(table.column("window_text"))
         places, n_places = _whole(table.column("places"), 2)
         upto = np.r_[0, np.cumsum(n_places)]
+        some = np.flatnonzero(n_places)
+        docs = docs.copy()
+        docs[some] = places[upto[some], 0]  # the places of a row are sorted
         # Buckets are taken together up to a fair size; equal windows are never in different ones.
         bounds, last = np.array(edges), 0
         while last < bounds[-1]:
@@ -368,7 +372,7 @@ def repeated_substrings(
     equal id do not take from each other; a row with a null id keeps everything and takes nothing. Repeated
     rows each get a row; an empty table gives no rows; other columns are not looked at.
 
-    A window is filed under the smallest 24-byte hash in it, so equal windows meet whatever surrounds them. A first
+    A window is filed under the smallest 32-byte hash in it, so equal windows meet whatever surrounds them. A first
     scan finds the hashes of several documents; they set a bitmap of ``1 << bits`` bits. A second scan sends
     the windows under such hashes, in stretches, to a task per bucket, where intervals of equal windows are
     expanded to 50 bytes; equal stretches of a batch are sent once. Windows under a very frequent hash are
