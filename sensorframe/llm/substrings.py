@@ -17,7 +17,7 @@ from sensorframe.session import stored
 
 LENGTH = 50
 # A window of LENGTH bytes is filed under the smallest hash of the strings of GRAM bytes in it.
-GRAM = 32
+GRAM = 24
 # Windows that follow one another under the same hash travel together, at most so many.
 STRETCH = 64
 # Bits of the map of hashes that occur in several documents. With more hashes than bits it lets more
@@ -96,7 +96,8 @@ def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
                 step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
                 whole = np.repeat(n, cuts)
                 first, n = np.repeat(first, cuts) + step, np.minimum(STRETCH, whole - step)
-            value, cover = least[first], (n + LENGTH - 1).astype(np.uint64)
+            # Minima are small numbers; mixed once more they fill the map evenly.
+            value, cover = mix(least[first]) >> np.uint64(64 - HASH_BITS), (n + LENGTH - 1).astype(np.uint64)
             key = (total[first + n + LENGTH - 1] - total[first]) * _tables()[1][first]
             yield row[first], place[first] - offsets[row[first]], n, value, mix(mix(key + cover) ^ value)
         begin = end
@@ -372,7 +373,7 @@ def repeated_substrings(
     equal id do not take from each other; a row with a null id keeps everything and takes nothing. Repeated
     rows each get a row; an empty table gives no rows; other columns are not looked at.
 
-    A window is filed under the smallest 32-byte hash in it, so equal windows meet whatever surrounds them. A first
+    A window is filed under the smallest 24-byte hash in it, so equal windows meet whatever surrounds them. A first
     scan finds the hashes of several documents; they set a bitmap of ``1 << bits`` bits. A second scan sends
     the windows under such hashes, in stretches, to a task per bucket, where intervals of equal windows are
     expanded to 50 bytes; equal stretches of a batch are sent once. Windows under a very frequent hash are
