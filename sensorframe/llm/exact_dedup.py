@@ -74,6 +74,17 @@ def exact_dedup(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; ids are taken to be unique."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(id_col))
-    return docs.join(gone.hint("merge"), id_col, "left_anti")  # the same join at every size
+    """The documents that stay, with all their columns.
+
+    The decision is one of rows, not of ids: of a group of equal texts one row stays, repeated rows and null ids
+    included, and a row that shares its id with a dropped one is not touched. Rows are numbered once and stored.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    # The order of exact_dedup, down to the row: smallest id, a null id last, then the row.
+    key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    decided = exact_dedup(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    gone = decided.where(~F.col("kept")).select(F.col("id.row").alias(row))
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)  # the same join at every size

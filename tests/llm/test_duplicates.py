@@ -32,6 +32,15 @@ def test_exact_groups(spark):
     assert {r["doc_id"] for r in kept.collect()} == {3, 5, 7, 10, 11, 12, 13} and "digest" in kept.columns
 
 
+def test_drop_exact_decides_by_row(spark):
+    rows = edge_rows() + [(None, "Twowords"), (None, "Two words"), (4, "Other text of id four"), (8, "Two words more"), (1, "Not null")]
+    kept = drop_exact(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    want = [(3, " \n\t "), (4, "One."), (4, "Other text of id four"), (5, LONG), (7, "!!! 123 ..."), (None, "Two words"), (8, "Two words more"), (1, "Not null")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+    assert drop_exact(documents(spark, [])).collect() == []
+
+
 def brute_near(rows, size):
     sets, parent = {}, {}
     for i, t in rows:
