@@ -17,8 +17,6 @@ from sensorframe.session import stored
 
 STRIDE = 16  # words; a passage is two strides
 RANK = 64
-# A term in a larger share of the passages has no weight in the retrieval; it still counts in the comparison.
-COMMON = 0.05
 COSINE = 0.45
 SUBSEQUENCE = 0.7
 ANSWER = 0.5
@@ -135,8 +133,9 @@ def latent_space(spark: SparkSession, numbered: DataFrame, benchmark: Benchmark,
     seen = np.zeros(n_terms)
     seen[term[term >= 0]] = n[term >= 0]
     passages = max(1, int(n[term < 0].sum()))
-    idf = np.where(seen > COMMON * passages, 0.0, np.log1p(passages / (seen + 1)))
-    scale = np.where(idf > 0, 1 / np.sqrt(seen + 1), 0.0)
+    # Above 0 for every term, so an item that is in most passages is still found.
+    idf = np.log1p(passages / (seen + 1))
+    scale = 1 / np.sqrt(seen + 1)
     basis = np.random.default_rng(seed).standard_normal((n_terms, min(rank, n_terms)))
     sums = [F.sum(F.get("row", F.lit(k))).alias(f"c{k}") for k in range(basis.shape[1])]
     shared = spark.sparkContext.broadcast((scale, basis))

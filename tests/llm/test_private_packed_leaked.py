@@ -167,6 +167,18 @@ def test_benchmark_passages_are_found(spark):
     assert contaminated(spark, documents(spark, rows), items.limit(0)).collect() == []
 
 
+def test_benchmark_passage_in_most_documents_and_in_one(spark):
+    rng = random.Random(15)
+    items = [(i, prose(rng, 18)) for i in range(20)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(rng, rng.randint(5, 40)) + " " + (items[7][1] if i % 3 else prose(rng, 18)) + " " + prose(rng, rng.randint(0, 40))) for i in range(150)]
+    rows += [(200, prose(rng, 20) + " " + items[3][1])]
+    got = {(r["id"], r["item_id"]) for r in contaminated(spark, documents(spark, rows), table).collect()}
+    assert got == {(i, 7) for i in range(150) if i % 3} | {(200, 3)}
+    one = [(1, prose(rng, 9) + " " + items[5][1] + " " + prose(rng, 9))]
+    assert [(r["id"], r["item_id"]) for r in contaminated(spark, documents(spark, one), table).collect()] == [(1, 5)]
+
+
 def test_pipeline_stages_one_by_one(spark, sf_dir):
     """Each stage against brute force on what the one before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
