@@ -22,8 +22,11 @@ SUBSEQUENCE = 0.7
 ANSWER = 0.5
 # The benchmark is the small side and is sent to every task; a larger one is an error, to be given in parts.
 MOST_TERMS = 2_000_000
-# Cells of the table of items and terms that a task holds at once; larger benchmarks are met in blocks of items.
-CELLS = 1 << 26
+# Terms in a larger share of the strides are not counted when candidates are ruled out; that only rules out fewer.
+COMMON = 0.05
+# Strides a task looks at in one step, and cells of its table of strides and items; larger benchmarks are met in blocks.
+STEP = 20_000
+CELLS = 1 << 23
 
 
 @dataclass
@@ -105,7 +108,7 @@ def _gram(weighted, n_terms: int):
         total = np.zeros((omega.shape[1], n_terms))
         for batch in batches:
             words, stride, _ = _passages(batch)
-            keep = np.flatnonzero((words >= 0) & (weight[words] > 0))
+            keep = np.flatnonzero(words >= 0)
             held = stride[keep]
             for i in range(0, int(held[-1]) + 1 if len(held) else 0, 20_000):
                 a, b = np.searchsorted(held, [i, i + 20_000])
@@ -121,7 +124,7 @@ def _gram(weighted, n_terms: int):
 
 
 def latent_space(spark: SparkSession, numbered: DataFrame, benchmark: Benchmark, rank: int = RANK, seed: int = 5):
-    """Weights (TF-IDF) and latent coordinates of all terms, from every passage of every document.
+    """Weights (TF-IDF) and latent coordinates of all terms, and which are rare, from every passage of every document.
 
     A randomised range finder: the Gram matrix AᵀA of the passages times a thin random matrix, as sums over the
     passages of each task that are then added up per term, made orthogonal.
@@ -143,7 +146,7 @@ def latent_space(spark: SparkSession, numbered: DataFrame, benchmark: Benchmark,
     image = basis * 1e-6
     at = product.column("term").to_numpy()
     image[at] += np.column_stack([product.column(f"c{k}").to_numpy() for k in range(basis.shape[1])]) if len(at) else 0
-    return idf, np.linalg.qr(image)[0]
+    return idf, np.linalg.qr(image)[0], seen <= COMMON * passages
 
 
 def _common_length(item: list[int], passage: np.ndarray) -> tuple[int, int, int]:
@@ -164,39 +167,62 @@ def _common_length(item: list[int], passage: np.ndarray) -> tuple[int, int, int]
     return best, first, last
 
 
+def _holders(words: list[np.ndarray], rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a block that have each rare term: first place of each term, and the items."""
+    pairs = np.unique(np.concatenate([np.unique(w[rare[w]]).astype(np.int64) * len(words) + i for i, w in enumerate(words)]))
+    return np.searchsorted(pairs, np.arange(len(rare) + 1) * len(words)), pairs % len(words)
+
+
+def _near(words: np.ndarray, stride: np.ndarray, n: int, place: np.ndarray, bounds: tuple, reach: np.ndarray, holders: tuple) -> np.ndarray:
+    """For each passage and each item of a block: how many words around it are rare terms of the item.
+
+    Around is from ``reach`` strides before to ``reach`` after the passage, within the document: no word that a
+    comparison may match is left out. ``words`` are rare terms and ``stride`` the stride of each, of ``n``; ``place``
+    is the first stride of each passage, ``bounds`` the first and last (exclusive) of its document.
+    """
+    start, items = holders
+    held = start[words + 1] - start[words]
+    item = items[np.repeat(start[words] - np.cumsum(held) + held, held) + np.arange(held.sum())]
+    counts = np.bincount(np.repeat(stride, held) * len(reach) + item, minlength=n * len(reach)).reshape(n, -1)
+    sums = np.zeros((n + 1, len(reach)), np.int32)
+    np.cumsum(counts, axis=0, out=sums[1:])
+    out = np.empty((len(place), len(reach)), np.int32)
+    for r in np.unique(reach):
+        mine = np.flatnonzero(reach == r)
+        out[:, mine] = sums[np.minimum(place + 2 + r, bounds[1])][:, mine] - sums[np.maximum(place - r, bounds[0])][:, mine]
+    return out
+
+
 def _searcher(shared, cosine: float, subsequence: float, answer: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark, idf, basis = shared.value
+        benchmark, idf, basis, rare = shared.value
         coordinates = np.ascontiguousarray((idf[:, None] * basis).T)
         targets = np.array([coordinates[:, w].sum(axis=1) for w in benchmark.words], np.float32).reshape(-1, basis.shape[1])
         targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
         items = [w.tolist() for w in benchmark.words]
-        n_terms = len(benchmark.terms)
-        step = max(1, CELLS // (n_terms + 1))
-        # If enough words of an item are in order, so many of its rare ones are near: all but those that may miss.
-        # Two neighbouring strides then hold their part of these. Fewer rule a candidate out before it is compared.
-        rare = np.array([(idf[w] > 0).sum() for w in benchmark.words])
+        distinct = [set(w) for w in items]
+        step = max(1, CELLS // STEP)
+        # A confirmed item misses at most ``spare`` of its words. All its other rare ones are among the words that
+        # are compared, which reach its own length beyond the passage; fewer there rule a candidate out.
         size = np.array([len(w) for w in benchmark.words])
-        near = np.where(size <= STRIDE + 1, 1.0, 2.0 / (-(-size // STRIDE) + 2))
-        least = np.maximum(np.ceil((rare - (1 - subsequence) * size) * near - 1e-9), 1)
+        spare = size - np.ceil(subsequence * size - 1e-9).astype(int)
+        least = np.array([rare[w].sum() for w in benchmark.words]) - spare
+        reach = -(-size // STRIDE)
+
         @lru_cache(1)
-        def members(k: int) -> np.ndarray:
-            """Which rare terms each item of a block has; the last column is for words of no item."""
-            block = benchmark.words[k : k + step]
-            out = np.zeros((len(block), n_terms + 1), bool)
-            for i, w in enumerate(block):
-                out[i, w[idf[w] > 0]] = True
-            return out
+        def holders(k: int) -> tuple[np.ndarray, np.ndarray]:
+            return _holders(benchmark.words[k : k + step], rare)
 
         # The answer of an item is the quarter of its terms that are rarest.
         answers = [set(sorted(set(w), key=lambda t: (-idf[t], t))[: -(-len(set(w)) // 4)]) for w in items]
         for batch in batches:
             words, stride, strides = _passages(batch)
             offsets = utf8(batch.column("words"))[1] // 4
-            keep = np.flatnonzero((words >= 0) & (idf[words] > 0))
+            keep = np.flatnonzero(words >= 0)
             held = stride[keep]
+            some_rare = keep[rare[words[keep]]]
+            held_rare = stride[some_rare]
             begin = np.repeat(offsets[:-1], np.diff(strides)) + (np.arange(strides[-1]) - np.repeat(strides[:-1], np.diff(strides))) * STRIDE
-            until = np.minimum(begin + 2 * STRIDE, np.repeat(offsets[1:], np.diff(strides)))
             final = np.zeros(strides[-1] + 1, bool)
             final[strides[1:] - 1] = True  # the last stride of a document is a passage by itself
             owner = np.repeat(np.arange(batch.num_rows), np.diff(strides))
@@ -206,7 +232,10 @@ def _searcher(shared, cosine: float, subsequence: float, answer: float):
                 a, b = int(offsets[doc]), int(offsets[doc + 1])
                 size = len(items[item])
                 from_, to = max(a, int(begin[at]) - size), min(b, int(begin[at]) + 2 * STRIDE + size)
-                length, first, last = _common_length(items[item], words[from_:to].tolist())
+                around = words[from_:to].tolist()
+                if len(distinct[item].intersection(around)) < len(distinct[item]) - spare[item]:
+                    return
+                length, first, last = _common_length(items[item], around)
                 if length < subsequence * size:
                     return
                 share = len(answers[item] & set(words[from_ + first : from_ + last + 1].tolist())) / len(answers[item])
@@ -215,26 +244,24 @@ def _searcher(shared, cosine: float, subsequence: float, answer: float):
                     found[doc, item] = max(found.get((doc, item), row), row)
 
             found: dict[tuple[int, int], tuple] = {}
-            for i in range(0, int(strides[-1]), 20_000):
-                j = min(i + 20_000, int(strides[-1]))
+            for i in range(0, int(strides[-1]), STEP):
+                j = min(i + STEP, int(strides[-1]))
                 a, b = np.searchsorted(held, [i, j + 1])
                 sums = _sums(held[a:b] - i, coordinates, words[keep[a:b]], j - i + 1).T.astype(np.float32)
                 passage = sums[:-1] + np.where(final[i:j, None], np.float32(0), sums[1:])
                 norm = np.linalg.norm(passage, axis=1)
                 some = np.flatnonzero(norm > 0)
                 passage = passage[some] / norm[some, None]
+                # The strides around these as well, as far as any item reaches.
+                low, high = max(0, i - int(reach.max())), min(int(strides[-1]), j + 1 + int(reach.max()))
+                a, b = np.searchsorted(held_rare, [low, high])
+                bounds = np.maximum(strides[owner[some + i]] - low, 0), np.minimum(strides[owner[some + i] + 1], high) - low
                 for k in range(0, len(items), step):
-                    member = members(k)
-                    close = passage @ targets[k : k + step].T
-                    p, q = np.nonzero(close >= cosine)
-                    at = some[p] + i
-                    for part in range(0, len(at), 200_000):
-                        x, y = at[part : part + 200_000], q[part : part + 200_000]
-                        place = begin[x, None] + np.arange(2 * STRIDE)
-                        word = np.where(place < until[x, None], words[np.minimum(place, len(words) - 1)], -1)
-                        kept = np.flatnonzero(member[y[:, None], word].sum(axis=1) >= least[y + k])
-                        for z in kept:
-                            compare(int(x[z]), int(y[z]) + k, float(close[p[part + z], y[z]]))
+                    mine = slice(k, k + step)
+                    near = _near(words[some_rare[a:b]], held_rare[a:b] - low, high - low, some + i - low, bounds, reach[mine], holders(k))
+                    close = passage @ targets[mine].T
+                    for p, q in zip(*np.nonzero((close >= cosine) & (near >= least[mine])), strict=True):
+                        compare(int(some[p]) + i, int(q) + k, float(close[p, q]))
             if found:
                 docs, which = (np.array(x) for x in zip(*found, strict=True))
                 common, close, share, first, end = zip(*found.values(), strict=True)
@@ -262,7 +289,8 @@ def contaminated(
 
     Every document is cut into overlapping passages of 32 words, 16 apart. Passages and items are TF-IDF
     vectors in a latent space found by a randomised SVD of all passages. A passage with a cosine of at least
-    ``cosine`` to an item is a candidate. It is confirmed if the longest common subsequence of the item's words
+    ``cosine`` to an item is a candidate; one whose surroundings hold too few of the item's terms for what follows
+    is ruled out by counts. It is confirmed if the longest common subsequence of the item's words
     and the words around the passage has at least ``subsequence`` of the item's words (``common``), and if at
     least ``answer`` of the item's rarest terms occur in it. Case and marks are not looked at, so reworded and
     re-set copies are found.
@@ -279,6 +307,5 @@ def contaminated(
     shared = spark.sparkContext.broadcast(benchmark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     numbered = stored(rows.mapInArrow(_numberer(shared), f"id {kinds[0]}, words binary"))
-    idf, basis = latent_space(spark, numbered, benchmark)
-    model = spark.sparkContext.broadcast((benchmark, idf, basis))
+    model = spark.sparkContext.broadcast((benchmark, *latent_space(spark, numbered, benchmark)))
     return numbered.mapInArrow(_searcher(model, cosine, subsequence, answer), schema)

@@ -179,6 +179,22 @@ def test_benchmark_passage_in_most_documents_and_in_one(spark):
     assert [(r["id"], r["item_id"]) for r in contaminated(spark, documents(spark, one), table).collect()] == [(1, 5)]
 
 
+def test_benchmark_passage_with_words_put_in(spark):
+    """A confirmable passage is found wherever it stands in the document."""
+    rng = random.Random(16)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate((16, 17, 17, 40))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for shift in range(48):
+        for item, text in items:
+            # So many words put in that 12 words of an item of 17 no longer stand within 32.
+            body = " ".join(f"{w} {prose(rng, 2)}" for w in text.split())
+            rows.append((len(rows), f"{prose(rng, shift)} {body} {prose(rng, 20)}"))
+            want.add((rows[-1][0], item))
+    got = contaminated(spark, documents(spark, rows), table).collect()
+    assert {(r["id"], r["item_id"]) for r in got} == want
+
+
 def test_pipeline_stages_one_by_one(spark, sf_dir):
     """Each stage against brute force on what the one before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
