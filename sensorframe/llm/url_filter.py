@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +12,6 @@ from sensorframe.session import stored
 
 PAD, END = "\u0002", "\u0003"
 ORDER = 4
-# A string of characters is a node of the model if it makes up at least this share of all characters.
-SHARE = 1 / 65_536
 # Of the URLs with a rule, those whose id has this remainder calibrate the threshold; the others train.
 FOLDS = 5
 BINS = 400
@@ -47,21 +44,20 @@ def _grams(urls: DataFrame, order: int, *keep: str) -> DataFrame:
     return urls.select(*keep, F.substring("padded", F.col("at"), F.lit(order + 1)).alias("gram"))
 
 
-def train(urls: DataFrame, order: int = ORDER, share: float = SHARE) -> list[tuple[DataFrame, DataFrame]]:
+def train(urls: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
     """Log ratios of the two models for each order: (gram, ratio) and (context, escape ratio).
 
     ``urls`` has url and accepted (boolean). Characters are smoothed by Witten and Bell: with n occurrences of
     the context and t different characters after it, a share t / (n + t) goes to the next shorter context, and
-    below order 0 all characters are alike. Counts cover all given URLs. A gram below ``share`` of all characters is no
-    node and is priced by its escape, so no table has more than ``1 / share`` rows.
+    below order 0 all characters are alike. Counts cover all given URLs, and every gram of either model is kept, so
+    the tables grow with the URLs; only grams that neither model has seen are priced by escapes.
     """
     counts = _grams(urls, order, "accepted").groupBy("gram").agg(
         F.count_if("accepted").alias("n_a"), F.count_if(~F.col("accepted")).alias("n_b")
     )
     counts = stored(counts)
-    total, symbols = counts.agg(F.sum(F.col("n_a") + F.col("n_b")), F.countDistinct(F.right("gram", F.lit(1)))).first()
-    least = max(1, math.ceil((total or 0) * share))
-    shorter = F.lit(1.0 / ((symbols or 0) + 1))
+    symbols = counts.agg(F.countDistinct(F.right("gram", F.lit(1)))).first()[0]
+    shorter = F.lit(1.0 / (symbols + 1))
     lower, levels = None, []
     for k in range(order + 1):
         grams = counts.groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(
@@ -71,7 +67,7 @@ def train(urls: DataFrame, order: int = ORDER, share: float = SHARE) -> list[tup
         contexts = grams.groupBy("context").agg(
             *[F.sum(f"n_{m}").alias(f"s_{m}") for m in "ab"], *[F.count_if(F.col(f"n_{m}") > 0).alias(f"t_{m}") for m in "ab"]
         )
-        kept = grams.where(F.col("n_a") + F.col("n_b") >= least).join(contexts, "context")
+        kept = grams.join(contexts, "context")
         if lower is not None:
             kept = kept.withColumn("suffix", F.right("gram", F.lit(k))).join(lower, "suffix")
         for m in "ab":
@@ -80,12 +76,11 @@ def train(urls: DataFrame, order: int = ORDER, share: float = SHARE) -> list[tup
             kept = kept.withColumn(f"p_{m}", F.when(size == 0, back).otherwise((F.col(f"n_{m}") + F.col(f"t_{m}") * back) / size))
         kept = stored(kept.select("gram", "p_a", "p_b"))
         lower = kept.select(F.col("gram").alias("suffix"), F.col("p_a").alias("q_a"), F.col("p_b").alias("q_b"))
-        known = kept.select(F.expr(f"left(gram, {k})").alias("context")).distinct().join(contexts, "context")
         escape = [F.when(F.col(f"s_{m}") > 0, F.col(f"t_{m}") / (F.col(f"s_{m}") + F.col(f"t_{m}"))).otherwise(1.0) for m in "ab"]
         levels.append(
             (
                 kept.select("gram", F.log(F.col("p_a") / F.col("p_b")).alias("ratio")),
-                known.select("context", F.log(escape[0] / escape[1]).alias("escape")),
+                stored(contexts.select("context", F.log(escape[0] / escape[1]).alias("escape"))),
             )
         )
     return levels
@@ -94,18 +89,20 @@ def train(urls: DataFrame, order: int = ORDER, share: float = SHARE) -> list[tup
 def ratios(urls: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """(row, ratio): log-likelihood of accepted less that of rejected, by character. ``urls`` has row and url."""
     order = len(levels) - 1
-    grams, value = _grams(urls, order, "row"), F.lit(0.0)
+    rows, value = _grams(urls, order, "row"), F.lit(0.0)
+    # Each gram is priced once. No table is bounded, so no join has a hint: Spark goes by measured bytes.
+    grams = rows.select("gram").distinct()
     for k, (ratio, escape) in enumerate(levels):
-        # The tables are bounded by 1 / share rows.
         ratio = ratio.select(F.col("gram").alias("g"), F.col("ratio").alias(f"ratio_{k}"))
-        grams = grams.withColumn("g", F.right("gram", F.lit(k + 1))).join(F.broadcast(ratio), "g", "left").drop("g")
+        grams = grams.withColumn("g", F.right("gram", F.lit(k + 1))).join(ratio, "g", "left").drop("g")
         if k:
             escape = escape.select(F.col("context").alias("c"), F.col("escape").alias(f"escape_{k}"))
             context = F.substring("gram", order + 1 - k, k)
-            grams = grams.withColumn("c", context).join(F.broadcast(escape), "c", "left").drop("c")
+            grams = grams.withColumn("c", context).join(escape, "c", "left").drop("c")
             value = value + F.coalesce(f"escape_{k}", F.lit(0.0))
         value = F.coalesce(f"ratio_{k}", value)
-    return grams.groupBy("row").agg(F.avg(value).alias("ratio"))
+    values = stored(grams.select("gram", value.alias("value")))
+    return rows.join(values, "gram").groupBy("row").agg(F.avg("value").alias("ratio"))
 
 
 def _threshold(scored: DataFrame) -> float:

@@ -6,7 +6,7 @@ from helpers import documents, edge_rows, prose
 from pyspark.sql import functions as F
 
 from sensorframe.llm import language_id, quality
-from sensorframe.llm.url_filter import longest_rule, url_filter
+from sensorframe.llm.url_filter import longest_rule, ratios, train, url_filter
 
 ENGLISH, OTHER = ("the", "ing", "and", "er", "wh", "tion"), ("que", "ñ", "ción", "os", "ll", "ar")
 
@@ -148,3 +148,36 @@ def test_url_rules_and_models(spark):
     assert url_filter(pages.limit(0), RULES).collect() == []
     none = url_filter(pages.where("page_id < 3"), RULES).collect()
     assert [r["verdict"] for r in none] == ["allow"] * 3 and longest_rule([]) is not None
+
+
+def brute_ratio(urls, text, order=4):
+    """Mean log ratio of two Witten-Bell models by plain counting, one character at a time."""
+    import math
+
+    counts = {True: {}, False: {}}
+    for url, accepted in urls:
+        u = "\2" * order + url + "\3"
+        for p in range(order, len(u)):
+            for k in range(order + 1):
+                at = counts[accepted].setdefault(u[p - k : p], {})
+                at[u[p]] = at.get(u[p], 0) + 1
+    symbols = len(counts[True][""].keys() | counts[False][""].keys())
+
+    def share(m, context, c):
+        lower = share(m, context[1:], c) if context else 1 / (symbols + 1)
+        after = counts[m].get(context, {})
+        return (after.get(c, 0) + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
+
+    u = "\2" * order + text + "\3"
+    return sum(math.log(share(True, u[p - order : p], u[p]) / share(False, u[p - order : p], u[p])) for p in range(order, len(u))) / (len(u) - order)
+
+
+def test_url_models_of_a_small_class_against_plain_counting(spark):
+    """Grams of a class that has a thousandth of the characters are kept."""
+    rng = random.Random(9)
+    urls = [(f"http://{prose(rng, 1)}.com/good/{prose(rng, 1)}/{i}", True) for i in range(6000)]
+    urls += [(f"http://{w}.net/win-{w}?q={w}", False) for w in ("casino", "poker", "lotto", "bingo", "roulette")]
+    levels = train(spark.createDataFrame(urls, "url string, accepted boolean"))
+    texts = ["http://casino.org/win-roulette", "http://poker.com/good/7", "", "win?q=bingo", urls[5][0], urls[-1][0]]
+    got = {r["row"]: r["ratio"] for r in ratios(spark.createDataFrame(list(enumerate(texts)), "row long, url string"), levels).collect()}
+    assert got == {i: pytest.approx(brute_ratio(urls, t), abs=1e-9) for i, t in enumerate(texts)}
