@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorframe.session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +23,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, longer by underscores until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def numbered_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """The stored rows with a number each, and the name of its column: what a decision about rows hangs on.
+
+    Ids may be null or repeated; the numbers are not, and as the rows are stored, they stay the same.
+    """
+    row = free_name(df, "_row")
+    return stored(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offset of each text in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

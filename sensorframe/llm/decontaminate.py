@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import Lookup, utf8
+from sensorframe.llm.common import Lookup, numbered_rows, utf8
 from sensorframe.llm.words import letters_and_digits, word_hashes
 from sensorframe.session import stored
 
@@ -309,3 +309,25 @@ def contaminated(
     numbered = stored(rows.mapInArrow(_numberer(shared), f"id {kinds[0]}, words binary"))
     model = spark.sparkContext.broadcast((benchmark, *latent_space(spark, numbered, benchmark)))
     return numbered.mapInArrow(_searcher(model, cosine, subsequence, answer), schema)
+
+
+def drop_contaminated(
+    spark: SparkSession,
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows are looked at, not ids: a row with a null id goes if its text holds an item, and one that shares its id
+    with such a row does not. Null and empty texts stay, texts of any length are read whole, repeated rows share
+    their fate, columns of any name pass through; an empty table, or an empty benchmark, changes nothing.
+    """
+    rows, row = numbered_rows(docs)
+    texts = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
+    found = contaminated(spark, texts, items, "id", "text", item_id_col, item_text_col)
+    gone = stored(found.select(F.col("id").alias(row)).distinct())
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)  # the same join at every size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import bitmap, marked, slot_of
+from sensorframe.llm.common import bitmap, marked, numbered_rows, slot_of
 from sensorframe.session import stored
 
 WHITE_SPACE = r"[ \t-\r]+"
@@ -79,10 +79,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The decision is one of rows, not of ids: of a group of equal texts one row stays, repeated rows and null ids
     included, and a row that shares its id with a dropped one is not touched. Rows are numbered once and stored.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows, row = numbered_rows(docs)
     # The order of exact_dedup, down to the row: smallest id, a null id last, then the row.
     key = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     decided = exact_dedup(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import bitmap, marked, partitions, slot_of, utf8
+from sensorframe.llm.common import bitmap, marked, numbered_rows, partitions, slot_of, utf8
 from sensorframe.llm.components import connected_components
 from sensorframe.llm.words import blank_separated, mix, word_hashes
 from sensorframe.session import stored
@@ -310,3 +310,23 @@ def near_dedup(
         F.coalesce("component", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80) -> DataFrame:
+    """One document of each group of near duplicates, and all others, with all their columns.
+
+    Groups are those of ``near_dedup`` over rows, not ids: of a group the row with the smallest id stays (a null id
+    counts last, equal ids by their place in the stored rows), and a row that shares its id with a dropped one is
+    not touched. Null, empty and blank texts all stay. Texts of any length are read whole; columns of any name
+    pass through; an empty table stays empty.
+    """
+    rows, row = numbered_rows(docs)
+    groups = near_dedup(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), size=size, similarity=similarity)
+    groups = stored(groups.select(F.col("id").alias("r"), F.col("component_id").alias("group")))
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    members = groups.join(several, "group")
+    order = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    members = stored(members.join(rows.select(F.col(row).alias("r"), order.alias("order")), "r"))
+    first = members.groupBy("group").agg(F.min("order").alias("first"))
+    gone = members.join(first, "group").where("order.row != first.row").select(F.col("r").alias(row))
+    return rows.join(gone.hint("merge"), row, "left_anti").select(*docs.columns)  # the same join at every size

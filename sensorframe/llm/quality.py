@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.common import free_name
 from sensorframe.session import stored
 
 # At most so many labelled rows fit the model; statistics and scores cover every text.
@@ -19,19 +20,17 @@ SAMPLE = 20_000
 Condition = tuple[str, str, float]  # statistic, "<=" or ">", threshold
 
 
-PREFIX = "_q_"
-
-
 def with_statistics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, Column]]:
     """The rows with statistics of the whole text in further columns, and these columns by name.
 
     Null counts as empty, and every value is finite. Words and statistics are columns of their own, so that
-    each is computed once however many rules ask for it.
+    each is computed once however many rules ask for it. Their names begin with a prefix that no column has.
     """
-    text, words, lines = (F.col(PREFIX + x) for x in ("text", "words", "lines"))
-    df = df.withColumn(PREFIX + "text", F.coalesce(F.col(text_col), F.lit("")))
+    prefix = free_name(df, "_q_")
+    text, words, lines = (F.col(prefix + x) for x in ("text", "words", "lines"))
+    df = df.withColumn(prefix + "text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns(
-        {PREFIX + "words": F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != ""), PREFIX + "lines": F.split(text, "\n")}
+        {prefix + "words": F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != ""), prefix + "lines": F.split(text, "\n")}
     )
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
@@ -53,8 +52,8 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, d
         "line_words": n / F.size(lines),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
     }
-    df = df.withColumns({PREFIX + k: c.cast("double") for k, c in stats.items()})
-    return df, {k: F.col(PREFIX + k) for k in stats}
+    df = df.withColumns({prefix + k: c.cast("double") for k, c in stats.items()})
+    return df, {k: F.col(prefix + k) for k in stats}
 
 
 @dataclass
@@ -140,7 +139,18 @@ def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text", out: s
     """All rows and columns with the score of the whole text in a column ``out``, which replaces one of that name.
 
     The statistics and the compiled rules are built-in expressions of one scan without a shuffle. Null and
-    empty texts are scored like any other.
+    empty texts are scored like any other, texts of any length whole, repeated rows each; an empty table gives none.
+    Do not filter on the score in the same plan: the optimiser would move the filter below the columns of
+    statistics and compute them anew for every rule. Store the scores first, as ``keep_scored`` does.
     """
     rows, stats = with_statistics(docs, text_col)
     return rows.withColumn(out, model.score(stats)).select(*[c for c in docs.columns if c != out], out)
+
+
+def keep_scored(docs: DataFrame, model: RuleModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose score is at least ``least``, with all their columns; scores are stored before the filter.
+
+    Every row is judged by its text alone, whatever its id; null and empty texts are scored like any other.
+    """
+    out = free_name(docs, "_score")
+    return stored(with_score(docs, model, text_col, out)).where(F.col(out) >= least).select(*docs.columns)

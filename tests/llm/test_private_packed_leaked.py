@@ -227,3 +227,37 @@ def test_pipeline_stages_one_by_one(spark, sf_dir):
     check_packing(rows, list(kept.items()))
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole} == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows}
+
+
+def test_pipeline_stages_decide_by_row(spark, sf_dir):
+    """Null ids, namesakes, repeated rows, empty and long texts through every stage."""
+    rng = random.Random(5)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    base = prose(rng, 120)
+    near, clean = base + " more", [prose(rng, 90) for _ in range(3)]
+    rows = [(1, base), (None, near), (2, clean[0]), (None, f"{prose(rng, 20)} {item}"), (7, f"{item} {prose(rng, 9)}"), (7, clean[1])]
+    rows += [(None, clean[2]), (None, None), (3, ""), (4, LONG)]
+    docs = documents(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def texts(stage, table=docs):
+        out = stages[stage](spark, table, sf_dir)
+        assert out.columns == docs.columns
+        return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+
+    def but(*gone):
+        return sorted((i is None, i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in gone)
+
+    assert texts("exact_dedup") == but(7)
+    assert texts("minhash_near_dedup") == but(1)
+    assert texts("decontaminate") == but(3, 4)
+    assert len(texts("quality_classifier")) <= len(rows)
+    for name in list(stages)[:-1]:
+        assert texts(name, docs.where("false")) == []
+
+
+def test_no_statistic_is_computed_in_a_filter(spark, sf_dir):
+    """A filter below the columns of statistics would compute them anew for every rule."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.keep_quality(spark, docs, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split(" not in plan
