@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import chat, language_id, packing, quality
+from sensorframe.llm import chat, language_id, packing, periodic, quality
 from sensorframe.llm.common import remainder, table
 from sensorframe.llm.decontaminate import contaminated
 from sensorframe.llm.exact_dedup import exact_dedup
@@ -177,3 +177,38 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.unionByName(spark.createDataFrame(control, "conv_id long, turn long, role string, text string"))
     turns = turns.withColumn("parts", chat.text_part(F.col("text")))
     return chat.conversation_digests(chat.format_chat(turns)).withColumnRenamed("conv", "conv_id")
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The texts; for each tenth CRC-32 of the id, the words from a place on repeat with a period that the CRC-32 gives."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        every = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.when(n > 0, F.array_join(F.transform(every, lambda i: F.get(w, place(i))), " ")).otherwise("")
+
+    # The words are bound to a variable, so that they are taken from the text once.
+    planted = F.transform(F.array(words), repeated)[0]
+    return docs.select("doc_id", F.when((crc % 10 == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(_with_planted_periods(table(spark, sf_dir, "documents")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    out = out.withColumn("best", best).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+    return out
