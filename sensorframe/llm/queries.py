@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import chat, language_id, packing, periodic, quality
+from sensorframe.llm import chat, language_id, lexical, packing, periodic, quality
 from sensorframe.llm.common import remainder, table
 from sensorframe.llm.decontaminate import contaminated
 from sensorframe.llm.exact_dedup import exact_dedup
@@ -212,3 +212,24 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept_text", 256).alias("collapsed_sha256"),
     )
     return out
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_lexical_search",
+    f"""WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+t AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lexical.ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
