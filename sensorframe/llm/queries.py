@@ -122,18 +122,25 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op2_line_dedup",
-    """WITH u AS (
+    r"""WITH u AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+p AS (SELECT *, regexp_extract_all(line, '[^.!?]*[.!?]+|[^.!?]+') AS s FROM u),
+e AS (SELECT doc_id, i, 0 AS j, line AS unit, 12 AS least FROM u
+  UNION ALL SELECT doc_id, i, unnest(range(1, len(s) + 1)) AS j, unnest(s) AS unit, 32 AS least FROM p WHERE len(s) > 1),
 n AS (
-  SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal FROM u),
-r AS (
-  SELECT *, normal <> '' AND length(normal) - length(replace(normal, ' ', '')) + 1 >= 5
-    AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, i) > 1 AS gone FROM n)
-SELECT doc_id, count(*) AS n_units, count_if(gone) AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id""",
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal FROM e),
+g AS (
+  SELECT doc_id, i, j, row_number() OVER (PARTITION BY normal ORDER BY doc_id, i, j) > 1 AS gone
+  FROM n WHERE length(normal) >= least),
+k AS (SELECT n.doc_id, n.i, n.j, n.unit, coalesce(g.gone, false) AS gone FROM n LEFT JOIN g USING (doc_id, i, j)),
+l AS (
+  SELECT doc_id, i, bool_or(gone) FILTER (j = 0) AS whole, count_if(gone AND j > 0) AS cut, max(unit) FILTER (j = 0) AS line,
+    string_agg(unit, '' ORDER BY j) FILTER (j > 0 AND NOT gone) AS rest FROM k GROUP BY doc_id, i)
+SELECT doc_id, count(*) AS n_units, sum(CASE WHEN whole THEN 1 ELSE cut END)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN cut > 0 THEN coalesce(rest, '') ELSE line END, chr(10) ORDER BY i) FILTER (NOT whole), '')) AS kept_sha256
+FROM l GROUP BY doc_id""",
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))

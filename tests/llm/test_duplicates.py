@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import duckdb
 from helpers import LONG, documents, edge_rows, near_copies, prose, words
 from pyspark.sql import functions as F
 
+from sensorframe.llm import queries
 from sensorframe.llm.components import connected_components
 from sensorframe.llm.exact_dedup import drop_exact, exact_dedup
 from sensorframe.llm.line_dedup import PARAGRAPH, line_dedup
@@ -167,3 +169,41 @@ def test_lines_and_paragraphs(spark):
     assert {r["id"]: r["kept_text"] for r in paragraphs.collect()} == {1: "one two three\nfour five\n\nb", 2: "a"}
     assert line_dedup(documents(spark, [])).collect() == []
     assert line_dedup(documents(spark, rows)).where(F.size("removed") > 0).count() == 3
+
+
+def test_passages_within_longer_lines(spark):
+    """Passages of sentences, put into lines of other text at any place, are met; texts without one are left alone."""
+    rng = random.Random(11)
+    sentence = lambda: prose(rng, rng.randint(6, 12)).capitalize() + rng.choice(". . . ! ?".split())
+    passages = [" ".join(sentence() for _ in range(7)) for _ in range(5)]
+    rows, planted = [], set()
+    for i in range(300):
+        lines = [" ".join(sentence() for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5))] + ["}", "Home"]
+        if i % 3 == 0:
+            k = rng.randrange(len(lines))
+            lines[k] = f"{prose(rng, 4)} {rng.choice(passages)} {prose(rng, 3)}"
+            planted.add(i)
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    got = {r["id"]: r for r in line_dedup(documents(spark, rows)).collect()}
+    hit = {i for i, r in got.items() if r["removed"]}
+    recall = len(hit & planted) / (len(planted) - len(passages))
+    assert recall == 1.0 and not hit - planted
+    for i, text in rows:
+        spans = got[i]["removed"]
+        assert all(any(text[s["start"] : s["end"]].strip() in p for p in passages) for s in spans)
+        assert sum(s["end"] - s["start"] for s in spans) + len(got[i]["kept_text"]) == len(text)
+    whole_units = line_dedup(documents(spark, rows), least_sentence=None).where(F.size("removed") > 0)
+    assert whole_units.count() == 0
+    every = line_dedup(documents(spark, rows), least_unit=1).where(F.size("removed") > 0).count()
+    assert every > 290
+
+
+def test_line_query_against_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.execute(queries.SQL["op2_line_dedup"]).df()
+    got = queries.QUERIES["op2_line_dedup"](spark, sf_dir).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and want["n_removed"].sum() > 50
+    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))
