@@ -1,10 +1,10 @@
 """Random-intercept models per group, used to impute site values, and their predictions.
 
-Per unit (site) Spark aggregates counts and sums. The likelihood of the Gaussian model depends on a unit
-only through its size and those sums, so units of equal size are added up first: a group shrinks to one
-row per distinct size (fewer than the square root of twice its rows). The Poisson model shrinks to one
-row per distinct pattern of counts and total. Only those rows reach the small optimiser. The fits, one
-row per group, are stored, since unit effects and predictions both build on them.
+Per unit (site) Spark aggregates counts and sums, and units that the likelihood cannot tell apart are added up:
+units of equal size in the Gaussian model, units of equal counts and total in the Poisson one. The fits then work on
+grouped sums over these rows, round by round, with partial aggregation: the REML criterion at a whole grid of variance
+ratios, or value, gradient and Hessian of the Laplace likelihood. Only these sums, one row per group (and place
+of the grid), reach a small solver, so a group may have any number of units. The state of a round is one stored row per group.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sensorframe.functions.nulls import round_to
-from sensorframe.operators.reshape import spread
+from sensorframe.operators.reshape import compact_join, spread
 from sensorframe.session import stored
 
 Factors = Mapping[str, Sequence]
@@ -46,15 +46,17 @@ def _dummies(factors: Factors) -> list[Column]:
     return out
 
 
-def _linear(beta: Column, factors: Factors) -> Column:
-    """Fixed part of the prediction from the coefficient array; null at a level that the fit has not seen."""
+def _linear(beta: Column, seen: Column, factors: Factors) -> Column:
+    """Fixed part of the prediction from the coefficients; null at a level that no row of the group has."""
     total = beta[0]
-    i = 1
+    i = place = 0
     for name, levels in factors.items():
-        total = F.when(F.col(name).isin(*levels), total) if levels else F.lit(None).cast("double")
-        for level in levels[1:]:
-            total = total + F.when(F.col(name) == F.lit(level), beta[i]).otherwise(0.0)
-            i += 1
+        part = F.lit(None).cast("double")
+        for k, level in enumerate(levels):
+            slope = beta[i + k] if k else F.lit(0.0)
+            part = F.when(F.col(name) == F.lit(level), F.when(seen[place + k], slope)).otherwise(part)
+        total = total + part
+        i, place = i + len(levels) - 1, place + len(levels)
     return total
 
 
@@ -65,92 +67,86 @@ def _complete(df: DataFrame, group: str, unit: str, y: str, factors) -> DataFram
 
 # --- Gaussian ---------------------------------------------------------------------------------------
 
+# Logarithms of the variance ratio that are searched, and intervals of a grid; three rounds narrow it to a thousandth.
+LOWEST, HIGHEST = -18.0, 12.0
+INTERVALS, ROUNDS = 64, 3
 
-def _criterion(lam: float, d: dict) -> tuple[float, np.ndarray, float]:
-    """REML criterion at a variance ratio, with the coefficients and residual variance there."""
-    w = lam / (1.0 + d["n"] * lam)
-    a = d["xx"] - np.tensordot(w, d["ss"], 1)
-    c = d["xy"] - w @ d["sv"]
-    q = d["yy"] - w @ d["vv"]
-    beta = np.linalg.solve(a, c)
-    dof = d["rows"] - len(c)
-    sigma2 = max((q - beta @ c) / dof, 1e-300)
-    log_det = float(d["units"] @ np.log1p(d["n"] * lam))
-    return dof * math.log(sigma2) + log_det + np.linalg.slogdet(a)[1], beta, sigma2
-
-
-def _minimise(f, low: float, high: float, tolerance: float = 1e-10) -> float:
-    """Golden-section search, started from the best point of a coarse grid."""
-    grid = np.linspace(low, high, 61)
-    best = int(np.argmin([f(g) for g in grid]))
-    a, b = grid[max(best - 1, 0)], grid[min(best + 1, 60)]
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = b - ratio * (b - a), a + ratio * (b - a)
-    fc, fd = f(c), f(d)
-    while b - a > tolerance:
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = f(d)
-    return (a + b) / 2
-
-
-def reml(rows: pd.DataFrame) -> tuple[list[float], float, float, bool]:
-    """Coefficients, variance ratio and residual variance from the summed sizes of one group.
-
-    The last value tells whether the variance ratio was found inside the range searched, or is zero.
-    """
-    size = len(rows["xy"].iloc[0])
-    upper = np.triu_indices(size)
 
-    def square(flat) -> np.ndarray:
-        out = np.zeros((size, size))
-        out[upper] = flat
-        return out + np.triu(out, 1).T
+def _square(flat, size: int) -> np.ndarray:
+    out = np.zeros((size, size))
+    out[np.triu_indices(size)] = flat
+    return out + np.triu(out, 1).T
+
 
-    xx = square(rows["xx"].iloc[0])
+def _independent(xx: np.ndarray) -> list[int]:
+    """Columns that the ones before them do not determine."""
     kept: list[int] = []
-    for j in range(size):
+    for j in range(len(xx)):
         left = xx[j, j]
         if kept and left > 0:
             left -= xx[j, kept] @ np.linalg.solve(xx[np.ix_(kept, kept)], xx[kept, j])
         if left > 1e-10 * max(xx[j, j], 1.0):
             kept.append(j)
-    pick = np.ix_(kept, kept)
-    d = {
-        "n": rows["size"].to_numpy(float),
-        "units": rows["units"].to_numpy(float),
-        "ss": np.stack([square(s)[pick] for s in rows["ss"]]),
-        "sv": np.stack([np.asarray(s, float)[kept] for s in rows["sv"]]),
-        "vv": rows["vv"].to_numpy(float),
-        "xx": xx[pick],
-        "xy": np.asarray(rows["xy"].iloc[0], float)[kept],
-        "yy": float(rows["yy"].iloc[0]),
-    }
-    d["rows"] = float(d["n"] @ d["units"])
+    return kept
+
+
+def reml(row) -> tuple[float, list[float], float]:
+    """REML criterion at one variance ratio from summed products, with the coefficients and residual variance there.
+
+    ``row`` has the products over rows (``xx, xy, yy``), the same over unit sums, weighted at the ratio (``ss, sv, vv``),
+    the weighted log determinant and the number of rows. A column that others determine gets a coefficient of zero.
+    """
+    size = len(row.xy)
+    xx = _square(row.xx, size)
+    kept = _independent(xx)
+    a = (xx - _square(row.ss, size))[np.ix_(kept, kept)]
+    c = (np.asarray(row.xy, float) - np.asarray(row.sv, float))[kept]
     beta = np.zeros(size)
-    if d["rows"] <= len(kept):
-        beta[kept] = np.linalg.solve(d["xx"], d["xy"])
-        return beta.tolist(), 0.0, math.nan, True
-    log_ratio = _minimise(lambda v: _criterion(math.exp(v), d)[0], -18.0, 12.0)
-    lam = math.exp(log_ratio)
-    if _criterion(0.0, d)[0] <= _criterion(lam, d)[0]:
-        lam = 0.0
-    _, b, sigma2 = _criterion(lam, d)
-    beta[kept] = b
-    return beta.tolist(), lam, sigma2, lam == 0.0 or log_ratio < 12.0 - 1e-6
+    beta[kept] = np.linalg.solve(a, c)
+    dof = row.rows - len(kept)
+    if dof <= 0:
+        return math.nan, beta.tolist(), math.nan
+    sigma2 = max((row.yy - row.vv - beta[kept] @ c) / dof, 1e-300)
+    return dof * math.log(sigma2) + row.log_det + np.linalg.slogdet(a)[1], beta.tolist(), sigma2
+
+
+def _criteria(sizes: DataFrame, totals: DataFrame, ratios: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows ``group, j, log_ratio, criterion, beta, sigma2`` for rows ``group, j, log_ratio`` (null: a ratio of zero).
+
+    Sums over sizes add up before the shuffle, for all ratios at once.
+    """
+    ratio = F.coalesce(F.exp("log_ratio"), F.lit(0.0))
+    at = compact_join(sizes, ratios, [group]).withColumn("w", ratio / (1 + F.col("size") * ratio))
+    n = size * (size + 1) // 2
+    w = F.col("w")
+    sums = at.groupBy(group, "j", "log_ratio").agg(
+        F.array(*[F.sum(w * F.col("ss")[i]) for i in range(n)]).alias("ss"),
+        F.array(*[F.sum(w * F.col("sv")[i]) for i in range(size)]).alias("sv"),
+        F.sum(w * F.col("vv")).alias("vv"),
+        F.sum(F.col("units") * F.log1p(F.col("size") * ratio)).alias("log_det"),
+    )
+    kind = dict(sizes.dtypes)[group]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch[group], batch.drop(columns=[group]).itertuples(index=False), strict=True)
+            found = [(key, row.j, row.log_ratio, *reml(row)) for key, row in rows]
+            yield pd.DataFrame(found, columns=[group, "j", "log_ratio", "criterion", "beta", "sigma2"])
+
+    return spread(compact_join(sums, totals, [group]), [group, "j"]).mapInPandas(
+        solve, f"`{group}` {kind}, j int, log_ratio double, criterion double, beta array<double>, sigma2 double"
+    )
 
 
 def gaussian_fit(
     df: DataFrame, group: str, unit: str, y: str, factors: Factors | Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit per group and unit effects: (``group, beta, ratio, sigma2, converged``) and (``group, unit, effect``).
+    """Fit per group and unit effects: (``group, beta, seen, ratio, sigma2, converged``) and (``group, unit, effect``).
 
-    ``factors`` are whole-number columns; their levels come from the data unless given.
+    ``factors`` are whole-number columns; their levels come from the data unless given. ``seen`` tells for every level
+    whether the group has rows of it. The REML criterion is summed up at a grid of variance ratios, which is narrowed
+    around its best place round by round; a parabola through the last three places gives the ratio, unless zero is
+    better. ``converged`` is false if the best ratio is at the upper end of the range.
     """
     if not isinstance(factors, Mapping):
         factors = _levels(df, group, unit, y, factors)
@@ -159,11 +155,15 @@ def gaussian_fit(
     size = len(x)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     yv = F.col("_y")
+    seen = [F.count_if(F.col(name) == F.lit(level)) > 0 for name, levels in factors.items() for level in levels]
     totals = rows.groupBy(group).agg(
         F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("xx"),
         F.array(*[F.sum(xi * yv) for xi in x]).alias("xy"),
         F.sum(yv * yv).alias("yy"),
+        F.count(F.lit(1)).alias("rows"),
+        F.array(*seen).alias("seen"),
     )
+    totals = stored(totals)
     units = rows.groupBy(group, unit).agg(
         F.count(F.lit(1)).alias("size"), F.array(*[F.sum(xi) for xi in x]).alias("s"), F.sum(yv).alias("v")
     )
@@ -174,17 +174,37 @@ def gaussian_fit(
         F.array(*[F.sum(s[i] * v) for i in range(size)]).alias("sv"),
         F.sum(v * v).alias("vv"),
     )
-    kind = dict(df.dtypes)[group]
-
-    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        beta, lam, sigma2, good = reml(frame)
-        return pd.DataFrame({group: [key[0]], "beta": [beta], "ratio": [lam], "sigma2": [sigma2], "converged": [good]})
-
-    fit = (
-        spread(sizes.join(totals, group), [group])
-        .groupBy(group)
-        .applyInPandas(solve, f"`{group}` {kind}, beta array<double>, ratio double, sigma2 double, converged boolean")
-    )
+    sizes = stored(sizes)
+    sums = totals.drop("seen")
+    low, step = F.lit(LOWEST), F.lit((HIGHEST - LOWEST) / INTERVALS)
+    state = totals.select(group, low.alias("low"), step.alias("step"))
+    best, at_best = F.col("best"), F.col("places")[F.col("best")]
+    for _ in range(ROUNDS):
+        j = F.explode(F.sequence(F.lit(0), F.lit(INTERVALS)))
+        places = state.select(group, "low", "step", j.alias("j"))
+        places = places.select(group, "j", (F.col("low") + F.col("step") * F.col("j")).alias("log_ratio"))
+        found = _criteria(sizes, sums, places, group, size)
+        # The grid of a group, in order; its size is fixed.
+        grid = found.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("j", "criterion", "log_ratio"))).alias("places"))
+        lowest = F.array_min(F.transform("places", lambda p: F.struct(p["criterion"], p["j"])))
+        grid = stored(grid.withColumn("best", F.least(F.greatest(lowest["j"], F.lit(1)), F.lit(INTERVALS - 1))))
+        wide = F.col("places")[1]["log_ratio"] - F.col("places")[0]["log_ratio"]
+        state = grid.select(group, (at_best["log_ratio"] - wide).alias("low"), (2 * wide / INTERVALS).alias("step"))
+    before, after = F.col("places")[best - 1], F.col("places")[best + 1]
+    bend = before["criterion"] - 2 * at_best["criterion"] + after["criterion"]
+    shift = F.when(bend > 0, (before["criterion"] - after["criterion"]) / (2 * bend)).otherwise(0.0)
+    wide = after["log_ratio"] - at_best["log_ratio"]
+    vertex = at_best["log_ratio"] + F.greatest(F.least(shift, F.lit(1.0)), F.lit(-1.0)) * wide
+    last = grid.select(group, F.explode(F.array(F.struct(F.lit(0).alias("j"), vertex.alias("log_ratio")), F.struct(F.lit(1).alias("j"), F.lit(None).cast("double").alias("log_ratio")))).alias("p"))
+    last = _criteria(sizes, sums, last.select(group, "p.*"), group, size)
+    # Of equal criteria, and where there are too few rows for one, a ratio of zero.
+    pick = F.min(F.struct(F.col("criterion"), (-F.col("j")).alias("j"), "log_ratio", "beta", "sigma2")).alias("fit")
+    fit = last.groupBy(group).agg(pick).join(totals.select(group, "seen"), group)
+    ratio = F.coalesce(F.exp("fit.log_ratio"), F.lit(0.0))
+    fit = fit.select(
+        group, "fit.beta", "seen", ratio.alias("ratio"), "fit.sigma2",
+        F.coalesce(F.col("fit.log_ratio") < HIGHEST - 1e-3, F.lit(True)).alias("converged"),
+    )
     fit = stored(fit)
     expected = sum((s[i] * F.col("beta")[i] for i in range(1, size)), s[0] * F.col("beta")[0])
     weight = F.col("ratio") / (1 + F.col("size") * F.col("ratio"))
@@ -195,89 +215,134 @@ def gaussian_fit(
 def impute_gaussian(
     df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factors: Sequence[str], digits: int = 2
 ) -> DataFrame:
-    """Targets (``group, unit`` and the factors) with the rounded prediction as column ``y``.
+    """Targets (``group, unit`` and the factors) with the rounded prediction as column ``y``, and ``converged``.
 
-    Units without data get the group's fixed part alone; a target at a level that no row has gets null.
+    Units without data get the group's fixed part alone; a target at a level that no row of its group has gets
+    null. ``converged`` tells whether the group's fit did, and is null for a group without one.
     """
     factors = _levels(df, group, unit, y, list(factors))
     fit, effects = gaussian_fit(df, group, unit, y, factors)
-    joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta"), group, "left")
-    value = _linear(F.col("beta"), factors) + F.coalesce(F.col("effect"), F.lit(0.0))
-    return joined.select(*targets.columns, round_to(value, digits).alias(y))
+    joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta", "seen", "converged"), group, "left")
+    value = _linear(F.col("beta"), F.col("seen"), factors) + F.coalesce(F.col("effect"), F.lit(0.0))
+    return joined.select(*targets.columns, round_to(value, digits).alias(y), "converged")
 
 
 # --- Poisson ----------------------------------------------------------------------------------------
 
+# Newton steps for the effect of a unit (from a close start), and for the parameters of a group.
+INNER, OUTER = 25, 60
+SMALLEST_LOG_SD = -12.0
+# Coefficient of a level whose counts are all zero; its best value is minus infinity.
+NOTHING = -30.0
 
-def unit_modes(total: np.ndarray, rate: np.ndarray, sigma2, start: np.ndarray | None = None) -> np.ndarray:
-    """Most likely unit effects: roots of ``total - rate * exp(u) - u / sigma2``."""
-    u = start if start is not None else np.where(total > 0, np.log((total + 0.5) / (rate + 1e-12)), 0.0) * (sigma2 / (sigma2 + 1.0))
-    for _ in range(100):
-        e = rate * np.exp(u)
-        step = np.clip((total - e - u / sigma2) / (e + 1.0 / sigma2), -2.0, 2.0)
-        u = u + step
-        if np.max(np.abs(step), initial=0.0) < 1e-12:
-            break
-    return u
-
-
-def laplace_loglik(
-    theta: np.ndarray, n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray, start: np.ndarray | None = None
-) -> float:
-    beta, sigma2 = theta[:-1], math.exp(2 * theta[-1])
-    rate = n @ np.exp(beta)
-    u = unit_modes(total, rate, sigma2, start)
-    e = rate * np.exp(u)
-    per_unit = total * u - e - u * u / (2 * sigma2) - 0.5 * np.log1p(sigma2 * e)
-    return float(units @ per_unit + beta @ sums)
-
-
-def laplace_fit(n: np.ndarray, total: np.ndarray, units: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Level means (log scale) and log standard deviation that maximise the Laplace likelihood, and if that was reached."""
-    rows = units @ n
-    theta = np.append(np.log(np.maximum(sums, 0.5) / np.maximum(rows, 1e-12)), math.log(0.3))
-    size = len(theta)
-    value = laplace_loglik(theta, n, total, units, sums)
-    for _ in range(100):
-        h = 1e-4
-        eye = np.eye(size) * h
-        modes = unit_modes(total, n @ np.exp(theta[:-1]), math.exp(2 * theta[-1]))
-        data = (n, total, units, sums, modes)
-        up = np.array([laplace_loglik(theta + e, *data) for e in eye])
-        down = np.array([laplace_loglik(theta - e, *data) for e in eye])
-        gradient = (up - down) / (2 * h)
-        hessian = np.zeros((size, size))
-        for i in range(size):
-            hessian[i, i] = (up[i] - 2 * value + down[i]) / h**2
-            for j in range(i):
-                both = laplace_loglik(theta + eye[i] + eye[j], *data)
-                hessian[i, j] = hessian[j, i] = (both - up[i] - up[j] + value) / h**2
-        roots, vectors = np.linalg.eigh(hessian)
-        downhill = -np.maximum(np.abs(roots), 1e-6 * max(1.0, np.abs(roots).max()))
-        step = np.clip(-vectors @ ((vectors.T @ gradient) / downhill), -2.0, 2.0)
-        scale = 1.0
-        while scale > 1e-6:
-            trial = theta + scale * step
-            trial[-1] = max(trial[-1], -12.0)
-            gained = laplace_loglik(trial, n, total, units, sums) - value
-            if gained >= 0:
-                break
-            scale /= 2
-        if scale <= 1e-6:
-            break
-        moved = np.max(np.abs(trial - theta))
-        theta, value = trial, value + gained
-        if moved < 1e-7 or gained < 1e-10 * (1 + abs(value)):
-            break
-    else:
-        return theta, False
-    return theta, True
+
+def unit_mode(total: Column, rate: Column, variance: Column) -> Column:
+    """Most likely effect of a unit: the root of ``total - rate * exp(u) - u / variance``, by Newton steps."""
+    start = F.when(total > 0, F.log((total + 0.5) / (rate + 1e-12))).otherwise(0.0) * (variance / (variance + 1))
+
+    def newton(u: Column, _: Column) -> Column:
+        e = rate * F.exp(u)
+        move = (total - e - u / variance) / (e + 1 / variance)
+        return u + F.greatest(F.least(move, F.lit(2.0)), F.lit(-2.0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(INNER)), start, newton)
+
+
+def _rates(n: Column, beta: Column) -> Column:
+    """Expected counts of a unit without its effect, per level; a level without rows in the group has none."""
+    return F.zip_with(n, beta, lambda rows, b: rows * F.coalesce(F.exp(b), F.lit(0.0)))
+
+
+def laplace_sums(patterns: DataFrame, group: str, levels: int) -> DataFrame:
+    """Value, gradient and Hessian of the Laplace likelihood per group, as sums over patterns of units.
+
+    ``patterns`` has ``n`` (rows per level), ``total``, ``units`` and the group's parameters ``beta`` and ``log_sd``. The
+    derivatives are total ones: the mode of a unit moves with the parameters. Per level l, with the variance t,
+    the expected count e of a unit and w = 1 / (1 + t e), the mode moves by -t e_l w and the count by e_l w.
+    The part that is linear in ``beta`` is left to the caller. Sums for the variance are for its log standard deviation.
+    """
+    rows = patterns.withColumn("t", F.exp(2 * F.col("log_sd"))).withColumn("r", _rates(F.col("n"), F.col("beta")))
+    rows = rows.withColumn("rate", F.aggregate("r", F.lit(0.0), lambda a, b: a + b))
+    rows = rows.withColumn("u", unit_mode(F.col("total"), F.col("rate"), F.col("t")))
+    rows = rows.withColumns({"e": F.col("rate") * F.exp("u"), "el": F.transform("r", lambda x: x * F.exp("u"))})
+    rows = rows.withColumn("w", 1 / (1 + F.col("t") * F.col("e")))
+    t, u, e, w, m, el = (F.col(c) for c in ("t", "u", "e", "w", "units", "el"))
+    k = 1 + t * w * w / 2
+    c = k * t * w + t * t * w * w * w * w
+    # Derivatives by t: of the mode, the count, w, and the value.
+    u_t, e_t, w_t = u * w / t, e * u * w / t, -w * w * e * (1 + u * w)
+    g_t = u * u / (2 * t * t) - e * w * (1 + u * w) / 2
+    h_t = u * u_t / (t * t) - u * u / (t * t * t) - (e_t * w * (1 + u * w) + e * w_t * (1 + u * w) + e * w * (u_t * w + u * w_t)) / 2
+    cross = -(k * u * w / t + w * w / 2 + t * w * w_t)
+    rows = rows.withColumns({"_k": m * k, "_c": m * c, "_g": 2 * t * m * g_t, "_h": m * (4 * t * t * h_t + 4 * t * g_t), "_x": 2 * t * m * cross})
+    value = m * (F.col("total") * u - e - u * u / (2 * t) + F.log(w) / 2)
+    pairs = [(i, j) for i in range(levels) for j in range(i, levels)]
+    return rows.groupBy(group).agg(
+        F.sum(value).alias("fitted"),
+        F.array(*[F.sum(F.col("_k") * el[i]) for i in range(levels)]).alias("slope"),
+        F.array(*[F.sum(F.col("_c") * el[i] * el[j]) for i, j in pairs]).alias("bend"),
+        F.array(*[F.sum(F.col("_x") * el[i]) for i in range(levels)]).alias("cross"),
+        F.sum("_g").alias("slope_sd"),
+        F.sum("_h").alias("bend_sd"),
+    )
+
+
+def newton_step(row) -> dict:
+    """The next place of a group from the sums at the last one (``beta``, ``log_sd``): accepted or halved back.
+
+    A group is done when a step no longer moves or gains anything; it has converged then, unless halving found nothing
+    higher on a slope. Levels without rows or without counts stay as they are.
+    """
+    size = len(row.n)
+    live = [i for i in range(size) if row.ys[i] > 0]
+    here = np.array([*[row.beta[i] for i in live], row.log_sd])
+    sums = np.asarray(row.ys, float)[live]
+    value = row.fitted + float(here[:-1] @ sums)
+    out = {"value": row.value, "scale": row.scale, "done": False, "converged": False}
+    old = None if row.accepted is None else np.asarray(row.accepted, float)
+    if old is not None and value < row.value:
+        out["scale"] /= 2
+        step = np.asarray(row.step, float)
+        if out["scale"] < 1e-6:
+            out |= {"done": True, "converged": bool(np.abs(row.gradient).max() < 1e-3 * (1 + abs(row.value)))}
+        return out | {"accepted": old, "gradient": np.asarray(row.gradient, float), "step": step, "next": old + out["scale"] * step * (not out["done"])}
+    gradient = np.append(sums - np.asarray(row.slope, float)[live], row.slope_sd)
+    hessian = np.zeros((len(live) + 1, len(live) + 1))
+    hessian[:-1, :-1] = (_square(row.bend, size) - np.diag(row.slope))[np.ix_(live, live)]
+    hessian[:-1, -1] = hessian[-1, :-1] = np.asarray(row.cross, float)[live]
+    hessian[-1, -1] = row.bend_sd
+    free = np.ones(len(here), bool)
+    free[-1] = here[-1] > SMALLEST_LOG_SD + 1e-9 or gradient[-1] > 0
+    roots, vectors = np.linalg.eigh(hessian[np.ix_(free, free)])
+    downhill = -np.maximum(np.abs(roots), 1e-6 * max(1.0, np.abs(roots).max()))
+    step = np.zeros(len(here))
+    step[free] = np.clip(-vectors @ ((vectors.T @ gradient[free]) / downhill), -2.0, 2.0)
+    if gradient[-1] < 0 and here[-1] < -1 and abs(step[-1] + 0.5) < 0.1:
+        # A variance that only shrinks falls by this step again and again: try none at once.
+        step[-1] = SMALLEST_LOG_SD - here[-1]
+    step[-1] = max(step[-1], SMALLEST_LOG_SD - here[-1])
+    gained = math.inf if old is None else value - row.value
+    still = np.abs(step).max() < 1e-7 or gained < 1e-10 * (1 + abs(value))
+    out |= {"value": value, "scale": 1.0, "done": bool(still), "converged": bool(still)}
+    return out | {"accepted": here, "gradient": gradient, "step": step, "next": here + step * (not still)}
+
+
+_STATE = (
+    "beta array<double>, log_sd double, value double, scale double, accepted array<double>, gradient array<double>, "
+    "step array<double>, done boolean, converged boolean, n array<double>, ys array<double>"
+)
 
 
 def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, levels: Sequence[int] | None = None):
-    """Fit per group (``group, beta`` per level, ``log_sd, converged``) and unit effects (``group, unit, effect``)."""
+    """Fit per group (``group, beta`` per level, ``log_sd, converged``) and unit effects (``group, unit, effect``).
+
+    The Laplace likelihood is maximised by Newton steps, halved where they do not go up. Each round is one grouped
+    sum over the patterns of the groups that still move; its state is a stored row per group. ``beta`` is null at a
+    level without rows in the group, and ``NOTHING`` at one without counts. After ``OUTER`` rounds a group counts as not converged.
+    """
     if levels is None:
         levels = _levels(df, group, unit, y, [factor])[factor]
+    size = len(levels)
     rows = _complete(df, group, unit, y, {factor: levels})
     here = [F.col(factor) == F.lit(level) for level in levels]
     units = rows.groupBy(group, unit).agg(
@@ -286,47 +351,56 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
         F.sum("_y").alias("total"),
     )
     patterns = units.groupBy(group, "n", "total").agg(
-        F.count(F.lit(1)).alias("units"), F.array(*[F.sum(F.col("ys")[i]) for i in range(len(levels))]).alias("ys")
+        F.count(F.lit(1)).alias("units"), F.array(*[F.sum(F.col("ys")[i]) for i in range(size)]).alias("ys")
+    )
+    patterns = stored(patterns)
+    sums = patterns.groupBy(group).agg(
+        F.array(*[F.sum(F.col("units") * F.col("n")[i]) for i in range(size)]).alias("n"),
+        F.array(*[F.sum(F.col("ys")[i]) for i in range(size)]).alias("ys"),
     )
+    start = F.zip_with("ys", "n", lambda total, n: F.when(n > 0, F.when(total > 0, F.log(total / n)).otherwise(NOTHING)))
+    types = dict(f.rsplit(" ", 1) for f in _STATE.split(", "))
+    fresh = {"beta": start, "log_sd": F.lit(math.log(0.3)), "scale": F.lit(1.0), "done": F.lit(False), "converged": F.lit(False)}
+    state = sums.select(group, *[fresh.get(c, F.col(c) if c in ("n", "ys") else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
     kind = dict(df.dtypes)[group]
 
-    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        theta, good = laplace_fit(
-            np.stack(frame["n"].map(np.asarray)).astype(float),
-            frame["total"].to_numpy(float),
-            frame["units"].to_numpy(float),
-            np.stack(frame["ys"].map(np.asarray)).astype(float).sum(axis=0),
-        )
-        return pd.DataFrame({group: [key[0]], "beta": [theta[:-1].tolist()], "log_sd": [theta[-1]], "converged": [good]})
-
-    fit = spread(patterns, [group]).groupBy(group).applyInPandas(
-        solve, f"`{group}` {kind}, beta array<double>, log_sd double, converged boolean"
-    )
-    fit = stored(fit)
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, row in zip(batch[group], batch.drop(columns=[group]).itertuples(index=False), strict=True):
+                new = newton_step(row)
+                live = iter(new.pop("next"))
+                beta = [next(live) if total > 0 else NOTHING if n > 0 else None for n, total in zip(row.n, row.ys, strict=True)]
+                out.append({group: key, "beta": beta, "log_sd": next(live), "n": row.n, "ys": row.ys, **new})
+            yield pd.DataFrame(out, columns=[group, *types])
+
+    for _ in range(OUTER):
+        moving = state.where(~F.col("done"))
+        at = laplace_sums(compact_join(patterns.drop("ys"), moving.select(group, "beta", "log_sd"), [group]), group, size)
+        moved = compact_join(moving, at, [group]).mapInPandas(move, f"`{group}` {kind}, {_STATE}")
+        left = Observation()
+        moved = moved.unionByName(state.where("done")).observe(left, F.count_if(~F.col("done")).alias("n"))
+        state = stored(moved)
+        if not left.get["n"]:
+            break
+    fit = state.select(group, "beta", "log_sd", "converged")
     joined = units.select(group, unit, "n", "total").join(fit, group)
-    types = dict(joined.dtypes)
-
-    def modes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b) == 0:
-                continue
-            n = np.stack(b["n"].map(np.asarray)).astype(float)
-            rate = (n * np.exp(np.stack(b["beta"].map(np.asarray)).astype(float))).sum(axis=1)
-            sigma2 = np.exp(2 * b["log_sd"].to_numpy(float))
-            effect = unit_modes(b["total"].to_numpy(float), rate, sigma2)
-            yield pd.DataFrame({group: b[group], unit: b[unit], "effect": effect})
-
-    effects = joined.mapInPandas(modes, f"`{group}` {types[group]}, `{unit}` {types[unit]}, effect double")
+    rate = F.aggregate(_rates(F.col("n"), F.col("beta")), F.lit(0.0), lambda a, b: a + b)
+    joined = joined.withColumn("rate", rate)
+    effects = joined.select(group, unit, unit_mode(F.col("total"), F.col("rate"), F.exp(2 * F.col("log_sd"))).alias("effect"))
     return fit, effects
 
 
 def impute_poisson(
     df: DataFrame, targets: DataFrame, group: str, unit: str, y: str, factor: str
 ) -> DataFrame:
-    """Targets (``group, unit, factor``) with the rounded expected count as column ``y``; null at a level that no row has."""
+    """Targets (``group, unit, factor``) with the rounded expected count as column ``y``, and ``converged``.
+
+    Null at a level that no row of the group has; ``converged`` is null for a group without a fit.
+    """
     levels = _levels(df, group, unit, y, [factor])[factor]
     fit, effects = poisson_fit(df, group, unit, y, factor, levels)
-    joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta"), group, "left")
+    joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta", "converged"), group, "left")
     level = F.array_position(F.array(*[F.lit(v) for v in levels]).cast("array<long>"), F.col(factor).cast("long")).cast("int")
     value = F.exp(F.try_element_at("beta", F.nullif(level, F.lit(0))) + F.coalesce(F.col("effect"), F.lit(0.0)))
-    return joined.select(*targets.columns, round_to(value).alias(y))
+    return joined.select(*targets.columns, round_to(value).alias(y), "converged")

@@ -163,6 +163,97 @@ def test_impute_gaussian_predicts_unseen_units(spark):
     assert out[0] < out[99] and out[99] == pytest.approx(13.5, abs=0.3)
 
 
+def laplace_loglik(theta, n, total, units, sums):
+    """Dense: the mode of every unit by bisection, then the Laplace likelihood."""
+    beta, var = theta[:-1], math.exp(2 * theta[-1])
+    rate = n @ np.exp(beta)
+    low, high = np.full(len(rate), -40.0), np.full(len(rate), 40.0)
+    for _ in range(200):
+        u = (low + high) / 2
+        up = total - rate * np.exp(u) - u / var > 0
+        low, high = np.where(up, u, low), np.where(up, high, u)
+    e = rate * np.exp(u)
+    return float(units @ (total * u - e - u * u / (2 * var) - 0.5 * np.log1p(var * e)) + beta @ sums)
+
+
+def test_laplace_sums_against_differences(spark):
+    """Gradient and Hessian of the grouped sums are those of the dense likelihood."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 4, (25, 3)).astype(float) + [1, 0, 0]
+    total, units = rng.integers(0, 12, 25).astype(float), rng.integers(1, 5, 25).astype(float)
+    theta = np.array([0.4, -0.3, 0.9, math.log(0.7)])
+    rows = [("g", [float(x) for x in a], float(t), int(m), [float(b) for b in theta[:-1]], float(theta[-1])) for a, t, m in zip(n, total, units)]
+    df = spark.createDataFrame(rows, "g string, n array<double>, total double, units long, beta array<double>, log_sd double")
+    got = mixed.laplace_sums(df, "g", 3).first()
+    f = lambda t: laplace_loglik(t, n, total, units, np.zeros(3))
+    h, eye = 1e-4, np.eye(4) * 1e-4
+    gradient = [(f(theta + e) - f(theta - e)) / (2 * h) for e in eye]
+    hessian = np.array([[(f(theta + a + b) - f(theta + a - b) - f(theta - a + b) + f(theta - a - b)) / (4 * h * h) for a in eye] for b in eye])
+    assert got.fitted == pytest.approx(f(theta), rel=1e-10)
+    assert [*(-np.array(got.slope)), got.slope_sd] == pytest.approx(gradient, rel=1e-5)
+    mine = np.zeros((4, 4))
+    mine[:3, :3] = mixed._square(got.bend, 3) - np.diag(got.slope)
+    mine[:3, 3] = mine[3, :3] = got.cross
+    mine[3, 3] = got.bend_sd
+    assert mine.ravel().tolist() == pytest.approx(hessian.ravel().tolist(), rel=1e-3, abs=1e-4)
+
+
+def test_poisson_fits_of_all_kinds(spark):
+    """Spread units, none, a level without rows, one without counts: the dense likelihood is nowhere higher."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, sd in (("wide", 1.0), ("none", 0.0), ("under", 0.0)):
+        u = rng.normal(size=40) * sd
+        for i in range(40):
+            for k in range(3):
+                if (g, k) == ("none", 2):
+                    continue
+                count = 5 if g == "under" else rng.poisson(math.exp(1 + 0.5 * k + u[i]))
+                rows.append((g, i, k, 0.0 if (g, k) == ("wide", 1) else float(count)))
+    df = spark.createDataFrame(rows, "g string, id int, year int, n double")
+    fit = {r.g: r for r in mixed.poisson_fit(df, "g", "id", "n", "year")[0].collect()}
+    assert all(r.converged for r in fit.values())
+    assert fit["none"].beta[2] is None and fit["wide"].beta[1] < -5
+    assert fit["under"].log_sd == mixed.SMALLEST_LOG_SD and math.exp(fit["wide"].log_sd) == pytest.approx(1, abs=0.3)
+    for g, r in fit.items():
+        live = [k for k in range(3) if r.beta[k] is not None and r.beta[k] > mixed.NOTHING]
+        mine = [x for x in rows if x[0] == g]
+        ys = np.zeros((40, 3))
+        for _, i, k, c in mine:
+            ys[i, k] = c
+        data = (np.ones((40, len(live))), ys[:, live].sum(1), np.ones(40), ys[:, live].sum(0))
+        theta = np.array([*[r.beta[k] for k in live], r.log_sd])
+        top = laplace_loglik(theta, *data)
+        for step in np.eye(len(theta)) * 0.02:
+            for sign in (-1, 1):
+                moved = theta + sign * step
+                if moved[-1] >= mixed.SMALLEST_LOG_SD:
+                    assert laplace_loglik(moved, *data) <= top + 1e-6
+
+
+def test_fits_that_do_not_converge_say_so(spark, monkeypatch):
+    rows = [("a", i, i % 2, float(i % 7 + i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, id int, year int, v double")
+    targets = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "g string, id int, year int")
+    out = {r.g: (r.v, r.converged) for r in mixed.impute_poisson(df, targets, "g", "id", "v", "year").collect()}
+    assert out["a"][1] and out["a"][0] is not None and out["b"] == (None, None)
+    monkeypatch.setattr(mixed, "OUTER", 1)
+    out = {r.g: r.converged for r in mixed.impute_poisson(df, targets, "g", "id", "v", "year").collect()}
+    assert out["a"] is False
+    # Units that differ without any noise: no ratio is large enough.
+    exact = spark.createDataFrame([("a", i, k, 10.0 * i) for i in range(9) for k in range(4)], "g string, id int, year int, v double")
+    out = {r.g: r.converged for r in mixed.impute_gaussian(exact, targets, "g", "id", "v", ["year"]).collect()}
+    assert out == {"a": False, "b": None}
+
+
+def test_level_that_only_other_groups_have_gives_null(spark):
+    rows = [("a", i % 5, i % 2, float(i % 2 + i % 5)) for i in range(60)] + [("b", i % 5, 1 + i % 2, float(i % 5 + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, id int, year int, v double")
+    targets = spark.createDataFrame([(g, 1, y) for g in "ab" for y in (0, 1, 2)], "g string, id int, year int")
+    for out in (mixed.impute_gaussian(df, targets, "g", "id", "v", ["year"]), mixed.impute_poisson(df, targets, "g", "id", "v", "year")):
+        assert {(r.g, r.year) for r in out.collect() if r.v is None} == {("a", 2), ("b", 0)}
+
+
 def test_poisson_laplace_near_quadrature(spark):
     rng = np.random.default_rng(7)
     n_units, levels = 60, 4
@@ -187,12 +278,12 @@ def test_poisson_laplace_near_quadrature(spark):
         return total
 
     ones = np.ones((n_units, levels))
-    laplace = mixed.laplace_loglik(theta, ones, counts.sum(1).astype(float), np.ones(n_units), counts.sum(0).astype(float))
+    laplace = laplace_loglik(theta, ones, counts.sum(1).astype(float), np.ones(n_units), counts.sum(0).astype(float))
     assert laplace == pytest.approx(quadrature(theta), abs=0.05)
     for step in np.eye(levels + 1) * 0.05:
         for sign in (-1, 1):
             moved = theta + sign * step
-            other = mixed.laplace_loglik(moved, ones, counts.sum(1).astype(float), np.ones(n_units), counts.sum(0).astype(float))
+            other = laplace_loglik(moved, ones, counts.sum(1).astype(float), np.ones(n_units), counts.sum(0).astype(float))
             assert other <= laplace + 1e-6
     assert effects.count() == n_units
 
