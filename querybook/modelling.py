@@ -358,7 +358,31 @@ def mixed_impute(spark, sf_dir):
     return mixed.impute_gaussian(rows, targets, "area", "id_code", "moist_med", ["year", "month"], 2)
 
 
-@query("poisson_mixed_impute")
+# Stationary points of the Laplace likelihood by fixed-point steps: a unit's mode moves by a Newton step, a level by the
+# ratio of counted to expected, the variance by the ratio of its two terms. ``c`` has rows area, id_code, lvl, cnt.
+def _poisson_sql(rounds: int = 400) -> str:
+    unit, level = "PARTITION BY area, id_code", "PARTITION BY area, lvl"
+    return f"""z AS (SELECT area, id_code, lvl, cnt, sum(cnt) OVER ({unit}) AS total, count(*) OVER ({unit}) AS k,
+    sum(cnt) OVER ({level}) AS seen, count(*) OVER ({level}) AS n FROM c),
+i AS (SELECT area, id_code, lvl, total, k, seen, 0 AS turn, ln(CAST(seen AS DOUBLE) / n) AS beta, CAST(0 AS DOUBLE) AS u, CAST(0.09 AS DOUBLE) AS v FROM z
+  UNION ALL SELECT area, id_code, lvl, total, k, seen, turn + 1, beta + ln(seen / sum((1 + v * w * w / 2) * el) OVER ({level})), u,
+    greatest(v * (sum(u * u / v / k) OVER (PARTITION BY area)) / (sum(v * e * w * (1 + u * w) / k) OVER (PARTITION BY area)), exp(CAST(-24 AS DOUBLE)))
+  FROM (SELECT *, 1 / (1 + v * e) AS w FROM (SELECT *, sum(el) OVER ({unit}) AS e FROM (SELECT *, exp(beta + u) AS el FROM (
+    SELECT area, id_code, lvl, total, k, seen, turn, beta, v, u + greatest(least((total - e0 - u / v) / (e0 + 1 / v), 2), -2) AS u
+    FROM (SELECT *, sum(exp(beta + u)) OVER ({unit}) AS e0 FROM i WHERE turn < {rounds})))))),
+f AS (SELECT * FROM i WHERE turn = {rounds}),
+b AS (SELECT area, lvl, any_value(beta) AS beta FROM f GROUP BY 1, 2), x AS (SELECT area, id_code, any_value(u) AS u FROM f GROUP BY 1, 2)"""
+
+
+@query(
+    "poisson_mixed_impute",
+    f"""WITH RECURSIVE c AS (SELECT c_nationkey AS area, o_custkey AS id_code, year(o_orderdate) AS lvl, count(*) AS cnt
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+{_poisson_sql()}
+SELECT c_nationkey AS area, c_custkey AS id_code, CAST(1998 AS INTEGER) AS year, {r('exp(beta + coalesce(u, 0))', 0)} AS n_orders,
+  CASE WHEN c_nationkey IN (SELECT area FROM b) THEN true END AS converged
+FROM customer LEFT JOIN b ON b.area = c_nationkey AND lvl = 1998 LEFT JOIN x ON x.area = c_nationkey AND x.id_code = c_custkey""",
+)
 def poisson_mixed_impute(spark, sf_dir):
     counts = _months_of(spark, sf_dir).groupBy("area", "id_code", "year").agg(F.count(F.lit(1)).alias("n_orders"))
     every = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("area"), F.col("c_custkey").alias("id_code"))
@@ -366,6 +390,55 @@ def poisson_mixed_impute(spark, sf_dir):
     return mixed.impute_poisson(counts, targets, "area", "id_code", "n_orders", "year")
 
 
+_SPREAD_COUNTS = "1 + o_custkey % 4 * 2"
+
+
+@query(
+    "poisson_mixed_spread",
+    f"""WITH RECURSIVE c AS (SELECT c_nationkey AS area, o_custkey AS id_code, year(o_orderdate) AS lvl, sum({_SPREAD_COUNTS}) AS cnt
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+{_poisson_sql()}
+SELECT x.area, x.id_code, {r('u', 3)} AS effect FROM x""",
+)
+def poisson_mixed_spread(spark, sf_dir):
+    """Unit effects of counts that differ more between units than chance makes them."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    counts = o.groupBy(F.col("c_nationkey").alias("area"), F.col("o_custkey").alias("id_code"), F.year("o_orderdate").alias("year"))
+    counts = counts.agg(F.sum(F.expr(_SPREAD_COUNTS)).alias("cnt"))
+    _, effects = mixed.poisson_fit(counts, "area", "id_code", "cnt", "year")
+    return effects.select("area", "id_code", *rounded(["effect"], 3))
+
+
+_BALANCED = "avg(l_extendedprice) / 1000 + any_value(l_suppkey % 8 * 3 % 7) / 2"
+
+
+@query(
+    "mixed_impute_balanced",
+    f"""WITH a AS (SELECT l_linenumber AS area, CAST(l_suppkey % 8 AS INTEGER) AS unit, CAST(year(l_shipdate) AS INTEGER) AS year,
+    CAST(month(l_shipdate) AS INTEGER) AS month, {_BALANCED} AS y FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3, 4),
+c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY area, unit) AS cells FROM a) WHERE cells = 60),
+m AS (SELECT *, avg(y) OVER (PARTITION BY area) AS g, avg(y) OVER (PARTITION BY area, unit) AS um,
+  avg(y) OVER (PARTITION BY area, year) AS ym, avg(y) OVER (PARTITION BY area, month) AS mm FROM c),
+s AS (SELECT area, any_value(g) AS g, count(DISTINCT unit) AS units, sum(power(y - um - ym - mm + 2 * g, 2)) AS ssw, sum(power(um - g, 2)) AS ssb FROM m GROUP BY 1),
+v AS (SELECT *, greatest(0, (ssb / 60 / (units - 1)) / (ssw / (units * 59 - 15)) - 1 / CAST(60 AS DOUBLE)) AS ratio FROM s),
+e AS (SELECT area, unit, any_value(60 * ratio / (1 + 60 * ratio) * (um - m.g)) AS effect FROM m JOIN v USING (area) GROUP BY 1, 2),
+t AS (SELECT DISTINCT area, unit FROM a UNION ALL SELECT DISTINCT area, 99 FROM a),
+f AS (SELECT DISTINCT area, month, ym + mm - g AS fixed FROM m WHERE year = 1998)
+SELECT t.area, t.unit, CAST(1998 AS INTEGER) AS year, f.month, {r('fixed + coalesce(effect, 0)', 2)} AS y, true AS converged
+FROM t JOIN f USING (area) LEFT JOIN e ON e.area = t.area AND e.unit = t.unit""",
+)
+def mixed_impute_balanced(spark, sf_dir):
+    """Units with all months of five years, for which the variance ratio has a closed form."""
+    lines = table(spark, sf_dir, "lineitem").withColumns({"year": F.year("l_shipdate"), "month": F.month("l_shipdate")})
+    keys = [F.col("l_linenumber").alias("area"), (F.col("l_suppkey") % 8).cast("int").alias("unit"), "year", "month"]
+    cells = lines.filter(F.col("year").between(1996, 2000)).groupBy(*keys).agg(F.expr(_BALANCED).alias("y"))
+    whole = cells.groupBy("area", "unit").agg(F.count(F.lit(1)).alias("cells")).filter("cells = 60").drop("cells")
+    units = cells.select("area", "unit").distinct()
+    units = units.unionByName(units.select("area").distinct().withColumn("unit", F.lit(99)))
+    targets = units.withColumn("year", F.lit(1998)).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return mixed.impute_gaussian(cells.join(whole, ["area", "unit"]), targets, "area", "unit", "y", ["year", "month"], 2)
+
+
 def _daily_prices(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.groupBy("o_orderstatus", F.to_date("o_orderdate").alias("date")).agg(

@@ -322,7 +322,7 @@ def newton_step(row) -> dict:
         step[-1] = SMALLEST_LOG_SD - here[-1]
     step[-1] = max(step[-1], SMALLEST_LOG_SD - here[-1])
     gained = math.inf if old is None else value - row.value
-    still = np.abs(step).max() < 1e-7 or gained < 1e-10 * (1 + abs(value))
+    still = np.abs(step).max() < 1e-8 or gained < 1e-13 * (1 + abs(value))
     out |= {"value": value, "scale": 1.0, "done": bool(still), "converged": bool(still)}
     return out | {"accepted": here, "gradient": gradient, "step": step, "next": here + step * (not still)}
 
