@@ -1,9 +1,9 @@
 """Exact quantiles and ranks without bringing a group into one task.
 
-Equal values are counted first (with map-side combine), then values are laid out in buckets whose
-order follows the value. A running total over buckets, of which there are few, gives each bucket its
-offset; the rest of the work stays within a bucket. The buckets only steer the load: results are
-exact for any data.
+Quantiles are found by radix selection on the bits of a number: equal values are counted first (with map-side
+combine), then counts by the leading bits tell which bucket holds a wanted rank, and within it counts by the next bits.
+What is left to sort has equal leading bits but the last 18, whatever the data. Ranks of all rows come from ranges of rows:
+each range is ranked by itself, and one row per range tells what lies before it. Both are exact for any data.
 """
 
 from __future__ import annotations
@@ -14,78 +14,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PER_OCTAVE = 65_536
-_OCTAVES = 1075  # octaves below one that a double can reach
-_BEYOND = 10**9  # bucket of infinity
-_MISSING = -(10**10)
+from sensorframe.operators.reshape import compact_join
+from sensorframe.session import stored
 
+# Bits of a number below the first and the second digit of the selection.
+FIRST, SECOND = 36, 18
+_MISSING = -(10**18)
 
-def magnitude_bucket(value: Column) -> Column:
-    """A whole number that never decreases with the value: 65,536 steps per power of two, sign included.
 
-    Readings with an offset, time stamps and the like fill a narrow range, so the steps are fine; only buckets
-    that hold a value exist, and a group's buckets are counts and not rows. A power of two that the logarithm puts one
-    octave too high or too low still lands in the same bucket, so order is kept to the last bit.
+def sortable(value: Column) -> Column:
+    """The bits of a double as a whole number in the order of the values: octave, then the fraction within it.
+
+    An octave that the logarithm puts one too high or too low is set right by comparing with the powers of two.
     """
     size = F.abs(value)
-    octave = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
-    step = F.floor(size / F.pow(F.lit(2.0), octave) * PER_OCTAVE) - PER_OCTAVE
-    bucket = F.when(size == float("inf"), F.lit(_BEYOND)).otherwise((octave + _OCTAVES) * PER_OCTAVE + step + 1)
-    return F.when(value == 0, F.lit(0)).when(value > 0, bucket).otherwise(-bucket).cast("long")
-
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("long")
+    two = F.lit(2.0)
+    octave = guess + (size >= F.pow(two, guess + 1)).cast("long") - ((size < F.pow(two, guess)) & (guess > -1022)).cast("long")
+    fraction = F.floor((size / F.pow(two, octave) - 1) * float(1 << 52)).cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise((octave + 1023) * (1 << 52) + fraction)
+    return F.when(value == 0, F.lit(0)).when(value > 0, bits).otherwise(-bits).cast("long")
 
-def running_counts(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
-    """Per group and distinct value: its count ``n``, the count ``before`` it, and the group's ``total``.
 
-    ``group`` is one column (pack several into a struct). Missing values are counted as nothing but
-    keep their group in the result. With ``weight`` a row counts that often.
-    """
-    counted, offsets = _count_buckets(df, group, value, weight)
-    return _within_buckets(counted.join(offsets.select(group, "_b", "_off", "total"), [group, "_b"]), group, value)
+def magnitude_bucket(value: Column) -> Column:
+    """A whole number that never decreases with the value: 65,536 steps per power of two, sign included."""
+    return F.shiftright(sortable(value), FIRST)
 
 
-def _count_buckets(df: DataFrame, group: str, value: str, weight: str | None = None):
+def _counted(df: DataFrame, group: str, value: str, weight: str | None) -> DataFrame:
+    """Every distinct value with its count ``n`` and its first digit; missing values count nothing but keep their group."""
     number = F.col(value).cast("double")
     number = F.when(~F.isnan(number), number)
     one = F.lit(1) if weight is None else F.col(weight)
-    counted = (
-        df.select(F.col(group), number.alias(value), one.cast("long").alias("n"))
-        .groupBy(group, value)
-        .agg(F.sum("n").alias("n"))
-        .withColumn("n", F.when(F.col(value).isNull(), F.lit(0).cast("long")).otherwise(F.col("n")))
-        .withColumn("_b", F.coalesce(magnitude_bucket(F.col(value)), F.lit(_MISSING)))
-    )
-    by_bucket = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        counted.groupBy(group, "_b")
-        .agg(F.sum("n").alias("_bn"))
-        .withColumns(
-            {
-                "_off": F.coalesce(F.sum("_bn").over(by_bucket), F.lit(0)),
-                "total": F.sum("_bn").over(W.partitionBy(group)),
-            }
-        )
-    )
-    return counted, offsets
+    counted = df.select(F.col(group), number.alias(value), one.cast("long").alias("n")).groupBy(group, value).agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("n", F.when(F.col(value).isNull(), F.lit(0).cast("long")).otherwise(F.col("n")))
+    return counted.withColumn("_b", F.coalesce(magnitude_bucket(F.col(value)), F.lit(_MISSING)))
 
 
-def _within_buckets(df: DataFrame, group: str, value: str) -> DataFrame:
-    inside = W.partitionBy(group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return df.withColumn("before", before).drop("_b", "_off")
+def _holding(ranks: Sequence[Column], before: Column, n: Column) -> Column:
+    """Whether one of the ranks is among ``n`` values with ``before`` smaller ones."""
+    out = F.lit(False)
+    for r in ranks:
+        out = out | ((r >= before) & (r < before + n))
+    return out
 
 
 def select_ranks(df: DataFrame, group: str, value: str, ranks: Sequence[Column], weight: str | None = None) -> DataFrame:
     """One row per group with ``total`` and the values at the given 0-based ranks, ``r0``, ``r1``, …
 
-    ``ranks`` are expressions over ``total``. Only buckets that hold a wanted rank are looked into.
+    ``ranks`` are expressions over ``total`` and the group. Missing values count as nothing but keep their group in the
+    result. With ``weight`` a row counts that often. Only buckets that hold a wanted rank are looked into, twice: the
+    second time by 18 more bits.
     """
-    counted, offsets = _count_buckets(df, group, value, weight)
-    wanted = F.col("_b") == _MISSING
-    for r in ranks:
-        wanted = wanted | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_bn")))
-    target = offsets.filter(wanted).select(group, "_b", "_off", "total")
-    placed = _within_buckets(counted.join(target, [group, "_b"]), group, value)
+    counted = _counted(df, group, value, weight)
+
+    def running(*part: str) -> Column:
+        *outer, digit = part
+        return F.coalesce(F.sum("_bn").over(W.partitionBy(*outer).orderBy(digit).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    first = counted.groupBy(group, "_b").agg(F.sum("n").alias("_bn"))
+    first = first.withColumns({"_off": running(group, "_b"), "total": F.sum("_bn").over(W.partitionBy(group))})
+    first = first.filter((F.col("_b") == _MISSING) | _holding(ranks, F.col("_off"), F.col("_bn")))
+    rest = counted.join(first.select(group, "_b", "_off", "total"), [group, "_b"])
+    rest = rest.withColumn("_s", F.coalesce(F.shiftright(sortable(F.col(value)), SECOND), F.lit(_MISSING)))
+
+    second = rest.groupBy(group, "_b", "_s").agg(F.sum("n").alias("_bn"), F.min("_off").alias("_off"), F.min("total").alias("total"))
+    second = second.withColumn("_off", F.col("_off") + running(group, "_b", "_s"))
+    second = second.filter((F.col("_s") == _MISSING) | _holding(ranks, F.col("_off"), F.col("_bn")))
+    rest = rest.select(group, "_s", value, "n").join(second.select(group, "_s", "_off", "total"), [group, "_s"])
+
+    inside = W.partitionBy(group, "_s").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    placed = rest.withColumn("before", F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     here = [(r >= F.col("before")) & (r < F.col("before") + F.col("n")) for r in ranks]
     return placed.groupBy(group).agg(
         F.max("total").alias("total"),
@@ -93,6 +92,45 @@ def select_ranks(df: DataFrame, group: str, value: str, ranks: Sequence[Column],
     )
 
 
+def mean_ranks(rows: DataFrame, group: str, value: str, weight: str, out: str = "rank") -> DataFrame:
+    """The rows with the mean 1-based rank of their value in their group, equal values sharing it, and the group's ``total``.
+
+    A row counts ``weight`` times; values are not missing. Rows are dealt into ranges of equal size, within a frequent
+    value too, and ranked there. One row per group and range holds its sums and its smallest and largest value, which
+    alone may lie in several ranges; so no value of a row has to be looked up.
+    """
+    names = rows.columns
+    tie = F.xxhash64(*names)
+    ranged = rows.withColumn("_t", tie).repartitionByRange(group, value, "_t").withColumn("_p", F.spark_partition_id())
+    ordered = W.partitionBy(group, "_p").orderBy(value)
+    upto = F.sum(weight).over(ordered.rangeBetween(W.unboundedPreceding, W.currentRow))
+    peers = F.sum(weight).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+    ranged = stored(ranged.withColumns({"_upto": upto, "_peers": peers}).drop("_t"))
+    ranges = ranged.groupBy(group, "_p").agg(
+        F.sum(weight).alias("_n"),
+        F.min(F.struct(value, "_peers")).alias("_low"),
+        F.max(F.struct(value, "_peers")).alias("_high"),
+    )
+    earlier = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum("_n").over(W.partitionBy(group))
+    ranges = ranges.withColumns({"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "total": total})
+    low = F.struct(F.col(f"_low.{value}").alias("v"), F.col("_low._peers").alias("n"), F.col("_off").alias("before"))
+    high = F.struct(F.col(f"_high.{value}").alias("v"), F.col("_high._peers").alias("n"), (F.col("_off") + F.col("_n") - F.col("_high._peers")).alias("before"))
+    both = F.when(F.col(f"_low.{value}") == F.col(f"_high.{value}"), F.array(low)).otherwise(F.array(low, high))
+    ends = ranges.select(group, "_p", "_off", "total", F.explode(both).alias("_e"))
+    # An end value's rows lie in neighbouring ranges: their number, and what is before the first of them.
+    same = W.partitionBy(group, "_e.v")
+    middle = F.min("_e.before").over(same) + (F.sum("_e.n").over(same) + 1) / 2.0
+    ends = ends.select(group, "_p", "_off", "total", F.struct(F.col("_e.v").alias("v"), middle.alias("rank")).alias("_e"))
+    ends = ends.groupBy(group, "_p").agg(
+        F.min("_off").alias("_off"), F.min("total").alias("total"), F.min("_e").alias("_low"), F.max("_e").alias("_high")
+    )
+    placed = compact_join(ranged, ends, [group, "_p"])
+    rank = F.when(F.col(value) == F.col("_low.v"), F.col("_low.rank")).when(F.col(value) == F.col("_high.v"), F.col("_high.rank"))
+    rank = rank.otherwise(F.col("_off") + F.col("_upto") - F.col("_peers") + (F.col("_peers") + 1) / 2.0)
+    return placed.select(*names, rank.alias(out), "total")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str = "name"
 ) -> DataFrame:

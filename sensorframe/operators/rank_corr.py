@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe.operators.clean import complete_cases
-from sensorframe.operators.order_stats import running_counts
-from sensorframe.operators.reshape import salted_join
+from sensorframe.operators.order_stats import mean_ranks
+from sensorframe.session import stored
+
 
 def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the complete rows of each group, in long form.
 
-    Equal rows are counted once with their number. All columns are ranked in one pass over long rows, the
-    ranks meet the rows again by value, and one grouped pass brings a row's ranks together. Ranks are
+    Equal rows are counted once with their number. All columns are ranked in one pass over long rows, which carry the
+    number of their row, and one grouped pass brings a row's ranks together by that number. Ranks are
     centred on their known mean, so only sums of products are left to add up.
     """
     columns = list(columns)
@@ -23,12 +24,14 @@ def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
         F.struct(*keys).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_v")
     )
     rows = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    long = rows.select("*", F.posexplode("_v").alias("_c", "_x")).withColumn("_kc", F.struct("_k", "_c"))
-    counts = running_counts(long, "_kc", "_x", weight="_n")
-    ranks = counts.select("_kc", "_x", (F.col("before") + (F.col("n") - F.col("total")) / 2.0).alias("_rank"))
-    ranked = salted_join(long.select("_kc", "_x", "_v", "_n"), ranks, ["_kc", "_x"])
-    together = ranked.groupBy(F.col("_kc._k").alias("_k"), "_v", "_n").agg(
-        *[F.max(F.when(F.col("_kc._c") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))]
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    long = rows.select("_k", "_n", "_row", F.posexplode("_v").alias("_c", "_x"))
+    ranks = mean_ranks(long.select(F.struct("_k", "_c").alias("_kc"), "_x", "_n", "_row"), "_kc", "_x", "_n", "_rank")
+    centred = ranks.select("_kc", "_n", "_row", (F.col("_rank") - (F.col("total") + 1) / 2.0).alias("_rank"))
+    together = centred.groupBy("_row").agg(
+        F.first("_kc._k").alias("_k"),
+        F.first("_n").alias("_n"),
+        *[F.max(F.when(F.col("_kc._c") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))],
     )
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     cells = together.groupBy("_k").agg(

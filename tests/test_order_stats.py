@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.operators.order_stats import exact_quantiles, magnitude_bucket, running_counts
+from sensorframe.operators.order_stats import exact_quantiles, magnitude_bucket, mean_ranks, sortable
 
 
 def test_known_quantiles(spark):
@@ -43,10 +43,36 @@ def test_buckets_follow_the_order(spark):
     assert b == sorted(b)
 
 
-def test_running_counts(spark):
-    df = spark.createDataFrame([("a", float(x)) for x in (5, 1, 5, 9)], "k string, v double")
-    rows = {r.v: (r.n, r.before, r.total) for r in running_counts(df, "k", "v").collect()}
-    assert rows == {1.0: (1, 0, 4), 5.0: (2, 1, 4), 9.0: (1, 3, 4)}
+def test_sortable_bits_are_those_of_the_number(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 500) * 10.0 ** rng.integers(-300, 300, 500), 2.0 ** np.arange(-1022, 1023, 7)])
+    x = np.concatenate([x, np.nextafter(x, 0), np.nextafter(x, np.inf), [5e-324, 1e-310, np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    for r in df.select("v", sortable(F.col("v")).alias("b")).collect():
+        assert r.b == int(np.abs(np.float64(r.v)).view(np.int64)) * (1 if r.v >= 0 else -1)
+
+
+@pytest.mark.parametrize("values", [[5, 1, 5, 9], [3] * 400, list(range(300)) + [150] * 500 + [7, 7]])
+def test_mean_ranks_of_values_over_several_ranges(spark, values):
+    rng = np.random.default_rng(7)
+    rows = [(k, float(v), int(w), i) for k in "ab" for i, (v, w) in enumerate(zip(values, rng.integers(1, 4, len(values))))]
+    df = spark.createDataFrame(rows, "k string, v double, w long, i long").repartition(4)
+    got = {(r.k, r.i): (r["rank"], r.total) for r in mean_ranks(df, "k", "v", "w").collect()}
+    for k in "ab":
+        mine = [(v, w, i) for g, v, w, i in rows if g == k]
+        for v, _, i in mine:
+            before, same = sum(w for x, w, _ in mine if x < v), sum(w for x, w, _ in mine if x == v)
+            assert got[k, i] == (before + (same + 1) / 2, sum(w for _, w, _ in mine))
+
+
+def test_time_stamps_of_one_day(spark, monkeypatch):
+    """Microseconds of a day lie in a few first buckets; what is sorted in the end is far less."""
+    df = spark.range(86_400).select(F.lit("a").alias("k"), (F.lit(1.6e15) + F.col("id") * 1e6).alias("v"))
+    q = exact_quantiles(df, ["k"], ["v"], [0.0, 0.3, 1.0]).first().q
+    assert q == [1.6e15, 1.6e15 + 0.3 * 86_399e6, 1.6e15 + 86_399e6]
+    assert df.select(magnitude_bucket(F.col("v"))).distinct().count() < 10
+    left = df.groupBy(F.shiftright(sortable(F.col("v")), 18)).count().agg(F.max("count")).first()[0]
+    assert left == 1
 
 
 def test_narrow_ranges_fill_many_buckets(spark):
