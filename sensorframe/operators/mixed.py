@@ -2,18 +2,20 @@
 
 Per unit (site) Spark aggregates counts and sums, and units that the likelihood cannot tell apart are added up:
 units of equal size in the Gaussian model, units of equal counts and total in the Poisson one. The fits then work on
-grouped sums over these rows, round by round, with partial aggregation: the REML criterion at a whole grid of variance
-ratios, or value, gradient and Hessian of the Laplace likelihood. Only these sums, one row per group (and place
-of the grid), reach a small solver, so a group may have any number of units. The state of a round is one stored row per group.
+sums over these rows, round by round: the REML criterion at a whole grid of variance ratios, or value, gradient and
+Hessian of the Laplace likelihood. Every task adds up its rows of a group to one vector, the vectors of a group are added
+up, and only their sum reaches a small solver; so a group may have any number of units. The state of a round is one
+stored row per group.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -65,6 +67,53 @@ def _complete(df: DataFrame, group: str, unit: str, y: str, factors) -> DataFram
     return rows.filter(~F.isnan("_y"))
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A column of arrays of equal length as the rows of a table."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _keyed(names: list[str], keys: list[tuple], kinds: list[pa.DataType], vectors: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float64()))], [*names, "vector"])
+
+
+def summed(df: DataFrame, keys: Sequence[str], add_up: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """One row per key: ``keys`` and ``vector``, the sum of what ``add_up`` makes of the rows of each key.
+
+    ``add_up`` takes rows of one key and gives their vector. A task hands on one vector per key and batch, and these
+    are added up one by one, so no key's rows ever come together.
+    """
+    keys = list(keys)
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", vector array<double>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                places.setdefault(key, []).append(i)
+            vectors = [add_up(batch.take(pa.array(at))) for at in places.values()]
+            yield _keyed(keys, list(places), [batch.schema.field(k).type for k in keys], vectors)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sums = None
+        for batch in batches:
+            kinds, done = [batch.schema.field(k).type for k in keys], []
+            for key, vector in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column("vector"), strict=True):
+                vector = vector.values.to_numpy(zero_copy_only=False)
+                if key == held:
+                    sums = sums + vector
+                else:
+                    done += [] if held is None else [(held, sums)]
+                    held, sums = key, vector
+            yield _keyed(keys, [k for k, _ in done], kinds, [v for _, v in done])
+        if held is not None:
+            yield _keyed(keys, [held], kinds, [sums])
+
+    return spread(df.mapInArrow(partial, schema), keys).sortWithinPartitions(*keys).mapInArrow(total, schema)
+
+
 # --- Gaussian ---------------------------------------------------------------------------------------
 
 # Logarithms of the variance ratio that are searched, and intervals of a grid; three rounds narrow it to a thousandth.
@@ -90,52 +139,45 @@ def _independent(xx: np.ndarray) -> list[int]:
     return kept
 
 
-def reml(row) -> tuple[float, list[float], float]:
+def _upper(square: np.ndarray) -> np.ndarray:
+    return square[np.triu_indices(len(square))]
+
+
+def reml(totals: np.ndarray, weighted: np.ndarray, log_det: float, size: int, kept: list[int]) -> tuple[float, np.ndarray, float]:
     """REML criterion at one variance ratio from summed products, with the coefficients and residual variance there.
 
-    ``row`` has the products over rows (``xx, xy, yy``), the same over unit sums, weighted at the ratio (``ss, sv, vv``),
-    the weighted log determinant and the number of rows. A column that others determine gets a coefficient of zero.
+    ``totals`` has the products over rows (XX by its upper triangle, XY, YY) and their number, ``weighted`` the same
+    products over unit sums, weighted at the ratio. A column not in ``kept`` gets a coefficient of zero.
     """
-    size = len(row.xy)
-    xx = _square(row.xx, size)
-    kept = _independent(xx)
-    a = (xx - _square(row.ss, size))[np.ix_(kept, kept)]
-    c = (np.asarray(row.xy, float) - np.asarray(row.sv, float))[kept]
+    n = size * (size + 1) // 2
+    a = (_square(totals[:n], size) - _square(weighted[:n], size))[np.ix_(kept, kept)]
+    c = (totals[n : n + size] - weighted[n : n + size])[kept]
     beta = np.zeros(size)
     beta[kept] = np.linalg.solve(a, c)
-    dof = row.rows - len(kept)
+    dof = totals[n + size + 1] - len(kept)
     if dof <= 0:
-        return math.nan, beta.tolist(), math.nan
-    sigma2 = max((row.yy - row.vv - beta[kept] @ c) / dof, 1e-300)
-    return dof * math.log(sigma2) + row.log_det + np.linalg.slogdet(a)[1], beta.tolist(), sigma2
+        return math.nan, beta, math.nan
+    sigma2 = max((totals[n + size] - weighted[n + size] - beta[kept] @ c) / dof, 1e-300)
+    return dof * math.log(sigma2) + log_det + np.linalg.slogdet(a)[1], beta, sigma2
 
 
-def _criteria(sizes: DataFrame, totals: DataFrame, ratios: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows ``group, j, log_ratio, criterion, beta, sigma2`` for rows ``group, j, log_ratio`` (null: a ratio of zero).
-
-    Sums over sizes add up before the shuffle, for all ratios at once.
-    """
-    ratio = F.coalesce(F.exp("log_ratio"), F.lit(0.0))
-    at = compact_join(sizes, ratios, [group]).withColumn("w", ratio / (1 + F.col("size") * ratio))
-    n = size * (size + 1) // 2
-    w = F.col("w")
-    sums = at.groupBy(group, "j", "log_ratio").agg(
-        F.array(*[F.sum(w * F.col("ss")[i]) for i in range(n)]).alias("ss"),
-        F.array(*[F.sum(w * F.col("sv")[i]) for i in range(size)]).alias("sv"),
-        F.sum(w * F.col("vv")).alias("vv"),
-        F.sum(F.col("units") * F.log1p(F.col("size") * ratio)).alias("log_det"),
-    )
-    kind = dict(sizes.dtypes)[group]
+def _weigher(batch: pa.RecordBatch) -> np.ndarray:
+    """Weighted products and log determinant of sizes of units at all ratios of their group."""
+    ratios = _vectors(batch.column("ratios"))[0][:, None]
+    n, units = (batch.column(c).to_numpy().astype(float) for c in ("size", "units"))
+    weighted = (ratios / (1 + n * ratios)) @ _vectors(batch.column("products"))
+    return np.column_stack([weighted, np.log1p(n * ratios) @ units]).ravel()
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(batch[group], batch.drop(columns=[group]).itertuples(index=False), strict=True)
-            found = [(key, row.j, row.log_ratio, *reml(row)) for key, row in rows]
-            yield pd.DataFrame(found, columns=[group, "j", "log_ratio", "criterion", "beta", "sigma2"])
 
-    return spread(compact_join(sums, totals, [group]), [group, "j"]).mapInPandas(
-        solve, f"`{group}` {kind}, j int, log_ratio double, criterion double, beta array<double>, sigma2 double"
-    )
+def _narrowed(logs: np.ndarray, criteria: np.ndarray, last: bool) -> np.ndarray:
+    """The next grid, between the neighbours of the best place; after the last one the vertex of a parabola, and zero."""
+    best = min(max(int(np.argmin(criteria)), 1), len(logs) - 2)
+    if not last:
+        return np.linspace(logs[best - 1], logs[best + 1], INTERVALS + 1)
+    before, at, after = criteria[best - 1 : best + 2]
+    bend = before - 2 * at + after
+    shift = (before - after) / (2 * bend) if bend > 0 else float(np.argmin([before, at, after]) - 1)
+    return np.array([logs[best] + np.clip(shift, -1, 1) * (logs[best + 1] - logs[best]), -math.inf])
 
 
 def gaussian_fit(
@@ -152,60 +194,62 @@ def gaussian_fit(
         factors = _levels(df, group, unit, y, factors)
     rows = _complete(df, group, unit, y, factors)
     x = _dummies(factors)
-    size = len(x)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    yv = F.col("_y")
-    seen = [F.count_if(F.col(name) == F.lit(level)) > 0 for name, levels in factors.items() for level in levels]
-    totals = rows.groupBy(group).agg(
-        F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("xx"),
-        F.array(*[F.sum(xi * yv) for xi in x]).alias("xy"),
-        F.sum(yv * yv).alias("yy"),
-        F.count(F.lit(1)).alias("rows"),
-        F.array(*seen).alias("seen"),
-    )
-    totals = stored(totals)
+    size, yv = len(x), F.col("_y")
+    # Products over rows come from the counts and sums of each combination of levels.
+    cells = rows.groupBy(group, *factors).agg(F.count(F.lit(1)).alias("n"), F.sum(yv).alias("y"), F.sum(yv * yv).alias("yy"))
+    levels = [(name, level) for name, every in factors.items() for level in every]
+    cells = cells.select(group, F.array(*x).alias("x"), F.array(*[(F.col(c) == F.lit(v)).cast("double") for c, v in levels]).alias("at"), "n", "y", "yy")
+
+    def over_rows(batch: pa.RecordBatch) -> np.ndarray:
+        at, n, sums = _vectors(batch.column("x")), batch.column("n").to_numpy(), batch.column("y").to_numpy()
+        products = _upper(at.T @ (at * n[:, None])), at.T @ sums, [batch.column("yy").to_numpy().sum(), n.sum()]
+        return np.concatenate([*products, n @ _vectors(batch.column("at"))])
+
+    totals = stored(summed(cells, [group], over_rows).withColumnRenamed("vector", "totals"))
     units = rows.groupBy(group, unit).agg(
         F.count(F.lit(1)).alias("size"), F.array(*[F.sum(xi) for xi in x]).alias("s"), F.sum(yv).alias("v")
     )
     s, v = F.col("s"), F.col("v")
-    sizes = units.groupBy(group, "size").agg(
-        F.count(F.lit(1)).alias("units"),
-        F.array(*[F.sum(s[i] * s[j]) for i, j in pairs]).alias("ss"),
-        F.array(*[F.sum(s[i] * v) for i in range(size)]).alias("sv"),
-        F.sum(v * v).alias("vv"),
-    )
+
+    def over_units(batch: pa.RecordBatch) -> np.ndarray:
+        sums, y = _vectors(batch.column("s")), batch.column("v").to_numpy()
+        return np.concatenate([[len(y)], _upper(sums.T @ sums), sums.T @ y, [y @ y]])
+
+    sizes = summed(units.select(group, "size", "s", "v"), [group, "size"], over_units)
+    sizes = sizes.select(group, "size", F.col("vector")[0].alias("units"), F.slice("vector", 2, size * (size + 1) // 2 + size + 1).alias("products"))
     sizes = stored(sizes)
-    sums = totals.drop("seen")
-    low, step = F.lit(LOWEST), F.lit((HIGHEST - LOWEST) / INTERVALS)
-    state = totals.select(group, low.alias("low"), step.alias("step"))
-    best, at_best = F.col("best"), F.col("places")[F.col("best")]
-    for _ in range(ROUNDS):
-        j = F.explode(F.sequence(F.lit(0), F.lit(INTERVALS)))
-        places = state.select(group, "low", "step", j.alias("j"))
-        places = places.select(group, "j", (F.col("low") + F.col("step") * F.col("j")).alias("log_ratio"))
-        found = _criteria(sizes, sums, places, group, size)
-        # The grid of a group, in order; its size is fixed.
-        grid = found.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("j", "criterion", "log_ratio"))).alias("places"))
-        lowest = F.array_min(F.transform("places", lambda p: F.struct(p["criterion"], p["j"])))
-        grid = stored(grid.withColumn("best", F.least(F.greatest(lowest["j"], F.lit(1)), F.lit(INTERVALS - 1))))
-        wide = F.col("places")[1]["log_ratio"] - F.col("places")[0]["log_ratio"]
-        state = grid.select(group, (at_best["log_ratio"] - wide).alias("low"), (2 * wide / INTERVALS).alias("step"))
-    before, after = F.col("places")[best - 1], F.col("places")[best + 1]
-    bend = before["criterion"] - 2 * at_best["criterion"] + after["criterion"]
-    shift = F.when(bend > 0, (before["criterion"] - after["criterion"]) / (2 * bend)).otherwise(0.0)
-    wide = after["log_ratio"] - at_best["log_ratio"]
-    vertex = at_best["log_ratio"] + F.greatest(F.least(shift, F.lit(1.0)), F.lit(-1.0)) * wide
-    last = grid.select(group, F.explode(F.array(F.struct(F.lit(0).alias("j"), vertex.alias("log_ratio")), F.struct(F.lit(1).alias("j"), F.lit(None).cast("double").alias("log_ratio")))).alias("p"))
-    last = _criteria(sizes, sums, last.select(group, "p.*"), group, size)
-    # Of equal criteria, and where there are too few rows for one, a ratio of zero.
-    pick = F.min(F.struct(F.col("criterion"), (-F.col("j")).alias("j"), "log_ratio", "beta", "sigma2")).alias("fit")
-    fit = last.groupBy(group).agg(pick).join(totals.select(group, "seen"), group)
-    ratio = F.coalesce(F.exp("fit.log_ratio"), F.lit(0.0))
-    fit = fit.select(
-        group, "fit.beta", "seen", ratio.alias("ratio"), "fit.sigma2",
-        F.coalesce(F.col("fit.log_ratio") < HIGHEST - 1e-3, F.lit(True)).alias("converged"),
-    )
-    fit = stored(fit)
+    kind, first = dict(df.dtypes)[group], np.linspace(LOWEST, HIGHEST, INTERVALS + 1)
+
+    def look(turn: int):
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for row in batch.to_dict("records"):
+                    total, ratios = np.asarray(row["totals"]), np.asarray(row["ratios"])
+                    sums = np.asarray(row["vector"]).reshape(len(ratios), -1)
+                    kept = _independent(_square(total[: size * (size + 1) // 2], size))
+                    found = [reml(total, w[:-1], w[-1], size, kept) for w in sums]
+                    criteria = np.array([f[0] for f in found])
+                    if turn <= ROUNDS:
+                        logs = _narrowed(np.log(ratios), criteria, turn == ROUNDS)
+                        out.append((row[group], np.exp(logs), None, None, None, None, None))
+                        continue
+                    # Of equal criteria, and where there are too few rows for one, a ratio of zero.
+                    best = 0 if criteria[0] < criteria[1] else 1
+                    seen = total[size * (size + 1) // 2 + size + 2 :] > 0
+                    good = bool(ratios[best] < math.exp(HIGHEST - 1e-3))
+                    out.append((row[group], None, found[best][1], seen, ratios[best], found[best][2], good))
+                yield pd.DataFrame(out, columns=[group, "ratios", "beta", "seen", "ratio", "sigma2", "converged"])
+
+        return solve
+
+    schema = f"`{group}` {kind}, ratios array<double>, beta array<double>, seen array<boolean>, ratio double, sigma2 double, converged boolean"
+    state = totals.select(group, F.array(*[F.lit(math.exp(v)) for v in first]).alias("ratios"))
+    for turn in range(1, ROUNDS + 2):
+        sums = summed(compact_join(sizes, state.select(group, "ratios"), [group]), [group], _weigher)
+        at = compact_join(compact_join(sums, totals, [group]), state.select(group, "ratios"), [group])
+        state = stored(at.mapInPandas(look(turn), schema))
+    fit = state.drop("ratios")
     expected = sum((s[i] * F.col("beta")[i] for i in range(1, size)), s[0] * F.col("beta")[0])
     weight = F.col("ratio") / (1 + F.col("size") * F.col("ratio"))
     effects = units.join(fit, group).select(group, unit, (weight * (v - expected)).alias("effect"))
@@ -230,61 +274,54 @@ def impute_gaussian(
 # --- Poisson ----------------------------------------------------------------------------------------
 
 # Newton steps for the effect of a unit (from a close start), and for the parameters of a group.
-INNER, OUTER = 25, 60
+INNER, OUTER = 100, 60
 SMALLEST_LOG_SD = -12.0
 # Coefficient of a level whose counts are all zero; its best value is minus infinity.
 NOTHING = -30.0
 
 
-def unit_mode(total: Column, rate: Column, variance: Column) -> Column:
-    """Most likely effect of a unit: the root of ``total - rate * exp(u) - u / variance``, by Newton steps."""
-    start = F.when(total > 0, F.log((total + 0.5) / (rate + 1e-12))).otherwise(0.0) * (variance / (variance + 1))
-
-    def newton(u: Column, _: Column) -> Column:
-        e = rate * F.exp(u)
-        move = (total - e - u / variance) / (e + 1 / variance)
-        return u + F.greatest(F.least(move, F.lit(2.0)), F.lit(-2.0))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(INNER)), start, newton)
-
-
-def _rates(n: Column, beta: Column) -> Column:
-    """Expected counts of a unit without its effect, per level; a level without rows in the group has none."""
-    return F.zip_with(n, beta, lambda rows, b: rows * F.coalesce(F.exp(b), F.lit(0.0)))
+def unit_modes(total: np.ndarray, rate: np.ndarray, variance: np.ndarray | float) -> np.ndarray:
+    """Most likely effects of units: roots of ``total - rate * exp(u) - u / variance``, by Newton steps."""
+    u = np.where(total > 0, np.log((total + 0.5) / (rate + 1e-12)), 0.0) * (variance / (variance + 1.0))
+    for _ in range(INNER):
+        e = rate * np.exp(u)
+        step = np.clip((total - e - u / variance) / (e + 1.0 / variance), -2.0, 2.0)
+        u = u + step
+        if np.max(np.abs(step), initial=0.0) < 1e-13:
+            break
+    return u
 
 
-def laplace_sums(patterns: DataFrame, group: str, levels: int) -> DataFrame:
-    """Value, gradient and Hessian of the Laplace likelihood per group, as sums over patterns of units.
+def laplace_sums(batch: pa.RecordBatch) -> np.ndarray:
+    """Value, gradient and Hessian of the Laplace likelihood, as sums over patterns of units of one group.
 
-    ``patterns`` has ``n`` (rows per level), ``total``, ``units`` and the group's parameters ``beta`` and ``log_sd``. The
+    The batch has ``n`` (rows per level), ``total``, ``units`` and the group's parameters ``beta`` and ``log_sd``. The
     derivatives are total ones: the mode of a unit moves with the parameters. Per level l, with the variance t,
     the expected count e of a unit and w = 1 / (1 + t e), the mode moves by -t e_l w and the count by e_l w.
     The part that is linear in ``beta`` is left to the caller. Sums for the variance are for its log standard deviation.
+    The vector is: value, slope by level, Hessian by pair of levels (upper triangle, without the slope on its diagonal), by
+    level and variance, slope and Hessian by variance.
     """
-    rows = patterns.withColumn("t", F.exp(2 * F.col("log_sd"))).withColumn("r", _rates(F.col("n"), F.col("beta")))
-    rows = rows.withColumn("rate", F.aggregate("r", F.lit(0.0), lambda a, b: a + b))
-    rows = rows.withColumn("u", unit_mode(F.col("total"), F.col("rate"), F.col("t")))
-    rows = rows.withColumns({"e": F.col("rate") * F.exp("u"), "el": F.transform("r", lambda x: x * F.exp("u"))})
-    rows = rows.withColumn("w", 1 / (1 + F.col("t") * F.col("e")))
-    t, u, e, w, m, el = (F.col(c) for c in ("t", "u", "e", "w", "units", "el"))
+    total, m = (batch.column(c).to_numpy().astype(float) for c in ("total", "units"))
+    t = math.exp(2 * batch.column("log_sd")[0].as_py())
+    beta = _vectors(batch.column("beta"))[0]
+    r = _vectors(batch.column("n")) * np.where(np.isnan(beta), 0.0, np.exp(beta))
+    rate = r.sum(axis=1)
+    u = unit_modes(total, rate, t)
+    el = r * np.exp(u)[:, None]
+    e = el.sum(axis=1)
+    w = 1 / (1 + t * e)
     k = 1 + t * w * w / 2
-    c = k * t * w + t * t * w * w * w * w
+    c = k * t * w + t * t * w**4
     # Derivatives by t: of the mode, the count, w, and the value.
     u_t, e_t, w_t = u * w / t, e * u * w / t, -w * w * e * (1 + u * w)
     g_t = u * u / (2 * t * t) - e * w * (1 + u * w) / 2
-    h_t = u * u_t / (t * t) - u * u / (t * t * t) - (e_t * w * (1 + u * w) + e * w_t * (1 + u * w) + e * w * (u_t * w + u * w_t)) / 2
+    h_t = u * u_t / t**2 - u * u / t**3 - (e_t * w * (1 + u * w) + e * w_t * (1 + u * w) + e * w * (u_t * w + u * w_t)) / 2
     cross = -(k * u * w / t + w * w / 2 + t * w * w_t)
-    rows = rows.withColumns({"_k": m * k, "_c": m * c, "_g": 2 * t * m * g_t, "_h": m * (4 * t * t * h_t + 4 * t * g_t), "_x": 2 * t * m * cross})
-    value = m * (F.col("total") * u - e - u * u / (2 * t) + F.log(w) / 2)
-    pairs = [(i, j) for i in range(levels) for j in range(i, levels)]
-    return rows.groupBy(group).agg(
-        F.sum(value).alias("fitted"),
-        F.array(*[F.sum(F.col("_k") * el[i]) for i in range(levels)]).alias("slope"),
-        F.array(*[F.sum(F.col("_c") * el[i] * el[j]) for i, j in pairs]).alias("bend"),
-        F.array(*[F.sum(F.col("_x") * el[i]) for i in range(levels)]).alias("cross"),
-        F.sum("_g").alias("slope_sd"),
-        F.sum("_h").alias("bend_sd"),
-    )
+    value = total * u - e - u * u / (2 * t) + np.log(w) / 2
+    bend = _upper(el.T @ (el * (m * c)[:, None]))
+    ends = [2 * t * m @ g_t, m @ (4 * t * t * h_t + 4 * t * g_t)]
+    return np.concatenate([[m @ value], (m * k) @ el, bend, (2 * t * m * cross) @ el, ends])
 
 
 def newton_step(row) -> dict:
@@ -293,11 +330,13 @@ def newton_step(row) -> dict:
     A group is done when a step no longer moves or gains anything; it has converged then, unless halving found nothing
     higher on a slope. Levels without rows or without counts stay as they are.
     """
-    size = len(row.n)
+    size, sums_at = len(row.n), np.asarray(row.vector, float)
+    pairs = size * (size + 1) // 2
+    fitted, slope, bend, cross, (slope_sd, bend_sd) = np.split(sums_at, np.cumsum([1, size, pairs, size]))
     live = [i for i in range(size) if row.ys[i] > 0]
     here = np.array([*[row.beta[i] for i in live], row.log_sd])
     sums = np.asarray(row.ys, float)[live]
-    value = row.fitted + float(here[:-1] @ sums)
+    value = float(fitted[0]) + float(here[:-1] @ sums)
     out = {"value": row.value, "scale": row.scale, "done": False, "converged": False}
     old = None if row.accepted is None else np.asarray(row.accepted, float)
     if old is not None and value < row.value:
@@ -306,11 +345,11 @@ def newton_step(row) -> dict:
         if out["scale"] < 1e-6:
             out |= {"done": True, "converged": bool(np.abs(row.gradient).max() < 1e-3 * (1 + abs(row.value)))}
         return out | {"accepted": old, "gradient": np.asarray(row.gradient, float), "step": step, "next": old + out["scale"] * step * (not out["done"])}
-    gradient = np.append(sums - np.asarray(row.slope, float)[live], row.slope_sd)
+    gradient = np.append(sums - slope[live], slope_sd)
     hessian = np.zeros((len(live) + 1, len(live) + 1))
-    hessian[:-1, :-1] = (_square(row.bend, size) - np.diag(row.slope))[np.ix_(live, live)]
-    hessian[:-1, -1] = hessian[-1, :-1] = np.asarray(row.cross, float)[live]
-    hessian[-1, -1] = row.bend_sd
+    hessian[:-1, :-1] = (_square(bend, size) - np.diag(slope))[np.ix_(live, live)]
+    hessian[:-1, -1] = hessian[-1, :-1] = cross[live]
+    hessian[-1, -1] = bend_sd
     free = np.ones(len(here), bool)
     free[-1] = here[-1] > SMALLEST_LOG_SD + 1e-9 or gradient[-1] > 0
     roots, vectors = np.linalg.eigh(hessian[np.ix_(free, free)])
@@ -376,7 +415,7 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
 
     for _ in range(OUTER):
         moving = state.where(~F.col("done"))
-        at = laplace_sums(compact_join(patterns.drop("ys"), moving.select(group, "beta", "log_sd"), [group]), group, size)
+        at = summed(compact_join(patterns.drop("ys"), moving.select(group, "beta", "log_sd"), [group]), [group], laplace_sums)
         moved = compact_join(moving, at, [group]).mapInPandas(move, f"`{group}` {kind}, {_STATE}")
         left = Observation()
         moved = moved.unionByName(state.where("done")).observe(left, F.count_if(~F.col("done")).alias("n"))
@@ -385,9 +424,17 @@ def poisson_fit(df: DataFrame, group: str, unit: str, y: str, factor: str, level
             break
     fit = state.select(group, "beta", "log_sd", "converged")
     joined = units.select(group, unit, "n", "total").join(fit, group)
-    rate = F.aggregate(_rates(F.col("n"), F.col("beta")), F.lit(0.0), lambda a, b: a + b)
-    joined = joined.withColumn("rate", rate)
-    effects = joined.select(group, unit, unit_mode(F.col("total"), F.col("rate"), F.exp(2 * F.col("log_sd"))).alias("effect"))
+    types = dict(joined.dtypes)
+
+    def modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            beta = _vectors(batch.column("beta"))
+            rate = (_vectors(batch.column("n")) * np.where(np.isnan(beta), 0.0, np.exp(beta))).sum(axis=1)
+            variance = np.exp(2 * batch.column("log_sd").to_numpy())
+            effect = unit_modes(batch.column("total").to_numpy().astype(float), rate, variance)
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column(unit), pa.array(effect)], [group, unit, "effect"])
+
+    effects = joined.mapInArrow(modes, f"`{group}` {types[group]}, `{unit}` {types[unit]}, effect double")
     return fit, effects
 
 

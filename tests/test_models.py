@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,25 +177,26 @@ def laplace_loglik(theta, n, total, units, sums):
     return float(units @ (total * u - e - u * u / (2 * var) - 0.5 * np.log1p(var * e)) + beta @ sums)
 
 
-def test_laplace_sums_against_differences(spark):
+def test_laplace_sums_against_differences():
     """Gradient and Hessian of the grouped sums are those of the dense likelihood."""
     rng = np.random.default_rng(3)
     n = rng.integers(0, 4, (25, 3)).astype(float) + [1, 0, 0]
     total, units = rng.integers(0, 12, 25).astype(float), rng.integers(1, 5, 25).astype(float)
     theta = np.array([0.4, -0.3, 0.9, math.log(0.7)])
-    rows = [("g", [float(x) for x in a], float(t), int(m), [float(b) for b in theta[:-1]], float(theta[-1])) for a, t, m in zip(n, total, units)]
-    df = spark.createDataFrame(rows, "g string, n array<double>, total double, units long, beta array<double>, log_sd double")
-    got = mixed.laplace_sums(df, "g", 3).first()
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    columns = {"n": lists(n), "total": pa.array(total), "units": pa.array(units), "beta": lists([theta[:-1]] * 25), "log_sd": pa.array([theta[-1]] * 25)}
+    got = mixed.laplace_sums(pa.RecordBatch.from_pydict(columns))
+    fitted, slope, bend, cross, (slope_sd, bend_sd) = np.split(got, [1, 4, 10, 13])
     f = lambda t: laplace_loglik(t, n, total, units, np.zeros(3))
     h, eye = 1e-4, np.eye(4) * 1e-4
     gradient = [(f(theta + e) - f(theta - e)) / (2 * h) for e in eye]
     hessian = np.array([[(f(theta + a + b) - f(theta + a - b) - f(theta - a + b) + f(theta - a - b)) / (4 * h * h) for a in eye] for b in eye])
-    assert got.fitted == pytest.approx(f(theta), rel=1e-10)
-    assert [*(-np.array(got.slope)), got.slope_sd] == pytest.approx(gradient, rel=1e-5)
+    assert fitted[0] == pytest.approx(f(theta), rel=1e-10)
+    assert [*(-slope), slope_sd] == pytest.approx(gradient, rel=1e-5)
     mine = np.zeros((4, 4))
-    mine[:3, :3] = mixed._square(got.bend, 3) - np.diag(got.slope)
-    mine[:3, 3] = mine[3, :3] = got.cross
-    mine[3, 3] = got.bend_sd
+    mine[:3, :3] = mixed._square(bend, 3) - np.diag(slope)
+    mine[:3, 3] = mine[3, :3] = cross
+    mine[3, 3] = bend_sd
     assert mine.ravel().tolist() == pytest.approx(hessian.ravel().tolist(), rel=1e-3, abs=1e-4)
 
 
