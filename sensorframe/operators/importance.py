@@ -53,33 +53,38 @@ def numbered(rows: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 # Constants of the mixing function: a prime below 2^31, and a multiplier and increments below it.
 PRIME, FACTOR, STEP, LEAP = 2_147_483_647, 48_271, 1_000_003, 7_919
 ROUNDS = 4
+# Steps of a walk back inside. A step stays outside with a chance below 2 / sqrt(n), and small cells have fewer places.
+WALKS = 64
 
 
-def _partners(i: np.ndarray, n: np.ndarray, sim: np.ndarray, seed: int) -> np.ndarray:
-    side = np.ceil(np.sqrt(n)).astype(np.int64)
-    out, open_ = i.copy(), np.arange(len(i))
-    while len(open_):
-        a, s = side[open_], sim[open_]
-        left, right = np.divmod(out[open_], a)
-        for turn in range(ROUNDS):
-            y = (right * FACTOR + s * STEP + (turn * LEAP + seed)) % PRIME
-            left, right = right, (left + (y * y + y * (turn + 1)) % PRIME) % a
-        out[open_] = left * a + right
-        open_ = open_[out[open_] >= n[open_]]
-    return out
-
-
-def partner(i: Column, n: Column, sim: Column, seed: int = 1) -> Column:
-    """A seeded bijection of 0 .. ``n`` - 1 for each ``sim``, as a vectorised function of three whole numbers.
+def with_partner(df: DataFrame, i: str, n: str, sim: str, out: str, seed: int = 1) -> DataFrame:
+    """Add a seeded bijection of 0 .. ``n`` - 1 for each ``sim``, as a function of three whole numbers.
 
     A Feistel network on pairs below the root of ``n``, rounded up; numbers that land beyond ``n`` walk on until
-    they are inside, which ends as the network is a bijection itself. Written as nested expressions it would be
-    multiplied by the optimiser's substitutions, so it works on Arrow batches.
+    they are inside, which ends as the network is a bijection itself. Each round is columns of their own, so that the
+    expressions stay small and are compiled; the few that walk on do so in an ``aggregate``, which is not.
     """
-    walk = F.pandas_udf(
-        lambda i, n, sim: pd.Series(_partners(i.to_numpy(), n.to_numpy(), sim.to_numpy(), seed)), "long"
-    )
-    return walk(i, n, sim)
+    df = df.withColumn("_a", F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long"))
+    a, left, right = F.col("_a"), F.col("_l"), F.col("_r")
+    turns = [(F.lit(t + 1).cast("long"), F.lit(t * LEAP + seed).cast("long")) for t in range(ROUNDS)]
+    df = df.withColumns({"_l": F.expr(f"{i} div _a"), "_r": F.col(i) % a})
+    for times, plus in turns:
+        df = df.withColumn("_y", (right * FACTOR + F.col(sim) * STEP + plus) % PRIME)
+        df = df.withColumns({"_l": right, "_r": (left + (F.col("_y") * (F.col("_y") + times)) % PRIME) % a})
+
+    def mixed(pair: Column, turn: Column) -> Column:
+        y = (pair["right"] * FACTOR + F.col(sim) * STEP + turn["plus"]) % PRIME
+        return F.struct(pair["right"].alias("left"), ((pair["left"] + (y * (y + turn["times"])) % PRIME) % a).alias("right"))
+
+    def moved(x: Column) -> Column:
+        start = F.struct(F.floor(x / a).cast("long").alias("left"), (x % a).alias("right"))
+        every = F.array(*[F.struct(times.alias("times"), plus.alias("plus")) for times, plus in turns])
+        return F.aggregate(every, start, mixed, lambda pair: pair["left"] * a + pair["right"])
+
+    df = df.withColumn(out, left * a + right)
+    steps = F.sequence(F.lit(1), F.lit(WALKS))
+    walked = F.aggregate(steps, F.col(out), lambda at, _: F.when(at < F.col(n), at).otherwise(moved(at)))
+    return df.withColumn(out, F.when(F.col(out) < F.col(n), F.col(out)).otherwise(walked)).drop("_a", "_l", "_r", "_y")
 
 
 def permuted_moments(
@@ -110,9 +115,10 @@ def permuted_moments(
     )
     given = rows.select("_k", "_i", *[F.col(p).alias(f"_x_{p}") for p in predictors])
     sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nsim).cast("long"))))
-    sims = sims.withColumn("_i", partner(F.col("_i"), F.col("_n"), F.col("sim"), seed))
+    sims = with_partner(sims, "_i", "_n", "sim", "_to", seed).drop("_i").withColumnRenamed("_to", "_i")
     pairs = [F.avg(F.col(a) * F.col(f"_x_{p}")) for a in names for p in predictors]
-    met = sims.join(given, ["_k", "_i"])
+    # One row of ``given`` per place: a hash table of it spares sorting the rows of all simulations.
+    met = sims.join(given.hint("shuffle_hash"), ["_k", "_i"])
     return met.groupBy("_k", "sim").agg(F.array(*pairs).alias("cross")).select("_k.*", F.col("sim").cast("int").alias("sim"), "cross")
 
 

@@ -92,42 +92,45 @@ def select_ranks(df: DataFrame, group: str, value: str, ranks: Sequence[Column],
     )
 
 
-def mean_ranks(rows: DataFrame, group: str, value: str, weight: str, out: str = "rank") -> DataFrame:
+def mean_ranks(rows: DataFrame, group: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """The rows with the mean 1-based rank of their value in their group, equal values sharing it, and the group's ``total``.
 
-    A row counts ``weight`` times; values are not missing. Rows are dealt into ranges of equal size, within a frequent
-    value too, and ranked there. One row per group and range holds its sums and its smallest and largest value, which
+    Values and group columns are not missing. Rows are dealt into ranges of equal size, within a frequent value
+    too, and ranked there. One row per group and range holds its count and its smallest and largest value, which
     alone may lie in several ranges; so no value of a row has to be looked up.
     """
-    names = rows.columns
-    tie = F.xxhash64(*names)
-    ranged = rows.withColumn("_t", tie).repartitionByRange(group, value, "_t").withColumn("_p", F.spark_partition_id())
-    ordered = W.partitionBy(group, "_p").orderBy(value)
-    upto = F.sum(weight).over(ordered.rangeBetween(W.unboundedPreceding, W.currentRow))
-    peers = F.sum(weight).over(ordered.rangeBetween(W.currentRow, W.currentRow))
-    ranged = stored(ranged.withColumns({"_upto": upto, "_peers": peers}).drop("_t"))
-    ranges = ranged.groupBy(group, "_p").agg(
-        F.sum(weight).alias("_n"),
-        F.min(F.struct(value, "_peers")).alias("_low"),
-        F.max(F.struct(value, "_peers")).alias("_high"),
+    names, group = rows.columns, list(group)
+    tie = F.xxhash64(*[c for c in names if c not in group])
+    ranged = rows.withColumn("_t", tie).repartitionByRange(*group, value, "_t").withColumn("_p", F.spark_partition_id())
+    ordered = W.partitionBy(*group, "_p").orderBy(value)
+    first = F.rank().over(ordered)
+    peers = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+    ranged = stored(ranged.drop("_t").withColumns({"_first": first, "_peers": peers}))
+    ranges = ranged.groupBy(*group, "_p").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(value).alias("_low"),
+        F.max(value).alias("_high"),
+        F.max(F.when(F.col("_first") == 1, F.col("_peers"))).alias("_low_n"),
+        F.max("_first").alias("_high_first"),
     )
-    earlier = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    total = F.sum("_n").over(W.partitionBy(group))
-    ranges = ranges.withColumns({"_off": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "total": total})
-    low = F.struct(F.col(f"_low.{value}").alias("v"), F.col("_low._peers").alias("n"), F.col("_off").alias("before"))
-    high = F.struct(F.col(f"_high.{value}").alias("v"), F.col("_high._peers").alias("n"), (F.col("_off") + F.col("_n") - F.col("_high._peers")).alias("before"))
-    both = F.when(F.col(f"_low.{value}") == F.col(f"_high.{value}"), F.array(low)).otherwise(F.array(low, high))
-    ends = ranges.select(group, "_p", "_off", "total", F.explode(both).alias("_e"))
+    earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offset, total = F.coalesce(F.sum("_n").over(earlier), F.lit(0)), F.sum("_n").over(W.partitionBy(*group))
+    ranges = ranges.withColumns({"_off": offset, "total": total})
+    low = F.struct(F.col("_low").alias("v"), F.col("_low_n").alias("n"), F.col("_off").alias("before"))
+    upper = F.col("_off") + F.col("_high_first") - 1
+    high = F.struct(F.col("_high").alias("v"), (F.col("_off") + F.col("_n") - upper).alias("n"), upper.alias("before"))
+    both = F.when(F.col("_low") == F.col("_high"), F.array(low)).otherwise(F.array(low, high))
+    ends = ranges.select(*group, "_p", "_off", "total", F.explode(both).alias("_e"))
     # An end value's rows lie in neighbouring ranges: their number, and what is before the first of them.
-    same = W.partitionBy(group, "_e.v")
+    same = W.partitionBy(*group, "_e.v")
     middle = F.min("_e.before").over(same) + (F.sum("_e.n").over(same) + 1) / 2.0
-    ends = ends.select(group, "_p", "_off", "total", F.struct(F.col("_e.v").alias("v"), middle.alias("rank")).alias("_e"))
-    ends = ends.groupBy(group, "_p").agg(
+    ends = ends.select(*group, "_p", "_off", "total", F.struct(F.col("_e.v").alias("v"), middle.alias("rank")).alias("_e"))
+    ends = ends.groupBy(*group, "_p").agg(
         F.min("_off").alias("_off"), F.min("total").alias("total"), F.min("_e").alias("_low"), F.max("_e").alias("_high")
     )
-    placed = compact_join(ranged, ends, [group, "_p"])
+    placed = compact_join(ranged, ends, [*group, "_p"])
     rank = F.when(F.col(value) == F.col("_low.v"), F.col("_low.rank")).when(F.col(value) == F.col("_high.v"), F.col("_high.rank"))
-    rank = rank.otherwise(F.col("_off") + F.col("_upto") - F.col("_peers") + (F.col("_peers") + 1) / 2.0)
+    rank = rank.otherwise(F.col("_off") + F.col("_first") + (F.col("_peers") - 1) / 2.0)
     return placed.select(*names, rank.alias(out), "total")
 
 

@@ -15,32 +15,27 @@ from sensorframe.session import stored
 def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the complete rows of each group, in long form.
 
-    Equal rows are counted once with their number. All columns are ranked in one pass over long rows, which carry the
-    number of their row, and one grouped pass brings a row's ranks together by that number. Ranks are
-    centred on their known mean, so only sums of products are left to add up.
+    All columns are ranked in one pass over long rows, which carry the number of their row, and one grouped pass brings
+    a row's ranks together by that number. Ranks are centred on their known mean, so only sums of products are left to add up.
     """
-    columns = list(columns)
-    rows = complete_cases(df, [*keys, *columns]).select(
-        F.struct(*keys).alias("_k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_v")
-    )
-    rows = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    keys, columns = list(keys), list(columns)
+    rows = complete_cases(df, [*keys, *columns]).select(*keys, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-    long = rows.select("_k", "_n", "_row", F.posexplode("_v").alias("_c", "_x"))
-    ranks = mean_ranks(long.select(F.struct("_k", "_c").alias("_kc"), "_x", "_n", "_row"), "_kc", "_x", "_n", "_rank")
-    centred = ranks.select("_kc", "_n", "_row", (F.col("_rank") - (F.col("total") + 1) / 2.0).alias("_rank"))
-    together = centred.groupBy("_row").agg(
-        F.first("_kc._k").alias("_k"),
-        F.first("_n").alias("_n"),
-        *[F.max(F.when(F.col("_kc._c") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))],
+    each = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_x{i}").alias("_x")) for i in range(len(columns))])
+    long = rows.select(*keys, "_row", F.inline(each))
+    ranks = mean_ranks(long, [*keys, "_c"], "_x", "_rank")
+    centred = ranks.select(*keys, "_row", "_c", (F.col("_rank") - (F.col("total") + 1) / 2.0).alias("_rank"))
+    together = centred.groupBy(*keys, "_row").agg(
+        *[F.max(F.when(F.col("_c") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))]
     )
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    cells = together.groupBy("_k").agg(
-        F.sum("_n").alias("n"),
-        *[F.sum(F.col("_n") * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"_s{i}_{j}") for i, j in pairs],
+    cells = together.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"_s{i}_{j}") for i, j in pairs],
     )
     entries = []
     for i, j in pairs:
         rho = F.try_divide(F.col(f"_s{i}_{j}"), F.sqrt(F.col(f"_s{i}_{i}") * F.col(f"_s{j}_{j}")))
         for a, b in {(i, j), (j, i)}:
             entries.append(F.struct(F.lit(columns[a]).alias("x"), F.lit(columns[b]).alias("y"), rho.alias("rho")))
-    return cells.select("_k.*", "n", F.explode(F.array(*entries)).alias("_e")).select(*keys, "n", "_e.*")
+    return cells.select(*keys, "n", F.inline(F.array(*entries)))

@@ -350,13 +350,28 @@ def test_repeated_rows_are_shuffled_one_by_one(spark):
     assert len(cross) == 10 and all(abs(c) < 0.02 for c in cross)
 
 
+def walked(i, n, sim, seed=1):
+    """The bijection in plain Python."""
+    side, out = math.isqrt(n - 1) + 1, i
+    while out >= n or out is i:
+        left, right = divmod(out, side)
+        for turn in range(importance.ROUNDS):
+            y = (right * importance.FACTOR + sim * importance.STEP + turn * importance.LEAP + seed) % importance.PRIME
+            left, right = right, (left + (y * y + y * (turn + 1)) % importance.PRIME) % side
+        out = left * side + right
+        if out < n:
+            return out
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 101, 5000])
-def test_partners_are_a_bijection(n):
+def test_partners_are_a_bijection(spark, n):
+    rows = spark.range(n).select("id", F.explode(F.array(*[F.lit(s).cast("long") for s in (1, 2, 10)])).alias("sim"))
+    rows = importance.with_partner(rows.withColumn("n", F.lit(n).cast("long")), "id", "n", "sim", "to").collect()
     for sim in (1, 2, 10):
-        i = np.arange(n)
-        got = importance._partners(i, np.full(n, n), np.full(n, sim), 1)
-        assert sorted(got) == list(range(n))
-        assert n < 100 or (got == i).sum() < 10
+        got = {r.id: r.to for r in rows if r.sim == sim}
+        assert sorted(got.values()) == list(range(n))
+        assert n < 100 or sum(i == j for i, j in got.items()) < 10
+        assert all(got[i] == walked(i, n, sim) for i in list(range(n))[:200])
 
 
 def test_tails_keep_their_digits_in_large_cells():
