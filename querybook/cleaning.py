@@ -70,7 +70,7 @@ SELECT id_code, {stamp_sql('datetime')}, {r_list(columns)}, logger_T4 FROM fille
 
 @query("interpolate_gaps", _gap_sql(K.SOIL_SENSORS, 3, False))
 def interpolate_gaps(spark, sf_dir):
-    filled = gaps.interpolate_gaps(clean(spark, sf_dir), ["id_code"], "datetime", K.SOIL_SENSORS, 3, 7 * gaps.DAY)
+    filled = gaps.interpolate_gaps(clean(spark, sf_dir), ["id_code"], "datetime", K.SOIL_SENSORS, 3)
     return filled.select("id_code", stamp("datetime"), *rounded(K.SOIL_SENSORS), "logger_T4")
 
 

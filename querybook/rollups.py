@@ -301,8 +301,7 @@ def complete_grid(spark, sf_dir):
     f"{_CELLS_SQL} SELECT nation, month, status, {r('coalesce(total, 0)', 2)} AS total FROM grid LEFT JOIN c USING (nation, month, status)",
 )
 def grid_zero_fill(spark, sf_dir):
-    # The months are packed into blocks here, as a long dimension would be.
-    full = reshape.complete_grid(_cells(spark, sf_dir), ["nation", "month", "status"], {"total": 0.0}, inline=10, blocks=8)
+    full = reshape.complete_grid(_cells(spark, sf_dir), ["nation", "month", "status"], {"total": 0.0})
     return full.select("nation", "month", "status", *rounded(["total"], 2))
 
 

@@ -1,7 +1,8 @@
 """Gap filling along time.
 
-A series is cut into time chunks and the chunks are handled apart, so a single very long series is
-spread over many tasks. Only the few readings next to a cut are looked at a second time, across chunks.
+Interpolation deals the readings into ranges of equal size along series and time, so a single very long or dense series
+is spread over many tasks. Each range is looked at by itself; a table of one row per series and range carries the last and
+next known points over the cuts. Carrying forward works on chunks that the caller names.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000  # microseconds
-
+from sensorframe.operators.reshape import compact_join
+from sensorframe.session import stored
 
 def _time_number(df: DataFrame, time: str) -> Column:
     """Time as a number: microseconds for timestamps, days for dates, the value itself otherwise."""
@@ -56,40 +57,68 @@ def _filled(c: str, max_gap: int) -> str:
     )
 
 
+def ranges(df: DataFrame, keys: Sequence[str], time: str, parts: int | None = None) -> DataFrame:
+    """The rows in ranges of about equal size along the series (``_k``) and time (``_t``), with the number of the range, ``_p``.
+
+    Rows of a series at the same time are in the same range.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns({"_k": F.struct(*keys), "_t": _time_number(df, time)})
+    return rows.repartitionByRange(n, "_k", "_t").withColumn("_p", F.spark_partition_id())
+
+
 def interpolate_gaps(
     df: DataFrame,
     keys: Sequence[str],
     time: str,
     columns: Sequence[str],
     max_gap: int = 3,
-    chunk: float | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Fill runs of at most ``max_gap`` missing points on the straight line over elapsed time.
 
-    Longer runs and the ends of a series stay missing; known values never change. ``chunk`` is the
-    length of a time chunk in the unit of ``time`` (microseconds for timestamps; default 31 days).
-    The result does not depend on it. A run that a cut divides and that is short enough to be filled lies,
-    with the known points around it, within ``2 * max_gap + 1`` points of the cut. So points up to
-    ``max_gap`` from a cut are settled by a second look at that many points on both sides of all cuts,
-    and points further inside by their own chunk.
+    Longer runs and the ends of a series stay missing; known values never change. ``parts`` is the number of ranges the
+    rows are dealt into (default: the shuffle partitions); the result does not depend on it. The rows are stored range by
+    range, with the known points around each missing value in its range. Where there is none on one side, it
+    comes from the nearest range of the series that has one.
     """
     keys, columns = list(keys), list(columns)
-    if chunk is None:
-        kind = dict(df.dtypes)[time]
-        chunk = 31 * DAY if kind.startswith("timestamp") else 366 if kind == "date" else 10_000
-    part = [*keys, "_chunk"]
-    base = df.withColumn("_t", _time_number(df, time)).withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk)))
-    ranked = base.withColumn("_r", F.dense_rank().over(W.partitionBy(*part).orderBy("_t")))
-    ranked = ranked.withColumn("_points", F.max("_r").over(W.partitionBy(*part)))
-
-    def at_cut(width: int) -> str:
-        return f"(_r <= {width} OR _points - _r < {width})"
-
-    filled = [f"{_filled(c, max_gap)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns]
-    inside = _neighbours(ranked, part, columns).filter(f"NOT {at_cut(max_gap)}").selectExpr(*filled)
-    edges = ranked.filter(at_cut(2 * max_gap + 1)).withColumn("_out", F.expr(at_cut(max_gap)))
-    edges = _neighbours(edges, keys, columns).filter("_out").selectExpr(*filled)
-    return inside.unionByName(edges)
+    part = ["_k", "_p"]
+    near = _neighbours(ranges(df, keys, time, parts), part, columns)
+    near = near.withColumn("_last", F.max("_r").over(W.partitionBy(*part)))
+    # Points around are wanted at missing values, and at both ends of a range for the ranges next to it.
+    wanted = {
+        f"{side}{c}": F.when(F.col(c).isNull() | (F.col("_r") == 1) | (F.col("_r") == F.col("_last")), F.col(f"{side}{c}"))
+        for c in columns
+        for side in ("_p_", "_n_")
+    }
+    near = stored(near.withColumns(wanted).drop(*[f"_m_{c}" for c in columns]))
+
+    ends = near.groupBy(*part).agg(
+        F.max("_last").alias("_points"),
+        *[F.max(F.when(F.col("_r") == F.col("_last"), F.col(f"_p_{c}"))).alias(f"_last_{c}") for c in columns],
+        *[F.max(F.when(F.col("_r") == 1, F.col(f"_n_{c}"))).alias(f"_first_{c}") for c in columns],
+    )
+    before = W.partitionBy("_k").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("_k").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_points").over(before), F.lit(0)))
+
+    def placed(point: str) -> Column:
+        """A known point with its place in the whole series."""
+        shifted = F.struct(F.col(f"{point}._t").alias("_t"), (F.col(f"{point}._r") + F.col("_off")).alias("_r"), F.col(f"{point}.v").alias("v"))
+        return F.when(F.col(point).isNotNull(), shifted)
+
+    carried = ends.select(
+        *part, "_off",
+        *[F.last(placed(f"_last_{c}"), True).over(before).alias(f"_before_{c}") for c in columns],
+        *[F.last(placed(f"_first_{c}"), True).over(after).alias(f"_after_{c}") for c in columns],
+    )
+    rows = compact_join(near, carried, part)
+    rows = rows.withColumns(
+        {f"_p_{c}": F.coalesce(placed(f"_p_{c}"), F.col(f"_before_{c}")) for c in columns}
+        | {f"_n_{c}": F.coalesce(placed(f"_n_{c}"), F.col(f"_after_{c}")) for c in columns}
+    )
+    return rows.selectExpr(*[f"{_filled(c, max_gap)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
 def carry_forward(

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sensorframe.functions.nulls import clamp_negative, round_to
 from sensorframe.session import stored
 
-# A dimension of a grid is inlined as a literal only up to this many values.
-INLINE_VALUES = 4096
+# Cells of a grid that one array of numbers unfolds to.
+UNFOLD = 4096
 
 # Tasks over which the rows of a hot join key are spread.
 SALTS = 16
@@ -120,39 +120,55 @@ def double_means(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def _values(df: DataFrame, column: str, at_most: int) -> list | None:
-    """The distinct values of a column if there are at most so many, else None. Runs one small job."""
-    rows = df.select(column).distinct().limit(at_most + 1).collect()
-    return sorted((r[0] for r in rows), key=lambda v: (v is None, v)) if len(rows) <= at_most else None
+def _numbered_values(df: DataFrame, dims: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (``_d``, ``_number``, ``_v0``, ``_v1``, …) with the values of each dimension numbered from 0, and one row of their counts.
 
-
-def grid(
-    df: DataFrame,
-    dims: Sequence[str],
-    known: Mapping[str, Sequence] | None = None,
-    inline: int = INLINE_VALUES,
-    blocks: int = 64,
-) -> DataFrame:
+    All dimensions go in one pass. Values are numbered within hashed parts, and the sizes of the parts give the offsets.
+    """
+    fields = [[(F.col(c) if c == d else F.lit(None).cast(df.schema[c].dataType)).alias(f"_v{j}") for j, c in enumerate(dims)] for d in dims]
+    entries = F.array(*[F.struct(F.lit(i).alias("_d"), *f) for i, f in enumerate(fields)])
+    names = [f"_v{j}" for j in range(len(dims))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.inline(entries)).distinct().withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)))
+    values = stored(values)
+    sizes = values.groupBy("_d", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.sum("_n").over(W.partitionBy("_d").orderBy("_part")) - F.col("_n")
+    place = F.row_number().over(W.partitionBy("_d", "_part").orderBy(*names)) - 1
+    numbered = values.withColumn("_place", place).join(sizes.select("_d", "_part", offset.alias("_off")), ["_d", "_part"])
+    numbered = numbered.select("_d", (F.col("_off") + F.col("_place")).alias("_number"), *names)
+    counts = sizes.agg(*[F.sum(F.when(F.col("_d") == i, F.col("_n"))).alias(f"_n{i}") for i in range(len(dims))])
+    return numbered, counts
+
+
+def grid(df: DataFrame, dims: Sequence[str], known: Mapping[str, Sequence] | None = None) -> DataFrame:
     """All combinations of the values of several columns.
 
-    The first column stays a distributed table. Each further one is unfolded from a literal when it has
-    at most ``inline`` values (checked, or given in ``known``). A longer one is packed into ``blocks``
-    arrays by hash; every row meets each array by an equality join and unfolds it.
+    The values of the first column stay a distributed table. A column with values given in ``known`` is unfolded from a
+    literal. The values of all others are numbered; every row of the table unfolds the numbers of their
+    combinations, and the digits of a number, in the mixed radix of the columns' counts, lead to the values by joins that
+    Spark sizes itself. No list of values is ever built. The distinct combinations of ``df`` are stored first, so what
+    leads to them runs once.
     """
     known = dict(known or {})
-    out = df.select(dims[0]).distinct()
+    others = [d for d in dims[1:] if d not in known]
+    base = stored(df.select(*dims).distinct())
+    out = base.select(dims[0]).distinct()
+    if others:
+        numbered, counts = _numbered_values(base, others)
+        every = F.col("_n0")
+        for i in range(1, len(others)):
+            every = every * F.col(f"_n{i}")
+        out = out.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one")  # one row of counts
+        out = out.withColumn("_all", every).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_all - 1) div {UNFOLD}"))))
+        first = F.col("_block") * UNFOLD
+        out = out.withColumn("_cell", F.explode(F.sequence(first, F.least(first + UNFOLD, F.col("_all")) - 1)))
+        for i, d in enumerate(others):
+            out = out.withColumn("_number", F.col("_cell") % F.col(f"_n{i}")).withColumn("_cell", F.expr(f"_cell div _n{i}"))
+            out = compact_join(out, numbered.filter(F.col("_d") == i).select("_number", F.col(f"_v{i}").alias(d)), ["_number"]).drop("_number")
     for d in dims[1:]:
-        kind = df.schema[d].dataType
-        values = list(known[d]) if d in known else _values(df, d, inline)
-        if values is not None:
-            out = out.withColumn(d, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
-            continue
-        block = F.pmod(F.xxhash64(d), F.lit(blocks))
-        packed = df.select(d).distinct().groupBy(block.alias("_block")).agg(F.collect_list(F.struct(d)).alias("_v"))
-        out = out.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        out = out.join(packed, "_block").withColumn("_v", F.explode("_v")).withColumn(d, F.col(f"_v.{d}"))
-        out = out.drop("_block", "_v")
-    return out
+        if d in known:
+            out = out.withColumn(d, F.explode(F.array(*[F.lit(v).cast(df.schema[d].dataType) for v in known[d]])))
+    return out.select(*dims)
 
 
 def missing_cells(df: DataFrame, dims: Sequence[str], **kwargs) -> DataFrame:
@@ -163,7 +179,11 @@ def missing_cells(df: DataFrame, dims: Sequence[str], **kwargs) -> DataFrame:
 
 
 def complete_grid(df: DataFrame, dims: Sequence[str], fill: Mapping[str, object], **kwargs) -> DataFrame:
-    """Add a row for every missing combination and replace missing values of the filled columns."""
+    """Add a row for every missing combination and replace missing values of the filled columns.
+
+    The rows are stored first; the grid and the join start from there.
+    """
+    df = stored(df)
     full = null_safe_join(grid(df, dims, **kwargs), df, dims, "left")
     full = full.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
     return full.select(*df.columns)

@@ -2,25 +2,25 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sensorframe.operators.gaps import carry_forward, interpolate_gaps
+from sensorframe.operators.gaps import carry_forward, interpolate_gaps, ranges
 
 
-def fill(spark, t, v, max_gap=3, chunk=None, ids=None):
+def fill(spark, t, v, max_gap=3, parts=None, ids=None):
     ids = ids or ["a"] * len(t)
     df = spark.createDataFrame(list(zip(ids, t, v)), "id string, t long, v double")
-    out = interpolate_gaps(df, ["id"], "t", ["v"], max_gap, chunk)
+    out = interpolate_gaps(df, ["id"], "t", ["v"], max_gap, parts)
     return [r.v for r in out.orderBy("id", "t", "v").collect()]
 
 
 def test_short_run_is_filled_and_long_run_stays(spark):
     v = [1.0, None, None, 4.0, None, None, None, None, 9.0, None]
-    for chunk in (None, 1, 2, 3, 4):
-        assert fill(spark, range(1, 11), v, 3, chunk) == [1, 2, 3, 4, None, None, None, None, 9, None]
+    for parts in (None, 1, 2, 4, 10):
+        assert fill(spark, range(1, 11), v, 3, parts) == [1, 2, 3, 4, None, None, None, None, 9, None]
 
 
 def test_weights_use_elapsed_time(spark):
-    for chunk in (None, 1, 3):
-        assert fill(spark, [0, 1, 4], [0.0, None, 8.0], 3, chunk) == [0, 2, 8]
+    for parts in (None, 1, 3):
+        assert fill(spark, [0, 1, 4], [0.0, None, 8.0], 3, parts) == [0, 2, 8]
 
 
 def test_no_extrapolation(spark):
@@ -55,15 +55,15 @@ def plain(frame, max_gap):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 5, 17, 60, 10_000])
+@pytest.mark.parametrize("parts", [1, 5, 17, 60, 300])
 @pytest.mark.parametrize("max_gap", [1, 3])
-def test_cuts_do_not_change_the_result(spark, chunk, max_gap):
+def test_cuts_do_not_change_the_result(spark, parts, max_gap):
     rows = spark.range(600).select(
         F.concat(F.lit("s"), F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 3)).alias("id"),
         (F.col("id") * 3 + F.pmod(F.xxhash64("id"), F.lit(3))).alias("t"),
         F.when(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(10)) < 5, F.col("id") * 1.5).alias("v"),
     )
-    got = interpolate_gaps(rows, ["id"], "t", ["v"], max_gap, chunk).orderBy("id", "t").collect()
+    got = interpolate_gaps(rows, ["id"], "t", ["v"], max_gap, parts).orderBy("id", "t").collect()
     want = plain(rows.toPandas(), max_gap)
     assert len(got) == len(want) == 600
     for g, w in zip(got, want):
@@ -71,13 +71,20 @@ def test_cuts_do_not_change_the_result(spark, chunk, max_gap):
         assert w is None or abs(g.v - w) < 1e-9
 
 
-def test_plan_shuffles_the_readings_once(spark):
-    df = spark.range(100).select(F.lit("a").alias("id"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
-    plan = interpolate_gaps(df, ["id"], "t", ["v"])
-    plan.collect()
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    final = text.split("== Initial Plan ==")[0]
-    assert final.count("ReusedExchange") >= 1
+def test_ranges_are_even_for_a_long_and_dense_series(spark):
+    """A third of all rows in one series, half of these within a minute."""
+    t = F.when(F.col("id") < 15_000, 1e9 + F.col("id") * 4e3).when(F.col("id") < 30_000, F.col("id") * 6e8).otherwise(F.col("id") * 1e9)
+    s = F.when(F.col("id") < 30_000, 0).otherwise(F.col("id") % 500)
+    rows = spark.range(90_000).select(s.alias("id"), t.cast("long").alias("t"), F.lit(1.0).alias("v"))
+    sizes = sorted(r["count"] for r in ranges(rows, ["id"], "t", 12).groupBy("_p").count().collect())
+    assert len(sizes) == 12 and sizes[-1] < 2 * sizes[6]
+
+
+def test_series_without_a_name_is_one_series(spark):
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, None), (None, 2, 3.0), ("a", 1, None)], "id string, t long, v double")
+    for parts in (1, 4):
+        out = {(r.id, r.t): r.v for r in interpolate_gaps(df, ["id"], "t", ["v"], 1, parts).collect()}
+        assert out == {(None, 0): 1.0, (None, 1): 2.0, (None, 2): 3.0, ("a", 1): None}
 
 
 def test_carry_forward(spark):

@@ -4,26 +4,27 @@ from pyspark.sql import functions as F
 from sensorframe.operators import reshape
 
 
-@pytest.mark.parametrize("inline", [100, 0])
-def test_grid_fill(spark, inline):
+@pytest.mark.parametrize("known", [None, {"y": [1, 2]}])
+def test_grid_fill(spark, known):
     df = spark.createDataFrame([("a", 1, 5.0), ("b", 2, 7.0)], "x string, y int, v double")
-    out = reshape.complete_grid(df, ["x", "y"], {"v": 0.0}, inline=inline, blocks=3)
+    out = reshape.complete_grid(df, ["x", "y"], {"v": 0.0}, known=known)
     assert sorted(tuple(r) for r in out.collect()) == [("a", 1, 5.0), ("a", 2, 0.0), ("b", 1, 0.0), ("b", 2, 7.0)]
-    assert sorted(tuple(r) for r in reshape.missing_cells(df, ["x", "y"], inline=inline).collect()) == [("a", 2), ("b", 1)]
+    assert sorted(tuple(r) for r in reshape.missing_cells(df, ["x", "y"], known=known).collect()) == [("a", 2), ("b", 1)]
 
 
-@pytest.mark.parametrize("inline", [100, 1])
-def test_grid_size_is_the_product(spark, inline):
+@pytest.mark.parametrize("unfold", [4096, 3])
+def test_grid_size_is_the_product(spark, monkeypatch, unfold):
+    monkeypatch.setattr(reshape, "UNFOLD", unfold)
     df = spark.range(60).select((F.col("id") % 5).alias("a"), (F.col("id") % 4).alias("b"), (F.col("id") % 3).alias("c"))
-    g = reshape.grid(df.filter("id < 13"), ["a", "b", "c"], inline=inline)
+    g = reshape.grid(df.filter("id < 13"), ["a", "b", "c"])
     assert g.count() == g.distinct().count() == 60
     assert "CartesianProduct" not in g._jdf.queryExecution().executedPlan().toString()
 
 
 def test_grid_with_missing_value(spark):
     df = spark.createDataFrame([("a", None), ("b", 1)], "x string, y int")
-    for inline in (10, 0):
-        assert reshape.grid(df, ["x", "y"], inline=inline).count() == 4
+    assert reshape.grid(df, ["x", "y"]).count() == 4
+    assert reshape.grid(df.filter("false"), ["x", "y"]).count() == 0
 
 
 def test_full_join_on_missing_key(spark):
@@ -83,4 +84,6 @@ def test_compact_join_leaves_the_choice_to_spark(spark, how, rows):
 
 def test_grids_never_hold_all_ids_in_one_array(spark):
     df = spark.range(300).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
-    assert reshape.grid(df, ["a", "b"], inline=10, blocks=16).count() == 90_000
+    cells = reshape.grid(df, ["a", "b"])
+    assert cells.distinct().count() == 90_000
+    assert "collect_list" not in cells._jdf.queryExecution().optimizedPlan().toString()
