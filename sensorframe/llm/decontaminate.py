@@ -25,8 +25,8 @@ MOST_TERMS = 2_000_000
 # Terms in a larger share of the strides are not counted when candidates are ruled out; that only rules out fewer.
 COMMON = 0.05
 # Strides a task looks at in one step, and cells of its table of strides and items; larger benchmarks are met in blocks.
-STEP = 20_000
-CELLS = 1 << 23
+STEP = 5_000
+CELLS = 1 << 21
 
 
 @dataclass
@@ -110,10 +110,10 @@ def _gram(weighted, n_terms: int):
             words, stride, _ = _passages(batch)
             keep = np.flatnonzero(words >= 0)
             held = stride[keep]
-            for i in range(0, int(held[-1]) + 1 if len(held) else 0, 20_000):
-                a, b = np.searchsorted(held, [i, i + 20_000])
+            for i in range(0, int(held[-1]) + 1 if len(held) else 0, STEP):
+                a, b = np.searchsorted(held, [i, i + STEP])
                 w, s = words[keep[a:b]], held[a:b] - i
-                total += _sums(w, _sums(s, factors, w, 20_000), s, n_terms)
+                total += _sums(w, _sums(s, factors, w, STEP), s, n_terms)
         total = total.T
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         for i in range(0, len(at), 5_000):
