@@ -22,6 +22,10 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-
 KINDS = [*PATTERNS, "context"]
 # A token with a digit or an at sign may be an identifier.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Characters on both sides of a token that its context is taken from; longer words count by their near end.
+SIDE = 80
+# Shape of a token that is an identifier for sure: length, digits, letters, different characters, letters after digits.
+SHAPE = {"shortest": 16, "longest": 512, "digits": 4, "letters": 4, "different": 8, "turns": 3}
 
 
 def _digits(c: Column) -> Column:
@@ -58,7 +62,11 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
     rows = F.transform(
         found,
         lambda m, i: F.struct(
-            i.alias("at"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), F.right(F.get(gaps, i), F.lit(80)).alias("left")
+            i.alias("at"),
+            F.length(F.get(gaps, i)).alias("gap"),
+            m.alias("match"),
+            F.right(F.get(gaps, i), F.lit(SIDE)).alias("left"),
+            F.left(F.get(gaps, i + 1), F.lit(SIDE)).alias("right"),
         ),
     )
     return F.when(text.rlike(hint), rows)
@@ -71,18 +79,45 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("match"))
 
 
+def _shaped(core: Column) -> Column:
+    """Whether a token looks like a key or hash: long, of letters and digits in turn, with many different characters."""
+    n, letters, digits = F.length(core), F.regexp_replace(core, "[^A-Za-z]", ""), _digits(core)
+    return (
+        n.between(SHAPE["shortest"], SHAPE["longest"])
+        & core.rlike("^[A-Za-z0-9+/_=.-]++$")
+        & (F.length(digits) >= SHAPE["digits"])
+        & (F.length(letters) >= SHAPE["letters"])
+        & (F.size(F.array_distinct(F.split(core, ""))) >= SHAPE["different"])
+        & (F.regexp_count(core, F.lit("[0-9][A-Za-z]")) >= SHAPE["turns"])
+    )
+
+
 def _contexts(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, start, end, token, pattern, seed): identifier-like tokens with the two words before them."""
-    words = F.regexp_extract(F.lower("left"), r"(\S+\s+\S+)\s*$", 1)
-    pattern = F.regexp_replace(words, r"\s+", " ")
-    tokens = tokens.select("row", "start", "end", F.lower("match").alias("token"), pattern.alias("pattern")).where("pattern != ''")
+    """(row, start, end, token, pattern, seed, known): identifier-like tokens, once for each pattern they stand in.
+
+    Patterns are the two words before, the word before, and the word after. Marks around a token are not part of it. A
+    token is a seed if it overlaps a span of a fixed pattern (then it is ``known``) or if its shape leaves no doubt.
+    """
+    edge = r"^[^A-Za-z0-9]*+"
+    head = F.length(F.regexp_extract("match", edge, 0))
+    tail = F.when(head < F.length("match"), F.length(F.regexp_extract(F.reverse("match"), edge, 0))).otherwise(0)
+    core = F.substring(F.col("match"), head + 1, F.length("match") - head - tail)
+    before, after = F.lower("left"), F.lower("right")
+    two = F.regexp_replace(F.regexp_extract(before, r"(\S++\s++\S++)\s*+$", 1), r"\s+", " ")
+    patterns = {"< ": two, "< . ": F.regexp_extract(before, r"(\S++)\s*+$", 1), "> ": F.regexp_extract(after, r"^\s*+(\S++)", 1)}
+    named = F.array(*[F.when(p != "", F.concat(F.lit(side), p)) for side, p in patterns.items()])
+    tokens = tokens.select(
+        "row", (F.col("start") + head).alias("start"), (F.col("end") - tail).alias("end"), F.lower(core).alias("token"),
+        _shaped(core).alias("shaped"), F.array_compact(named).alias("patterns"),
+    ).where("token != ''")
     base = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("base"))
-    seed = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return tokens.join(base, "row", "left").withColumn("seed", F.coalesce(seed, F.lit(False))).drop("base")
+    known = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    tokens = tokens.join(base, "row", "left").withColumn("known", F.coalesce(known, F.lit(False))).drop("base")
+    return tokens.select("row", "start", "end", "token", F.explode("patterns").alias("pattern"), (F.col("known") | F.col("shaped")).alias("seed"), "known")
 
 
 def discover(contexts: DataFrame, rounds: int = 3, support: int = 3, confident: float = 0.8) -> DataFrame:
-    """(row, start, end) of tokens that are no seed and follow a pattern of high confidence.
+    """(row, start, end) of tokens that no fixed pattern found and that stand in a pattern of high confidence.
 
     Patterns and tokens form a graph, one edge for each pair that occurs. Seeds weigh 1. In each round a
     pattern's weight is the mean weight of its tokens, with one token of weight 0 added as caution, and 0 below
@@ -100,7 +135,7 @@ def discover(contexts: DataFrame, rounds: int = 3, support: int = 3, confident:
         patterns = stored(patterns.where(F.col("seeds") >= support).select("pattern", "confidence"))
         tokens = stored(edges.where("not seed").join(patterns, "pattern").groupBy("token").agg(F.max("confidence").alias("weight")))
     good = patterns.where(F.col("confidence") >= confident).select("pattern")
-    return contexts.where("not seed").join(good, "pattern").select("row", "start", "end")
+    return contexts.where("not known").join(good, "pattern").select("row", "start", "end").distinct()
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -108,7 +143,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Kinds are email, ip, card and phone by pattern, with the leftmost matches of each kind that do not
     overlap and matches that fail their check dropped; and context, a token with a digit or an at sign that
-    no pattern found and that follows words which identifiers tend to follow (see ``discover``). A null text
+    no pattern found and that stands beside words which identifiers tend to stand beside (see ``discover``): what the
+    fixed patterns find, and tokens of an unmistakable shape, such as keys, are the seeds. Words beside a token
+    count by their nearest ``SIDE`` characters. A null text
     counts as empty and has no span; the whole text is searched; repeated rows and ids each get a row; an
     empty table gives no rows; other columns are not looked at.
     """

@@ -106,6 +106,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(k).alias(f"n_{k}") for k in PATTERNS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        number("context").alias("n_context"),
     )
 
 

@@ -10,7 +10,7 @@ from helpers import LONG, documents, edge_rows, prose
 import corpus_pipeline
 from sensorframe.llm import packing
 from sensorframe.llm.decontaminate import _common_length, contaminated
-from sensorframe.llm.pii import find_personal_data
+from sensorframe.llm.pii import SIDE, find_personal_data
 from sensorframe.llm.queries import vocabulary
 
 
@@ -63,6 +63,75 @@ def test_context_finds_unseen_identifiers(spark):
     assert all(len(got[i]) == 1 and got[i][0][0] == "email" for i in range(12)) and not any(got[60 + i] for i in range(9))
 
 
+def plain_contexts(rows, rounds=3, support=3, confident=0.8):
+    """The context layer in plain Python: the pattern-token graph and what its good patterns stand beside."""
+    found = []
+    for row, text in rows:
+        base = [(a, b) for _, a, b in brute_spans(text)]
+        end = 0
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", text):
+            core = re.fullmatch(r"(?s)([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9]*)", m[0])
+            left, right = text[end : m.start()][-SIDE:].lower(), text[m.end() :]
+            following = re.search(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", right)
+            right = (right[: following.start()] if following else right)[:SIDE].lower()
+            end = m.end()
+            a, b, token = m.start() + len(core[1]), m.end() - len(core[3]), core[2]
+            if not token:
+                continue
+            shaped = 16 <= len(token) <= 512 and re.fullmatch(r"[A-Za-z0-9+/_=.-]+", token) and len(set(token)) >= 8
+            shaped = shaped and len(re.findall("[0-9]", token)) >= 4 and len(re.findall("[A-Za-z]", token)) >= 4
+            shaped = bool(shaped and len(re.findall("[0-9][A-Za-z]", token)) >= 3)
+            known = any(x < b and y > a for x, y in base)
+            words = left.split()
+            patterns = ["< " + " ".join(words[-2:])] if len(words) > 1 else []
+            patterns += ["< . " + words[-1]] if words else []
+            patterns += ["> " + right.split()[0]] if right.split() else []
+            found += [(row, a, b, token.lower(), p, known or shaped, known) for p in patterns]
+    edges = {}
+    for *_, token, p, seed, _ in found:
+        edges[p, token] = edges.get((p, token), False) or seed
+    weight, confidence = {}, {}
+    for _ in range(rounds):
+        by = collections.defaultdict(list)
+        for (p, token), seed in edges.items():
+            by[p].append((seed, 1.0 if seed else weight.get(token, 0.0)))
+        confidence = {p: sum(w for _, w in v) / (len(v) + 1) for p, v in by.items() if sum(s for s, _ in v) >= support}
+        weight = {}
+        for (p, token), seed in edges.items():
+            if not seed and p in confidence:
+                weight[token] = max(weight.get(token, 0.0), confidence[p])
+    return {(row, a, b) for row, a, b, _, p, _, known in found if not known and confidence.get(p, 0) >= confident}
+
+
+def test_contexts_against_plain_python(spark):
+    rng = random.Random(7)
+    words = ["key", "is", "=", "for", "of", "id:", "the", "page", "Call"]
+    secret = lambda: "".join(rng.choices("0123456789abcdef", k=rng.choice((8, 20, 40))))
+    kinds = [secret, lambda: f"u{rng.randint(1, 30)}@x.org", lambda: str(rng.randint(1, 40)), lambda: f'"{secret()}"!!', lambda: "a1-b2"]
+    rows = []
+    for i in range(400):
+        parts = rng.choices(words, k=12)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(11)
+            kind = kinds[0] if parts[k] == "key" else kinds[1] if parts[k] == "id:" and rng.random() < 0.95 else rng.choice(kinds)
+            parts.insert(k + 1, kind())
+        rows.append((i, " ".join(parts)))
+    got = find_personal_data(documents(spark, rows)).collect()
+    mine = {(r["id"], s["start"], s["end"]) for r in got for s in r["spans"] if s["kind"] == "context"}
+    want = plain_contexts(rows)
+    assert mine == want and 20 < len(want) < 600
+
+
+def test_secrets_of_the_tables_are_found(spark):
+    """Keys behind a name and an equals sign, which no fixed pattern describes; nothing in other documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{20,})"', t or "")}
+    got = {(r["id"], s["start"], s["end"]) for r in find_personal_data(docs).collect() for s in r["spans"] if s["kind"] == "context"}
+    assert len(want) > 10
+    assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+
+
 def test_personal_data_edge_cases(spark):
     got = find_personal_data(documents(spark, edge_rows())).collect()
     assert len(got) == len(edge_rows()) and all(r["spans"] == [] for r in got)
