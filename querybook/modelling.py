@@ -446,19 +446,24 @@ def _daily_prices(spark, sf_dir):
     ).withColumn("x", F.unix_date("date").cast("double"))
 
 
-@query(
-    "loess",
-    f"""WITH p AS (SELECT o_orderstatus AS k, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2),
+def loess_sql(source: str, span: float) -> str:
+    """CTEs up to ``fits`` (k, j, g, fit) from a CTE ``p`` (k, x, y)."""
+    fit = "(t0 * (s2 * s4 - s3 * s3) + t1 * (s2 * s3 - s1 * s4) + t2 * (s1 * s3 - s2 * s2)) / (s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2))"
+    return f"""WITH {source},
 e AS (SELECT k, min(x) AS lo, max(x) AS hi, count(*) AS n FROM p GROUP BY 1),
 g AS (SELECT k, j, lo + (hi - lo) / 79 * j AS g, n FROM e, (SELECT unnest(range(80)) AS j)),
-d AS (SELECT k, j, g, x - g AS d, y, row_number() OVER (PARTITION BY k, j ORDER BY abs(x - g)) AS rn, floor(n * CAST(0.3 AS DOUBLE) + 1e-5) AS q FROM p JOIN g USING (k)),
+d AS (SELECT k, j, g, x - g AS d, y, row_number() OVER (PARTITION BY k, j ORDER BY abs(x - g)) AS rn, floor(n * CAST({span} AS DOUBLE) + 1e-5) AS q FROM p JOIN g USING (k)),
 h AS (SELECT k, j, max(abs(d)) AS h FROM d WHERE rn <= q GROUP BY 1, 2),
 w AS (SELECT k, j, g, y, d / h AS u, pow(1 - pow(abs(d / h), 3), 3) AS w FROM d JOIN h USING (k, j) WHERE abs(d) < h),
 s AS (SELECT k, j, g, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4,
-  sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM w GROUP BY 1, 2, 3)
-SELECT k AS o_orderstatus, {r('g', 4)} AS x, {r('''(t0 * (s2 * s4 - s3 * s3) + t1 * (s2 * s3 - s1 * s4) + t2 * (s1 * s3 - s2 * s2))
-  / (s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2))''', 1)} AS fit FROM s""",
-)
+  sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM w GROUP BY 1, 2, 3),
+fits AS (SELECT k, j, g, {fit} AS fit FROM s)"""
+
+
+_PRICES = "p AS (SELECT o_orderstatus AS k, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2)"
+
+
+@query("loess", f"""{loess_sql(_PRICES, 0.3)} SELECT k AS o_orderstatus, {r('g', 4)} AS x, {r('fit', 1)} AS fit FROM fits""")
 def loess_curve(spark, sf_dir):
     curve = loess.loess(_daily_prices(spark, sf_dir), ["o_orderstatus"], "x", "price", span=0.3)
     return curve.select("o_orderstatus", round_to("x", 4).alias("x"), *rounded(["fit"], 1))

@@ -108,6 +108,21 @@ def monthly_wide(spark, sf_dir):
     )
 
 
+@query(
+    "months_by_year",
+    f"""{MONTHS}, q AS (SELECT id_code, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, {_WARM_SQL} FROM days GROUP BY ALL)
+SELECT coalesce(m.id_code, q.id_code) AS id_code, coalesce(m.year, q.year) AS year, coalesce(m.month, q.month) AS month, m.area,
+  {r_list(['T1_mean', 'T2_absmax', 'T4_meanmin', 'moist_med'])}, {r_list(UPPER, 4)}
+FROM months m FULL JOIN q ON m.id_code = q.id_code AND m.year = q.year AND m.month = q.month""",
+)
+def months_by_year(spark, sf_dir):
+    """Several years of days: the quantiles of a month are those of its own year."""
+    prices = _with_prices(spark, sf_dir)
+    warm = prices.select("id_code", "date", *[F.when(F.col("T1") > 150, F.col(s)).alias(s) for s in K.TEMPERATURES])
+    out = rollup.months_with_quantiles(_months(spark, sf_dir), rollup.upper_quantiles(warm, by_year=True))
+    return out.select("id_code", "year", "month", "area", *rounded(["T1_mean", "T2_absmax", "T4_meanmin", "moist_med"]), *rounded(UPPER, 4))
+
+
 @query(
     "p95_as_absmax",
     f"""{MONTHS}, q AS (SELECT id_code, CAST(month(date) AS INTEGER) AS month, {_UPPER_SQL} FROM days GROUP BY ALL)

@@ -130,6 +130,7 @@ EFFECT_PREDICTOR = "canopy_cover2m_10m"
 # Permutations per predictor; smoothing grid; normals window and its full length.
 PERMUTATIONS = 10
 SMOOTH_POINTS = 80
+SPREAD_SPAN, WEATHER_SPAN, R2_SPAN = 0.3, 0.2, 0.8
 PDP_POINTS = 51
 NORMALS_START = "1991-01-01"
 NORMALS_END = "2020-12-31"

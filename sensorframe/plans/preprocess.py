@@ -46,13 +46,18 @@ def months(filled: DataFrame, daily: DataFrame, limit: float = K.MONTHLY_COVERAG
 
 
 def preprocess(
-    readings: DataFrame, start: str = K.PERIOD_START, end: str = K.PERIOD_END, limit: float = K.MONTHLY_COVERAGE
+    readings: DataFrame,
+    start: str = K.PERIOD_START,
+    end: str = K.PERIOD_END,
+    limit: float = K.MONTHLY_COVERAGE,
+    by_year: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cleaned readings, days and months as three tables.
 
+    ``by_year`` keys the quantiles by the year as well, which a period of more than one year needs.
     The filled readings and the days are stored: gaps are filled once, and both tables build on them.
     """
     clean = clean_readings(readings, start, end)
     filled = stored(fill_readings(clean))
     daily = stored(days(clean, filled))
-    return clean.drop("error_tomst", "error_T4"), published_days(daily), months(filled, daily, limit)
+    return clean.drop("error_tomst", "error_T4"), published_days(daily), months(filled, daily, limit, by_year)

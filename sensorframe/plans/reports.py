@@ -12,6 +12,7 @@ from sensorframe.functions.dates import month_label, month_start, study_year
 from sensorframe.functions.labels import p_class, rank_of, recode, sign_value, split_part
 from sensorframe.functions.nulls import clamp_negative, round_to, strict_mean, weighted_mean
 from sensorframe.operators.clean import drop_matching, drop_values, keep_values
+from sensorframe.operators.loess import loess
 from sensorframe.operators.order_stats import exact_medians
 from sensorframe.operators.reshape import (
     complete_grid,
@@ -199,6 +200,25 @@ def sd_series(readings: DataFrame) -> DataFrame:
     return to_long(cross_site_sd(readings), ["area", "datetime"], K.TEMPERATURES, "tsen", "Temperature")
 
 
+def spread_curves(readings: DataFrame, span: float = K.SPREAD_SPAN, se: bool = False) -> DataFrame:
+    """Smoothed spread across sites over days, per area and sensor: ``area, tsen, x, fit[, se]`` with ``x`` in days since 1970."""
+    rows = sd_series(readings).withColumn("day", F.unix_micros(F.col("datetime").cast("timestamp")) / 86_400e6)
+    return loess(rows, ["area", "tsen"], "day", "Temperature", span, se=se)
+
+
+def weather_curves(days: DataFrame, span: float = K.WEATHER_SPAN) -> DataFrame:
+    """Smoothed days of the study year and their normals, per area: ``area, series, x, fit``."""
+    rows = to_long(days.withColumn("day", F.unix_date("time").cast("double")), ["area", "day"], ["tday", "Tavg30"], "series", "value")
+    return loess(rows, ["area", "series"], "day", "value", span)
+
+
+def r2_curves(summaries: DataFrame, span: float = K.R2_SPAN) -> DataFrame:
+    """Smoothed adjusted R squared over the months, per sensor and statistic: ``tsen, tvar, x, fit``, months in study order."""
+    rows = keep_values(enrich_results(summaries), "tvar", list(K.RESPONSE_LABELS))
+    rows = rows.withColumn("place", F.array_position(F.array(*[F.lit(m) for m in K.HYDRO_MONTHS]), F.col("month").cast("int")).cast("double"))
+    return loess(rows, ["tsen", "tvar"], "place", "adj_r_squared", span)
+
+
 def weather_against_normals(weather: DataFrame, normals: DataFrame) -> DataFrame:
     """Study-year days next to their normals, areas that share a station merged."""
     out = merge_areas(against_normals(weather, normals))

@@ -33,6 +33,37 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
     return df.withColumns({c: nan_to_null(F.col(c)) for c in doubles}) if doubles else df
 
 
+DAMAGED = "_damaged_line"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a csv table, and its damaged lines (``line, file``).
+
+    A line is damaged if it has too few or too many cells, or one that is not of its column's type. Files are split by lines
+    and parsed in parallel whatever their size. A line that repeats the column names, as a header does, is
+    neither, and empty lines are not looked at.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).filter(F.trim("value") != "")
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    if header:
+        lines = lines.filter(F.replace("value", F.lit('"')) != F.lit(",".join(names)))
+    options = {"nullValue": "NA", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED}
+    rows = lines.withColumn("row", F.from_csv("value", f"{schema}, {DAMAGED} string", options))
+    damaged = F.col("row").isNull() | F.col(f"row.{DAMAGED}").isNotNull()
+    good = rows.filter(~damaged).select(*[F.col(f"row.{n}").alias(n) for n in names])
+    doubles = [f.name for f in good.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    good = good.withColumns({c: nan_to_null(F.col(c)) for c in doubles}) if doubles else good
+    return good, rows.filter(damaged).select(F.col("value").alias("line"), "file")
+
+
+def read_partition(spark: SparkSession, path: str, schema: str, **values) -> DataFrame:
+    """The rows of a table written by ``partition_by`` whose partition columns have the given values; no other folder is read."""
+    rows = spark.read.schema(schema).parquet(path)
+    for column, value in values.items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    return rows
+
+
 def read_readings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return read_table(spark, path, schemas.READINGS, fmt)
 

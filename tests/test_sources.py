@@ -76,3 +76,26 @@ def test_normals_and_merge(spark):
     assert n == {60: (1, 1.0), 61: (1, 2.0)}  # 1992 is a leap year
     assert stations.study_means(w).first().Tavg is None
     assert {r.area for r in stations.merge_areas(w).collect()} == {"MAL & AIL"}
+
+
+def test_damaged_lines_are_kept_apart(spark, tmp_path):
+    lines = ["FMISID,area,time,tday", "1,KAR,2020-01-01,1.5", "2,KAR", "3,KAR,2020-01-02,2.5,7", "x,KAR,2020-01-02,2.5", "", "4,NA,2020-01-03,NA", "5,,2020-01-04,NaN"]
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    good, damaged = readers.read_checked(spark, str(tmp_path), schemas.WEATHER_DAILY)
+    assert sorted((r.FMISID, r.area, r.tday) for r in good.collect()) == sorted([(1, "KAR", 1.5), (4, None, None), (5, None, None)] * 2, key=str)
+    assert sorted(r.line for r in damaged.collect()) == sorted([lines[2], lines[3], lines[4]] * 2)
+    assert damaged.count() == 6 and good.select("tday").count() == 6 and damaged.select("file").distinct().count() == 2
+    plain, _ = readers.read_checked(spark, str(tmp_path), schemas.WEATHER_DAILY, header=False)
+    assert plain.count() == 6
+
+
+def test_one_partition_reads_its_files_alone(spark, tmp_path):
+    df = spark.createDataFrame([(i, a) for i in range(6) for a in ("KAR", "HYY", "PIS")], "v int, area string")
+    writers.write_table(df, str(tmp_path / "p"), partition_by=["area"])
+    one = readers.read_partition(spark, str(tmp_path / "p"), "v int, area string", area="HYY")
+    assert sorted(r.v for r in one.collect()) == list(range(6))
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert files and all("area=HYY" in f for f in files)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(area" in plan and "HYY" in plan
