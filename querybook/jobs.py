@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querybook.base import area_of, area_sql, query, r, readings, readings_sql, rounded, table
 from querybook.modelling import loess_sql
+from querybook.reporting import _RESULTS, _results
 from sensorframe import constants as K
 from sensorframe.functions.nulls import round_to
 from sensorframe.plans import modelling, reports
@@ -140,3 +141,18 @@ def spread_bands(spark, sf_dir):
     """The curves of the spread with their standard errors."""
     o = table(spark, sf_dir, "orders").select(area_of("o_custkey").alias("area"), F.col("o_orderdate").cast("date").alias("datetime"), *[(F.col("o_totalprice") / 1000).alias(t) for t in K.TEMPERATURES])
     return reports.spread_curves(o, se=True)
+
+
+_PLACE = "CASE month " + " ".join(f"WHEN {m} THEN {i}" for i, m in enumerate(K.HYDRO_MONTHS, 1)) + " END"
+
+
+@query(
+    "r2_curves",
+    _curve_sql(
+        f"""{_RESULTS}, p AS (SELECT concat(tsen, '|', tvar) AS k, CAST({_PLACE} AS DOUBLE) AS x, adj_r_squared AS y FROM res WHERE tvar IN ({', '.join(f"'{v}'" for v in K.RESPONSE_LABELS)}))""",
+        0.8, "split_part(k, '|', 1) AS tsen, split_part(k, '|', 2) AS tvar",
+    ).replace(f"{r('fit', 4)} AS fit", f"{r('fit', 6)} AS fit"),
+)
+def r2_curves(spark, sf_dir):
+    """Smoothed R squared over the months of the study year, per sensor and statistic."""
+    return reports.r2_curves(_results(spark, sf_dir)).select("tsen", "tvar", round_to("x", 4).alias("x"), *rounded(["fit"]))

@@ -474,10 +474,24 @@ def loess_band(spark, sf_dir):
     return loess.loess(_daily_prices(spark, sf_dir), ["o_orderstatus"], "x", "price", span=0.3, se=True)
 
 
+# Site properties from the customer's number: a multiplier and a modulus each.
+_SITE_NUMBERS = {
+    "snow_days": (48_271, 200), "tpi100": (16_807, 21), "water_prop_500m": (69_621, 30), "canopy_cover2m_10m": (39_373, 90),
+}
+
+
+def _site_number(multiplier: int, modulus: int) -> str:
+    """A whole number that varies from site to site, the same in any engine."""
+    return f"CAST((c_custkey * {multiplier}) % 104729 % {modulus} AS DOUBLE)"
+
+
+_SITE = _site_number(7919, 1000)
+
+
 def _study(spark, sf_dir):
     """Sites, months and covariates of a full study derived from orders and customers."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    site = F.pmod(F.xxhash64("c_custkey"), F.lit(1000)).cast("double")
+    site = F.expr(_SITE)
     price, month = F.col("o_totalprice") / 10000, F.month("o_orderdate")
     base = o.select(
         F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("id_code"),
@@ -486,10 +500,7 @@ def _study(spark, sf_dir):
         (site / 100).alias("altitude"),
         (site * month / 50).alias("pisr"),
         (F.col("c_acctbal") / 1000).alias("wetland_prop_100m"),
-        F.pmod(F.xxhash64("c_custkey", F.lit(1)), F.lit(200)).cast("double").alias("snow_days"),
-        F.pmod(F.xxhash64("c_custkey", F.lit(2)), F.lit(21)).cast("double").alias("tpi100"),
-        F.pmod(F.xxhash64("c_custkey", F.lit(3)), F.lit(30)).cast("double").alias("water_prop_500m"),
-        F.pmod(F.xxhash64("c_custkey", F.lit(4)), F.lit(90)).cast("double").alias("canopy_cover2m_10m"),
+        *[F.expr(_site_number(*v)).alias(c) for c, v in _SITE_NUMBERS.items()],
         (F.col("o_orderkey") % 60).cast("double").alias("moist_med"),
         price.alias("noise"),
     )
@@ -570,6 +581,75 @@ def impute_moisture(spark, sf_dir):
     return modelling.impute_moisture(moisture, _study_sites(spark, sf_dir))
 
 
-@query("study_correlations")
+def _study_correlations_sql() -> str:
+    columns = {
+        "altitude": f"{_SITE} / 100", "pisr": f"{_SITE} * month(o_orderdate) / 50", "wetland_prop_100m": "c_acctbal / 1000",
+        "moist_med": "CAST(o_orderkey % 60 AS DOUBLE)", **{c: _site_number(*v) for c, v in _SITE_NUMBERS.items()},
+    }
+    rank = lambda c: f"rank() OVER (PARTITION BY area, month ORDER BY {c}) + (count(*) OVER (PARTITION BY area, month, {c}) - 1) / 2 AS {c}"
+    pairs = " UNION ALL ".join(
+        f"SELECT area, month, count(*) AS n, '{a}' AS x, '{b}' AS y, {r(f'corr({a}, {b})', 6)} AS rho FROM k GROUP BY 1, 2" for a in K.PREDICTORS for b in K.PREDICTORS
+    )
+    return f"""WITH s AS (SELECT {area_sql('c_nationkey')} AS area, CAST(month(o_orderdate) AS INTEGER) AS month, {', '.join(f'{v} AS {c}' for c, v in columns.items())}
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE month(o_orderdate) IN (1, 7)),
+k AS (SELECT area, month, {', '.join(rank(c) for c in K.PREDICTORS)} FROM s) {pairs}"""
+
+
+@query("study_correlations", _study_correlations_sql())
 def study_correlations(spark, sf_dir):
-    return modelling.predictor_correlations(_study(spark, sf_dir))
+    out = modelling.predictor_correlations(_study(spark, sf_dir))
+    return out.select("area", "month", "n", "x", "y", *rounded(["rho"]))
+
+
+# --- stepwise selection over four predictors -----------------------------------------------------------
+
+FOUR = ["l_quantity", "l_discount", "x3", "x4"]
+# Related predictors and a response of which each explains a little: some are dropped and come back on the way.
+_FOUR_COLUMNS = {
+    "x3": "l_quantity + l_discount * 300 + CAST(l_partkey % 17 AS DOUBLE)",
+    "x4": "l_quantity - l_discount * 200 + CAST(l_orderkey % 13 AS DOUBLE)",
+    "y": "CAST((l_partkey * 7919) % 1000 AS DOUBLE) / 40 + l_tax * 30 + CAST(l_partkey % 17 AS DOUBLE) / 5 + CAST(l_orderkey % 13 AS DOUBLE) / 5",
+}
+
+
+def _step_sql() -> str:
+    """All 16 models by sweeping one predictor after the other out of the covariances, then the walk from the full one.
+
+    ``c{a}{b}`` are covariances given the predictors of the model, of which the last bit was swept last; 4 is the response.
+    """
+    names = [*FOUR, "y"]
+    pairs = [(a, b) for a in range(5) for b in range(a, 5)]
+    cov = ", ".join(f"covar_pop({names[a]}, {names[b]}) AS c{a}{b}" for a, b in pairs)
+    columns = ", ".join(f"{v} AS {k}" for k, v in _FOUR_COLUMNS.items())
+    out = f"""WITH RECURSIVE l AS (SELECT l_suppkey, l_linenumber, l_quantity, l_discount, {columns} FROM lineitem),
+m0 AS (SELECT l_suppkey, l_linenumber, count(*) AS n, {cov} FROM l GROUP BY 1, 2)"""
+    key = lambda a, b: f"c{min(a, b)}{max(a, b)}"
+    for mask in range(1, 16):
+        bit = mask.bit_length() - 1
+        swept = ", ".join(f"{key(a, b)} - {key(a, bit)} * {key(b, bit)} / {key(bit, bit)} AS {key(a, b)}" for a, b in pairs if bit not in (a, b))
+        kept = ", ".join(f"0.0::DOUBLE AS {key(a, b)}" for a, b in pairs if bit in (a, b))
+        out += f",\nm{mask} AS (SELECT l_suppkey, l_linenumber, n, {swept}, {kept} FROM m{mask ^ (1 << bit)})"
+    aic = " UNION ALL ".join(
+        f"SELECT l_suppkey, l_linenumber, {mask} AS mask, n * ln(c44) + {2 * (mask.bit_count() + 1)} AS aic FROM m{mask}" for mask in range(16)
+    )
+    chosen = ", ".join(f"CASE WHEN mask & {1 << FOUR.index(n)} > 0 THEN '{n}' END" for n in sorted(FOUR))
+    return f"""{out},
+a AS ({aic}),
+b AS (SELECT l_suppkey, l_linenumber, a.mask AS mask, a.aic AS aic, arg_min(o.mask, o.aic) AS best, min(o.aic) AS lowest FROM a JOIN a o USING (l_suppkey, l_linenumber)
+  WHERE bit_count(xor(a.mask, o.mask)) = 1 GROUP BY 1, 2, a.mask, a.aic),
+w AS (SELECT l_suppkey, l_linenumber, 15 AS mask, 0 AS turn FROM m0
+  UNION ALL SELECT w.l_suppkey, w.l_linenumber, b.best, turn + 1 FROM w JOIN b USING (l_suppkey, l_linenumber, mask) WHERE lowest < aic AND turn < 40)
+SELECT l_suppkey, l_linenumber, concat_ws('+', {chosen}) AS chosen
+FROM (SELECT l_suppkey, l_linenumber, arg_max(mask, turn) AS mask FROM w GROUP BY 1, 2)"""
+
+
+@query("stepwise_four", _step_sql())
+def stepwise_four(spark, sf_dir):
+    """Selection among four related predictors of a response with signal, dropping and adding back."""
+    keys = ["l_suppkey", "l_linenumber"]
+    lines = table(spark, sf_dir, "lineitem").select(
+        *keys, "l_quantity", "l_discount", *[F.expr(v).alias(k) for k, v in _FOUR_COLUMNS.items()]
+    )
+    c = ols.coefficients(ols.moments(lines, keys, "y", FOUR), keys, FOUR, step=True)
+    slopes = F.array_sort(F.collect_set(F.when(F.col("term") != ols.INTERCEPT, F.col("term"))))
+    return c.groupBy(*keys).agg(F.array_join(slopes, "+").alias("chosen"))
