@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.llm.common import Lookup, utf8
+from sensorframe.llm.common import Lookup, numbered_rows, utf8
 from sensorframe.session import stored
 
 ORDER = 4
-# A context with its next byte is a node of a language's tree if it makes up at least this share of the bytes.
-SHARE = 1 / 32_768
+# Nodes that are sent to the tasks at once; more are scored in several passes over the texts.
+NODES = 2_000_000
 SLICE = 2_000_000
 
 
@@ -84,55 +85,80 @@ def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ).agg(F.sum("n").alias("n"))
 
 
+@dataclass
 class Model:
-    """Frozen trees of all languages: code lengths in bits by order, for grams and for escapes."""
+    """Frozen trees of all languages: the table of their nodes, and how it is cut into passes.
+
+    ``nodes`` has for each order k, language and code (a byte and the k before it) how often it occurs (``n``), and how
+    often (``s``) and with how many next bytes (``d``) its context does. ``passes`` are ranges of the two bytes before a byte:
+    all contexts of order 2 and more with these two bytes, and all longer ones they end in, are in the same range.
+    """
+
+    order: int
+    langs: list[str]
+    nodes: DataFrame | None
+    passes: list[tuple[int, int]]
+
+    def levels(self, first: int, last: int) -> list[tuple]:
+        """Code lengths in bits by order, for grams and for escapes, of the nodes that a pass needs."""
+        pair = _pair(F.col("code"))
+        nodes = self.nodes.where((F.col("k") < 2) | pair.between(first, last)).toArrow()
+        order, out = nodes.column("k").to_numpy(), []
+        for k in range(self.order + 1):
+            t = nodes.filter(pa.array(order == k))
+            lang = np.searchsorted(np.array(self.langs, object), np.array(t.column("lang").to_pylist(), object))
+            code = t.column("code").to_numpy().astype(np.uint64)
+            n, s, d = (t.column(c).to_numpy().astype(float) for c in "nsd")
+            p = n / (s + d)
+            contexts, owner = np.unique(code >> np.uint64(8), return_inverse=True)
+            left = np.ones((len(contexts), len(self.langs)))
+            np.subtract.at(left, (owner, lang), p)
+            escape = -np.log2(np.maximum(left, 1e-12)).astype(np.float32)
+            escape[left >= 1.0] = 0.0
+            grams = np.unique(code)
+            bits = np.full((len(grams), len(self.langs)), 8.0, np.float32)
+            if k:
+                bits = _lengths([(Lookup(g), b, Lookup(c), e) for g, b, c, e in out], grams & np.uint64((1 << (8 * k)) - 1))
+            bits = bits + escape[np.searchsorted(contexts, grams >> np.uint64(8))]
+            bits[np.searchsorted(grams, code), lang] = -np.log2(p)
+            out.append((grams, bits.astype(np.float32), contexts, escape))
+        return out
 
-    def __init__(self, langs: list[str], levels: list[tuple]):
-        self.langs, self.levels = langs, levels
 
-    def prepared(self) -> list[tuple]:
-        return [(Lookup(g), bits, Lookup(c), escape) for g, bits, c, escape in self.levels]
+def _pair(code: Column) -> Column:
+    return F.shiftright(code, 8).bitwiseAND(F.lit(0xFFFF))
 
 
-def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> Model:
+def train(docs: DataFrame, order: int = ORDER, least: int = 1, at_once: int | None = None) -> Model:
     """Trees from all given rows (lang not null, text).
 
     In a context seen n times with d different next bytes, a byte seen m times has probability m / (n + d).
-    What is left, together with the bytes too rare for a node, is the escape to the next shorter context;
-    below order 0 all 256 bytes are alike. Each language has at most ``1 / share`` nodes per order, so the
-    model's size is bounded whatever the size of the corpus; the counts behind it cover all of it.
+    What is left is the escape to the next shorter context; below order 0 all 256 bytes are alike. Every byte
+    that occurs at least ``least`` times in a context is a node (all by default), so the trees grow with the corpus; rarer ones
+    are priced by the escape. The nodes stay a stored table. They are scored in passes of at most ``at_once``
+    nodes (default ``NODES``), and only the nodes of one pass are ever sent to the driver and to a task.
     """
     counts = stored(count_contexts(docs, order))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    tables = []
+    tables = None
     for k in range(order + 1):
         grams = counts if k == order else counts.withColumn("code", F.col("code").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)))
         grams = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
         # At most 256 rows share a context.
         context = W.partitionBy("lang", F.shiftright("code", 8))
         grams = grams.withColumns({"s": F.sum("n").over(context), "d": F.count("n").over(context)})
-        kept = grams.join(F.broadcast(total), "lang").where(F.col("n") >= F.col("total") * share)
-        tables.append(kept.select("lang", "code", "n", "s", "d").toArrow())
-    langs = sorted({x for t in tables for x in t.column("lang").to_pylist()})
-    levels: list[tuple] = []
-    for k, t in enumerate(tables):
-        lang = np.searchsorted(np.array(langs, object), np.array(t.column("lang").to_pylist(), object)) if langs else []
-        code = t.column("code").to_numpy().astype(np.uint64)
-        n, s, d = (t.column(c).to_numpy().astype(float) for c in "nsd")
-        p = n / (s + d)
-        contexts, owner = np.unique(code >> np.uint64(8), return_inverse=True)
-        left = np.ones((len(contexts), len(langs)))
-        np.subtract.at(left, (owner, lang), p)
-        escape = -np.log2(np.maximum(left, 1e-12)).astype(np.float32)
-        escape[left >= 1.0] = 0.0
-        grams = np.unique(code)
-        bits = np.full((len(grams), len(langs)), 8.0, np.float32)
-        if k:
-            bits = _lengths([(Lookup(g), b, Lookup(c), e) for g, b, c, e in levels], grams & np.uint64((1 << (8 * k)) - 1))
-        bits = bits + escape[np.searchsorted(contexts, grams >> np.uint64(8))]
-        bits[np.searchsorted(grams, code), lang] = -np.log2(p)
-        levels.append((grams, bits.astype(np.float32), contexts, escape))
-    return Model(langs, levels)
+        grams = grams.where(F.col("n") >= least).select(F.lit(k).alias("k"), "lang", "code", "n", "s", "d")
+        tables = grams if tables is None else tables.unionByName(grams)
+    nodes = stored(tables)
+    langs = sorted(r["lang"] for r in nodes.where("k = 0").select("lang").distinct().collect())
+    # At most 65,536 rows: nodes by the two bytes before them.
+    sizes = nodes.where("k > 1").groupBy(_pair(F.col("code")).alias("pair")).agg(F.count(F.lit(1)).alias("n")).orderBy("pair").collect()
+    passes, first, held = [], 0, 0
+    for r in sizes:
+        if held and held + r["n"] > (at_once or NODES):
+            passes.append((first, r["pair"] - 1))
+            first, held = r["pair"], 0
+        held += r["n"]
+    return Model(order, langs, nodes, [*passes, (first, 0xFFFF)])
 
 
 def _lengths(levels: list[tuple], codes: np.ndarray) -> np.ndarray:
@@ -153,34 +179,62 @@ def _lengths(levels: list[tuple], codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scorer(model, order: int):
+def _scorer(shared, order: int, n_lang: int, first: int, last: int):
+    """Code lengths by language of the bytes of each text whose two bytes before are in the range of a pass."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = model.value
-        levels, n_lang = frozen.prepared(), len(frozen.langs)
+        levels = [(Lookup(g), bits, Lookup(c), escape) for g, bits, c, escape in shared.value]
+        whole = (first, last) == (0, 0xFFFF)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             total = np.zeros((batch.num_rows, n_lang))
             full = np.flatnonzero(np.diff(offsets) > 0)
             starts = offsets[:-1][full]
-            for begin in range(0, len(data), SLICE):
+            for begin in range(0, len(data) if n_lang else 0, SLICE):
                 end = min(len(data), begin + SLICE)
-                bits = _lengths(levels, _codes(data, starts, begin, end, order))
+                code = _codes(data, starts, begin, end, order)
+                if whole:
+                    bits = _lengths(levels, code)
+                else:
+                    pair = (code >> np.uint64(8)) & np.uint64(0xFFFF)
+                    mine = np.flatnonzero((pair >= first) & (pair <= last))
+                    bits = np.zeros((len(code), n_lang), np.float32)
+                    bits[mine] = _lengths(levels, code[mine])
                 a, b = np.searchsorted(starts, begin, side="right") - 1, np.searchsorted(starts, end)
                 total[full[a:b]] += np.add.reduceat(bits, np.maximum(starts[a:b] - begin, 0), axis=0, dtype=np.float64)
-            best = total.argmin(axis=1) if n_lang else np.zeros(batch.num_rows, int)
-            gap = total - total.min(axis=1, keepdims=True) if n_lang else total
-            sure = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1) if n_lang else np.zeros(batch.num_rows)
-            names = pa.array([frozen.langs[i] if n_lang else None for i in best], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(offsets)), batch.column("letters"), names, pa.array(sure)],
-                ["id", "n_bytes", "letters", "lang_pred", "score"],
-            )
+            columns = [batch.column(c) for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(offsets)), pa.array(list(total), pa.list_(pa.float64()))], [*names, "n_bytes", "bits"])
 
     return score
 
 
+def code_lengths(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
+    """Rows (all columns but ``text``, then n_bytes and bits): the exact code length of the whole text in each language.
+
+    With one pass the texts are read once. With several, rows are numbered and stored, every pass adds up the bytes
+    it knows the contexts of, and its small result is stored before the next one begins.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", n_bytes long, bits array<double>"
+    n = len(model.langs)
+
+    def one(table: DataFrame, schema: str, first: int, last: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model.levels(first, last) if n else [])
+        return table.mapInArrow(_scorer(shared, model.order, n, first, last), schema)
+
+    if len(model.passes) == 1 or not n:
+        return one(rows, schema, 0, 0xFFFF)
+    numbered, row = numbered_rows(rows)
+    parts = None
+    for first, last in model.passes:
+        part = stored(one(numbered.select(row, "text"), f"`{row}` long, n_bytes long, bits array<double>", first, last))
+        parts = part if parts is None else parts.unionByName(part)
+    sums = parts.groupBy(row).agg(F.first("n_bytes").alias("n_bytes"), F.array(*[F.sum(F.col("bits")[i]) for i in range(n)]).alias("bits"))
+    return numbered.drop("text").join(sums, row).drop(row)
+
+
 def identify(
-    spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER
+    spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, n_bytes, lang_pred, score.
 
@@ -192,15 +246,14 @@ def identify(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(
-        _scorer(spark.sparkContext.broadcast(model), order),
-        f"id {kind}, n_bytes long, letters boolean, lang_pred string, score double",
-    )
-    known = F.col("letters") & F.col("lang_pred").isNotNull()
+    out = code_lengths(spark, rows, model).withColumn("least", F.array_min("bits"))
+    known = F.col("letters") & F.col("least").isNotNull()
+    names = F.array(*[F.lit(x) for x in model.langs]).cast("array<string>")
+    place = F.array_position("bits", F.col("least")).cast("int")
+    odds = F.aggregate("bits", F.lit(0.0), lambda total, b: total + F.pow(F.lit(2.0), -F.least(b - F.col("least"), F.lit(1000.0))))
     return out.select(
         "id",
         "n_bytes",
-        F.when(known, F.col("lang_pred")).otherwise("und").alias("lang_pred"),
-        F.when(known, F.col("score")).otherwise(0.0).alias("score"),
+        F.when(known, F.get(names, place - 1)).otherwise("und").alias("lang_pred"),
+        F.when(known, 1 / odds).otherwise(0.0).alias("score"),
     )

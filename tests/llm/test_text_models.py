@@ -25,7 +25,7 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def brute_bits(texts, text, order, share):
+def brute_bits(texts, text, order, least):
     """Code length of a text by plain counting, one byte at a time."""
     counts = {}
     for t in texts:
@@ -34,13 +34,12 @@ def brute_bits(texts, text, order, share):
             for k in range(order + 1):
                 counts.setdefault(b[p - k : p], {}).setdefault(b[p], 0)
                 counts[b[p - k : p]][b[p]] += 1
-    total = sum(counts[b""].values())
     import math
 
     def bits(context, byte):
         lower = bits(context[1:], byte) if context else 8.0
         nodes = counts.get(context, {})
-        kept = {c: m for c, m in nodes.items() if m >= total * share}
+        kept = {c: m for c, m in nodes.items() if m >= least}
         if not kept:
             return lower
         n, d = sum(nodes.values()), len(nodes)
@@ -52,17 +51,21 @@ def brute_bits(texts, text, order, share):
     return sum(bits(b[p - order : p], b[p]) for p in range(order, len(b)))
 
 
-def test_code_lengths_against_plain_counting(spark):
-    texts = [t for _, t, lang in corpus(12) if lang == "es"]
-    rows = spark.createDataFrame([(t, "es") for t in texts], "text string, lang string")
-    model = language_id.train(rows, order=3, share=1 / 500)
-    import numpy as np
-
-    for text in (texts[0], "the unknown", "ñandú", "q"):
-        data = np.frombuffer(text.encode(), np.uint8)
-        codes = language_id._codes(data, np.array([0]), 0, len(data), 3)
-        got = language_id._lengths(model.prepared(), codes).sum()
-        assert got == pytest.approx(brute_bits(texts, text, 3, 1 / 500), rel=1e-4)
+@pytest.mark.parametrize("least, at_once", [(1, None), (3, None), (1, 40)])
+def test_code_lengths_against_plain_counting(spark, least, at_once):
+    """Every node of the trees counts, in one pass and in many."""
+    by = {lang: [t for _, t, x in corpus(12) if x == lang] for lang in ("en", "es")}
+    rows = spark.createDataFrame([(t, lang) for lang, texts in by.items() for t in texts], "text string, lang string")
+    model = language_id.train(rows, order=3, least=least, at_once=at_once)
+    assert (len(model.passes) > 3) == bool(at_once) and model.langs == ["en", "es"]
+    texts = [by["es"][0], "the unknown", "ñandú", "q", "", by["en"][1] * 3, None, "q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r for r in language_id.code_lengths(spark, docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert got[i]["n_bytes"] == len((text or "").encode())
+        want = [brute_bits(by[lang], text or "", 3, least) for lang in model.langs]
+        assert got[i]["bits"] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
 def test_language_edge_cases(spark):
