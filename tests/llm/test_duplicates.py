@@ -83,6 +83,40 @@ def test_near_duplicates_in_deep_regions_and_many_blocks(spark, monkeypatch):
     assert got == brute_near(rows, 2)
 
 
+def test_a_crowd_beyond_one_region(spark):
+    """More near copies than a region holds, at the default sizes, against all pairs."""
+    import numpy as np
+    import sensorframe.llm.minhash as m
+
+    rng = random.Random(12)
+    base = prose(rng, 90).split(" ")
+    rows = []
+    for i in range(m.REGION + 700):
+        change = rng.choice((0.02, 0.04, 0.06))
+        rows.append((i, " ".join(prose(rng, 1) if rng.random() < change else w for w in base)))
+    got = {r["id"]: r["component_id"] for r in near_dedup(documents(spark, rows), size=2).collect()}
+    grams, sets = {}, []
+    for _, text in rows:
+        w = words(text)
+        sets.append({grams.setdefault(g, len(grams)) for g in zip(w, w[1:], strict=False)})
+    table = np.zeros((len(rows), len(grams)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, list(s)] = 1
+    both, size = (table @ table.T).astype(int), table.sum(axis=1).astype(int)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    left, want = set(range(len(rows))), {}
+    while left:
+        first = min(left)
+        group, queue = {first}, [first]
+        while queue:
+            near = set(np.flatnonzero(linked[queue.pop()]).tolist()) - group
+            group |= near
+            queue += near
+        want |= {i: first for i in group}
+        left -= group
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_near_duplicates_edge_cases(spark):
     got = near_dedup(documents(spark, edge_rows())).collect()
     assert len(got) == len(edge_rows())
