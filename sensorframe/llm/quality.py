@@ -108,20 +108,22 @@ def fit(
     """A rule model from at most ``sample`` labelled rows, those with the smallest hash of their id.
 
     Trees of a random forest on the statistics give the rules; logistic regression with a lasso penalty weighs
-    them and drops most. Rows with a null id or label, and labels without a document, are not used. Without
-    labels of both kinds the score is the same for every text.
+    them and drops most. Rows with a null id or label, and labels without a document, are not used; repeated rows
+    count each, up to the bound. Without labels of both kinds, as with an empty table, the score is the same for every text.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     chosen = chosen.where("id is not null and label in (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(chosen), "id")  # bounded by ``sample``
     rows, stats = with_statistics(rows)
-    rows = stored(rows.select("label", *[c.alias(k) for k, c in stats.items()]))
+    names = list(stats)
+    rows = rows.select("label", *[c.alias(k) for k, c in stats.items()])
+    # Documents that share an id each come with its label; the bound holds for them too.
+    rows = stored(rows.orderBy(F.xxhash64(*names), *names, "label").limit(sample))
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         good, bad = seen.get(1.0, 0) + 1, seen.get(0.0, 0) + 1
         return RuleModel(log(good / bad))
-    names = list(stats)
     rows = rows.orderBy(*names, "label").coalesce(4)
     table = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7).fit(table)

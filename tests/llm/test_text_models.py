@@ -184,3 +184,55 @@ def test_url_models_of_a_small_class_against_plain_counting(spark):
     texts = ["http://casino.org/win-roulette", "http://poker.com/good/7", "", "win?q=bingo", urls[5][0], urls[-1][0]]
     got = {r["row"]: r["ratio"] for r in ratios(spark.createDataFrame(list(enumerate(texts)), "row long, url string"), levels).collect()}
     assert got == {i: pytest.approx(brute_ratio(urls, t), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def plain_statistics(text):
+    """The statistics of a text by their definitions."""
+    import math
+
+    text = text or ""
+    words, lines = [w for w in re.split("[ \t-\r]+", text) if w], text.split("\n")
+    n, chars = max(len(words), 1), max(len(text), 1)
+    share = lambda marks: sum(c in marks for c in text) / chars
+    return {
+        "log_words": math.log(len(words) + 1),
+        "word_length": sum(map(len, words)) / n,
+        "distinct_words": len(set(words)) / n,
+        "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "capital_words": sum(w == w.upper() and w != w.lower() for w in words) / n,
+        "capitals": sum(c.isupper() for c in text) / chars,
+        "digits": share("0123456789"),
+        "marks": share(".,;:?"),
+        "shouts": share("!"),
+        "symbols": share("#$%&*+/<=>@\\^_`{|}~[]"),
+        "line_words": n / len(lines),
+        "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_quality_scores_against_plain_rules(spark):
+    """Statistics, rules and the logistic of their weights in plain Python."""
+    import math
+
+    rng = random.Random(9)
+    pieces = ["Word", "word", "SHOUT!!", "a,b;", "12", "#", "é", "Ä", "\n", "\n\n", "word word", "[x]", "\\", "?"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(" \t ") for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", " "]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(len(t or "") > 60)) for i, t in rows[::2]], "doc_id long, quality long")
+    docs = documents(spark, rows)
+    model = quality.fit(docs, labels, trees=4)
+    assert model.rules
+    for r in quality.with_score(docs, model).collect():
+        stats = plain_statistics(texts[r["doc_id"]])
+        total = model.intercept
+        for rule, weight in model.rules:
+            total += weight * all(stats[k] <= at if sign == "<=" else stats[k] > at for k, sign, at in rule)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_repeated_ids_do_not_pass_the_bound_of_the_sample(spark):
+    docs = spark.createDataFrame([(i % 5, f"word {i} " * (i % 5 + 1)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality long")
+    model = quality.fit(docs, labels, sample=20, trees=2)
+    scores = [r["score"] for r in quality.with_score(docs, model).collect()]
+    assert len(scores) == 200 and all(0 <= s <= 1 for s in scores)
