@@ -75,7 +75,8 @@ def impute_moisture(moisture: DataFrame, sites: DataFrame) -> DataFrame:
 def model_input(
     monthly: DataFrame, sites: DataFrame, moisture: DataFrame, snow: DataFrame, responses: Sequence[str] = tuple(RESPONSES)
 ) -> DataFrame:
-    """Responses with all covariates. ``moisture`` and ``snow`` are the imputed tables."""
+    """Responses with all covariates. ``moisture`` and ``snow`` are the imputed tables; look at their ``converged`` first."""
+    moisture, snow = moisture.drop("converged"), snow.drop("converged")
     return features.model_table(
         monthly, features.monthly_radiation(sites), moisture, snow, features.site_covariates(sites), responses
     )
