@@ -7,16 +7,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorframe import constants as K
 from sensorframe.operators.clean import complete_cases
+from sensorframe.operators.mixed import _vectors, summed
 from sensorframe.operators.ols import INTERCEPT, _schema, _square
-from sensorframe.operators.reshape import compact_join, spread
+from sensorframe.operators.reshape import compact_join, even_parts, spread
 from sensorframe.session import stored
 
+
 def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Absolute t value and sign of each slope."""
     return coefs.filter((F.col("term") != INTERCEPT) & F.col("statistic").isNotNull()).select(
@@ -29,27 +33,6 @@ def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """Add ``_i``, the 0-based place of a row in its group by the columns' order, and ``_n``, the group's size.
-
-    Rows are dealt into ranges, equal ones too (they are interchangeable), and numbered range by range; range
-    sizes give the offsets. So no group has to fit one task. ``rows`` must be stored.
-    """
-    ranged = rows.withColumn("_t", F.monotonically_increasing_id()).repartitionByRange(group, *columns, "_t")
-    ranged = stored(ranged.withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        group,
-        "_p",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"),
-        F.sum("_size").over(W.partitionBy(group)).alias("_n"),
-    )
-    inside = W.partitionBy(group, "_p").orderBy(*columns, "_t")
-    placed = ranged.withColumn("_j", F.row_number().over(inside)).join(offsets, [group, "_p"])
-    return placed.withColumn("_i", F.col("_off") + F.col("_j") - 1).drop("_t", "_p", "_j", "_off")
-
-
 # Constants of the mixing function: a prime below 2^31, and a multiplier and increments below it.
 PRIME, FACTOR, STEP, LEAP = 2_147_483_647, 48_271, 1_000_003, 7_919
 ROUNDS = 4
@@ -87,6 +70,116 @@ def with_partner(df: DataFrame, i: str, n: str, sim: str, out: str, seed: int =
     return df.withColumn(out, F.when(F.col(out) < F.col(n), F.col(out)).otherwise(walked)).drop("_a", "_l", "_r", "_y")
 
 
+def sources(place: np.ndarray, n: np.ndarray, sim: int, seed: int = 1) -> np.ndarray:
+    """The numbers whose partner ``with_partner`` puts at ``place``: its network run backward, by the same walks."""
+    a = np.ceil(np.sqrt(n.astype(float))).astype(np.int64)
+
+    def back(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+        left, right = x // a, x % a
+        for t in reversed(range(ROUNDS)):
+            y = (left * FACTOR + (sim * STEP + t * LEAP + seed)) % PRIME
+            left, right = (right - (y * (y + (t + 1))) % PRIME) % a, left
+        return left * a + right
+
+    out = back(place, a)
+    while (outside := np.flatnonzero(out >= n)).size:
+        out[outside] = back(out[outside], a[outside])
+    return out
+
+
+# Places of a cell whose rows meet in one task, and rows that a task deals out at a time.
+PLACES = DEALT = 1 << 16
+# Rows that are sorted together when the rows of all cells are numbered.
+SORTED = 1 << 20
+
+
+def _matrix(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in names])
+
+
+def _parcels(cell: np.ndarray, place: np.ndarray, at: np.ndarray, of: np.ndarray, values: np.ndarray, moved: bool):
+    """Rows (cell, block of places, moved, places, values): what goes to one block together. Entry e carries ``values[of[e]]``."""
+    order = np.lexsort((place // PLACES, cell[of]))
+    cells, blocks = cell[of][order], (place // PLACES)[order]
+    starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (blocks[1:] != blocks[:-1])])
+    for start, end in zip(starts, [*starts[1:], len(order)]):
+        take = order[start:end]
+        yield cells[start], blocks[start], moved, at[take].astype("<i4").tobytes(), values[of[take]].tobytes()
+
+
+def _dealt(predictors: list[str], names: list[str], nsim: int, seed: int):
+    """Sends every row to the block of its place, and its predictors to the blocks of the rows that get them, by simulation."""
+
+    def deal(table: pa.Table) -> pa.RecordBatch:
+        cell, i, n = (table.column(c).to_numpy() for c in ("_cell", "_i", "_n"))
+        values, given, rows = _matrix(table, names), _matrix(table, predictors), np.arange(len(cell))
+        to = np.concatenate([sources(i, n, sim, seed) for sim in range(1, nsim + 1)])
+        at = np.repeat(np.arange(nsim, dtype=np.int64) * PLACES, len(cell)) + to % PLACES
+        out = [*_parcels(cell, i, i % PLACES, rows, values, False), *_parcels(cell, to, at, np.tile(rows, nsim), given, True)]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_cell", "_block", "_moved", "_at", "_values"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= DEALT:
+                yield deal(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield deal(pa.Table.from_batches(held))
+
+    return run
+
+
+def _met(width: int, given: int, nsim: int):
+    """Products of the rows of a block with the predictors that they got, added up per simulation."""
+
+    def unpacked(table: pa.Table, moved: bool, columns: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = table.filter(pc.equal(table.column("_moved"), moved))
+        at = np.concatenate([np.frombuffer(b.as_buffer(), "<i4") for b in mine.column("_at")])
+        return at.astype(np.int64), np.concatenate([np.frombuffer(b.as_buffer()) for b in mine.column("_values")]).reshape(-1, columns)
+
+    def meet(table: pa.Table) -> pa.Table:
+        at, values = unpacked(table, False, width)
+        rows = np.empty((len(at), width))
+        rows[at] = values
+        at, values = unpacked(table, True, given)
+        got = np.empty((nsim * len(rows), given))
+        got[at // PLACES * len(rows) + at % PLACES] = values
+        cross = np.matmul(rows.T, got.reshape(nsim, len(rows), given)).reshape(nsim, -1)
+        cell = pa.array([table.column("_cell")[0].as_py()] * nsim, pa.int64())
+        return pa.table({"_cell": cell, "sim": pa.array(range(1, nsim + 1), pa.int32()), "cross": pa.array(list(cross), pa.list_(pa.float64()))})
+
+    return meet
+
+
+def _permuted(rows: DataFrame, predictors: list[str], responses: list[str], nsim: int, seed: int) -> DataFrame:
+    """(``_k``, ``sim``, ``cross``) of complete rows (``_k``, predictors, responses); see ``permuted_moments``."""
+    names = [*predictors, *responses]
+    if nsim * PLACES > 1 << 31:
+        raise ValueError("too many simulations")
+    rows = stored(rows)
+    # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
+    cells = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in names])
+    cells = stored(cells.withColumn("_cell", F.monotonically_increasing_id()))
+    ranged = compact_join(rows, cells.select("_k", "_cell"), ["_k"]).drop("_k").withColumn("_t", F.monotonically_increasing_id())
+    order = ["_cell", *names, "_t"]  # equal rows are interchangeable, and may lie in several ranges
+    ranged = ranged.repartitionByRange(even_parts(rows, SORTED), *order).sortWithinPartitions(*order).drop("_t")
+    # The upper bits of this number are the range, the lower ones count its rows.
+    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    pieces = ranged.groupBy("_cell", "_p").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy("_cell").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.select("_cell", "_p", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_off"))
+    placed = compact_join(compact_join(ranged, pieces, ["_cell", "_p"]), cells.drop("_k"), ["_cell"])
+    placed = placed.select("_cell", "_n", (F.col("_at") + F.col("_off")).alias("_i"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names])
+    sent = placed.mapInArrow(_dealt(predictors, names, nsim, seed), "_cell long, _block long, _moved boolean, _at binary, _values binary")
+    met = sent.repartition(even_parts(rows, 4 * PLACES), "_cell", "_block").groupBy("_cell", "_block").applyInArrow(_met(len(names), len(predictors), nsim), "_cell long, sim int, cross array<double>")
+    total = summed(met, ["_cell", "sim"], lambda batch: _vectors(batch.column("cross")).sum(0))
+    mean = F.transform("vector", lambda x: x / F.col("_n"))
+    return compact_join(total, cells.select("_k", "_cell", "_n"), ["_cell"]).select("_k", "sim", mean.alias("cross"))
+
+
 def permuted_moments(
     df: DataFrame,
     keys: Sequence[str],
@@ -100,26 +193,70 @@ def permuted_moments(
     One row per cell and simulation. ``cross`` holds, row by row, the population covariance of the
     actual (predictors, then response) with the permuted predictors. A permutation is drawn per
     simulation and shared by the predictors; each predictor on its own is shuffled uniformly. Rows of a cell
-    are numbered once; the partner of a row in a simulation comes from its number by a seeded bijection, so
-    nothing is sorted per simulation. Rows meet on the number, which is unique in the cell, so no join key
-    is hot. The permutations depend on the data and the seed only.
+    are numbered once, range by range; the partner of a row in a simulation comes from its number by a seeded
+    bijection, so nothing is sorted per simulation. The predictors travel, in packed arrays, to the block of numbers
+    they are wanted in; blocks have a fixed number of rows, so no key is hot, and hand on sums of products.
+    The permutations depend on the data and the seed only.
     """
     keys, predictors = list(keys), list(predictors)
     names = [*predictors, response]
-    rows = complete_cases(df, [*keys, *names]).select(F.struct(*keys).alias("_k"), *names)
-    # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
-    means = rows.groupBy("_k").agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
-    rows = stored(numbered(stored(rows), "_k", names))
-    rows = compact_join(rows, means, ["_k"]).select(
-        "_k", "_i", "_n", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names]
-    )
-    given = rows.select("_k", "_i", *[F.col(p).alias(f"_x_{p}") for p in predictors])
-    sims = rows.withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nsim).cast("long"))))
-    sims = with_partner(sims, "_i", "_n", "sim", "_to", seed).drop("_i").withColumnRenamed("_to", "_i")
-    pairs = [F.avg(F.col(a) * F.col(f"_x_{p}")) for a in names for p in predictors]
-    # One row of ``given`` per place: a hash table of it spares sorting the rows of all simulations.
-    met = sims.join(given.hint("shuffle_hash"), ["_k", "_i"])
-    return met.groupBy("_k", "sim").agg(F.array(*pairs).alias("cross")).select("_k.*", F.col("sim").cast("int").alias("sim"), "cross")
+    rows = complete_cases(df, [*keys, *names]).select(F.struct(*keys).alias("_k"), *[F.col(c).cast("double").alias(c) for c in names])
+    return _permuted(rows, predictors, [response], nsim, seed).select("_k.*", "sim", "cross")
+
+
+def _known(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
+def same_rows(df: DataFrame, keys: Sequence[str], responses: Sequence[str]) -> DataFrame:
+    """(``keys``, ``resp``, ``_r``, ``_lead``): responses of a cell known in the same rows share the first of them as lead.
+
+    ``_r`` and ``_lead`` are places in ``responses``, at most 62; responses without any value in a cell have no row.
+    """
+    if len(responses) > 62:
+        raise ValueError("more than 62 responses at a time")
+    mask = sum((F.when(_known(c), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, c in enumerate(responses)), F.lit(0).cast("long"))
+    bit = lambda x, r: x.bitwiseAND(F.lit(1 << r).cast("long")) != 0
+    differ = [F.bit_or(F.when(bit(F.col("_mask"), r), F.bitwise_not("_mask")).otherwise(F.col("_mask"))) for r in range(len(responses))]
+    found = df.withColumn("_mask", mask).groupBy(*keys).agg(F.bit_or("_mask").alias("_any"), *[d.alias(f"_d{r}") for r, d in enumerate(differ)])
+    entries = []
+    for r, c in enumerate(responses):
+        lead = F.coalesce(*[F.when(~bit(F.col(f"_d{r}"), q), F.lit(q)) for q in range(r + 1)])
+        entries.append(F.struct(F.lit(c).alias("resp"), F.lit(r).alias("_r"), lead.alias("_lead"), bit(F.col("_any"), r).alias("_some")))
+    return found.select(*keys, F.inline(F.array(*entries))).filter("_some").drop("_some")
+
+
+def permuted_responses(
+    df: DataFrame,
+    keys: Sequence[str],
+    responses: Sequence[str],
+    predictors: Sequence[str],
+    nsim: int = K.PERMUTATIONS,
+    seed: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """``permuted_moments`` and ``predictor_ranges`` of many responses of the same rows, with ``resp`` as one more key.
+
+    Responses known in the same rows of a cell are worked on together: their rows are numbered in the order of the
+    predictors, then of these responses, and share the permutations, so the predictors travel once for all of them.
+    """
+    keys, responses, predictors = list(keys), list(responses), list(predictors)
+    base = complete_cases(df, [*keys, *predictors]).select(*[*keys, *predictors], *[F.col(c).cast("double").alias(c) for c in responses])
+    base = stored(base.filter(F.greatest(*[_known(c) for c in responses])))
+    shared = stored(same_rows(base, keys, responses))
+    leads = shared.groupBy(*keys, "_lead").agg(F.collect_set("_r").alias("_members"))
+    leads = leads.groupBy(*keys).agg(F.collect_list(F.struct("_lead", "_members")).alias("_leads"))
+    rows = compact_join(base, leads, keys).withColumn("_l", F.explode("_leads"))
+    rows = rows.filter(F.array_contains("_l._members", F.coalesce(*[F.when((F.col("_l._lead") == r) & _known(c), F.lit(r)) for r, c in enumerate(responses)], F.lit(-1))))
+    values = [F.when(F.array_contains("_l._members", r), F.col(c)).otherwise(0.0).alias(f"_y{r}") for r, c in enumerate(responses)]
+    rows = rows.select(F.struct(*keys, F.col("_l._lead").alias("_lead")).alias("_k"), *[F.col(c).cast("double").alias(c) for c in predictors], *values)
+    rows = stored(rows)
+    ranges = predictor_ranges(rows.select("_k", *predictors, F.lit(0.0).alias("_y")), ["_k"], "_y", predictors)
+    crossed = _permuted(rows, predictors, [f"_y{r}" for r in range(len(responses))], nsim, seed)
+    p = len(predictors)
+    own = F.concat(F.slice("cross", 1, p * p), F.slice("cross", F.col("_r") * p + p * p + 1, F.lit(p)))
+    crossed = crossed.select("_k.*", "sim", "cross").join(shared, [*keys, "_lead"]).select(*keys, "resp", "sim", own.alias("cross"))
+    ranges = ranges.select("_k.*", "Variable", "low", "high", "distinct").join(shared, [*keys, "_lead"])
+    return crossed, ranges.select(*keys, "resp", "Variable", "low", "high", "distinct")
 
 
 def _drops(row, names: list[str], how: str) -> list[tuple]:

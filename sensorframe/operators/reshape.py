@@ -106,6 +106,11 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def even_parts(df: DataFrame, rows: int) -> int:
+    """A number of ranges for stored rows: the shuffle partitions, or more, so that a range has about ``rows`` of them at most."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def stack_rows(*frames: DataFrame) -> DataFrame:
     """Rows of all tables; a column that one of them lacks is null there."""
     out = frames[0]
