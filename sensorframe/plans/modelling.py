@@ -99,16 +99,17 @@ def fit_models(
     """
     predictors = list(predictors)
     others = [c for c in ("year", "hydro_year") if c in table.columns]
-    long = ols.stack_responses(
-        complete_cases(table, ["id_code", "area", "month", *others, *predictors]), ["id_code", "area", "month", *predictors], responses
-    )
+    rows = complete_cases(table, ["id_code", "area", "month", *others, *predictors])
+    if "vi" in wanted:
+        rows = stored(rows.select("area", "month", "id_code", *predictors, *responses))
+    long = ols.stack_responses(rows, ["id_code", "area", "month", *predictors], responses)
     cells = ols.moments(long, CELL, "y", predictors)
     cells = cells.join(features.snowy_months(windows), "area", "left")
     cells = cells.withColumn("eligible", features.eligible("area", "month", "snowy", predictors)).drop("snowy")
     cells = stored(cells)
     if "vi" in wanted:
-        permuted = stored(importance.permuted_moments(long, CELL, "y", predictors, nsim, seed))
-        ranges = stored(importance.predictor_ranges(long, CELL, "y", predictors))
+        permuted, ranges = importance.permuted_responses(rows, CELL[:2], responses, predictors, nsim, seed)
+        permuted, ranges = stored(permuted), stored(ranges)
     out = {}
     for suffix, step in (("", False), ("_step", True)):
         coefs = ols.coefficients(cells, CELL, predictors, step)
