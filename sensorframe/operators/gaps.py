@@ -7,15 +7,23 @@ next known points over the cuts. Carrying forward works on chunks that the calle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sensorframe.operators.reshape import compact_join
+from sensorframe.operators.reshape import compact_join, even_parts
 from sensorframe.session import stored
 
+# Readings of a range, which one task holds at a time, and rows of a batch that it hands on.
+READINGS, BATCH = 1 << 18, 10_000
+
+
 def _time_number(df: DataFrame, time: str) -> Column:
     """Time as a number: microseconds for timestamps, days for dates, the value itself otherwise."""
     kind = dict(df.dtypes)[time]
@@ -26,26 +34,55 @@ def _time_number(df: DataFrame, time: str) -> Column:
     return F.col(time)
 
 
-def _neighbours(df: DataFrame, part: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Add, per column, the known points before and after each row, and the row's place in time.
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; the first one does, and missing values are equal."""
+    after, before = column[1:], column[:-1]
+    differ = pc.or_(pc.fill_null(pc.not_equal(after, before), False), pc.xor(pc.is_null(after), pc.is_null(before)))
+    return np.concatenate([[True], differ.to_numpy(zero_copy_only=False)])
+
+
+def _surrounded(columns: Sequence[str]):
+    """Adds, to the rows of one sorted range, each row's place in time (``_r``), the last place of its series (``_last``),
+    and per column the known points before and after a row, itself included, where they are wanted: at missing values, and at both
+    ends of the series in the range, for the ranges next to it.
 
     A point is a distinct time; rows that share one count once and their values are averaged.
     """
-    forward = W.partitionBy(*part).orderBy("_t")
-    backward = W.partitionBy(*part).orderBy(F.desc("_t"))
-    same = forward.rangeBetween(W.currentRow, W.currentRow)
-    df = df.withColumns({"_r": F.dense_rank().over(forward)} | {f"_m_{c}": F.avg(c).over(same) for c in columns})
 
-    def known(c: str) -> Column:
-        return F.expr(f"CASE WHEN `_m_{c}` IS NOT NULL THEN struct(_t, _r, `_m_{c}` AS v) END")
-
-    to_here = (W.unboundedPreceding, W.currentRow)
-    df = df.withColumns(
-        {f"_p_{c}": F.last(known(c), True).over(forward.rangeBetween(*to_here)) for c in columns}
-    )
-    return df.withColumns(
-        {f"_n_{c}": F.last(known(c), True).over(backward.rangeBetween(*to_here)) for c in columns}
-    )
+    def look(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        series, time = table.column("_k").combine_chunks(), table.column("_t").combine_chunks()
+        begins = np.logical_or.reduce([_changes(f) for f in series.flatten()])
+        starts = np.flatnonzero(begins | _changes(time))  # the first row of each point
+        point = np.cumsum(begins | _changes(time)) - 1
+        firsts = np.flatnonzero(begins[starts])  # the first point of each series
+        points, of = len(starts), np.cumsum(begins[starts]) - 1
+        counts = np.diff(np.append(firsts, points))
+        place, last = (np.arange(points) - firsts[of] + 1).astype(np.int32), counts[of].astype(np.int32)
+        end = (place == 1) | (place == last)
+        table = table.append_column("_r", pa.array(place[point])).append_column("_last", pa.array(last[point]))
+        for c in columns:
+            column = table.column(c).combine_chunks().cast(pa.float64())
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            n = np.add.reduceat(known.astype(np.int64), starts)
+            mean = np.add.reduceat(column.fill_null(0.0).to_numpy(zero_copy_only=False), starts) / np.maximum(n, 1)
+            here = np.arange(points)
+            before = np.maximum.accumulate(np.where(n > 0, here, -1))
+            after = np.minimum.accumulate(np.where(n > 0, here, points)[::-1])[::-1]
+            wanted = ~known | end[point]
+            for side, at, there in (("_p_", before, before >= firsts[of]), ("_n_", after, after < (firsts + counts)[of])):
+                at = np.clip(at, 0, points - 1)[point]
+                fields = [time.take(pa.array(starts[at])), pa.array(place[at]), pa.array(mean[at])]
+                struct = pa.StructArray.from_arrays(fields, ["_t", "_r", "v"], mask=pa.array(~(wanted & there[point])))
+                table = table.append_column(f"{side}{c}", struct)
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from look(pa.Table.from_batches(held)).to_batches(max_chunksize=BATCH)
+
+    return run
 
 
 def _filled(c: str, max_gap: int) -> str:
@@ -62,7 +99,7 @@ def ranges(df: DataFrame, keys: Sequence[str], time: str, parts: int | None = No
 
     Rows of a series at the same time are in the same range.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or even_parts(df, READINGS)
     rows = df.withColumns({"_k": F.struct(*keys), "_t": _time_number(df, time)})
     return rows.repartitionByRange(n, "_k", "_t").withColumn("_p", F.spark_partition_id())
 
@@ -78,34 +115,32 @@ def interpolate_gaps(
     """Fill runs of at most ``max_gap`` missing points on the straight line over elapsed time.
 
     Longer runs and the ends of a series stay missing; known values never change. ``parts`` is the number of ranges the
-    rows are dealt into (default: the shuffle partitions); the result does not depend on it. The rows are stored range by
-    range, with the known points around each missing value in its range. Where there is none on one side, it
+    rows are dealt into (default: the shuffle partitions, more if a range had over ``READINGS`` rows); the result does not
+    depend on it. The rows are stored range by range, with the known points around each missing value in its range. Where there is none on one side, it
     comes from the nearest range of the series that has one.
     """
     keys, columns = list(keys), list(columns)
     part = ["_k", "_p"]
-    near = _neighbours(ranges(df, keys, time, parts), part, columns)
-    near = near.withColumn("_last", F.max("_r").over(W.partitionBy(*part)))
-    # Points around are wanted at missing values, and at both ends of a range for the ranges next to it.
-    wanted = {
-        f"{side}{c}": F.when(F.col(c).isNull() | (F.col("_r") == 1) | (F.col("_r") == F.col("_last")), F.col(f"{side}{c}"))
-        for c in columns
-        for side in ("_p_", "_n_")
-    }
-    near = stored(near.withColumns(wanted).drop(*[f"_m_{c}" for c in columns]))
-
-    ends = near.groupBy(*part).agg(
+    ranged = ranges(df, keys, time, parts).sortWithinPartitions("_k", "_t")
+    kind = dict(ranged.dtypes)["_t"]
+    extra = [f"`{side}{c}` struct<_t: {kind}, _r: int, v: double>" for c in columns for side in ("_p_", "_n_")]
+    schema = T.StructType([*ranged.schema, *T.StructType.fromDDL(", ".join(["_r int", "_last int", *extra]))])
+    near = stored(ranged.mapInArrow(_surrounded(columns), schema))
+
+    ends = near.filter((F.col("_r") == 1) | (F.col("_r") == F.col("_last"))).groupBy(*part).agg(
         F.max("_last").alias("_points"),
         *[F.max(F.when(F.col("_r") == F.col("_last"), F.col(f"_p_{c}"))).alias(f"_last_{c}") for c in columns],
         *[F.max(F.when(F.col("_r") == 1, F.col(f"_n_{c}"))).alias(f"_first_{c}") for c in columns],
     )
+    # A series in one range gets nothing from others; of the rest there are fewer than ranges.
+    ends = ends.withColumn("_ranges", F.count(F.lit(1)).over(W.partitionBy("_k"))).filter("_ranges > 1")
     before = W.partitionBy("_k").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("_k").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
     ends = ends.withColumn("_off", F.coalesce(F.sum("_points").over(before), F.lit(0)))
 
     def placed(point: str) -> Column:
         """A known point with its place in the whole series."""
-        shifted = F.struct(F.col(f"{point}._t").alias("_t"), (F.col(f"{point}._r") + F.col("_off")).alias("_r"), F.col(f"{point}.v").alias("v"))
+        shifted = F.struct(F.col(f"{point}._t").alias("_t"), (F.col(f"{point}._r") + F.coalesce("_off", F.lit(0))).alias("_r"), F.col(f"{point}.v").alias("v"))
         return F.when(F.col(point).isNotNull(), shifted)
 
     carried = ends.select(
@@ -113,7 +148,7 @@ def interpolate_gaps(
         *[F.last(placed(f"_last_{c}"), True).over(before).alias(f"_before_{c}") for c in columns],
         *[F.last(placed(f"_first_{c}"), True).over(after).alias(f"_after_{c}") for c in columns],
     )
-    rows = compact_join(near, carried, part)
+    rows = compact_join(near, stored(carried), part, "left")
     rows = rows.withColumns(
         {f"_p_{c}": F.coalesce(placed(f"_p_{c}"), F.col(f"_before_{c}")) for c in columns}
         | {f"_n_{c}": F.coalesce(placed(f"_n_{c}"), F.col(f"_after_{c}")) for c in columns}

@@ -107,7 +107,7 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def even_parts(df: DataFrame, rows: int) -> int:
-    """A number of ranges for stored rows: the shuffle partitions, or more, so that a range has about ``rows`` of them at most."""
+    """A number of ranges for rows that are cheap to count: the shuffle partitions, or more, so that a range has about ``rows`` of them at most."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 

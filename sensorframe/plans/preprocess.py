@@ -36,6 +36,8 @@ def fill_air(clean: DataFrame) -> DataFrame:
 
 def days(clean: DataFrame, filled: DataFrame | None = None) -> DataFrame:
     """Cleaned readings to masked daily statistics. ``filled`` has them with the soil gaps filled, if that is at hand."""
+    if filled is None:
+        clean = stored(clean)
     return mask_days(daily_rollup(fill_readings(clean) if filled is None else filled, fill_air(clean)))
 
 
@@ -55,9 +57,9 @@ def preprocess(
     """Cleaned readings, days and months as three tables.
 
     ``by_year`` keys the quantiles by the year as well, which a period of more than one year needs.
-    The filled readings and the days are stored: gaps are filled once, and both tables build on them.
+    The cleaned and the filled readings and the days are stored: gaps are filled once, and both tables build on them.
     """
-    clean = clean_readings(readings, start, end)
+    clean = stored(clean_readings(readings, start, end))
     filled = stored(fill_readings(clean))
     daily = stored(days(clean, filled))
     return clean.drop("error_tomst", "error_T4"), published_days(daily), months(filled, daily, limit, by_year)

@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorframe.operators import gaps
 from sensorframe.operators.gaps import carry_forward, interpolate_gaps, ranges
 
 
@@ -93,3 +94,13 @@ def test_carry_forward(spark):
         df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "id string, t long, v double")
         out = carry_forward(df, ["id"], ["t"], ["v"], F.floor(F.col("t") / width))
         assert [r.v for r in out.orderBy("t").collect()] == [None, 2, 2, 5, 5]
+
+
+def test_ranges_grow_in_number_with_the_readings(spark, monkeypatch):
+    """No range holds more than a fixed number of readings, and the filled values stay the same."""
+    df = spark.range(4000).select(F.lit("a").alias("id"), F.col("id").alias("t"), F.when(F.col("id") % 5 > 1, F.col("id") * 1.0).alias("v"))
+    monkeypatch.setattr(gaps, "READINGS", 100)
+    sizes = [r["count"] for r in ranges(df, ["id"], "t").groupBy("_p").count().collect()]
+    assert len(sizes) >= 35 and max(sizes) < 400
+    out = {r.t: r.v for r in interpolate_gaps(df, ["id"], "t", ["v"], 3).collect()}
+    assert out == {t: (None if t < 2 else float(t)) for t in range(4000)}
