@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorframe.operators.reshape import compact_join
+from sensorframe.operators.reshape import compact_join, even_parts
 from sensorframe.session import stored
 
 # Bits of a number below the first and the second digit of the selection.
 FIRST, SECOND = 36, 18
 _MISSING = -(10**18)
+# Rows of a range that are ranked together.
+RANKED = 1 << 20
 
 
 def sortable(value: Column) -> Column:
@@ -96,12 +98,14 @@ def mean_ranks(rows: DataFrame, group: Sequence[str], value: str, out: str = "ra
     """The rows with the mean 1-based rank of their value in their group, equal values sharing it, and the group's ``total``.
 
     Values and group columns are not missing. Rows are dealt into ranges of equal size, within a frequent value
-    too, and ranked there. One row per group and range holds its count and its smallest and largest value, which
+    too, and ranked there; there are more ranges for more rows, so a range stays small. One row per group and range holds its count and its smallest and largest value, which
     alone may lie in several ranges; so no value of a row has to be looked up.
     """
     names, group = rows.columns, list(group)
     tie = F.xxhash64(*[c for c in names if c not in group])
-    ranged = rows.withColumn("_t", tie).repartitionByRange(*group, value, "_t").withColumn("_p", F.spark_partition_id())
+    parts = even_parts(rows, RANKED)
+    ranged = rows.withColumn("_t", tie).repartitionByRange(parts, *group, value, "_t").withColumn("_p", F.spark_partition_id())
+    ranged = ranged.repartition(parts, *group, "_p")
     ordered = W.partitionBy(*group, "_p").orderBy(value)
     first = F.rank().over(ordered)
     peers = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
@@ -128,7 +132,7 @@ def mean_ranks(rows: DataFrame, group: Sequence[str], value: str, out: str = "ra
     ends = ends.groupBy(*group, "_p").agg(
         F.min("_off").alias("_off"), F.min("total").alias("total"), F.min("_e").alias("_low"), F.max("_e").alias("_high")
     )
-    placed = compact_join(ranged, ends, [*group, "_p"])
+    placed = compact_join(ranged, stored(ends), [*group, "_p"])
     rank = F.when(F.col(value) == F.col("_low.v"), F.col("_low.rank")).when(F.col(value) == F.col("_high.v"), F.col("_high.rank"))
     rank = rank.otherwise(F.col("_off") + F.col("_first") + (F.col("_peers") - 1) / 2.0)
     return placed.select(*names, rank.alias(out), "total")

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.order_stats import mean_ranks
+from sensorframe.operators.reshape import even_parts
 from sensorframe.session import stored
 
+# Rows whose ranks meet in one task.
+TOGETHER = 1 << 18
+
 
 def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns over the complete rows of each group, in long form.
@@ -25,7 +29,7 @@ def spearman(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     long = rows.select(*keys, "_row", F.inline(each))
     ranks = mean_ranks(long, [*keys, "_c"], "_x", "_rank")
     centred = ranks.select(*keys, "_row", "_c", (F.col("_rank") - (F.col("total") + 1) / 2.0).alias("_rank"))
-    together = centred.groupBy(*keys, "_row").agg(
+    together = centred.repartition(even_parts(rows, TOGETHER), *keys, "_row").groupBy(*keys, "_row").agg(
         *[F.max(F.when(F.col("_c") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(columns))]
     )
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]

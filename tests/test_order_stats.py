@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sensorframe.operators import order_stats
 from sensorframe.operators.order_stats import exact_quantiles, magnitude_bucket, mean_ranks, sortable
+from sensorframe.session import stored
 
 
 def test_known_quantiles(spark):
@@ -76,3 +78,14 @@ def test_narrow_ranges_fill_many_buckets(spark):
     df = spark.range(1_000_000).select((F.col("id") / 1e6 + 1000).alias("v"))
     sizes = df.groupBy(magnitude_bucket(F.col("v")).alias("b")).count()
     assert sizes.agg(F.max("count")).first()[0] < 10_000
+
+
+def test_ranges_of_ranks_grow_in_number_with_the_rows(spark, monkeypatch):
+    """One frequent value and others over many small ranges; no range gets a large share."""
+    monkeypatch.setattr(order_stats, "RANKED", 50)
+    kept = []
+    monkeypatch.setattr(order_stats, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    df = spark.range(2000).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("v"))
+    got = {r.i: r["rank"] for r in mean_ranks(df, ["k"], "v").collect()}
+    assert got == {i: 500.5 if i % 2 == 0 else 1000 + (i + 1) / 2 for i in range(2000)}
+    assert max(r["count"] for r in kept[0].groupBy("_p").count().collect()) < 200
