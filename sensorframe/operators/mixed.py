@@ -209,6 +209,7 @@ def gaussian_fit(
     units = rows.groupBy(group, unit).agg(
         F.count(F.lit(1)).alias("size"), F.array(*[F.sum(xi) for xi in x]).alias("s"), F.sum(yv).alias("v")
     )
+    units = stored(units)
     s, v = F.col("s"), F.col("v")
 
     def over_units(batch: pa.RecordBatch) -> np.ndarray:
@@ -264,6 +265,8 @@ def impute_gaussian(
     Units without data get the group's fixed part alone; a target at a level that no row of its group has gets
     null. ``converged`` tells whether the group's fit did, and is null for a group without one.
     """
+    # Levels, cells and units are each worked out from all rows, and what leads to these runs once.
+    df = stored(df.select(group, unit, y, *factors))
     factors = _levels(df, group, unit, y, list(factors))
     fit, effects = gaussian_fit(df, group, unit, y, factors)
     joined = targets.join(effects, [group, unit], "left").join(fit.select(group, "beta", "seen", "converged"), group, "left")

@@ -377,3 +377,18 @@ def test_partners_are_a_bijection(spark, n):
 def test_tails_keep_their_digits_in_large_cells():
     for df in (1e10, 1e12):
         assert t_two_sided(2.0, df) == pytest.approx(math.erfc(math.sqrt(2)), rel=1e-8)
+
+
+def test_imputation_reads_its_rows_once(spark):
+    """What leads to the rows runs once; levels, cells, unit sums and effects start from stored tables."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame([("g", i, y, 10.0 + i + y + (i * y) % 3 * 0.1) for i in range(6) for y in (0, 1, 2)], "g string, id int, year int, v double")
+    targets = spark.createDataFrame([("g", 0, 1)], "g string, id int, year int")
+    assert len(mixed.impute_gaussian(df.mapInPandas(seen, df.schema), targets, "g", "id", "v", ["year"]).collect()) == 1
+    assert runs.value == 18
