@@ -11,6 +11,10 @@ from sensorframe import constants as K
 from sensorframe.functions.nulls import col, if_else
 
 
+# Label of a group with several labels.
+SEVERAL = "b"
+
+
 def recode(c: Column | str, labels: Mapping[str, str]) -> Column:
     """Replace known values by their label; others stay as they are."""
     x = col(c)
@@ -48,7 +52,7 @@ def p_class(c: Column | str) -> Column:
     return out
 
 
-def collapse_label(c: Column | str, several: str = "b") -> Column:
+def collapse_label(c: Column | str, several: str = SEVERAL) -> Column:
     """One distinct label in the group gives that label, several give a flag, none gives null."""
     x = col(c)
     return F.when(F.min(x) != F.max(x), F.lit(several)).otherwise(F.min(x))

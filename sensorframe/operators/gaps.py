@@ -1,8 +1,8 @@
 """Gap filling along time.
 
 Interpolation deals the readings into ranges of equal size along series and time, so a single very long or dense series
-is spread over many tasks. Each range is looked at by itself; a table of one row per series and range carries the last and
-next known points over the cuts. Carrying forward works on chunks that the caller names.
+is spread over many tasks. Each range is filled by itself; only its first and its last series can go on in other ranges, and a
+table of at most two rows per range carries the known points over the cuts. Carrying forward works on chunks that the caller names.
 """
 
 from __future__ import annotations
@@ -41,40 +41,83 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], differ.to_numpy(zero_copy_only=False)])
 
 
-def _surrounded(columns: Sequence[str]):
-    """Adds, to the rows of one sorted range, each row's place in time (``_r``), the last place of its series (``_last``),
-    and per column the known points before and after a row, itself included, where they are wanted: at missing values, and at both
-    ends of the series in the range, for the ranges next to it.
+def _elapsed(time: pa.Array, at: np.ndarray, since: np.ndarray) -> pa.Array:
+    """Time from one row to another as a double; missing where one of the times is."""
+    if pa.types.is_decimal(time.type):
+        time = time.cast(pa.decimal256(75, time.type.scale))
+    return pc.subtract_checked(time.take(pa.array(at)), time.take(pa.array(since))).cast(pa.float64())
+
+
+def _line_share(time: pa.Array, low: np.ndarray, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far a row lies on the way between two others; 0 if that cannot be told."""
+    part, whole = _elapsed(time, at, low), _elapsed(time, high, low)
+    known = pc.and_(part.is_valid(), whole.is_valid()).to_numpy(zero_copy_only=False)
+    part, whole = (x.fill_null(0.0).to_numpy(zero_copy_only=False) for x in (part, whole))
+    known &= whole != 0
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.where(known, part / np.where(known, whole, 1.0), 0.0)
+
+
+def _filled_within(keys: Sequence[str], columns: Sequence[str], max_gap: int):
+    """Fills, in the rows of one sorted range, the runs whose known points on both sides are in the range.
+
+    A series can go on in other ranges only if it is the first (``_side`` 1) or the last (2) of its range; rows of all others
+    (0) are done. Rows of the two keep their time and come with their place in it (``_r``), the last place of the series (``_last``)
+    and, per column, the known points before and after a row, itself included, where they are wanted: at missing values, and at
+    both ends of the series in the range, for the ranges next to it.
 
     A point is a distinct time; rows that share one count once and their values are averaged.
     """
 
     def look(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        series, time = table.column("_k").combine_chunks(), table.column("_t").combine_chunks()
-        begins = np.logical_or.reduce([_changes(f) for f in series.flatten()])
-        starts = np.flatnonzero(begins | _changes(time))  # the first row of each point
-        point = np.cumsum(begins | _changes(time)) - 1
+        time = table.column("_t").combine_chunks()
+        begins = np.logical_or.reduce([_changes(table.column(k).combine_chunks()) for k in keys])
+        fresh = begins | _changes(time)
+        starts = np.flatnonzero(fresh)  # the first row of each point
+        point = np.cumsum(fresh) - 1
         firsts = np.flatnonzero(begins[starts])  # the first point of each series
         points, of = len(starts), np.cumsum(begins[starts]) - 1
         counts = np.diff(np.append(firsts, points))
-        place, last = (np.arange(points) - firsts[of] + 1).astype(np.int32), counts[of].astype(np.int32)
-        end = (place == 1) | (place == last)
-        table = table.append_column("_r", pa.array(place[point])).append_column("_last", pa.array(last[point]))
+        low, high = firsts[of], (firsts + counts)[of]
+        here = np.arange(points)
+        place, last = (here - low + 1).astype(np.int32), counts[of].astype(np.int32)
+        kind = np.where(of == 0, 1, np.where(of == of[-1], 2, 0))[point]
+        inner, end = kind == 0, ((place == 1) | (place == last))[point]
+        size = np.diff(np.append(starts, len(point)))
+        sides = {}
         for c in columns:
-            column = table.column(c).combine_chunks().cast(pa.float64())
+            column = table.column(c).combine_chunks()
             known = column.is_valid().to_numpy(zero_copy_only=False)
+            value = column.fill_null(0.0).to_numpy(zero_copy_only=False)
             n = np.add.reduceat(known.astype(np.int64), starts)
-            mean = np.add.reduceat(column.fill_null(0.0).to_numpy(zero_copy_only=False), starts) / np.maximum(n, 1)
-            here = np.arange(points)
+            mean = np.add.reduceat(value, starts) / np.maximum(n, 1)
             before = np.maximum.accumulate(np.where(n > 0, here, -1))
             after = np.minimum.accumulate(np.where(n > 0, here, points)[::-1])[::-1]
-            wanted = ~known | end[point]
-            for side, at, there in (("_p_", before, before >= firsts[of]), ("_n_", after, after < (firsts + counts)[of])):
-                at = np.clip(at, 0, points - 1)[point]
-                fields = [time.take(pa.array(starts[at])), pa.array(place[at]), pa.array(mean[at])]
-                struct = pa.StructArray.from_arrays(fields, ["_t", "_r", "v"], mask=pa.array(~(wanted & there[point])))
-                table = table.append_column(f"{side}{c}", struct)
+            earlier, later = before >= low, after < high
+            before, after = np.clip(before, 0, points - 1), np.clip(after, 0, points - 1)
+            run = (n < size) & earlier & later & (place[after] - place[before] - 1 <= max_gap)
+            at = np.flatnonzero(run)
+            a, b = before[at], after[at]
+            line = np.zeros(points)
+            with np.errstate(invalid="ignore", over="ignore"):
+                line[at] = mean[a] + (mean[b] - mean[a]) * _line_share(time, starts[a], starts[at], starts[b])
+            done = known | run[point]
+            filled = pa.array(np.where(known, value, line[point]), mask=~done)
+            table = table.set_column(table.column_names.index(c), c, filled)
+            wanted = ~inner & (~done | end)
+            for side, to, there in (("_p_", before, earlier), ("_n_", after, later)):
+                rows = np.flatnonzero(wanted & there[point])
+                to = to[point[rows]]
+                fields = [time.take(pa.array(starts[to])), pa.array(place[to]), pa.array(mean[to])]
+                spots = np.full(len(point), -1)
+                spots[rows] = np.arange(len(rows))
+                sides[f"{side}{c}"] = pa.StructArray.from_arrays(fields, ["_t", "_r", "v"]).take(pa.array(spots, mask=spots < 0))
+        nothing = pa.scalar(None, time.type)
+        table = table.set_column(table.column_names.index("_t"), "_t", pc.if_else(pa.array(inner), nothing, time))
+        places = {"_r": pa.array(place[point], mask=inner), "_last": pa.array(last[point], mask=inner)}
+        for c, x in ({"_side": pa.array(kind.astype(np.int32))} | places | sides).items():
+            table = table.append_column(c, x)
         return table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +138,13 @@ def _filled(c: str, max_gap: int) -> str:
 
 
 def ranges(df: DataFrame, keys: Sequence[str], time: str, parts: int | None = None) -> DataFrame:
-    """The rows in ranges of about equal size along the series (``_k``) and time (``_t``), with the number of the range, ``_p``.
+    """The rows in ranges of about equal size along the series and time (as a number, ``_t``), with the number of the range, ``_p``.
 
     Rows of a series at the same time are in the same range.
     """
     n = parts or even_parts(df, READINGS)
-    rows = df.withColumns({"_k": F.struct(*keys), "_t": _time_number(df, time)})
-    return rows.repartitionByRange(n, "_k", "_t").withColumn("_p", F.spark_partition_id())
+    rows = df.withColumn("_t", _time_number(df, time))
+    return rows.repartitionByRange(n, *keys, "_t").withColumn("_p", F.spark_partition_id())
 
 
 def interpolate_gaps(
@@ -116,26 +159,30 @@ def interpolate_gaps(
 
     Longer runs and the ends of a series stay missing; known values never change. ``parts`` is the number of ranges the
     rows are dealt into (default: the shuffle partitions, more if a range had over ``READINGS`` rows); the result does not
-    depend on it. The rows are stored range by range, with the known points around each missing value in its range. Where there is none on one side, it
-    comes from the nearest range of the series that has one.
+    depend on it. The rows are stored range by range, with all runs filled that have both known points in their range.
+    What is left are runs of the at most two series of a range that go on in other ranges. Their known points come from the
+    nearest range of the series that has one, by a table of at most two rows per range.
     """
     keys, columns = list(keys), list(columns)
-    part = ["_k", "_p"]
-    ranged = ranges(df, keys, time, parts).sortWithinPartitions("_k", "_t")
+    part = ["_p", "_side"]
+    rows = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    ranged = ranges(rows, keys, time, parts).sortWithinPartitions(*keys, "_t")
     kind = dict(ranged.dtypes)["_t"]
     extra = [f"`{side}{c}` struct<_t: {kind}, _r: int, v: double>" for c in columns for side in ("_p_", "_n_")]
-    schema = T.StructType([*ranged.schema, *T.StructType.fromDDL(", ".join(["_r int", "_last int", *extra]))])
-    near = stored(ranged.mapInArrow(_surrounded(columns), schema))
+    fields = [f if f.name != "_t" else T.StructField("_t", f.dataType) for f in ranged.schema]
+    schema = T.StructType([*fields, *T.StructType.fromDDL(", ".join(["_side int", "_r int", "_last int", *extra]))])
+    near = stored(ranged.mapInArrow(_filled_within(keys, columns, max_gap), schema))
 
-    ends = near.filter((F.col("_r") == 1) | (F.col("_r") == F.col("_last"))).groupBy(*part).agg(
+    done, cut = near.filter("_side = 0"), near.filter("_side > 0")
+    ends = cut.filter((F.col("_r") == 1) | (F.col("_r") == F.col("_last"))).groupBy(*keys, *part).agg(
         F.max("_last").alias("_points"),
         *[F.max(F.when(F.col("_r") == F.col("_last"), F.col(f"_p_{c}"))).alias(f"_last_{c}") for c in columns],
         *[F.max(F.when(F.col("_r") == 1, F.col(f"_n_{c}"))).alias(f"_first_{c}") for c in columns],
     )
-    # A series in one range gets nothing from others; of the rest there are fewer than ranges.
-    ends = ends.withColumn("_ranges", F.count(F.lit(1)).over(W.partitionBy("_k"))).filter("_ranges > 1")
-    before = W.partitionBy("_k").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("_k").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
+    # A series in one range gets nothing from others.
+    ends = ends.withColumn("_ranges", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter("_ranges > 1")
+    before = W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, -1)
     ends = ends.withColumn("_off", F.coalesce(F.sum("_points").over(before), F.lit(0)))
 
     def placed(point: str) -> Column:
@@ -148,12 +195,13 @@ def interpolate_gaps(
         *[F.last(placed(f"_last_{c}"), True).over(before).alias(f"_before_{c}") for c in columns],
         *[F.last(placed(f"_first_{c}"), True).over(after).alias(f"_after_{c}") for c in columns],
     )
-    rows = compact_join(near, stored(carried), part, "left")
+    rows = compact_join(cut, stored(carried), part, "left")
     rows = rows.withColumns(
         {f"_p_{c}": F.coalesce(placed(f"_p_{c}"), F.col(f"_before_{c}")) for c in columns}
         | {f"_n_{c}": F.coalesce(placed(f"_n_{c}"), F.col(f"_after_{c}")) for c in columns}
     )
-    return rows.selectExpr(*[f"{_filled(c, max_gap)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
+    rows = rows.selectExpr(*[f"{_filled(c, max_gap)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
+    return done.select(*df.columns).union(rows)
 
 
 def carry_forward(

@@ -1,7 +1,7 @@
-"""Exact quantiles and ranks without bringing a group into one task.
+"""Exact quantiles and ranks without bringing a large group into one task.
 
-Quantiles are found by radix selection on the bits of a number: equal values are counted first (with map-side
-combine), then counts by the leading bits tell which bucket holds a wanted rank, and within it counts by the next bits.
+Groups of at most ``SORTED`` rows have their values sorted, each group by itself, in one pass. In larger ones quantiles
+are found by radix selection on the bits of a number: equal values are counted first (with map-side combine), then counts by the leading bits tell which bucket holds a wanted rank, and within it counts by the next bits.
 What is left to sort has equal leading bits but the last 18, whatever the data. Ranks of all rows come from ranges of rows:
 each range is ranked by itself, and one row per range tells what lies before it. Both are exact for any data.
 """
@@ -20,6 +20,8 @@ from sensorframe.session import stored
 # Bits of a number below the first and the second digit of the selection.
 FIRST, SECOND = 36, 18
 _MISSING = -(10**18)
+# Rows of a group whose values are sorted together for its quantiles.
+SORTED = 1 << 14
 # Rows of a range that are ranked together.
 RANKED = 1 << 20
 
@@ -138,15 +140,27 @@ def mean_ranks(rows: DataFrame, group: Sequence[str], value: str, out: str = "ra
     return placed.select(*names, rank.alias(out), "total")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str = "name"
-) -> DataFrame:
-    """Linear-interpolation quantiles of several columns per group.
+def _on_line(low: Column, high: Column, place: Column) -> Column:
+    return low + (high - low) * (place - F.floor(place))
 
-    Gives one row per group and column: ``keys``, the column's ``name`` and ``q``, an array in the order of
-    ``probabilities`` (null where the group has no value).
-    """
-    keys, columns = list(keys), list(columns)
+
+def _sorted_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str) -> DataFrame:
+    """Quantiles of groups that are small enough for their values to be sorted together."""
+    lists = []
+    for i, c in enumerate(columns):
+        number = F.col(c).cast("double")
+        lists.append(F.sort_array(F.collect_list(F.when(~F.isnan(number), number))).alias(f"_v{i}"))
+    entries = []
+    for i, c in enumerate(columns):
+        places = [(F.size(f"_v{i}") - 1) * F.lit(float(p)) for p in probabilities]
+        # Places outside an empty list give null.
+        values = [_on_line(*[F.get(f"_v{i}", f(p).cast("int")) for f in (F.floor, F.ceil)], p) for p in places]
+        entries.append(F.struct(F.lit(c).alias(name), F.array(*values).alias("q")))
+    return df.groupBy(*keys).agg(*lists).select(*keys, F.inline(F.array(*entries)))
+
+
+def _selected_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str) -> DataFrame:
+    """Quantiles of groups of any size."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*keys, F.explode(pairs).alias("_p")).select(
         F.struct(*keys, F.col("_p.name").alias(name)).alias("_k"), F.col("_p.value").alias("value")
@@ -154,13 +168,35 @@ def exact_quantiles(
     places = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
     ranks = [f(p) for p in places for f in (F.floor, F.ceil)]
     found = select_ranks(long, "_k", "value", ranks)
-    values = []
-    for i, place in enumerate(places):
-        low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-        values.append(low + (high - low) * (place - F.floor(place)))
+    values = [_on_line(F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}"), place) for i, place in enumerate(places)]
     return found.select("_k.*", F.array(*values).alias("q"))
 
 
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float], name: str = "name"
+) -> DataFrame:
+    """Linear-interpolation quantiles of several columns per group.
+
+    Gives one row per group and column: ``keys``, the column's ``name`` and ``q``, an array in the order of
+    ``probabilities`` (null where the group has no value). The rows of the groups are counted first: groups of more than ``SORTED``
+    rows go by radix selection, the others have their values sorted. Both give the same.
+    """
+    keys, columns = list(keys), list(columns)
+    args = (keys, columns, probabilities, name)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    over = F.col("_n") > SORTED
+    many, few = sizes.agg(F.count_if(over), F.count_if(~over)).first()
+    if not many:
+        return _sorted_quantiles(df, *args)
+    if not few:
+        return _selected_quantiles(df, *args)
+    group = F.struct(F.lit(0).alias("_all"), *keys).alias("_k")
+    large = stored(sizes.filter(over).select(group))
+    rows = df.select(group, *dict.fromkeys([*keys, *columns]))
+    small, rest = (compact_join(rows, large, ["_k"], how).drop("_k") for how in ("left_anti", "left_semi"))
+    return _sorted_quantiles(small, *args).unionByName(_selected_quantiles(rest, *args))
+
+
 def wide_quantiles(
     df: DataFrame,
     keys: Sequence[str],

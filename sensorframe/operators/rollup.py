@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe import constants as K
-from sensorframe.functions.labels import collapse_label
+from sensorframe.functions.labels import SEVERAL, collapse_label
 from sensorframe.functions.nulls import (
     finite_or_null,
     finite_or_zero,
@@ -19,6 +19,8 @@ from sensorframe.functions.nulls import (
     round_to,
 )
 from sensorframe.operators.order_stats import exact_quantiles, wide_quantiles
+from sensorframe.operators.reshape import compact_join
+from sensorframe.session import stored
 
 SERIES = ["id_code", "area", "site"]
 
@@ -28,41 +30,34 @@ def daily_rollup(soil: DataFrame, air: DataFrame) -> DataFrame:
 
     ``soil`` holds gap-filled T1, T2, T3 and moist, ``air`` gap-filled T4 on the thinned grid. A day
     found in only one of them is kept. Stacking both before the grouped pass gives what a null-safe full
-    join of two rollups would. Readings are first added up per day and label, where all running values
-    are numbers and stay in a hash aggregate; the label itself is settled over the few rows left per day.
+    join of two rollups would. Labels are numbered, in any order, before the pass and looked up after it, so that all
+    running values are numbers and stay in one hash aggregate.
     """
     base = [*SERIES, "date"]
     shared = [*base, *K.SOIL_SENSORS, "error_tomst"]
+    labels = air.select("logger_T4").dropna().distinct()
+    labels = stored(labels.withColumn("_label", F.monotonically_increasing_id()))
+    air = compact_join(air, labels, ["logger_T4"], "left")
     stacked = soil.select(*shared, F.lit(True).alias("_soil")).unionByName(
-        air.select(*base, "T4", "error_T4", "logger_T4", F.lit(False).alias("_soil")), allowMissingColumns=True
+        air.select(*base, "T4", "error_T4", "_label", F.lit(False).alias("_soil")), allowMissingColumns=True
     )
     sensors = [*K.SOIL_SENSORS, "T4"]
-    parts = [F.count_if("_soil").alias("_rows_soil"), F.count_if(~F.col("_soil")).alias("_rows_air")]
+    aggs: list[Column] = []
     for s in sensors:
         # Rows of the other kind have no value of this sensor, so only the share needs to know the kind.
+        rows = F.count_if(~F.col("_soil") if s == "T4" else F.col("_soil"))
         x = F.expr(f"CASE WHEN NOT isnan({s}) THEN {s} END")
-        parts += [
-            F.count_if(is_finite(s)).alias(f"_finite_{s}"),
-            F.count(x).alias(f"_count_{s}"),
-            F.sum(x).alias(f"_sum_{s}"),
-            F.min(x).alias(f"_min_{s}"),
-            F.max(x).alias(f"_max_{s}"),
-        ]
-    codes = ["error_tomst", "error_T4"]
-    parts += [F.max(c).alias(c) for c in codes]
-    by_label = stacked.groupBy(*base, "logger_T4").agg(*parts)
-
-    aggs: list[Column] = []
-    for s in sensors:
-        rows = "_rows_air" if s == "T4" else "_rows_soil"
         aggs += [
-            round_to(F.expr(f"try_divide(100 * sum(_finite_{s}), sum({rows}))"), 1).alias(f"{s}_prop"),
-            finite_or_null(F.expr(f"try_divide(sum(_sum_{s}), sum(_count_{s}))")).alias(f"{s}_mean"),
-            finite_or_null(F.min(f"_min_{s}")).alias(f"{s}_min"),
-            finite_or_null(F.max(f"_max_{s}")).alias(f"{s}_max"),
+            round_to(F.try_divide(100 * F.count_if(is_finite(s)), rows), 1).alias(f"{s}_prop"),
+            finite_or_null(F.try_divide(F.sum(x), F.count(x))).alias(f"{s}_mean"),
+            finite_or_null(F.min(x)).alias(f"{s}_min"),
+            finite_or_null(F.max(x)).alias(f"{s}_max"),
         ]
-    aggs += [*[F.max(c).alias(c) for c in codes], collapse_label("logger_T4").alias("logger_T4")]
-    return by_label.groupBy(*base).agg(*aggs)
+    aggs += [F.max(c).alias(c) for c in ("error_tomst", "error_T4")]
+    days = stacked.groupBy(*base).agg(*aggs, F.min("_label").alias("_label"), F.max("_label").alias("_other"))
+    days = compact_join(days, labels, ["_label"], "left")
+    label = F.when(F.col("_label") == F.col("_other"), F.col("logger_T4")).when(F.col("_label") != F.col("_other"), F.lit(SEVERAL))
+    return days.withColumn("logger_T4", label).drop("_label", "_other")
 
 
 def mask_days(daily: DataFrame, limit: float = K.DAILY_COVERAGE_PERCENT) -> DataFrame:

@@ -21,24 +21,27 @@ from sensorframe.operators.rollup import (
 from sensorframe.session import stored
 
 
+# Columns that only the daily table of T4 needs.
+AIR = ["error_T4", "logger_T4"]
+
+
 def fill_readings(clean: DataFrame, sensors=tuple(K.SOIL_SENSORS)) -> DataFrame:
     """Cleaned readings with their local date and short gaps of the soil sensors filled."""
-    dated = clean.withColumn("date", F.to_date("datetime"))
-    return interpolate_gaps(dated, ["id_code"], "datetime", sensors, K.MAX_GAP)
+    return interpolate_gaps(clean, ["id_code"], "datetime", sensors, K.MAX_GAP).withColumn("date", F.to_date("datetime"))
 
 
 def fill_air(clean: DataFrame) -> DataFrame:
     """The two-hour grid of T4 with single gaps filled."""
     grid = keep_odd_hours(clean).select("id_code", "area", "site", "datetime", "T4", "error_T4", "logger_T4")
-    dated = grid.withColumn("date", F.to_date("datetime"))
-    return interpolate_gaps(dated, ["id_code"], "datetime", ["T4"], K.MAX_GAP_T4)
+    return interpolate_gaps(grid, ["id_code"], "datetime", ["T4"], K.MAX_GAP_T4).withColumn("date", F.to_date("datetime"))
 
 
 def days(clean: DataFrame, filled: DataFrame | None = None) -> DataFrame:
     """Cleaned readings to masked daily statistics. ``filled`` has them with the soil gaps filled, if that is at hand."""
     if filled is None:
         clean = stored(clean)
-    return mask_days(daily_rollup(fill_readings(clean) if filled is None else filled, fill_air(clean)))
+        filled = fill_readings(clean.drop("T4", *AIR))
+    return mask_days(daily_rollup(filled, fill_air(clean)))
 
 
 def months(filled: DataFrame, daily: DataFrame, limit: float = K.MONTHLY_COVERAGE, by_year: bool = False) -> DataFrame:
@@ -57,9 +60,9 @@ def preprocess(
     """Cleaned readings, days and months as three tables.
 
     ``by_year`` keys the quantiles by the year as well, which a period of more than one year needs.
-    The cleaned and the filled readings and the days are stored: gaps are filled once, and both tables build on them.
+    The cleaned readings and the days are stored, and so is what the gaps are filled from: both tables build on it.
     """
     clean = stored(clean_readings(readings, start, end))
-    filled = stored(fill_readings(clean))
+    filled = fill_readings(clean.drop(*AIR))
     daily = stored(days(clean, filled))
     return clean.drop("error_tomst", "error_T4"), published_days(daily), months(filled, daily, limit, by_year)

@@ -144,3 +144,16 @@ def test_cleaning_runs_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_labels_of_days_in_one_aggregate(spark):
+    """A day with one label has it, one with several the flag, one without none; readings are grouped once."""
+    soil = spark.createDataFrame([("a", "KAR", 1, d, 1.0, None, 3.0, 4.0, 2) for d in ("d1", "d2")], "id_code string, area string, site int, date string, T1 double, T2 double, T3 double, moist double, error_tomst int")
+    rows = [("d1", 2.0, "x"), ("d1", 4.0, "x"), ("d1", None, None), ("d2", 1.0, "x"), ("d2", 1.0, "y"), ("d3", 1.0, None), ("d4", float("nan"), "z")]
+    air = spark.createDataFrame([("a", "KAR", 1, d, t, 0, x) for d, t, x in rows], "id_code string, area string, site int, date string, T4 double, error_T4 int, logger_T4 string")
+    days = rollup.daily_rollup(soil, air)
+    got = {r.date: r for r in days.collect()}
+    assert {d: r.logger_T4 for d, r in got.items()} == {"d1": "x", "d2": "b", "d3": None, "d4": "z"}
+    assert (got["d1"].T4_mean, got["d1"].T4_prop, got["d1"].T1_prop, got["d1"].T2_prop, got["d1"].error_tomst) == (3.0, 66.7, 100.0, 0.0, 2)
+    assert (got["d3"].T1_prop, got["d3"].T1_mean, got["d4"].T4_mean, got["d4"].T4_prop) == (None, None, None, 0.0)
+    assert days._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1

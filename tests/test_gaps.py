@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators import gaps
 from sensorframe.operators.gaps import carry_forward, interpolate_gaps, ranges
+from sensorframe.session import stored
 
 
 def fill(spark, t, v, max_gap=3, parts=None, ids=None):
@@ -104,3 +105,37 @@ def test_ranges_grow_in_number_with_the_readings(spark, monkeypatch):
     assert len(sizes) >= 35 and max(sizes) < 400
     out = {r.t: r.v for r in interpolate_gaps(df, ["id"], "t", ["v"], 3).collect()}
     assert out == {t: (None if t < 2 else float(t)) for t in range(4000)}
+
+
+def test_only_series_that_may_be_cut_wait_for_other_ranges(spark, monkeypatch):
+    """Of a range at most the first and the last series; all others are filled when their range is stored."""
+    kept = []
+    monkeypatch.setattr(gaps, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    df = spark.range(6000).select(
+        F.format_string("s%03d", F.floor(F.col("id") / 20)).alias("id"), F.col("id").alias("t"), F.when(F.col("id") % 3 != 1, F.col("id") * 1.0).alias("v")
+    )
+    out = {r.t: r.v for r in interpolate_gaps(df, ["id"], "t", ["v"], 1, 6).collect()}
+    assert out == {t: None if t % 3 == 1 and t % 20 in (0, 19) else float(t) for t in range(6000)}
+    done = kept[0].filter("_side = 0")
+    assert done.count() > 5500 and done.filter("v IS NULL AND t % 20 NOT IN (0, 19)").count() == 0
+    waiting = kept[0].filter("_side > 0").groupBy("_p").agg(F.countDistinct("id").alias("n"))
+    assert waiting.agg(F.max("n")).first()[0] <= 2
+
+
+@pytest.mark.parametrize("parts", [2, 7, 40])
+def test_several_columns_and_shared_times_over_cuts(spark, parts):
+    """Rows that share a time, some of them missing, NaN as a known value, whole numbers, and time stamps; against one range."""
+    h = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10)) for i in range(3)]
+    rows = spark.range(900).select(
+        "id", F.when(F.col("id") < 500, "long").otherwise(F.concat(F.lit("s"), F.floor(F.col("id") / 45))).alias("series"),
+        F.timestamp_seconds(F.floor(F.col("id") / 2) * 600 + F.when(h[0] < 5, 0).otherwise(60)).alias("time"),
+        F.when(h[1] < 4, F.col("id") * 0.7).alias("v"),
+        F.when(h[2] < 3, F.col("id").cast("int")).alias("whole"),
+        F.when(h[0] < 3, F.when(h[1] < 1, float("nan")).otherwise(F.col("id") * 1.1)).alias("n"),
+    )
+    columns = ["v", "whole", "n"]
+    one, several = (interpolate_gaps(rows, ["series"], "time", columns, 3, n).orderBy("id").collect() for n in (1, parts))
+    assert [str(r) for r in one] == [str(r) for r in several]
+    before = rows.orderBy("id").collect()
+    assert sum(a[c] is None for a in before for c in columns) > sum(b[c] is None for b in one for c in columns) > 0
+    assert all(a[c] is None or str(float(a[c])) == str(b[c]) for a, b in zip(before, one) for c in columns)

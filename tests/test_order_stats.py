@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorframe.operators import order_stats
-from sensorframe.operators.order_stats import exact_quantiles, magnitude_bucket, mean_ranks, sortable
+from sensorframe.operators.order_stats import exact_quantiles, magnitude_bucket, mean_ranks, select_ranks, sortable
 from sensorframe.session import stored
 
 
@@ -89,3 +89,25 @@ def test_ranges_of_ranks_grow_in_number_with_the_rows(spark, monkeypatch):
     got = {r.i: r["rank"] for r in mean_ranks(df, ["k"], "v").collect()}
     assert got == {i: 500.5 if i % 2 == 0 else 1000 + (i + 1) / 2 for i in range(2000)}
     assert max(r["count"] for r in kept[0].groupBy("_p").count().collect()) < 200
+
+
+@pytest.mark.parametrize("most", [0, 60, 1000])
+def test_small_groups_are_sorted_and_large_ones_selected(spark, monkeypatch, most):
+    """Group sizes 1 to 120, one without a name and one without values; the bound between both ways changes nothing."""
+    called = []
+    monkeypatch.setattr(order_stats, "SORTED", most)
+    monkeypatch.setattr(order_stats, "select_ranks", lambda *args: called.append(1) or select_ranks(*args))
+    rng = np.random.default_rng(8)
+    data = {k: rng.normal(0, 100, n).round(1).tolist() for k, n in [("a", 120), ("b", 61), ("c", 60), ("d", 1), (None, 80)]}
+    data |= {"none": [None, float("nan")], "some": [3.0, None, float("nan"), -1.0]}
+    rows = [(k, x, -x if x is not None and k != "d" else None) for k, v in data.items() for x in v]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    p = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {(r.k, r.name): r.q for r in exact_quantiles(df, ["k"], ["v", "w"], p).collect()}
+    assert len(got) == 2 * len(data)
+    for k, v in data.items():
+        known = np.array([x for x in v if x is not None and x == x])
+        for name, values in (("v", known), ("w", [] if k == "d" else -known)):
+            want = list(np.quantile(values, p)) if len(values) else [None] * len(p)
+            assert got[k, name] == (pytest.approx(want, rel=1e-12) if len(values) else want)
+    assert bool(called) == (most < 120)
