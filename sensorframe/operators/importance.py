@@ -17,8 +17,8 @@ from sensorframe import constants as K
 from sensorframe.operators.clean import complete_cases
 from sensorframe.operators.mixed import _vectors, summed
 from sensorframe.operators.ols import INTERCEPT, _schema, _square
-from sensorframe.operators.reshape import compact_join, even_parts, spread
-from sensorframe.session import stored
+from sensorframe.operators.reshape import compact_join, parts_of, spread, stack_rows
+from sensorframe.session import stored, temporary
 
 
 def t_importance(coefs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,6 +91,10 @@ def sources(place: np.ndarray, n: np.ndarray, sim: int, seed: int = 1) -> np.nda
 PLACES = DEALT = 1 << 16
 # Rows that are sorted together when the rows of all cells are numbered.
 SORTED = 1 << 20
+# Bytes that rows send to blocks at a time. If there is more, cells are worked on in portions, and the blocks of a portion
+# in turns, and disk holds only the files of one turn. The numbers of both have a bound, and so have the passes over a row.
+SENT = 6 << 30
+PORTIONS, TURNS = 4, 16
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
@@ -99,6 +103,8 @@ def _matrix(batch: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarra
 
 def _parcels(cell: np.ndarray, place: np.ndarray, at: np.ndarray, of: np.ndarray, values: np.ndarray, moved: bool):
     """Rows (cell, block of places, moved, places, values): what goes to one block together. Entry e carries ``values[of[e]]``."""
+    if not len(of):
+        return
     order = np.lexsort((place // PLACES, cell[of]))
     cells, blocks = cell[of][order], (place // PLACES)[order]
     starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (blocks[1:] != blocks[:-1])])
@@ -107,17 +113,30 @@ def _parcels(cell: np.ndarray, place: np.ndarray, at: np.ndarray, of: np.ndarray
         yield cells[start], blocks[start], moved, at[take].astype("<i4").tobytes(), values[of[take]].tobytes()
 
 
-def _dealt(predictors: list[str], names: list[str], nsim: int, seed: int):
-    """Sends every row to the block of its place, and its predictors to the blocks of the rows that get them, by simulation."""
+def _turn(cell: np.ndarray, place: np.ndarray, turns: int) -> np.ndarray:
+    """Which turn a block belongs to. The bits of a cell's number are its partition and its place there."""
+    return ((cell >> 33) + (cell & 0xFFFFFFFF) + place // PLACES) % turns
+
+
+def _dealt(predictors: list[str], names: list[str], nsim: int, seed: int, turn: int, turns: int):
+    """Sends every row to the block of its place, and its predictors to the blocks of the rows that get them, by simulation.
+
+    Only to blocks of this turn.
+    """
 
     def deal(table: pa.Table) -> pa.RecordBatch:
         cell, i, n = (table.column(c).to_numpy() for c in ("_cell", "_i", "_n"))
         values, given, rows = _matrix(table, names), _matrix(table, predictors), np.arange(len(cell))
         to = np.concatenate([sources(i, n, sim, seed) for sim in range(1, nsim + 1)])
-        at = np.repeat(np.arange(nsim, dtype=np.int64) * PLACES, len(cell)) + to % PLACES
-        out = [*_parcels(cell, i, i % PLACES, rows, values, False), *_parcels(cell, to, at, np.tile(rows, nsim), given, True)]
+        at, of = np.repeat(np.arange(nsim, dtype=np.int64) * PLACES, len(cell)) + to % PLACES, np.tile(rows, nsim)
+        if turns > 1:
+            rows = rows[_turn(cell, i, turns) == turn]
+            mine = _turn(cell[of], to, turns) == turn
+            to, at, of = to[mine], at[mine], of[mine]
+        out = [*_parcels(cell, i[rows], i[rows] % PLACES, rows, values, False), *_parcels(cell, to, at, of, given, True)]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_cell", "_block", "_moved", "_at", "_values"])
+        columns = zip(*out) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_cell", "_block", "_moved", "_at", "_values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -154,30 +173,64 @@ def _met(width: int, given: int, nsim: int):
     return meet
 
 
-def _permuted(rows: DataFrame, predictors: list[str], responses: list[str], nsim: int, seed: int) -> DataFrame:
-    """(``_k``, ``sim``, ``cross``) of complete rows (``_k``, predictors, responses); see ``permuted_moments``."""
-    names = [*predictors, *responses]
-    if nsim * PLACES > 1 << 31:
-        raise ValueError("too many simulations")
-    rows = stored(rows)
-    # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
-    cells = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in names])
-    cells = stored(cells.withColumn("_cell", F.monotonically_increasing_id()))
+def _numbered(rows: DataFrame, cells: DataFrame, names: list[str], count: int) -> DataFrame:
+    """The rows of these cells, ``count`` in all, sorted within their cell and numbered over all of them (``_cell``, ``_at``, names)."""
     ranged = compact_join(rows, cells.select("_k", "_cell"), ["_k"]).drop("_k").withColumn("_t", F.monotonically_increasing_id())
     order = ["_cell", *names, "_t"]  # equal rows are interchangeable, and may lie in several ranges
-    ranged = ranged.repartitionByRange(even_parts(rows, SORTED), *order).sortWithinPartitions(*order).drop("_t")
+    ranged = ranged.repartitionByRange(parts_of(rows.sparkSession, count, SORTED), *order).sortWithinPartitions(*order).drop("_t")
     # The upper bits of this number are the range, the lower ones count its rows.
-    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    return ranged.withColumn("_at", F.monotonically_increasing_id())
+
+
+def _placed(numbered: DataFrame, cells: DataFrame, names: list[str]) -> DataFrame:
+    """Numbered rows with their place in the cell (``_i``) and the cell's size (``_n``), and values around the cell's means."""
+    ranged = numbered.withColumn("_p", F.shiftright("_at", 33))
     pieces = ranged.groupBy("_cell", "_p").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
     earlier = W.partitionBy("_cell").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.select("_cell", "_p", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_off"))
-    placed = compact_join(compact_join(ranged, pieces, ["_cell", "_p"]), cells.drop("_k"), ["_cell"])
-    placed = placed.select("_cell", "_n", (F.col("_at") + F.col("_off")).alias("_i"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names])
-    sent = placed.mapInArrow(_dealt(predictors, names, nsim, seed), "_cell long, _block long, _moved boolean, _at binary, _values binary")
-    met = sent.repartition(even_parts(rows, 4 * PLACES), "_cell", "_block").groupBy("_cell", "_block").applyInArrow(_met(len(names), len(predictors), nsim), "_cell long, sim int, cross array<double>")
-    total = summed(met, ["_cell", "sim"], lambda batch: _vectors(batch.column("cross")).sum(0))
+    # Stored, these few rows have a known size, and the rows need not be dealt out to meet them.
+    pieces = stored(compact_join(pieces, cells.drop("_k"), ["_cell"]), lean=True)
+    placed = compact_join(ranged, pieces, ["_cell", "_p"])
+    return placed.select("_cell", "_n", (F.col("_at") + F.col("_off")).alias("_i"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in names])
+
+
+def _permuted(
+    rows: DataFrame, predictors: list[str], responses: list[str], nsim: int, seed: int, spans: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """(``_k``, ``sim``, ``cross``) of complete rows (``_k``, predictors, responses); see ``permuted_moments``.
+
+    With ``spans`` also ``predictor_ranges`` by ``_k``. The rows are read several times, and all that is made of them is stored.
+    """
+    names, spark = [*predictors, *responses], rows.sparkSession
+    if nsim * PLACES > 1 << 31:
+        raise ValueError("too many simulations")
+    # Around the cell means a covariance is a plain mean of products, which is cheap to add up.
+    cells = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in names])
+    cells = stored(cells.withColumn("_cell", F.monotonically_increasing_id()), lean=True)
+    weight = 8 * len(names) + 4 + nsim * (8 * len(predictors) + 4)  # bytes that a row sends
+    parts = lambda count, most: max(1, min(most, -(-count * weight // SENT)))
+    portions = parts(cells.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0], PORTIONS)
+    portion = F.pmod(F.xxhash64("_k"), F.lit(portions))
+    sizes = cells.groupBy(portion.alias("_portion")).agg(F.sum("_n").alias("_rows")).collect()
+    sums, found = [], []
+    for number, count in sorted(map(tuple, sizes)) or [(0, 0)]:
+        mine, turns = cells.filter(portion == number), parts(count, TURNS)
+        with temporary(_numbered(rows.filter(portion == number), mine, names, count)) as numbered:
+            placed = _placed(numbered, mine, names)
+            for turn in range(turns):
+                sent = placed.mapInArrow(_dealt(predictors, names, nsim, seed, turn, turns), "_cell long, _block long, _moved boolean, _at binary, _values binary")
+                sent = sent.repartition(parts_of(spark, -(-count // turns), 4 * PLACES), "_cell", "_block")
+                met = sent.groupBy("_cell", "_block").applyInArrow(_met(len(names), len(predictors), nsim), "_cell long, sim int, cross array<double>")
+                sums.append(stored(summed(met, ["_cell", "sim"], lambda batch: _vectors(batch.column("cross")).sum(0)), lean=True))
+            if spans:
+                found.append(stored(predictor_ranges(numbered.withColumn("_y", F.lit(0.0)), ["_cell"], "_y", predictors), lean=True))
+    total = stack_rows(*sums)
+    if len(sums) > 1:
+        total = summed(total, ["_cell", "sim"], lambda batch: _vectors(batch.column("vector")).sum(0))
     mean = F.transform("vector", lambda x: x / F.col("_n"))
-    return compact_join(total, cells.select("_k", "_cell", "_n"), ["_cell"]).select("_k", "sim", mean.alias("cross"))
+    crossed = compact_join(total, cells.select("_k", "_cell", "_n"), ["_cell"]).select("_k", "sim", mean.alias("cross"))
+    ranges = compact_join(stack_rows(*found), cells.select("_k", "_cell"), ["_cell"]).drop("_cell") if spans else None
+    return crossed, ranges
 
 
 def permuted_moments(
@@ -201,13 +254,20 @@ def permuted_moments(
     keys, predictors = list(keys), list(predictors)
     names = [*predictors, response]
     rows = complete_cases(df, [*keys, *names]).select(F.struct(*keys).alias("_k"), *[F.col(c).cast("double").alias(c) for c in names])
-    return _permuted(rows, predictors, [response], nsim, seed).select("_k.*", "sim", "cross")
+    with temporary(rows) as rows:
+        crossed, _ = _permuted(rows, predictors, [response], nsim, seed)
+    return crossed.select("_k.*", "sim", "cross")
 
 
 def _known(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c)
 
 
+def _mask(responses: Sequence[str]) -> Column:
+    """Bit r is set where response r is known."""
+    return sum((F.when(_known(c), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, c in enumerate(responses)), F.lit(0).cast("long"))
+
+
 def same_rows(df: DataFrame, keys: Sequence[str], responses: Sequence[str]) -> DataFrame:
     """(``keys``, ``resp``, ``_r``, ``_lead``): responses of a cell known in the same rows share the first of them as lead.
 
@@ -215,10 +275,10 @@ def same_rows(df: DataFrame, keys: Sequence[str], responses: Sequence[str]) -> D
     """
     if len(responses) > 62:
         raise ValueError("more than 62 responses at a time")
-    mask = sum((F.when(_known(c), F.lit(1 << r)).otherwise(F.lit(0)).cast("long") for r, c in enumerate(responses)), F.lit(0).cast("long"))
     bit = lambda x, r: x.bitwiseAND(F.lit(1 << r).cast("long")) != 0
     differ = [F.bit_or(F.when(bit(F.col("_mask"), r), F.bitwise_not("_mask")).otherwise(F.col("_mask"))) for r in range(len(responses))]
-    found = df.withColumn("_mask", mask).groupBy(*keys).agg(F.bit_or("_mask").alias("_any"), *[d.alias(f"_d{r}") for r, d in enumerate(differ)])
+    masked = df if "_mask" in df.columns else df.withColumn("_mask", _mask(responses))
+    found = masked.groupBy(*keys).agg(F.bit_or("_mask").alias("_any"), *[d.alias(f"_d{r}") for r, d in enumerate(differ)])
     entries = []
     for r, c in enumerate(responses):
         lead = F.coalesce(*[F.when(~bit(F.col(f"_d{r}"), q), F.lit(q)) for q in range(r + 1)])
@@ -226,32 +286,32 @@ def same_rows(df: DataFrame, keys: Sequence[str], responses: Sequence[str]) -> D
     return found.select(*keys, F.inline(F.array(*entries))).filter("_some").drop("_some")
 
 
-def permuted_responses(
-    df: DataFrame,
+def response_rows(df: DataFrame, keys: Sequence[str], responses: Sequence[str], predictors: Sequence[str]) -> DataFrame:
+    """Rows complete in keys and predictors, with ``_mask``, in which bit r is set where response r is known."""
+    rows = complete_cases(df, [*keys, *predictors]).select(*keys, *predictors, *[F.col(c).cast("double").alias(c) for c in responses])
+    return rows.withColumn("_mask", _mask(responses))
+
+
+def permuted_rows(
+    rows: DataFrame,
     keys: Sequence[str],
     responses: Sequence[str],
     predictors: Sequence[str],
     nsim: int = K.PERMUTATIONS,
     seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """``permuted_moments`` and ``predictor_ranges`` of many responses of the same rows, with ``resp`` as one more key.
+    """``permuted_responses`` of a stored table of ``response_rows``, which is read several times and may go afterwards.
 
-    Responses known in the same rows of a cell are worked on together: their rows are numbered in the order of the
-    predictors, then of these responses, and share the permutations, so the predictors travel once for all of them.
+    To store it first also keeps the code that Spark makes for a row so small that the JVM compiles it.
     """
     keys, responses, predictors = list(keys), list(responses), list(predictors)
-    base = complete_cases(df, [*keys, *predictors]).select(*[*keys, *predictors], *[F.col(c).cast("double").alias(c) for c in responses])
-    base = stored(base.filter(F.greatest(*[_known(c) for c in responses])))
-    shared = stored(same_rows(base, keys, responses))
-    leads = shared.groupBy(*keys, "_lead").agg(F.collect_set("_r").alias("_members"))
-    leads = leads.groupBy(*keys).agg(F.collect_list(F.struct("_lead", "_members")).alias("_leads"))
-    rows = compact_join(base, leads, keys).withColumn("_l", F.explode("_leads"))
-    rows = rows.filter(F.array_contains("_l._members", F.coalesce(*[F.when((F.col("_l._lead") == r) & _known(c), F.lit(r)) for r, c in enumerate(responses)], F.lit(-1))))
-    values = [F.when(F.array_contains("_l._members", r), F.col(c)).otherwise(0.0).alias(f"_y{r}") for r, c in enumerate(responses)]
-    rows = rows.select(F.struct(*keys, F.col("_l._lead").alias("_lead")).alias("_k"), *[F.col(c).cast("double").alias(c) for c in predictors], *values)
-    rows = stored(rows)
-    ranges = predictor_ranges(rows.select("_k", *predictors, F.lit(0.0).alias("_y")), ["_k"], "_y", predictors)
-    crossed = _permuted(rows, predictors, [f"_y{r}" for r in range(len(responses))], nsim, seed)
+    shared = stored(same_rows(rows, keys, responses), lean=True)
+    # Responses of a lead are known where the lead is, so one bit of a row's mask tells whether it is one of theirs.
+    leads = stored(shared.groupBy(*keys, "_lead").agg(F.bit_or(F.expr("shiftleft(1L, _r)")).alias("_members")), lean=True)
+    rows = compact_join(rows, leads, keys).filter(F.getbit("_mask", F.col("_lead")) == 1)
+    values = [F.when(F.getbit("_members", F.lit(r)) == 1, F.col(c)).otherwise(0.0).alias(f"_y{r}") for r, c in enumerate(responses)]
+    rows = rows.select(F.struct(*keys, "_lead").alias("_k"), *[F.col(c).cast("double").alias(c) for c in predictors], *values)
+    crossed, ranges = _permuted(rows, predictors, [f"_y{r}" for r in range(len(responses))], nsim, seed, spans=True)
     p = len(predictors)
     own = F.concat(F.slice("cross", 1, p * p), F.slice("cross", F.col("_r") * p + p * p + 1, F.lit(p)))
     crossed = crossed.select("_k.*", "sim", "cross").join(shared, [*keys, "_lead"]).select(*keys, "resp", "sim", own.alias("cross"))
@@ -259,6 +319,23 @@ def permuted_responses(
     return crossed, ranges.select(*keys, "resp", "Variable", "low", "high", "distinct")
 
 
+def permuted_responses(
+    df: DataFrame,
+    keys: Sequence[str],
+    responses: Sequence[str],
+    predictors: Sequence[str],
+    nsim: int = K.PERMUTATIONS,
+    seed: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """``permuted_moments`` and ``predictor_ranges`` of many responses of the same rows, with ``resp`` as one more key.
+
+    Responses known in the same rows of a cell are worked on together: their rows are numbered in the order of the
+    predictors, then of these responses, and share the permutations, so the predictors travel once for all of them.
+    """
+    with temporary(response_rows(df, keys, responses, predictors)) as rows:
+        return permuted_rows(rows, keys, responses, predictors, nsim, seed)
+
+
 def _drops(row, names: list[str], how: str) -> list[tuple]:
     """Loss of fit per predictor of one model when that predictor is permuted, from moments alone."""
     p = len(names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -106,9 +106,14 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def parts_of(spark: SparkSession, count: int, rows: int) -> int:
+    """A number of parts for ``count`` rows: the shuffle partitions, or more, so that a part has about ``rows`` of them at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // rows))
+
+
 def even_parts(df: DataFrame, rows: int) -> int:
-    """A number of ranges for rows that are cheap to count: the shuffle partitions, or more, so that a range has about ``rows`` of them at most."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    """``parts_of`` for rows that are cheap to count."""
+    return parts_of(df.sparkSession, df.count(), rows)
 
 
 def stack_rows(*frames: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from sensorframe.operators.gaps import carry_forward
 from sensorframe.operators.rank_corr import spearman
 from sensorframe.operators.reshape import stack_rows
 from sensorframe.sources.readers import constant_table
-from sensorframe.session import stored
+from sensorframe.session import stored, temporary
 from sensorframe.sources.schemas import RESPONSES
 
 CELL = ["area", "month", "resp"]
@@ -100,16 +100,20 @@ def fit_models(
     predictors = list(predictors)
     others = [c for c in ("year", "hydro_year") if c in table.columns]
     rows = complete_cases(table, ["id_code", "area", "month", *others, *predictors])
+    keys = CELL[:2]
+
+    def moments(rows: DataFrame) -> DataFrame:
+        cells = ols.moments(ols.stack_responses(rows, [*keys, *predictors], responses), CELL, "y", predictors)
+        cells = cells.join(features.snowy_months(windows), "area", "left")
+        return stored(cells.withColumn("eligible", features.eligible("area", "month", "snowy", predictors)).drop("snowy"))
+
     if "vi" in wanted:
-        rows = stored(rows.select("area", "month", "id_code", *predictors, *responses))
-    long = ols.stack_responses(rows, ["id_code", "area", "month", *predictors], responses)
-    cells = ols.moments(long, CELL, "y", predictors)
-    cells = cells.join(features.snowy_months(windows), "area", "left")
-    cells = cells.withColumn("eligible", features.eligible("area", "month", "snowy", predictors)).drop("snowy")
-    cells = stored(cells)
-    if "vi" in wanted:
-        permuted, ranges = importance.permuted_responses(rows, CELL[:2], responses, predictors, nsim, seed)
+        with temporary(importance.response_rows(rows, keys, responses, predictors)) as rows:
+            cells = moments(rows)
+            permuted, ranges = importance.permuted_rows(rows, keys, responses, predictors, nsim, seed)
         permuted, ranges = stored(permuted), stored(ranges)
+    else:
+        cells = moments(rows)
     out = {}
     for suffix, step in (("", False), ("_step", True)):
         coefs = ols.coefficients(cells, CELL, predictors, step)

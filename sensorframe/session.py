@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +51,50 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
+# With this setting the shuffle files of a query go when it ends, not when the driver's JVM happens to collect garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def stored(df: DataFrame, compression: str = "zstd", lean: bool = False, path: str | None = None) -> DataFrame:
     """Write a table used more than once to the shared folder and go on from there.
 
     Later stages start from stored data: nothing is computed twice and a lost executor takes nothing along.
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends. ``lean``: the shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    path = path or _path(spark)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    if lean:
+        spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if lean:
+            spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(df: DataFrame) -> Iterator[DataFrame]:
+    """``stored``, lean, for the time of a block only: the table goes when the block ends.
+
+    What is made of the table in the block has to be stored there as well.
+    """
+    spark = df.sparkSession
+    path = _path(spark)
+    try:
+        yield stored(df, lean=True, path=path)
+    finally:
+        files, where = _files(spark, path)
+        files.delete(where, True)

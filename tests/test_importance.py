@@ -1,10 +1,16 @@
 """Permutation moments: rows of many blocks, many responses at once."""
 
+import os
+import time
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+import sensorframe
+from sensorframe import session
 from sensorframe.operators import importance
 
 
@@ -61,3 +67,61 @@ def test_many_responses_as_one_by_one(spark):
     assert spans == wanted and got.keys() == want.keys() and len(want) == 21
     for key, cross in want.items():
         assert got[key] == pytest.approx(cross, abs=1e-12)
+
+
+def _cells(spark, n):
+    """A cell with two thirds of the rows, a smaller one and a tiny one; ties, and responses known in other rows."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.when(i % 3 != 0, "a").when(i < n - 30, "b").otherwise("c").alias("k"),
+        (i * 7919 % 1_009).cast("double").alias("x"), (i * 104_729 % 53).cast("double").alias("z"),
+        (i * 31 % 101).cast("double").alias("y0"), F.when(i % 5 != 0, i * 17 % 97).cast("double").alias("y1"),
+    )
+
+
+def test_portions_and_turns_change_nothing(spark, monkeypatch, request):
+    """Cells in several portions, blocks in several turns, some of which get no row: the same as all at a time."""
+    def both():
+        crossed, ranges = importance.permuted_responses(_cells(spark, 3000), ["k"], ["y0", "y1"], ["x", "z"], 3)
+        cross = {(r.k, r.resp, r.sim): r.cross for r in crossed.collect()}
+        return cross, {(r.k, r.resp, r.Variable): (r.low, r.high, r.distinct) for r in ranges.collect()}
+
+    met = []
+    dealt = importance._dealt
+    cloudpickle.register_pickle_by_value(sensorframe)  # so that workers see the patched sizes
+    request.addfinalizer(lambda: cloudpickle.unregister_pickle_by_value(sensorframe))
+    monkeypatch.setattr(importance, "_dealt", lambda *a: met.append(a[-2:]) or dealt(*a))
+    monkeypatch.setattr(importance, "PLACES", 64)
+    want, spans = both()
+    assert met == [(0, 1)]
+    monkeypatch.setattr(importance, "SENT", 1 << 15)
+    monkeypatch.setattr(importance, "PORTIONS", 3)
+    got, wanted = both()
+    assert len(met) > 10 and max(turns for _, turns in met) > 3
+    assert spans == wanted and got.keys() == want.keys() and len(want) == 3 * 2 * 3
+    for key, cross in want.items():
+        assert got[key] == pytest.approx(cross, rel=1e-9, abs=1e-9)
+
+
+def test_rows_leave_nothing_behind(spark, monkeypatch, tmp_path):
+    """Stored rows and shuffled parcels go with the step that needs them, and no row is stored twice at a time."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def size(*tops):
+        return sum(os.lstat(f"{d}/{f}").st_size for top in tops for d, _, files in os.walk(top) for f in files if not f.endswith(".crc"))
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(importance, "SENT", 1 << 20, raising=False)
+    rows = _cells(spark, 30_000).withColumn("noise", F.rand(3))
+    rows.write.parquet(f"{tmp_path}-rows")
+    one = size(f"{tmp_path}-rows")
+    before, peaks = size(*local), []
+    dealt = importance._dealt
+    monkeypatch.setattr(importance, "_dealt", lambda *a: peaks.append(size(tmp_path)) or dealt(*a))
+    crossed, ranges = importance.permuted_responses(spark.read.parquet(f"{tmp_path}-rows"), ["k"], ["y0", "y1", "noise"], ["x", "z"], 3)
+    assert max(peaks) < 2.5 * one and len(peaks) > 4
+    deadline = time.time() + 30
+    while size(*local) - before > one / 2 and time.time() < deadline:
+        time.sleep(0.5)  # the files go in the background
+    assert size(*local) - before < one / 2 and size(tmp_path) < one / 2
+    assert crossed.count() == 3 * 3 * 3 and ranges.count() == 3 * 3 * 2
