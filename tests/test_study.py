@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorframe import constants as K
+from sensorframe import session
 from sensorframe.operators import features
 from sensorframe.plans import modelling, reports
 from sensorframe.sources import schemas
@@ -114,6 +115,16 @@ def test_importances(fits):
     assert top.Variable == "canopy_cover2m_10m" and top.StDev is not None
 
 
+def test_importances_keep_no_rows(spark, study, table, monkeypatch, tmp_path):
+    """When the models are fitted, no stored table has the rows of the study any more."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    windows = features.snow_windows(modelling.corrected_snow(study[1]))
+    out = modelling.fit_models(table, windows, ["T1_mean", "T1_absmax"], nsim=2, wanted=["vi"])
+    left = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()]
+    assert left and not any(set(K.PREDICTORS) <= columns for columns in left)
+    assert {r.method for r in out["vi"].select("method").distinct().collect()} == {"tstat", "perm_r2", "perm_rmse", "pdp"}
+
+
 def test_reports(fits, table):
     r2 = reports.r2_table(fits["summ_step"]).collect()
     assert [r["T variable"] for r in r2] == ["Tmin", "Tavg", "Tmax"] and r2[1]["Jul"] > 0.5 and r2[0]["Nov"] is None
