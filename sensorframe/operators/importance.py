@@ -93,7 +93,7 @@ PLACES = DEALT = 1 << 16
 SORTED = 1 << 20
 # Bytes that rows send to blocks at a time. If there is more, cells are worked on in portions, and the blocks of a portion
 # in turns, and disk holds only the files of one turn. The numbers of both have a bound, and so have the passes over a row.
-SENT = 6 << 30
+SENT = 4 << 30
 PORTIONS, TURNS = 4, 16
 
 
